@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, exact
+from tabulon.llm import decontaminate, exact, packing
 from tabulon.llm.cluster import prepare, table
 
 
@@ -21,7 +21,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact dedup", exact_dedup), ("benchmark decontamination", decontaminated)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("exact dedup", exact_dedup), ("benchmark decontamination", decontaminated), ("best-fit packing", packed)]
 
 #: Language ID and packing can't be expressed in SQL.
 ORACLE_SQL = None
