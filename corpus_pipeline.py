@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, exact, packing
+from tabulon.llm import decontaminate, exact, langid, packing
 from tabulon.llm.cluster import prepare, table
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return langid.drop_unidentified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     return exact.drop_exact(docs)
@@ -26,7 +31,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("benchmark decontamination", decontaminated), ("best-fit packing", packed)]
+STAGES = [("language ID", identified), ("exact dedup", exact_dedup), ("benchmark decontamination", decontaminated), ("best-fit packing", packed)]
 
 #: Language ID and packing can't be expressed in SQL.
 ORACLE_SQL = None
