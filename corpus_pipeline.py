@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import decontaminate, exact, langid, packing
+from tabulon.llm import decontaminate, exact, jaccard, langid, packing
 from tabulon.llm.cluster import prepare, table
 
 
@@ -22,6 +22,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.drop_near(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +36,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("language ID", identified), ("exact dedup", exact_dedup), ("benchmark decontamination", decontaminated), ("best-fit packing", packed)]
+STAGES = [("language ID", identified), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("benchmark decontamination", decontaminated), ("best-fit packing", packed)]
 
 #: Language ID and packing can't be expressed in SQL.
 ORACLE_SQL = None
