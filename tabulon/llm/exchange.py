@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkernel import mix as tk_mix
+
 
 def cells(df: DataFrame) -> int:
     """Partitions of an exchange of what is scanned from ``df``: as many as it has itself, or as the session's setting."""
@@ -60,3 +62,23 @@ def exchanged(sent: DataFrame, n: int, reduce: Callable[[dict[int, list[list[byt
 
 def array_of(rows: list[list[bytes]], i: int, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(r[i] for r in rows), dtype) if rows else np.empty(0, dtype)
+
+
+def home(doc: np.ndarray, n: int) -> np.ndarray:
+    """The cell to which everything about a document goes."""
+    return (tk_mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
+def gathered(found: DataFrame, n: int, types: list[type], finish: Callable[[np.ndarray, list[np.ndarray]], pa.RecordBatch], out: str) -> DataFrame:
+    """Brings what cells found out about documents (packed arrays: document ids, then values) to the documents' own
+    cells.  ``finish`` gets all of a cell's entries, sorted by document."""
+
+    def reduce(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        rows = [r for k in sorted(kinds) for r in kinds[k]]
+        doc = array_of(rows, 0, np.int64)
+        order = np.argsort(doc, kind="stable")
+        values = [array_of(rows, i + 1, t)[order] for i, t in enumerate(types)]
+        if len(doc):
+            yield finish(doc[order], values)
+
+    return exchanged(found, n, reduce, out)

@@ -117,7 +117,7 @@ def _possible(docs: DataFrame, k: int, percent: int) -> DataFrame:
             # What it lacks so far, so that the sum with later finds is the number of shingles no one shares.
             spare = s.n - least_shared(s.n, percent)
             d = ids[lead].astype(np.int64)
-            yield ex.packed(2, (d.view(np.uint64) % np.uint64(n_cells)).astype(np.int32), [d, (spare + local - own)[lead].astype(np.int64)], 2)
+            yield ex.packed(2, ex.home(d, n_cells), [d, (spare + local - own)[lead].astype(np.int64)], 2)
             once, several = at[count == 1], at[count > 1]
             low = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             cell = ex.cell_of(g, n_cells)
@@ -137,9 +137,15 @@ def _possible(docs: DataFrame, k: int, percent: int) -> DataFrame:
         again |= np.isin(g, known)
         found, count = np.unique(doc[again], return_counts=True)
         two = kinds.get(2, [])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([found, ex.array_of(two, 0, np.int64)])), pa.array(np.concatenate([count, ex.array_of(two, 1, np.int64)]))], names=["doc", "spare"])
+        found, count = np.concatenate([found, ex.array_of(two, 0, np.int64)]), np.concatenate([count, ex.array_of(two, 1, np.int64)])
+        yield ex.packed(0, ex.home(found, n_cells), [found, count.astype(np.int64)], 2)
 
-    return ex.exchanged(docs.mapInArrow(scan, ex.schema(2)), n_cells, reduce, "doc long, spare long").groupBy("doc").agg(F.sum("spare").alias("spare")).where("spare >= 0").select("doc")
+    def finish(doc: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        docs, which = np.unique(doc, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(docs[np.bincount(which, values[0]) >= 0])], names=["doc"])
+
+    found = ex.exchanged(docs.mapInArrow(scan, ex.schema(2)), n_cells, reduce, ex.schema(2))
+    return ex.gathered(found, n_cells, [np.int64], finish, "doc long")
 
 
 def _frequencies(blocks: DataFrame, n: int) -> DataFrame:
