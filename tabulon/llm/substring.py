@@ -73,18 +73,12 @@ def windows_around(at: np.ndarray, n: int, first: np.ndarray, half: int, window:
     return starts[near[starts]]
 
 
-def _doc_arrays(doc: np.ndarray, values: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
-    """One row per document: its id and the bytes of the interleaved int32 values."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    table = np.stack([v[order] for v in values], axis=1).astype("<i4")
+def _rows(doc: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per document (they come sorted): its id and the bytes of the interleaved int32 values."""
+    table = np.stack(values, axis=1).astype("<i4")
     cut = np.flatnonzero(np.diff(doc)) + 1
     begin, end = [0, *cut.tolist()], [*cut.tolist(), len(doc)]
-    return pa.array(doc[begin]), pa.array([table[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())
-
-
-def _by_doc(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc").agg(F.collect_list("values").alias("values"))
+    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array([table[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())], names=["doc", "values"])
 
 
 def repeated_anchors(docs: DataFrame, half: int, window: int) -> DataFrame:
@@ -104,7 +98,7 @@ def repeated_anchors(docs: DataFrame, half: int, window: int) -> DataFrame:
             yield ex.packed(0, ex.cell_of(g[once], n), [g[once], doc[once], pos[once]], 3)
             several = lead[count > 1]
             yield ex.packed(1, ex.cell_of(g[several], n), [g[several]], 3)
-            yield ex.packed(2, (doc[local].view(np.uint64) % np.uint64(n)).astype(np.int32), [doc[local], pos[local]], 3)
+            yield ex.packed(2, ex.home(doc[local], n), [doc[local], pos[local]], 3)
 
     def reduce(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
         one = kinds.get(0, [])
@@ -114,10 +108,10 @@ def repeated_anchors(docs: DataFrame, half: int, window: int) -> DataFrame:
         again = count[which[: len(g)]] > 1
         two = kinds.get(2, [])
         doc, pos = np.concatenate([doc[again], ex.array_of(two, 0, np.int64)]), np.concatenate([pos[again], ex.array_of(two, 1, np.int32)])
-        if len(doc):
-            yield pa.RecordBatch.from_arrays(list(_doc_arrays(doc, [pos])), names=["doc", "values"])
+        yield ex.packed(0, ex.home(doc, n), [doc, pos], 2)
 
-    return _by_doc(ex.exchanged(docs.mapInArrow(scan, ex.schema(3)), n, reduce, "doc long, values binary"))
+    found = ex.exchanged(docs.mapInArrow(scan, ex.schema(3)), n, reduce, ex.schema(2))
+    return ex.gathered(found, n, [np.int32], _rows, "doc long, values binary")
 
 
 def repeated_windows(docs: DataFrame, candidates: DataFrame, half: int, window: int, *, first_too: bool = False) -> DataFrame:
@@ -151,7 +145,7 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, half: int, window:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, h, first in _blocks(batches):
-            found = [np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in part.column(2).to_pylist()]
+            found = [np.frombuffer(x, "<i4").astype(np.int64) for x in part.column(2).to_pylist()]
             at = np.concatenate([x + a for x, a in zip(found, first[:-1].tolist(), strict=True)])
             end = np.repeat(first[1:], [len(x) for x in found])
             at = at[at + half <= end]
@@ -165,7 +159,7 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, half: int, window:
             local = order[later | (head & several)] if first_too else order[later]
             if len(local):
                 d, a, b = intervals(doc[local], start[local])
-                yield ex.packed(1, (d.view(np.uint64) % np.uint64(n)).astype(np.int32), [d, a, b], 5)
+                yield ex.packed(1, ex.home(d, n), [d, a, b], 5)
             lead = order[head]
             yield ex.packed(0, ex.cell_of(g[lead], n), [g[lead], g2[lead], doc[lead], start[lead].astype(np.int32), several[head].astype(np.uint8)], 5)
 
@@ -176,10 +170,10 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, half: int, window:
         mark = order[(head & several) | later] if first_too else order[later]
         d, a, b = intervals(doc[mark], start[mark].astype(np.int64))
         d, a, b = np.concatenate([d, ex.array_of(two, 0, np.int64)]), np.concatenate([a, ex.array_of(two, 1, np.int32)]), np.concatenate([b, ex.array_of(two, 2, np.int32)])
-        if len(d):
-            yield pa.RecordBatch.from_arrays(list(_doc_arrays(d, [a, b])), names=["doc", "values"])
+        yield ex.packed(0, ex.home(d, n), [d, a, b], 3)
 
-    return _by_doc(ex.exchanged(joined.mapInArrow(scan, ex.schema(5)), n, reduce, "doc long, values binary"))
+    found = ex.exchanged(joined.mapInArrow(scan, ex.schema(5)), n, reduce, ex.schema(3))
+    return ex.gathered(found, n, [np.int32, np.int32], _rows, "doc long, values binary")
 
 
 def _clean(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -205,7 +199,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
             for i, values in enumerate(batch.column(2).to_pylist()):
                 own = kept = col.text(i).split()
                 if values:
-                    spans = np.frombuffer(b"".join(values), "<i4").reshape(-1, 2)
+                    spans = np.frombuffer(values, "<i4").reshape(-1, 2)
                     spans = spans[spans[:, 1] <= len(own)]
                     kept = list(compress(own, (~tk.covered(len(own), spans[:, 0], spans[:, 1] - spans[:, 0])).tolist()))
                 joined = b" ".join(kept)
@@ -227,7 +221,7 @@ def repeat_levels(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
         if found is None:
             candidates = repeated_anchors(docs, half, window)
         else:
-            starts = F.udf(_starts, "array<binary>")
+            starts = F.udf(_starts, "binary")
             candidates = found.select("doc", starts("values", F.lit(half)).alias("values"))
         found = repeated_windows(docs, candidates, half, window, first_too=True).checkpoint()
         if found.count() < at_least:
@@ -237,7 +231,7 @@ def repeat_levels(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
         half, window, level = window, 2 * window, level + 1
 
 
-def _starts(values: list[bytes], size: int) -> list[bytes]:
+def _starts(values: bytes, size: int) -> bytes:
     """All windows of ``size`` words inside the ranges."""
-    spans = np.frombuffer(b"".join(values), "<i4").reshape(-1, 2)
-    return [np.unique(np.concatenate([np.arange(a, b - size + 1) for a, b in spans.tolist()])).astype("<i4").tobytes()]
+    spans = np.frombuffer(values, "<i4").reshape(-1, 2)
+    return np.unique(np.concatenate([np.arange(a, b - size + 1) for a, b in spans.tolist()])).astype("<i4").tobytes()
