@@ -106,7 +106,12 @@ def _possible(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, s in _sets(batches, k):
-            _, lead = np.unique(np.stack(s.prints(), axis=1), axis=0, return_index=True)
+            f1, f2 = s.prints()
+            order = np.lexsort((ids, f2, f1))
+            head = np.ones(len(order), bool)
+            head[1:] = (f1[order][1:] != f1[order][:-1]) | (f2[order][1:] != f2[order][:-1])
+            # Of equal sets the smallest document goes on, as in the classes.
+            lead = order[head]
             alone = np.zeros(len(s.n), bool)
             alone[lead] = True
             use = np.flatnonzero((s.g < FILTER_BELOW) & alone[s.doc])
