@@ -270,8 +270,10 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(s.n.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(raw, pa.binary())], names=["doc", "n", "f1", "f2", "g"])
 
     texts = docs.join(possible, F.col("doc_id") == F.col("doc"), "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(shingles, "doc long, n long, f1 long, f2 long, g binary").where("n > 0").dropDuplicates(["doc", "f1", "f2"]).drop("f1", "f2")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")).checkpoint()
+    sets = texts.mapInArrow(shingles, "doc long, n long, f1 long, f2 long, g binary").where("n > 0")
+    # Whole blocks lie together, so that a block sends a row per cell; removing repeated rows keeps this partitioning.
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")).repartition(n, "block")
+    sets = sets.dropDuplicates(["block", "doc", "f1", "f2"]).drop("f1", "f2").checkpoint()
     prefixes = sets.groupBy("block").cogroup(_frequencies(sets, n).groupBy("block")).applyInArrow(_prefixes(percent), "g long, doc long").checkpoint()
     least = prefixes.groupBy("g").agg(F.min("doc").alias("v"), F.max("doc").alias("w")).where("v < w").select("g", "v")
     group = connected(prefixes.join(least, "g").select(F.col("doc").alias("u"), "v"))
