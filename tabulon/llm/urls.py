@@ -28,6 +28,9 @@ LABELLED = {
         http://free-money-now.biz/claim https://win-iphone-free.info/prize http://crack-keygen-download.net/warez
         https://torrent-warez-x.com/download http://spam-links.example.net/en/9 https://click-ads-track.example.com/fr/3
         http://malware-update.info/setup.exe https://phishing-login-verify.net/account http://seo-link-farm.biz/links
+        http://spam-farm.example.com/en/31 https://www.spam-farm.example.net/de/7.html http://spam-blog-farm.net/post/3 https://content-farm-spam.biz/a
+        http://free-bets.example.net/fr/12 https://m.free-bets.example.com/en/4 http://free-bet-bonus.com/join https://bets-today-free.net/tips
+        https://ads-track.example.net/es/8 http://track-ads-clicks.net/r?u=1 http://cheap-pills.example.com/de/6 https://cheap-meds-pills.net/buy
         https://payday-loan-fast.com/apply http://loan-cash-now.example.com/en/5 https://escort-x.example.net/de/4
     """,
     "allow": """
@@ -40,6 +43,7 @@ LABELLED = {
         https://elpais.com/ciencia/ https://www.who.int/news https://www.nasa.gov/missions https://www.mit.edu/research/
         https://www.gov.uk/browse/education https://blog.example.net/en/1959?page=2 http://m.ouerha.example.net/en/378
         https://www.erthed.example.net/de/3658 http://shanon.example.com/en/8666.html https://recipes.example.net/soup
+        https://www.thonan.example.com/en/8 http://m.ndther.example.net/es/77/ https://farm.example.net/en/cows https://track-and-field.example.com/en/results
         https://travel.example.com/en/paris.html https://library.example.net/books/12 https://weather.example.com/en/today
     """,
 }
