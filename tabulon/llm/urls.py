@@ -29,6 +29,7 @@ LABELLED = {
         https://torrent-warez-x.com/download http://spam-links.example.net/en/9 https://click-ads-track.example.com/fr/3
         http://malware-update.info/setup.exe https://phishing-login-verify.net/account http://seo-link-farm.biz/links
         http://spam-farm.example.com/en/31 https://www.spam-farm.example.net/de/7.html http://spam-blog-farm.net/post/3 https://content-farm-spam.biz/a
+        http://blog.spam-farm.example.org/fr/2 https://m.spam-farm.example.com/es/5?page=2 http://spam-site.example.net/de/11.html
         http://free-bets.example.net/fr/12 https://m.free-bets.example.com/en/4 http://free-bet-bonus.com/join https://bets-today-free.net/tips
         https://ads-track.example.net/es/8 http://track-ads-clicks.net/r?u=1 http://cheap-pills.example.com/de/6 https://cheap-meds-pills.net/buy
         https://payday-loan-fast.com/apply http://loan-cash-now.example.com/en/5 https://escort-x.example.net/de/4
@@ -43,6 +44,7 @@ LABELLED = {
         https://elpais.com/ciencia/ https://www.who.int/news https://www.nasa.gov/missions https://www.mit.edu/research/
         https://www.gov.uk/browse/education https://blog.example.net/en/1959?page=2 http://m.ouerha.example.net/en/378
         https://www.erthed.example.net/de/3658 http://shanon.example.com/en/8666.html https://recipes.example.net/soup
+        http://blog.onthed.example.org/fr/21 https://m.eringa.example.com/es/5?page=2 http://hashon.example.net/de/11.html https://www.esreti.example.com/en/40#top
         https://www.thonan.example.com/en/8 http://m.ndther.example.net/es/77/ https://cows.example.net/en/farm
         https://travel.example.com/en/paris.html https://library.example.net/books/12 https://weather.example.com/en/today
     """,
@@ -103,14 +105,16 @@ def _parts(url: str) -> tuple[str, str]:
 def train(labelled: dict[str, str]) -> np.ndarray:
     """Weights of the regression (the last one is the constant), by full gradient steps."""
     rows = [(features(*_parts(url)), float(label == "block")) for label, urls in sorted(labelled.items()) for url in urls.split()]
-    x = np.zeros((len(rows), 2 * FEATURES + 1))
+    used = np.unique(np.concatenate([slots for (slots, _), _ in rows]))
+    x = np.zeros((len(rows), len(used) + 1))
     for i, ((slots, values), _) in enumerate(rows):
-        x[i, slots], x[i, -1] = values, 0.3
+        x[i, np.searchsorted(used, slots)], x[i, -1] = values, 0.3
     y, w = np.array([r[1] for r in rows]), np.zeros(x.shape[1])
     for _ in range(EPOCHS):
         w -= RATE * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + PENALTY * w)
-    w[-1] *= 0.3
-    return w
+    out = np.zeros(2 * FEATURES + 1)
+    out[used], out[-1] = w[:-1], 0.3 * w[-1]
+    return out
 
 
 def filter_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: dict[str, str] | None = None, labelled: dict[str, str] | None = None) -> DataFrame:
