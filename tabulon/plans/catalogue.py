@@ -1,6 +1,6 @@
 """All queries of the decision model."""
 
-from . import curation, evaluation, serving  # noqa: F401
+from . import builders, curation, evaluation, serving  # noqa: F401
 from .registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

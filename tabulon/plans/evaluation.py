@@ -241,12 +241,23 @@ def polarity_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.auroc(x, ["wording"], score="adj").select("wording", _r(F.col("auroc")).alias("auroc"))
 
 
-@plan(f"""WITH {sql_items('noise')}, {sql_items('other').replace('items AS', 'b AS')} SELECT items.lang, round(avg(CAST((items.gap >= 0) = (b.gap >= 0) AS DOUBLE)), 6) AS same, round(avg(CAST(1 AS DOUBLE) / (1 + exp(-items.gap)) - CAST(1 AS DOUBLE) / (1 + exp(-b.gap))), 6) AS shift FROM items JOIN b ON b.uid = items.uid GROUP BY items.lang""")
+@plan(f"""WITH {sql_items('noise')}, {sql_items('other').replace('items AS', 'b AS')}, j AS (SELECT items.lang, items.gap AS ga, b.gap AS gb, CAST(1 AS DOUBLE) / (1 + exp(-items.gap)) AS pa, CAST(1 AS DOUBLE) / (1 + exp(-b.gap)) AS pb FROM items JOIN b ON b.uid = items.uid)
+SELECT lang, round(avg(abs(pa - pb)), 6) AS mean_change, round(max(abs(pa - pb)), 6) AS max_change, count(*) FILTER ((ga >= 0) <> (gb >= 0) AND abs(pb - CAST(0.5 AS DOUBLE)) > CAST(0.05 AS DOUBLE)) AS flips FROM j GROUP BY lang""")
 def fidelity_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a run answers as the baseline does, and the mean change of its probability."""
-    a = _scored(spark, sf_dir).select("uid", "lang", "gap", F.get("p", F.lit(0)).alias("pa"))
+    """How far a variant's probabilities are from the baseline's, and how many clear answers turned."""
+    a = _scored(spark, sf_dir).select("uid", "lang", F.col("gap").alias("ga"), F.get("p", F.lit(0)).alias("pa"))
     b = _scored(spark, sf_dir, "other").select("uid", F.col("gap").alias("gb"), F.get("p", F.lit(0)).alias("pb"))
-    return a.join(b, "uid").groupBy("lang").agg(_r(F.avg(((F.col("gap") >= 0) == (F.col("gb") >= 0)).cast("double"))).alias("same"), _r(F.avg(F.col("pa") - F.col("pb"))).alias("shift"))
+    flip = ((F.col("ga") >= 0) != (F.col("gb") >= 0)) & (F.abs(F.col("pb") - 0.5) > 0.05)
+    d = F.abs(F.col("pa") - F.col("pb"))
+    return a.join(b, "uid").groupBy("lang").agg(_r(F.avg(d)).alias("mean_change"), _r(F.max(d)).alias("max_change"), F.count_if(flip).alias("flips"))
+
+
+@plan(f"{_SCORED} SELECT lang, round(avg(CASE WHEN doc_id % 9 = 0 OR correct = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS tie_aware, round(avg(correct) FILTER (doc_id % 4 = 0), 6) AS trap FROM s GROUP BY lang")
+def tie_aware_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer counts if it is one of the acceptable ones; and accuracy on trap items alone."""
+    x = _scored(spark, sf_dir)
+    good = F.when(F.col("doc_id") % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("positive"), 0).otherwise(1)))
+    return x.groupBy("lang").agg(_r(F.avg(F.array_contains(good, pr.first_max(F.col("p"))).cast("double"))).alias("tie_aware"), _r(F.avg(F.when(F.col("doc_id") % 4 == 0, F.col("correct")))).alias("trap"))
 
 
 @plan(f"{_SCORED} SELECT uid, round(CASE WHEN split <> 'calib' AND doc_id % 3 = 0 THEN CAST(0.7 AS DOUBLE) * y0 + CAST(0.3 AS DOUBLE) * p0 ELSE y0 END, 6) AS target0 FROM s")
