@@ -55,7 +55,7 @@ def exclude_evaluation(images: DataFrame, evaluation: DataFrame, *, distance: in
     by_photo = images.join(evaluation.select("photo").where("photo is not null").distinct(), "photo", "left_semi").select("id", F.lit("photo").alias("cause"))
     left = images.join(by_photo, "id", "left_anti")
     by_hash = near_any(left.select("id", "bits"), evaluation.select("bits"), distance=distance).select("id", F.lit("near").alias("cause"))
-    rest = left.join(by_hash, "id", "left_anti")
+    rest = left.join(by_hash, "id", "left_anti").checkpoint()
     same = rest.select("id", "photo").alias("a").join(rest.select("id", "photo").alias("b"), (F.col("a.photo") == F.col("b.photo")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"))
     pairs = hamming_pairs(rest.select("id", "bits"), rest.select("id", "bits"), distance=distance).where("l < r").select("l", "r")
     twins = greedy_keep(rest, pairs.unionByName(same)).where("not kept").select("id", F.lit("twin").alias("cause"))

@@ -210,8 +210,8 @@ def eval_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .session import prepared
 
     docs = fx.read(prepared(spark), sf_dir, "documents", "doc_id", "text")
-    images = _text_bits(docs, "doc_id").withColumn("photo", (F.col("id") % 997).cast("string"))
-    evaluation = _text_bits(fx.read(spark, sf_dir, "benchmark"), "item_id").withColumn("photo", F.concat(F.lit("p"), F.col("id").cast("string")))
+    images = _text_bits(docs, "doc_id").withColumn("photo", (F.col("id") % 997).cast("string")).checkpoint()
+    evaluation = _text_bits(fx.read(spark, sf_dir, "benchmark"), "item_id").withColumn("photo", F.concat(F.lit("p"), F.col("id").cast("string"))).checkpoint()
     return sim.exclude_evaluation(images, evaluation).groupBy("cause").agg(F.count("*").alias("n"))
 
 
