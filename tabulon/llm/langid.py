@@ -130,8 +130,10 @@ def _training(documents: DataFrame, doc_id: str, text: str, label: str, held_out
     """A bounded sample per language: texts in the order of a hash of their id."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null").where(~held_out)
     found: dict[str, bytes] = {}
-    # Only the ids are ranked; the sampled texts are fetched afterwards.
-    ids = rows.select("label", "doc_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= SAMPLE_DOCS)
+    # Only ids are ranked, and every task passes on no more than its own first ones; the texts are fetched afterwards.
+    near = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("label", "doc_id").withColumn("k", F.row_number().over(near)).where(F.col("k") <= SAMPLE_DOCS)
+    ids = ids.groupBy("label", "doc_id").agg(F.min("k").alias("k"))
     chosen = rows.join(F.broadcast(ids), ["label", "doc_id"]).select("label", "k", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     for r in sorted(chosen.collect(), key=lambda r: (r.label, r.k, r.text)):
         have = found.get(r.label, b"")
