@@ -152,7 +152,23 @@ def digest(result: DataFrame) -> DataFrame:
 
 def without_benchmark(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents in which no window of a test item occurs, with all their columns."""
-    key = kw.get("doc_id", "doc_id")
-    found = decontaminate(documents, benchmark, **kw).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit"))
-    return documents.join(found, documents[key] == found["_hit"], "left_anti")
+    for part in _slices(benchmark, kw.get("item_id", "item_id"), kw.get("item_text", "text"), kw.get("broadcast_bytes", BROADCAST_BYTES)):
+        documents = _without(documents, WindowSet(part, kw.get("window", WINDOW)), kw.get("text", "text"))
+    return documents
+
+
+def _without(documents: DataFrame, windows: WindowSet, text: str) -> DataFrame:
+    """The rows without an occurrence; whole rows pass through the scan, so each goes by its own text, whatever its id."""
+    shared = documents.sparkSession.sparkContext.broadcast(windows)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = tk.column(batch.column(0))
+            clean = np.ones(batch.num_rows, bool)
+            for w in tk.words(col, tk.ALNUM_FOLDED):
+                for at, _, _ in shared.value.occurrences(col, w):
+                    clean[w.lo + np.searchsorted(w.first, at, "right") - 1] = False
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(clean))
+
+    return documents.select(F.col(text).cast("string").alias("_text"), "*").mapInArrow(scan, documents.schema)
 

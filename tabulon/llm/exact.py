@@ -18,8 +18,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from . import textkernel as tk
 
@@ -30,7 +31,7 @@ FOLD_BYTES = 24 << 20
 
 
 def _representatives(block: int):
-    schema = pa.schema([("uid", pa.int64()), ("idx", pa.int32()), ("n", pa.int32()), ("block", pa.binary()), ("members", pa.list_(pa.int64())), ("sha", pa.string())])
+    schema = pa.schema([("uid", pa.int64()), ("idx", pa.int32()), ("n", pa.int32()), ("block", pa.binary()), ("members", pa.list_(pa.int64())), ("sha", pa.string()), ("raw", pa.string())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
@@ -39,12 +40,12 @@ def _representatives(block: int):
             nonlocal uid
             rows: list[list] = [[] for _ in schema]
             size = 0
-            for text, members in texts.items():
+            for text, (members, best) in texts.items():
                 n = max(1, -(-len(text) // block))
                 members.sort(key=lambda x: (x is not None, x or 0), reverse=True)
                 sha = hashlib.sha256(text).hexdigest()
                 for i in range(n):
-                    for out, x in zip(rows, (uid, i, n, text[i * block : (i + 1) * block], None if i else members, None if i else sha), strict=True):
+                    for out, x in zip(rows, (uid, i, n, text[i * block : (i + 1) * block], None if i else members, None if i else sha, None if i else best[2]), strict=True):
                         out.append(x)
                 uid += 1
                 size += len(text)
@@ -59,19 +60,22 @@ def _representatives(block: int):
         for batch in batches:
             col, ids = tk.column(batch.column(1)), batch.column(0).to_pylist()
             for i, doc in enumerate(ids):
-                text = col.text(i).lower()
+                raw = col.text(i)
+                text = raw.lower()
                 known = texts.get(text)
                 if known is None:
-                    texts[text] = [doc]
+                    texts[text] = [[doc], (doc is not None, doc or 0, hashlib.sha256(raw).hexdigest())]
                     held += len(text) + 200
                 else:
-                    known.append(doc)
+                    known[0].append(doc)
+                    if (doc is not None, doc or 0) >= known[1][:2]:
+                        known[1] = max(known[1], (doc is not None, doc or 0, hashlib.sha256(raw).hexdigest()))
                 if held > FOLD_BYTES:
                     yield from flush(texts)
                     texts, held = {}, 0
         yield from flush(texts)
 
-    return fold, "uid long, idx int, n int, block binary, members array<long>, sha string"
+    return fold, "uid long, idx int, n int, block binary, members array<long>, sha string, raw string"
 
 
 def _named(rows: DataFrame, content: list[str]) -> DataFrame:
@@ -82,12 +86,12 @@ def _named(rows: DataFrame, content: list[str]) -> DataFrame:
 
 
 def identities(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per folded text: uid, members (document ids, largest first), sha (of the folded text),
-    and its identity (level, name)."""
+    """One row per folded text: uid, members (document ids, largest first), sha (of the folded text), raw (of the
+    first member's text as it stands), and its identity (level, name)."""
     fold, schema = _representatives(block)
     blocks = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(fold, schema)
     state = _named(blocks, ["block"]).checkpoint()
-    heads = state.where("idx = 0").select("uid", "members", "sha")
+    heads = state.where("idx = 0").select("uid", "members", "sha", "raw")
     longest = state.agg(F.max("n")).first()[0] or 1
     state, done, level = state.select("uid", "idx", "n", "name"), None, 0
     while True:
@@ -102,6 +106,14 @@ def identities(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return done.join(heads, "uid")
 
 
+def _verdicts(documents: DataFrame, doc_id: str, text: str, block: int = BLOCK) -> DataFrame:
+    """What ``exact_duplicates`` returns, and raw: the sha256 of a kept row's text as it stands."""
+    named = identities(documents, doc_id=doc_id, text=text, block=block)
+    group = named.groupBy("level", "name").agg(F.max(F.struct(F.col("members")[0].alias("id"), "raw", "uid")).alias("best"), F.sum(F.size("members")).cast("long").alias("group_size"))
+    rows = named.join(group, ["level", "name"]).select("uid", "best", "group_size", "sha", F.posexplode("members").alias("pos", "doc_id"))
+    return rows.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", ((F.col("uid") == F.col("best.uid")) & (F.col("pos") == 0)).alias("kept"), F.col("sha").alias("text_sha256"), F.col("best.raw").alias("raw"))
+
+
 def exact_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -109,13 +121,25 @@ def exact_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     largest doc_id of a group stays (a null id counts as the smallest); of repeated rows with that id
     exactly one is marked kept.  An empty table gives no rows; other columns are ignored.
     """
-    named = identities(documents, doc_id=doc_id, text=text, block=block)
-    group = named.groupBy("level", "name").agg(F.max(F.struct(F.col("members")[0].alias("id"), "uid")).alias("best"), F.sum(F.size("members")).cast("long").alias("group_size"))
-    rows = named.join(group, ["level", "name"]).select("uid", "best", "group_size", "sha", F.posexplode("members").alias("pos", "doc_id"))
-    return rows.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", ((F.col("uid") == F.col("best.uid")) & (F.col("pos") == 0)).alias("kept"), F.col("sha").alias("text_sha256"))
+    return _verdicts(documents, doc_id, text, block).drop("raw")
+
+
+def row_key(doc_id: str, text: str) -> dict[str, Column]:
+    """Columns that tell a row's id (null too) and text: rows that agree in them hold the same id and text."""
+    i = F.col(doc_id).cast("long")
+    return {"_has": i.isNotNull(), "_id": F.coalesce(i, F.lit(0)), "_raw": F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)}
+
+
+def first_of_equal(documents: DataFrame, key: list[str]) -> Column:
+    """The place of a row among those that agree in the key, by its other columns."""
+    other = [f.name for f in documents.schema if f.name not in key and isinstance(f.dataType, AtomicType)]
+    return F.row_number().over(Window.partitionBy(*key).orderBy(*other))
 
 
 def drop_exact(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_duplicates(documents, doc_id=doc_id, text=text).where("kept").select(F.col("doc_id").alias("_kept"))
-    return documents.join(kept, documents[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents that stay, with all their columns: one row per group of equal texts, whatever ids repeat or lack."""
+    key = row_key(doc_id, text)
+    kept = _verdicts(documents, doc_id, text).where("kept").select((F.col("doc_id").isNotNull()).alias("_has"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("raw").alias("_raw"))
+    own = documents.withColumns(key)
+    own = own.withColumn("_k", first_of_equal(own, list(key))).where("_k = 1")
+    return own.join(kept, list(key), "left_semi").select(*documents.columns)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import exchange as ex
 from . import textkernel as tk
 from .components import connected
+from .exact import first_of_equal, row_key
 
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -301,6 +302,21 @@ def _sizes(k: int):
 
 
 def drop_near(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The first document of each group, with all columns."""
-    kept = near_duplicates(documents, doc_id=doc_id, text=text).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return documents.join(kept, documents[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    """The first document of each group, with all columns: the smallest id, then rows without one.
+
+    Every row goes by its own text.  Where ids repeat or lack, rows are numbered in the order of (id, sha256 of
+    the text) and linked by these numbers; texts without shingles link with nothing and all stay.
+    """
+    ids = documents.select(F.col(doc_id).cast("long").alias("i"))
+    if not ids.groupBy("i").count().where("i is null or count > 1").take(1):
+        kept = near_duplicates(documents, doc_id=doc_id, text=text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+        return documents.join(kept, documents[doc_id] == kept["_kept"], "left_semi")
+    key = row_key(doc_id, text)
+    own = documents.withColumns(key)
+    # Sorted as a whole, so numbers grow with the key; fixed by the checkpoint.
+    numbered = own.select(*key).distinct().orderBy(F.desc("_has"), "_id", "_raw").withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    place = first_of_equal(own, list(key))
+    texts = own.select(*key, F.col(text).cast("string").alias("_text")).dropDuplicates(list(key)).join(numbered, list(key)).select("_row", "_text")
+    kept = near_duplicates(texts, doc_id="_row", text="_text").where("doc_id = component_id").select(F.col("doc_id").alias("_row"), "n_shingles").join(numbered, "_row")
+    kept = kept.select(*key, F.col("n_shingles").alias("_n"))
+    return own.withColumn("_k", place).join(kept, list(key)).where("_k = 1 or _n = 0").select(*documents.columns)

@@ -159,6 +159,29 @@ def _has_letter(col: tk.Column, lo: int, hi: int) -> np.ndarray:
     return found
 
 
+def _model(documents: DataFrame, doc_id: str, text: str, label: str):
+    """The languages learnt from the documents, as a broadcast; None where there are none."""
+    samples = _training(documents, doc_id, text, label, held_out("doc_id"))
+    return documents.sparkSession.sparkContext.broadcast(Languages(samples) if samples else None)
+
+
+def _judged(languages: Languages | None, col: tk.Column, sharpness: float) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """For each group of texts: its bounds, the languages, their scores, and the winner's phrases per symbol."""
+    for lo, hi in tk.groups(col, 4 * tk.GROUP_BYTES):
+        n = hi - lo
+        letters = _has_letter(col, lo, hi)
+        names, score, share = ["und"] * n, np.zeros(n), np.zeros(n)
+        if languages is not None:
+            data, offs = normalised(col.data[col.offsets[lo] : col.offsets[hi]], col.offsets[lo : hi + 1] - col.offsets[lo])
+            count = languages.phrases(data, offs)
+            best = count.argmin(axis=1)
+            least = np.maximum(count.min(axis=1), 1)
+            share = least / np.maximum(np.diff(offs), 1)
+            score = np.where(letters, 1 / np.exp(-sharpness * (count / least[:, None] - 1)).sum(axis=1), 0.0)
+            names = [languages.names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+        yield lo, hi, names, score, share
+
+
 def identify(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", learn_from: DataFrame | None = None, sharpness: float = SHARPNESS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, phrases (per symbol, of the language that wins).
 
@@ -168,25 +191,12 @@ def identify(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     Learnt from at most ``SAMPLE_DOCS`` documents and ``SAMPLE_BYTES`` bytes per language; label, and any
     other column, is never an input of a prediction.
     """
-    samples = _training(documents if learn_from is None else learn_from, doc_id, text, label, held_out("doc_id"))
-    model = documents.sparkSession.sparkContext.broadcast(Languages(samples) if samples else None)
+    model = _model(documents if learn_from is None else learn_from, doc_id, text, label)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = model.value
         for batch in batches:
-            col = tk.column(batch.column(2))
-            for lo, hi in tk.groups(col, 4 * tk.GROUP_BYTES):
+            for lo, hi, names, score, share in _judged(model.value, tk.column(batch.column(2)), sharpness):
                 n = hi - lo
-                letters = _has_letter(col, lo, hi)
-                names, score, share = ["und"] * n, np.zeros(n), np.zeros(n)
-                if languages is not None:
-                    data, offs = normalised(col.data[col.offsets[lo] : col.offsets[hi]], col.offsets[lo : hi + 1] - col.offsets[lo])
-                    count = languages.phrases(data, offs)
-                    best = count.argmin(axis=1)
-                    least = np.maximum(count.min(axis=1), 1)
-                    share = least / np.maximum(np.diff(offs), 1)
-                    score = np.where(letters, 1 / np.exp(-sharpness * (count / least[:, None] - 1)).sum(axis=1), 0.0)
-                    names = [languages.names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(names, pa.string()), pa.array(score), pa.array(share)], names=["doc_id", "held_out", "lang_pred", "score", "phrases"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -194,6 +204,13 @@ def identify(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_unidentified(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """The documents, with all their columns, whose language could be told (not ``und``)."""
-    known = identify(documents, doc_id=doc_id, text=text, label=label).where("lang_pred <> 'und'").select(F.col("doc_id").alias("_known"))
-    return documents.join(known, documents[doc_id].eqNullSafe(known["_known"]), "left_semi")
+    """The documents, with all their columns, whose language could be told (not ``und``); whole rows pass through, so
+    each goes by its own text, whatever its id."""
+    model = _model(documents, doc_id, text, label)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [name != "und" for _, _, names, _, _ in _judged(model.value, tk.column(batch.column(0)), SHARPNESS) for name in names]
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(told, pa.bool_()))
+
+    return documents.select(F.col(text).cast("string").alias("_text"), "*").mapInArrow(known, documents.schema)
