@@ -145,16 +145,38 @@ def hash_swap_debias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.read(spark, sf_dir, "documents", "doc_id").select("doc_id", F.array_join(lb.swapped_by_hash(_image(), F.array(F.lit("positive"), F.lit("negative"))), "|").alias("pair"))
 
 
+#: Passages broadcast at once, in bytes of text.
+_BROADCAST_BYTES = 32 << 20
+
+
+def _holding(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id and item_id for each pair of rows where the document's text contains the passage.
+
+    The words of a passage but its first and last are whole words of any text that contains it: the first four of them
+    are its key, the text decides.  Passages of fewer than six words have no key and are sought in all texts.
+    Passages are broadcast in slices of bounded size.
+    """
+    bench = benchmark.where("text is not null").select("item_id", F.col("text").alias("passage")).withColumn("p", F.split("passage", r"\s+"))
+    total = bench.select(F.sum(F.octet_length("passage") + 8)).first()[0] or 0
+    n = int(total // _BROADCAST_BYTES) + 1
+    words = documents.where("text is not null").withColumn("w", F.split("text", r"\s+"))
+    grams = F.when(F.size("w") > 3, F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " ")))
+    keyed = words.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key"))
+    found = None
+    for k in range(n):
+        part = bench.where(F.pmod(F.xxhash64("passage"), F.lit(n)) == k)
+        long = part.where(F.size("p") > 5).select("item_id", "passage", F.array_join(F.slice("p", 2, 4), " ").alias("key"))
+        short = part.where(F.size("p") <= 5).select("item_id", "passage")
+        for pairs in (keyed.join(F.broadcast(long), "key"), documents.join(F.broadcast(short), F.contains("text", F.col("passage")))):
+            pairs = pairs.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+            found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 @plan("SELECT d.doc_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def contamination_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole benchmark passage: candidates share a passage's first four words, the text decides."""
-    key = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 4), " ")
-    bench = fx.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.lower(key(F.col("text"))).alias("key"))
-    words = fx.read(spark, sf_dir, "documents", "doc_id", "text").withColumn("w", F.split(F.lower("text"), r"\s+"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
-    hits = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(bench.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    found = hits.join(fx.read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").join(bench.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Documents that hold a whole benchmark passage, and how many."""
+    return _holding(fx.read(spark, sf_dir, "documents", "doc_id", "text"), fx.read(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def _vector_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,11 +240,7 @@ def eval_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("""SELECT b.item_id % 4 AS bench, count(DISTINCT d.doc_id) AS near, string_agg(DISTINCT CAST(d.doc_id AS VARCHAR), ',' ORDER BY CAST(d.doc_id AS VARCHAR)) AS ids FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1""")
 def overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation set (items by id modulo 4): how many documents hold a passage of it, and which."""
-    key = lambda c: F.lower(F.array_join(F.slice(F.split(c, r"\s+"), 1, 4), " "))
-    bench = fx.read(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("bench"), F.col("text").alias("passage"), key(F.col("text")).alias("key"))
-    words = fx.read(spark, sf_dir, "documents", "doc_id", "text").withColumn("w", F.split(F.lower("text"), r"\s+"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
-    hits = words.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key")).join(bench, "key").where(F.contains("text", F.col("passage")))
+    hits = _holding(fx.read(spark, sf_dir, "documents", "doc_id", "text"), fx.read(spark, sf_dir, "benchmark")).withColumn("bench", F.col("item_id") % 4)
     return hits.groupBy("bench").agg(F.count_distinct("doc_id").alias("near"), F.array_join(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))), ",").alias("ids"))
 
 
