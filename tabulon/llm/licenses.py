@@ -2,9 +2,9 @@
 
 The templates (short passages that identify a licence) are indexed by word: postings (template, position).  A
 word's weight is its inverse document frequency over all scanned documents, counted for the words of
-the templates only, so the table has the size of the templates.  For each document the licence words of the
-highest weight are looked up; a posting votes for (template, document position - template position), and
-places where enough rare words agree are verified: the template's mandatory key phrase must stand there.
+the templates only, so the table has the size of the templates.  All licence words of a document are
+looked up; a posting votes with its word's weight for (template, document position - template position), and
+places where enough weight agrees are verified: the template's mandatory key phrase must stand there.
 
 Base labels come from fixed phrases, found as consecutive words.
 """
@@ -57,8 +57,7 @@ TEMPLATES = {
     "unlicense": [("this is free and unencumbered software released into the public domain", ["free and unencumbered software"])],
 }
 
-#: Licence words looked up per document (those of the highest weight), and the weight that must agree, as a share.
-LOOKED_UP = 64
+#: The weight that must agree, as a share.
 AGREEMENT = 0.5
 
 
@@ -99,13 +98,10 @@ class LicenceIndex:
 
     def match(self, h: np.ndarray, position: np.ndarray, entry: np.ndarray) -> tuple[set[str], float]:
         """Labels of one document's words ``h`` and the best share of a template's weight that agrees in place."""
-        distinct = np.unique(entry)
-        rare = set(distinct[np.lexsort((distinct, -self.weight[distinct]))][:LOOKED_UP].tolist())
         votes: dict[tuple[int, int], float] = defaultdict(float)
         for p, e in zip(position.tolist(), entry.tolist(), strict=True):
-            if e in rare:
-                for t, i in self.postings[e]:
-                    votes[t, p - i] += float(self.weight[e])
+            for t, i in self.postings[e]:
+                votes[t, p - i] += float(self.weight[e])
         labels, best = set(), 0.0
         for (t, shift), weight in votes.items():
             share = min(1.0, weight / self.total[t])
