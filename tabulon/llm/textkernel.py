@@ -2,8 +2,9 @@
 
 Every kernel works on the UTF-8 bytes of whole texts.  A word is a maximal run of
 "word bytes"; a 256-entry table says which bytes these are and to which random 64-bit
-number each byte is mapped (so A-Z can be folded to a-z while hashing).  Word hashes are
-polynomial prefix sums modulo 2**64, which numpy computes for a megabyte of text at once.
+number each byte is mapped (so A-Z can be folded to a-z while hashing).  A word's hash is the sum of a
+non-linear function of each byte's number and its place in the word, so words of a regular make-up don't
+collide as they do in polynomials; prefix sums give it for a megabyte of text at once.
 
 Texts are handled in groups of at most ``GROUP_BYTES``; a longer text is a group of its own and
 is cut at separators into pieces, so working memory is bounded by the longest word and the
@@ -20,8 +21,10 @@ import pyarrow as pa
 
 GROUP_BYTES = 1 << 20
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
+_PLACE = _U(0x9E3779B97F4A7C15)
+_MIX = _U(0xBF58476D1CE4E5B9)
+#: Multipliers of two independent hashes.
+_FACTORS = (_U(0xD6E8FEB86659FD93), _U(0xA24BAED4963EE407))
 
 
 def _random_table(seed: int) -> np.ndarray:
@@ -63,25 +66,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for texts of the usual size only."""
-    if len(_powers[0]) >= n:
-        return _powers[0], _powers[1]
-    size = max(n, GROUP_BYTES + 1)
-    made = []
-    for b in (_BASE, _BASE_INV):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
-        made.append(p)
-    if size <= 4 * GROUP_BYTES:
-        _powers[:] = made
-    return made[0], made[1]
-
-
 @dataclass
 class Column:
     """The bytes of a string column: text i is ``data[offsets[i]:offsets[i + 1]]`` (null: empty)."""
@@ -120,7 +104,8 @@ def column(array: pa.Array) -> Column:
 @dataclass
 class Words:
     """The words of texts ``lo`` to ``hi``: word w has hash ``h[w]`` and bytes ``data[start[w]:end[w]]``
-    of the column; text lo + d has the words ``first[d]:first[d + 1]``."""
+    of the column; text lo + d has the words ``first[d]:first[d + 1]``.  ``h2`` is a second, independent
+    hash where it was asked for, else empty."""
 
     lo: int
     hi: int
@@ -128,17 +113,27 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    h2: np.ndarray
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.first))
 
 
-def _scan(data: np.ndarray, borders: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of all words; no word crosses a border."""
+def placed(number: np.ndarray, place: np.ndarray, which: int = 0) -> np.ndarray:
+    """What a byte of this number adds to the hash at this place (a multiple of ``_PLACE``) of its word."""
+    x = number + place
+    x ^= x >> _U(32)
+    x *= _FACTORS[which]
+    x ^= x >> _U(29)
+    return x
+
+
+def _scan(data: np.ndarray, borders: np.ndarray, alphabet: Alphabet, second: bool) -> tuple[np.ndarray, ...]:
+    """Hash, second hash, start and end of all words; no word crosses a border."""
     n = len(data)
     if n == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = alphabet.is_word[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -149,12 +144,19 @@ def _scan(data: np.ndarray, borders: np.ndarray, alphabet: Alphabet) -> tuple[np
     b = b[b > 0] - 1
     ends[b] = inside[b]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends)
-    power, inverse = _power(n)
-    term = alphabet.number[data]
-    term *= power[:n]
-    first = term[s]
-    np.cumsum(term, out=term)
-    return mix((term[e] - term[s] + first) * inverse[s]), s, e + 1
+    place = np.ones(n, np.int64)
+    if len(s):
+        place[s] = 1 - np.diff(s, prepend=0)
+        place[s[0]] = 1 - s[0]
+    place = np.cumsum(place, out=place).view(np.uint64)
+    place *= _PLACE
+    number, out = alphabet.number[data], []
+    for which in range(1 + second):
+        term = placed(number, place, which)
+        first = term[s]
+        np.cumsum(term, out=term)
+        out.append(mix(term[e] - term[s] + first))
+    return out[0], out[1] if second else np.empty(0, np.uint64), s, e + 1
 
 
 def _pieces(data: np.ndarray, alphabet: Alphabet) -> Iterator[tuple[int, int]]:
@@ -182,29 +184,42 @@ def groups(col: Column, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(col: Column, alphabet: Alphabet, limit: int = GROUP_BYTES) -> Iterator[Words]:
+def words(col: Column, alphabet: Alphabet, limit: int = GROUP_BYTES, *, second: bool = False) -> Iterator[Words]:
     """The words of all texts, a group of texts at a time."""
     for lo, hi in groups(col, limit):
         base, top = col.offsets[lo], col.offsets[hi]
         data = col.data[base:top]
         if len(data) <= 2 * max(limit, GROUP_BYTES):
-            h, s, e = _scan(data, col.offsets[lo:hi] - base, alphabet)
+            h, h2, s, e = _scan(data, col.offsets[lo:hi] - base, alphabet, second)
         else:
-            parts = [[x, y + a, z + a] for a, b in _pieces(data, alphabet) for x, y, z in [_scan(data[a:b], np.zeros(1, np.int64), alphabet)]]
-            h, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
-        yield Words(lo, hi, h, s + base, e + base, np.searchsorted(s, col.offsets[lo : hi + 1] - base))
+            parts = [[x, x2, y + a, z + a] for a, b in _pieces(data, alphabet) for x, x2, y, z in [_scan(data[a:b], np.zeros(1, np.int64), alphabet, second)]]
+            h, h2, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield Words(lo, hi, h, s + base, e + base, np.searchsorted(s, col.offsets[lo : hi + 1] - base), h2)
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two neighbouring stretches from the hashes of both; not linear, and the order counts."""
+    out = left * _MIX
+    out ^= out >> _U(32)
+    out += right
+    out *= _FACTORS[0]
+    out ^= out >> _U(29)
+    return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive entries (those at the end, without k entries, are left out)."""
+    """A hash of each k consecutive entries (those at the end, without k entries, are left out), by doubling."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = h[:n].copy()
-    for j in range(1, k):
-        out *= _U(0xBF58476D1CE4E5B9)
-        out += h[j : n + j]
-    return mix(out + _U(k))
+    out, have, power, size = None, 0, h, 1
+    while True:
+        if k & size:
+            out = power if out is None else joined(out[: len(h) - have - size + 1], power[have:])
+            have += size
+        if have == k:
+            return mix(out[:n] + _U(k))
+        power, size = joined(power[:-size], power[size:]), 2 * size
 
 
 def gram_starts(first: np.ndarray, k: int) -> np.ndarray:

@@ -161,3 +161,25 @@ def test_decontamination_without_items_and_removal(spark):
     one = spark.createDataFrame([(1, "secret phrase here")], "item_id long, text string")
     left = decontaminate.without_benchmark(table(spark, [(1, "the Secret, phrase here"), (2, "secret phrase"), (3, None)]), one)
     assert {r["doc_id"] for r in rows_of(left)} == {2, 3} and left.columns == table(spark, []).columns
+
+
+def test_word_hash_tells_regular_words_apart():
+    import pyarrow as pa
+
+    from tabulon.llm import textkernel as tk
+
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    words = [w for n in (64, 1024, 2048, 4096) for w in (thue[:n], thue[:n].translate(str.maketrans("ab", "ba")))]
+    for second in (False, True):
+        found = next(tk.words(tk.column(pa.array([" ".join(words)])), tk.SPACED, second=second))
+        assert len(set(found.h.tolist())) == len(words) and len(set(found.h2.tolist())) == len(words) * second
+    h = found.h
+    two = [h[0] if c == "a" else h[1] for c in thue[:1024]]
+    other = [h[1] if c == "a" else h[0] for c in thue[:1024]]
+    import numpy as np
+
+    assert tk.grams(np.array(two), 1024)[0] != tk.grams(np.array(other), 1024)[0]
+    rows = np.arange(30, dtype=np.uint64)
+    assert all(len(set(tk.grams(rows % np.uint64(7), k).tolist())) == min(7, 31 - k) for k in (1, 2, 3, 5, 10, 20, 29))
