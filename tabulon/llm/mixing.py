@@ -1,17 +1,22 @@
-"""Language-model scores: logistic context mixing of bits, and a smoothed unigram base.
-
-The mixing model predicts a text byte by byte (A-Z folded, a zero byte ends it), and each byte bit by bit along
-a Huffman code.  For each bit, hashed contexts of several orders give counts of ones and zeros, hence a
-prediction each; their logits are summed with weights that a gate selects (the node of the code and
-how often the longest context was seen); the sum is refined by an adaptive table of (node, quantised
-logit).  A text's score is the log10 of the product of all predictions, and bits per byte follow from it.
-
-The counts are gathered from all training documents, as sums of fixed-size tables by slice.  The code, the
-weights (online gradient steps) and the refinement are fitted on a bounded sample, where a bit's own occurrence is
-taken out of the counts first.  All three are then held fixed, so a score doesn't depend on partitions.
-
-The base needs the count of each word over all training documents.  Words go to cells by hash, which return
-sums per document; words that many texts of a block share go as one entry per block.
+"""Language-model scores: online logistic context mixing of bits, and a smoothed unigram base.
+
+A text (A-Z folded) is a sequence of units: the words, each followed by a terminator, and the gaps between them,
+each of which knows the byte before it.  The bytes of a unit are predicted bit by bit along a fixed binary code.
+For each bit, several contexts predict: the last two, three and five bytes of the unit and, as word
+context, all of the unit so far.  The counts of zeros and ones that followed a context give a logit each; the logits
+are summed with weights that a gate selects (how often the word context and the context of five bytes were seen),
+and the sum is refined by an adaptive table of (gate, quantised logit).  Within a document a cache of its
+own words is mixed in, whose share adapts online from the same start for every document.  A text's score is the
+log10 of the product of all predictions; bits per byte follow from it.
+
+What the model knows grows with the corpus, and nothing is sampled.  Documents are dealt into blocks of about
+``BLOCK_BYTES``.  A block sends the counts of its distinct contexts to cells (ranges of the context's hash), which
+sum them over all training documents and return to each block the counts of the contexts that it
+holds: neither the driver nor any task ever has all of them.  Weights and refinement are learnt online in every block, on
+all of its training documents, and averaged over the blocks in the same way.  A bit of a training document is
+predicted without its own occurrence.
+
+The base needs the count of each word over all training documents, which is that of its terminator.
 """
 
 from __future__ import annotations
@@ -22,186 +27,375 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange as ex
 from . import textkernel as tk
 
-#: (bytes of context, bits of the table) of each predictor.
-PREDICTORS = ((2, 18), (4, 20), (6, 20))
-#: Training documents, and bytes of them, on which code, weights and refinement are fitted.
-SAMPLE_DOCS, SAMPLE_BYTES = 300, 600_000
-STEP_BITS, RATE, PASSES = 2048, 0.02, 3
-LEVELS, SPREAD = 48, 12.0
-#: Slices in which the count tables are summed.
-SLICES = 64
-#: Words of a block that more than this many of its documents have go as one entry.
-FREQUENT = 8
-BLOCK_BYTES = 4 << 20
-#: Bytes whose bits are predicted at once.
-PART_BYTES = 2 << 20
+#: Bytes of text whose contexts are gathered and looked up together.
+BLOCK_BYTES = 16 << 20
+#: Bytes of context of the predictors beside the word context.
+ORDERS = (2, 3, 5)
+#: Bytes that UTF-8 never has: the end of a word, of a gap and of the text, the head of a gap, and the start of the text.
+WORD_END, GAP_END, TEXT_END, GAP, START = 0xF8, 0xF9, 0xFA, 0xFB, 0xFC
+#: Levels of confidence (powers of two) in the word context and (powers of four) in the longest other one; each pair is a gate.
+LEVELS, COARSE = 16, 4
+GATES = LEVELS * COARSE
+#: Levels of the refinement, and the logits they span.
+CELLS, SPREAD = 32, 10.0
+#: Bits of a step of learning, and how firmly weights hold to their start.
+STEP, HOLD = 8192, 20.0
+FIRST = 0.3
+#: Added to counts of zeros and ones.
+PRIOR = 0.15
+#: The document cache: tokens between two updates, their rate, and the logit of its share at the start.
+CHUNK, CACHE_RATE, CACHE_START = 32, 0.05, -4.0
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_U = np.uint64
+_PLACE, _SALT = _U(0x9E3779B97F4A7C15), _U(0xE7037ED1A0B428DB)
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte the nodes and bits of its code, and the code's length."""
-    heap = [(float(c) + 0.5, i, i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
-    fresh = 256
-    while len(heap) > 1:
-        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x], parent[y] = (fresh, 0), (fresh, 1)
-        heapq.heappush(heap, (a + b, fresh, fresh))
-        fresh += 1
-    paths = []
-    for i in range(256):
-        path, at = [], i
-        while at in parent:
-            path.append(parent[at])
-            at = parent[at][0]
-        paths.append(path[::-1])
-    longest = max(map(len, paths))
-    node, bit = np.zeros((longest, 256), np.int64), np.zeros((longest, 256), np.int8)
-    for i, path in enumerate(paths):
-        for d, (n, b) in enumerate(path):
-            node[d, i], bit[d, i] = n - 256, b
-    return node, bit, np.array([len(p) for p in paths])
-
-
-def with_ends(col: tk.Column, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes of some texts, each followed by a zero byte, and where each begins."""
-    offs = col.offsets[lo : hi + 1] - col.offsets[lo]
-    size = np.diff(offs)
-    first = np.concatenate([[0], np.cumsum(size + 1)])
-    out = np.zeros(int(first[-1]), np.uint8)
-    keep = np.ones(len(out), bool)
-    keep[first[1:] - 1] = False
-    out[keep] = _FOLD[col.data[col.offsets[lo] : col.offsets[hi]]]
-    return out, first
-
-
-def contexts(data: np.ndarray, ahead: np.ndarray) -> list[np.ndarray]:
-    """For each predictor, a hash of the bytes before each position; ``ahead`` says how many the text has there."""
-    wide, out = data.astype(np.uint64), []
-    h, order = np.zeros(len(data), np.uint64), 0
-    for length, _ in PREDICTORS:
-        while order < length:
-            order += 1
-            before = np.zeros(len(data), np.uint64)
-            before[order:] = wide[: max(len(data) - order, 0)] + np.uint64(1)
-            before[ahead < order] = 0
-            h = (h + before) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        out.append((h >> np.uint64(32)).astype(np.uint32))
-    return out
-
-
-def _parts(data: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Ranges [a, b) of at most ``PART_BYTES`` bytes, and how many bytes of its text lie ahead of each position; a long text
-    is so worked off in parts, whose contexts still reach back into the part before."""
-    for a in range(0, len(data), PART_BYTES):
-        b = min(len(data), a + PART_BYTES)
-        at = np.arange(a, b)
-        yield a, b, at - first[np.searchsorted(first, at, "right") - 1]
+def _assumed() -> np.ndarray:
+    """Rough shares of bytes, which shape the code; what is really coded decides on costs, not on right or wrong."""
+    w = np.full(256, 0.02)
+    w[0x80:0xC0], w[0xC2:0xE0], w[0xE0:0xF0] = 0.3, 0.2, 0.1
+    w[0x21:0x40], w[0x30:0x3A] = 0.1, 0.4
+    w[[0x2C, 0x2E]] = 1.0
+    for rank, c in enumerate(b"etaoinshrdlucmfwypvbgkjqxz"):
+        w[c] = 10.0 / (1 + 0.25 * rank)
+    w[[0x20, 0x0A, TEXT_END]] = 15.0, 1.0, 0.5
+    w[[WORD_END, GAP_END]] = 16.0, 16.0
+    return w
 
 
 class Code:
-    def __init__(self, counts: np.ndarray) -> None:
-        self.node, self.bit, self.length = huffman(counts)
-        self.salt = (((self.node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
-
-    def bits(self, data: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """Part by part and level by level of the code: positions, nodes, bits, and each predictor's slots."""
-        for a, b, ahead in _parts(data, first):
-            lead = min(a, PREDICTORS[-1][0])
-            hashes = [h[lead:] for h in contexts(data[a - lead : b], np.concatenate([np.zeros(lead, np.int64), ahead]))]
-            yield from self._levels(data[a:b], a, hashes)
-
-    def _levels(self, data: np.ndarray, start: int, hashes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        at = np.arange(len(data))
-        for d in range(len(self.node)):
-            if d:
-                at = at[self.length[data[at]] > d]
+    """A binary code of all bytes.  Bytes are called by their rank among the leaves; ``middle[d][r]`` is the first leaf of the
+    right branch at depth d on the way to leaf r, ``length[r]`` the depth of the leaf."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        heap = [(float(w), i, [i]) for i, w in enumerate(weights)]
+        depth, cuts = {}, []
+        heapq.heapify(heap)
+        fresh, tree = 256, {}
+        while len(heap) > 1:
+            (a, x, left), (b, y, right) = heapq.heappop(heap), heapq.heappop(heap)
+            tree[fresh] = (x, y, len(left), len(right))
+            heapq.heappush(heap, (a + b, fresh, left + right))
+            fresh += 1
+        leaves = heap[0][2]
+        self.rank = np.empty(256, np.uint8)
+        self.rank[leaves] = np.arange(256)
+        stack = [(heap[0][1], 0, 0)]
+        while stack:
+            node, begin, d = stack.pop()
+            if node < 256:
+                depth[begin] = d
+                continue
+            x, y, n, m = tree[node]
+            cuts.append((d, begin, begin + n + m, begin + n))
+            stack += [(x, begin, d + 1), (y, begin + n, d + 1)]
+        self.length = np.array([depth[r] for r in range(256)])
+        self.middle = np.zeros((int(self.length.max()), 256), np.int64)
+        for d, begin, end, middle in cuts:
+            self.middle[d, begin:end] = middle
+
+
+CODE = Code(_assumed())
+_END = int(CODE.rank[WORD_END])
+
+
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all stretches, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _ranked(h: np.ndarray, low: int = 0) -> np.ndarray:
+    """Places of the entries in the order of their values.  Sorting is far cheaper than sorting places, so the upper bits
+    of a value (and its ``low`` lowest ones) are sorted with its place as one number; the few stretches that this leaves
+    undecided are sorted afterwards."""
+    bits = int(len(h)).bit_length()
+    wide = max(int(h.max(initial=0)).bit_length(), 1)
+    upper = h << _U(64 - wide) >> _U(bits + low) << _U(bits + low)
+    if low:
+        upper |= (h & _U((1 << low) - 1)) << _U(bits)
+    order = np.sort(upper | np.arange(len(h), dtype=np.uint64))
+    group = order >> _U(bits + low)
+    order &= _U((1 << bits) - 1)
+    order = order.view(np.int64)
+    if wide + bits > 64:
+        s = h[order]
+        head = np.ones(len(s), bool)
+        head[1:] = group[1:] != group[:-1]
+        mixed = s >> _U(low) != (s >> _U(low))[np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))]
+        if mixed.any():
+            wrong = np.flatnonzero(np.isin(group, group[mixed]))
+            order[wrong] = order[wrong[np.lexsort((wrong, s[wrong]))]]
+    return order
+
+
+def _named(h: np.ndarray, low: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, sorted, an occurrence of each, and which value each entry has."""
+    h = h.view(np.uint64)
+    order = _ranked(h, low)
+    s = h[order]
+    head = np.ones(len(s), bool)
+    head[1:] = s[1:] != s[:-1]
+    which = np.empty(len(s), np.int64)
+    which[order] = np.cumsum(head) - 1
+    return s[head], order[head], which
+
+
+class Block:
+    """The texts of a block as units, and the distinct (context, byte) pairs of these.
+
+    ``token`` and ``gap`` say which unit each word and gap is; unit u has the ``steps[unit[u]:unit[u + 1]]``, which are
+    rows of the table of edges: (word context, byte).  For each predictor k, ``contexts[k]`` are its distinct contexts, sorted,
+    ``pairs[k]`` the distinct (place of the context * 256 + byte's rank), ``count[k]`` their occurrences in training
+    documents, and ``pair_of[k]`` the pair of each edge.
+    """
+
+    def __init__(self, col: tk.Column, held: np.ndarray) -> None:
+        found = list(tk.words(col, tk.SPACED_FOLDED, 4 * tk.GROUP_BYTES))
+        h, start, end, doc = (np.concatenate(x) if found else np.empty(0, t) for x, t in (([w.h for w in found], np.uint64), ([w.start for w in found], int), ([w.end for w in found], int), ([w.doc + w.lo for w in found], int)))
+        n, data = len(held), col.data
+        self.doc, self.size = doc, np.bincount(doc, minlength=n)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        learnt = ~held
+        # Gap i + d comes before word i of all, in text d; text d's last one ends the text.
+        before, last = np.arange(len(h)) + doc, self.first[1:] + np.arange(n)
+        begin, stop = np.empty(len(h) + n, int), np.empty(len(h) + n, int)
+        begin[self.first[:-1] + np.arange(n)], begin[before + 1] = col.offsets[:-1], end
+        stop[before], stop[last] = start, col.offsets[1:]
+        self.gap_doc = np.repeat(np.arange(n), self.size + 1)
+        ends = np.zeros(len(begin), bool)
+        ends[last] = True
+        prior = np.full(len(begin), START, np.uint8)
+        prior[before + 1] = _FOLD[data[end - 1]]
+        size = stop - begin
+        # A gap of one byte or none is named by this, what came before, and whether it ends the text.
+        short = np.where(size > 0, data[np.minimum(begin, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.int64)
+        key = short | prior.astype(np.int64) << 8 | ends.astype(np.int64) << 16 | (size > 0).astype(np.int64) << 17
+        long = np.flatnonzero(size > 1)
+        if len(long):
+            at = _flat(begin[long], size[long])
+            place = _flat(np.ones(len(long), int), size[long]).astype(np.uint64) * _PLACE
+            whole = np.add.reduceat(tk.placed(tk.SPACED.number[data[at]], place), np.concatenate([[0], np.cumsum(size[long])[:-1]]))
+            _, _, named = _named(tk.mix(whole + key[long].astype(np.uint64) * _SALT))
+            key[long] = named + (1 << 18)
+        used = np.flatnonzero(np.bincount(key))
+        name = np.zeros(int(used[-1]) + 1 if len(used) else 0, int)
+        name[used] = np.arange(len(used))
+        self.gap, gap = name[key], np.empty(len(used), int)
+        gap[self.gap] = np.arange(len(key))
+        _, word, self.token = _named(h)
+        self.n_words = len(word)
+        self.gap = self.gap + len(word)
+        weight, unseen = (np.concatenate([np.bincount(self.token, x[doc], len(word)), np.bincount(self.gap - len(word), x[self.gap_doc], len(gap))]).astype(np.int64) for x in (learnt, held))
+        # The bytes of the units: words with their end, gaps with a head that says what came before.
+        inner = np.concatenate([end[word] - start[word], size[gap]])
+        head = np.concatenate([np.zeros(len(word), int), np.full(len(gap), 2)])
+        self.unit = np.concatenate([[0], np.cumsum(head + inner + 1)])
+        raw = np.empty(int(self.unit[-1]), np.uint8)
+        raw[_flat(self.unit[:-1] + head, inner)] = _FOLD[data[_flat(np.concatenate([start[word], begin[gap]]), inner)]]
+        raw[self.unit[1 : len(word) + 1] - 1] = WORD_END
+        raw[self.unit[len(word) + 1 :] - 1] = np.where(ends[gap], TEXT_END, GAP_END)
+        raw[self.unit[len(word) : -1]], raw[self.unit[len(word) : -1] + 1] = GAP, prior[gap]
+        owner = np.repeat(np.arange(len(inner)), np.diff(self.unit))
+        rel = np.arange(len(raw)) - self.unit[owner]
+        coded = rel >= head[owner]
+        term = tk.placed(tk.SPACED.number[raw], (rel + 1).astype(np.uint64) * _PLACE)
+        so_far = np.cumsum(term) - term
+        whole = tk.mix(so_far - so_far[self.unit[owner]])
+        rank = CODE.rank[raw]
+        key, edge, which = _named(whole[coded] & ~_U(255) | rank[coded], 8)
+        edge = np.flatnonzero(coded)[edge]
+        self.steps = np.full(len(raw), len(edge))
+        self.steps[coded] = which
+        self.rank = rank[edge].astype(np.int64)
+        self.weight, self.held = (np.bincount(which, w[owner[coded]], len(edge)).astype(np.int64) for w in (weight, unseen))
+        context = key >> _U(8)
+        head = np.ones(len(key), bool)
+        head[1:] = context[1:] != context[:-1]
+        self.contexts, self.pairs, self.count, self.pair_of = [context[head] << _U(8)], [(np.cumsum(head) - 1) * 256 + self.rank], [self.weight], [slice(None)]
+        # Shorter contexts are the bytes themselves, nine bits each, not a hash; each follows from the next longer one.
+        packed = np.zeros(len(edge), np.uint64)
+        for k in range(1, max(ORDERS) + 1):
+            packed |= np.where(rel[edge] >= k, raw[np.maximum(edge - k, 0)].astype(np.uint64) + _U(1), _U(0)) << _U(9 * (k - 1))
+        last, count, found = packed << _U(8) | self.rank.astype(np.uint64), self.weight, []
+        pair_of = None
+        for k in sorted(ORDERS, reverse=True):
+            last, _, which = _named(last & _U((1 << (9 * k + 8)) - 1))
+            count = np.bincount(which, count, len(last)).astype(np.int64)
+            pair_of = which if pair_of is None else which[pair_of]
+            # Contexts are spread over the cells by a hash that is one to one.
+            spread = tk.mix(last >> _U(8) | _U(k << 58))
+            contexts, _, where = _named(spread)
+            pairs = where * 256 + (last & _U(255)).astype(np.int64)
+            order = np.argsort(pairs)
+            to = np.empty(len(order), np.int64)
+            to[order] = np.arange(len(order))
+            found.append((contexts, pairs[order], count[order], to[pair_of]))
+        for contexts, pairs, n, of in reversed(found):
+            self.contexts.append(contexts)
+            self.pairs.append(pairs)
+            self.count.append(n)
+            self.pair_of.append(of)
+
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(context, byte) pairs with their counts, as far as this block knows."""
+        return list(zip(self.pairs, self.count, strict=True))
+
+    def bits(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, ...]]]]:
+        """Level by level of the code: edges, and for each predictor the counts of zeros and ones, the bits, and where the edges'
+        own are.  The word context has a pair for each edge, so its arrays are those of the edges."""
+        walks = [_walk(pairs, *table, k == 0) for k, (pairs, table) in enumerate(zip(self.pairs, tables, strict=True))]
+        length = CODE.length[self.rank]
+        for d, found in enumerate(zip(*walks, strict=False)):
+            at = np.flatnonzero(length > d)
             if not len(at):
                 return
-            byte = data[at]
-            salt = self.salt[d][byte]
-            slots = [((h[at] if d else h) ^ salt) * np.uint32(0x9E3779B1) >> np.uint32(32 - width) for h, (_, width) in zip(hashes, PREDICTORS, strict=True)]
-            yield start + at, self.node[d][byte], self.bit[d][byte], slots
-
-
-SLOTS = sum(1 << width for _, width in PREDICTORS)
-_FROM = np.cumsum([0, *(1 << width for _, width in PREDICTORS)])
-
-
-def _logit(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -8, 8)
-
-
-def _confidence(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(n + 1).astype(np.int64), 3)
+            yield at, [(*f, of[at] if k else np.arange(len(at))) for k, (f, of) in enumerate(zip(found, self.pair_of, strict=True))]
+
+
+def _inputs(found: list[tuple[np.ndarray, ...]], some: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gates and logits of some edges; ``own`` occurrences of the bit itself are left out of the counts."""
+    logits, seen = np.empty((len(found), len(some)), np.float32), []
+    for k, (zeros, ones, bit, of) in enumerate(found):
+        where = of[some]
+        if k == 0:
+            zeros, ones, bit, where = zeros[some], ones[some], bit[some], slice(None)
+        if own:
+            zeros, ones = np.maximum(zeros - ~bit, 0), np.maximum(ones - bit, 0)
+        logits[k] = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))[where]
+        if k in (0, len(found) - 1):
+            seen.append(np.frexp(zeros + ones + 1)[1][where] - 1)
+    return np.minimum(seen[0], LEVELS - 1) * COARSE + np.minimum((seen[1] + 1) // 2, COARSE - 1), logits
+
+
+def _walk(pairs: np.ndarray, key: np.ndarray, count: np.ndarray, compact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each pair (context * 256 + byte's rank), level by level of the code: how often the context was followed by
+    the left and the right branch, and whether this byte is in the right one.  With ``compact`` the pairs whose code
+    has ended are left out, else their entries mean nothing."""
+    total = np.concatenate([[0], np.cumsum(count)])
+    base, rank = pairs & ~np.int64(255), pairs & 255
+    low, high = np.searchsorted(key, base), np.searchsorted(key, base + 256)
+    for d in range(len(CODE.middle)):
+        keep = CODE.length[rank] > d
+        if compact and not keep.all():
+            base, rank, low, high = base[keep], rank[keep], low[keep], high[keep]
+        middle, cut = CODE.middle[d][rank], low.copy()
+        if compact:
+            # Most word contexts have one successor, which lies on one side or the other.
+            alone = high - low == 1
+            cut += alone & ((key[np.minimum(low, max(len(key) - 1, 0))] & 255) < middle) if len(key) else 0
+            keep = np.flatnonzero(high - low > 1)
+        cut[keep] = np.searchsorted(key, (base + middle)[keep])
+        bit = rank >= middle
+        yield (total[cut] - total[low]).astype(np.float32), (total[high] - total[cut]).astype(np.float32), bit
+        low, high = np.where(bit, cut, low), np.where(bit, high, cut)
+
+
+def _cell(total: np.ndarray) -> np.ndarray:
+    return np.clip((total + SPREAD) * (CELLS / (2 * SPREAD)), 0, CELLS - 1).astype(np.int64)
+
+
+#: Per gate: the sum of weights times bits, the bits, and ones and bits of the refinement's cells.
+FIT = len(ORDERS) + 2 + 2 * CELLS
+
+
+def learn(block: Block) -> np.ndarray:
+    """Online learning of weights and refinement on a block's training documents, as sums (see ``FIT``).  Edges come in the
+    order of a hash; each step takes the next ones of every level of the code."""
+    levels, k = [], len(ORDERS) + 1
+    for at, found in block.bits(block.tables()):
+        some = np.flatnonzero(block.weight[at])
+        levels.append((*_inputs(found, some, 1), found[0][2][some], block.weight[at][some]))
+    out, weight = np.zeros((GATES, FIT), np.int64), np.full((GATES, k), FIRST)
+    bend = np.tile(HOLD * np.eye(k), (GATES, 1, 1))
+    n_steps = max(1, sum(len(x[2]) for x in levels) // STEP)
+    cuts = [np.linspace(0, len(x[2]), n_steps + 1).astype(int).tolist() for x in levels]
+    for step in range(n_steps if levels else 0):
+        rows = [tuple(x[..., own[step] : own[step + 1]] for x in level) for level, own in zip(levels, cuts, strict=True)]
+        gate, x, bit, n = (np.concatenate(p, axis=-1) for p in zip(*rows, strict=True))
+        p = 1 / (1 + np.exp(-np.clip((weight[gate].T * x).sum(axis=0), -12, 12)))
+        error, firm = n * (bit - p), n * p * (1 - p)
+        slope = np.stack([np.bincount(gate, error * x[j], GATES) for j in range(k)], axis=1)
+        for j in range(k):
+            for i in range(j + 1):
+                bend[:, i, j] = bend[:, j, i] = bend[:, i, j] + np.bincount(gate, firm * x[i] * x[j], GATES)
+        # An online Newton step: what was learnt so far counts by how much was seen.
+        weight += np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+    for gate, x, bit, n in levels:
+        total = (weight[gate].T * x).sum(axis=0)
+        cell = gate * CELLS + _cell(total)
+        out[:, k] += np.bincount(gate, n, GATES).astype(np.int64)
+        out[:, -2 * CELLS : -CELLS] += np.bincount(cell, n * bit, GATES * CELLS).reshape(GATES, CELLS).astype(np.int64)
+        out[:, -CELLS:] += np.bincount(cell, n, GATES * CELLS).reshape(GATES, CELLS).astype(np.int64)
+    out[:, :k] = np.rint(weight * out[:, k, None] * 1024.0)
+    return out
 
 
 class Mixer:
-    """The fitted model: logits of all slots, gated weights, and log2 probabilities of the refinement."""
-
-    def __init__(self, code: Code, counts: np.ndarray) -> None:
-        self.code, ones, zeros = code, counts[1::2].astype(np.float64), counts[0::2].astype(np.float64)
-        self.logit = _logit(ones, zeros).astype(np.float32)
-        self.seen = _confidence(ones + zeros)[_FROM[-2] :].astype(np.uint8)
-        self.weight = np.full((256 * 4, len(PREDICTORS)), 0.4, np.float64)
-
-    def fit(self, data: np.ndarray, first: np.ndarray, counts: np.ndarray) -> Mixer:
-        parts = []
-        for at, node, bit, slots in self.code.bits(data, first):
-            stretched = []
-            for k, s in enumerate(slots):
-                at_k = 2 * (_FROM[k] + s.astype(np.int64))
-                own = counts[at_k + 1].astype(float), counts[at_k].astype(float)
-                # The sample is part of the training documents: without this occurrence.
-                ones, zeros = np.maximum(own[0] - (bit == 1), 0), np.maximum(own[1] - (bit == 0), 0)
-                stretched.append(_logit(ones, zeros).astype(np.float32))
-            gate = (node * 4 + _confidence(ones + zeros)).astype(np.int32)
-            parts.append((at.astype(np.int32), gate, node.astype(np.int32), bit, np.stack(stretched, axis=1)))
-        order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
-        gate, node, bit, x = (np.concatenate([p[i] for p in parts])[order] for i in range(1, 5))
-        del parts
-        for _ in range(PASSES):
-            for a in range(0, len(bit), STEP_BITS):
-                g, s = gate[a : a + STEP_BITS], x[a : a + STEP_BITS]
-                error = bit[a : a + STEP_BITS] - 1 / (1 + np.exp(-(self.weight[g] * s).sum(axis=1)))
-                # One online step per gate: its mean gradient, and no more than a full step for many bits.
-                n = np.bincount(g, minlength=len(self.weight))
-                step = np.stack([np.bincount(g, error * s[:, k], len(self.weight)) for k in range(x.shape[1])], axis=1)
-                self.weight += RATE * step / np.sqrt(np.maximum(n, 1))[:, None]
-        level = self._level(sum(self.weight[gate, k] * x[:, k] for k in range(x.shape[1])))
-        cell = node * LEVELS + level
-        ones, n = np.bincount(cell, bit, 256 * LEVELS), np.bincount(cell, minlength=256 * LEVELS)
-        centre = 1 / (1 + np.exp(-((np.arange(LEVELS) + 0.5) / LEVELS * 2 * SPREAD - SPREAD)))
-        p = (ones + 16 * np.tile(centre, 256)) / (n + 16)
-        self.cost = np.log2(np.stack([1 - p, p], axis=1)).ravel().astype(np.float32)
-        self.weight = self.weight.astype(np.float32)
-        return self
-
-    @staticmethod
-    def _level(total: np.ndarray) -> np.ndarray:
-        return np.clip((total + SPREAD) * (LEVELS / (2 * SPREAD)), 0, LEVELS - 1).astype(np.int64)
-
-    def log2(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each text, its end included."""
-        cost, weights = np.zeros(len(data)), [np.ascontiguousarray(self.weight[:, k]) for k in range(len(PREDICTORS))]
-        for at, node, bit, slots in self.code.bits(data, first):
-            gate = node * 4 + self.seen[slots[-1]]
-            total = np.zeros(len(at), np.float32)
-            for k, s in enumerate(slots):
-                total += weights[k][gate] * self.logit[_FROM[k] : _FROM[k + 1]][s]
-            cost[at] += self.cost[2 * (node * LEVELS + self._level(total)) + bit]
-        sums = np.concatenate([[0.0], np.cumsum(cost)])
-        return sums[first[1:]] - sums[first[:-1]]
+    """Gated weights and refinement, averaged over what the blocks learnt."""
+
+    def __init__(self, fit: np.ndarray) -> None:
+        k = len(ORDERS) + 1
+        seen = fit[:, k]
+        self.weight = np.where(seen[:, None] > 0, fit[:, :k] / 1024 / np.maximum(seen, 1)[:, None], FIRST).astype(np.float32)
+        ones, n = fit[:, -2 * CELLS : -CELLS], fit[:, -CELLS:]
+        centre = 1 / (1 + np.exp(-((np.arange(CELLS) + 0.5) / CELLS * 2 * SPREAD - SPREAD)))
+        self.refined = ((ones + 32 * centre) / (n + 32)).astype(np.float32).ravel()
+
+    def edges(self, block: Block, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log2 of the probability of each edge's byte, and a zero for bytes that aren't coded: as held-out and as training
+        documents have it."""
+        out = np.zeros((2, len(block.rank) + 1))
+        for at, found in block.bits(tables):
+            for own, used in enumerate((block.held, block.weight)):
+                some = np.flatnonzero(used[at])
+                gate, logits = _inputs(found, some, own)
+                total = np.zeros(len(some), np.float32)
+                for k, x in enumerate(logits):
+                    total += self.weight[:, k][gate] * x
+                p = (1 / (1 + np.exp(-np.clip(total, -12, 12))) + self.refined[gate * CELLS + _cell(total)]) / 2
+                p = np.clip(p, np.float32(2**-14), np.float32(1 - 2**-14))
+                out[own, at[some]] += np.log2(np.where(found[0][2][some], p, 1 - p))
+        return out
+
+    def texts(self, block: Block, tables: list[tuple[np.ndarray, np.ndarray]], held: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each text."""
+        by_unit = [np.add.reduceat(x[block.steps], block.unit[:-1]) if len(block.steps) else np.zeros(0) for x in self.edges(block, tables)]
+        gap, word = (np.where(held[doc], by_unit[0][unit], by_unit[1][unit]) for doc, unit in ((block.gap_doc, block.gap), (block.doc, block.token)))
+        return np.bincount(block.gap_doc, gap, len(held)) + cached(word, block.token, block.doc, block.first)
+
+
+def cached(model: np.ndarray, token: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each text's words, when a cache of the document's own words is mixed in.  All documents of the
+    block go on in step, ``CHUNK`` words at a time; each one's share of the cache starts at the same value."""
+    order = _ranked((doc * (int(token.max(initial=0)) + 1) + token).view(np.uint64))
+    same = np.zeros(len(token), bool)
+    same[1:] = (token[order][1:] == token[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    run = np.arange(len(token))
+    lead = np.maximum.accumulate(np.where(same, 0, run))
+    before = np.empty(len(token), np.int64)
+    before[order] = run - lead
+    cache = before / np.maximum(np.arange(len(token)) - first[doc], 1)
+    size = np.diff(first)
+    longest = np.argsort(-size, kind="stable")
+    state, out = np.full(len(size), CACHE_START), np.zeros(len(size))
+    for a in range(0, int(size.max(initial=0)), CHUNK):
+        rows = longest[: int(np.searchsorted(-size[longest], -a, "left"))]
+        at = first[rows][:, None] + a + np.arange(CHUNK)
+        real = at < first[rows + 1][:, None]
+        at = np.minimum(at, len(token) - 1)
+        share = 1 / (1 + np.exp(-state[rows]))[:, None]
+        own, other = share * cache[at], (1 - share) * np.exp2(model[at])
+        # Bayes: how far the cache is responsible for what came; tiny products of very long words stay in the log.
+        out[rows] += np.where(real, np.where(own > 0, np.log2(np.maximum(own + other, 1e-300)), np.log2(1 - share) + model[at]), 0).sum(axis=1)
+        responsible = own / np.maximum(own + other, 1e-300)
+        state[rows] += CACHE_RATE * np.where(real, responsible - share, 0).sum(axis=1)
+    return out
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -209,174 +403,128 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def gather_counts(training: DataFrame, code: Code) -> np.ndarray:
-    """Counts of zeros and ones of all slots, over all training documents (column ``text``)."""
-    shared = training.sparkSession.sparkContext.broadcast(code)
-    size = -(-2 * SLOTS // SLICES)
-
-    def count(total: np.ndarray, levels: list[list[np.ndarray]]) -> None:
-        for k, found in enumerate(zip(*levels, strict=True)):
-            part = total[2 * _FROM[k] : 2 * _FROM[k + 1]]
-            part += np.bincount(np.concatenate(found), minlength=len(part))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SLOTS, np.int64)
-        for batch in batches:
-            col = tk.column(batch.column(0))
-            for lo, hi in tk.groups(col):
-                data, first = with_ends(col, lo, hi)
-                levels: list[list[np.ndarray]] = []
-                for _, _, bit, slots in shared.value.bits(data, first):
-                    levels.append([2 * s.astype(np.int32) + bit for s in slots])
-                    if sum(len(x[0]) for x in levels) > 8 * PART_BYTES:
-                        count(total, levels)
-                        levels = []
-                count(total, levels)
-        for i in range(SLICES):
-            own = total[i * size : (i + 1) * size]
-            some = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([some.astype("<i4").tobytes()]), pa.array([own[some].astype("<i8").tobytes()])], names=["slice", "at", "n"])
-
-    def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in tables:
-            for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                total[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()])], names=["slice", "n"])
-
-    rows = training.select("text").mapInArrow(scan, "slice int, at binary, n binary").groupBy("slice").applyInArrow(add, "slice int, n binary").collect()
-    out = np.zeros(SLICES * size, np.int64)
-    for r in rows:
-        out[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.n, "<i8")
-    return out[: 2 * SLOTS]
+def _parsed(t: pa.Table) -> tuple[Block, np.ndarray]:
+    held = t.column("held_out").to_numpy().astype(bool)
+    return Block(tk.column(t.column("text")), held), held
+
+
+def _cell_bounds(contexts: np.ndarray, n: int) -> np.ndarray:
+    """Contexts are dealt to n cells by ranges of their upper 32 bits: where each cell's begin in a sorted list."""
+    cell = (contexts >> _U(32)) * _U(n) >> _U(32)
+    return np.searchsorted(cell, np.arange(n + 1).astype(np.uint64))
 
 
-def learn(docs: DataFrame) -> Mixer:
-    """The model of documents (doc_id, text, held_out)."""
-    training = docs.where(~F.col("held_out"))
-    rows = training.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
-    texts, room = [], SAMPLE_BYTES
+_SENT = "cell int, block int, sizes binary, contexts binary, n binary, rank binary, count binary, fit binary"
+_BACK = "block int, cell int, sizes binary, n binary, rank binary, count binary, fit binary, tokens long, kinds long"
+
+
+def _send(n: int):
+    def send(t: pa.Table) -> pa.Table:
+        """A row for each cell: the block's contexts there, how many bytes followed each, which, and how often."""
+        block, _ = _parsed(t)
+        fit = learn(block)
+        parts = []
+        for contexts, pairs, count in zip(block.contexts, block.pairs, block.count, strict=True):
+            some = count > 0
+            pairs, count = pairs[some], count[some]
+            bounds = _cell_bounds(contexts, n)
+            follow = np.bincount(pairs >> 8, minlength=len(contexts)).astype("<u2")
+            parts.append((contexts, follow, (pairs & 255).astype(np.uint8), count.astype("<i8"), bounds, np.searchsorted(pairs, bounds * 256)))
+        out = {k: [] for k in ("cell", "block", "sizes", "contexts", "n", "rank", "count", "fit")}
+        number = t.column("block")[0].as_py()
+        for c in range(n):
+            sizes = [int(p[4][c + 1] - p[4][c]) for p in parts]
+            values = {
+                "cell": c, "block": number, "sizes": np.array(sizes, "<i4").tobytes(),
+                "contexts": b"".join(p[0][p[4][c] : p[4][c + 1]].tobytes() for p in parts), "n": b"".join(p[1][p[4][c] : p[4][c + 1]].tobytes() for p in parts),
+                "rank": b"".join(p[2][p[5][c] : p[5][c + 1]].tobytes() for p in parts), "count": b"".join(p[3][p[5][c] : p[5][c + 1]].tobytes() for p in parts), "fit": fit[c::n].astype("<i8").tobytes(),
+            }
+            if sum(sizes) or c < GATES:
+                for k, v in values.items():
+                    out[k].append(v)
+        kinds = {"cell": pa.int32(), "block": pa.int32()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+
+    return send
+
+
+def _add(t: pa.Table) -> pa.Table:
+    """Sums a cell's counts, and returns to each block those of its contexts."""
+    cell, block = t.column("cell")[0].as_py(), t.column("block").to_pylist()
+    sizes = np.frombuffer(b"".join(t.column("sizes").to_pylist()), "<i4").reshape(len(block), -1)
+    contexts, follow, rank, count = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("contexts", "<u8"), ("n", "<u2"), ("rank", np.uint8), ("count", "<i8")))
+    kind = np.repeat(np.tile(np.arange(sizes.shape[1]), len(block)), sizes.ravel())
+    # Of different predictors no two contexts are equal but by chance; the predictor is part of the name.
+    _, _, which = _named(tk.mix(contexts + kind.astype(np.uint64) * _SALT))
+    owner = np.repeat(which, follow)
+    pairs, _, pair = _named(owner * 256 + rank)
+    total = np.bincount(pair, count, len(pairs)).astype("<i8")
+    first = np.searchsorted(pairs, np.arange(int(which.max(initial=-1)) + 2) * 256)
+    fits = [np.frombuffer(x, "<i8") for x in t.column("fit").to_pylist()]
+    fit = np.sum(fits, axis=0).astype("<i8").tobytes()
+    word = np.zeros(len(first) - 1, bool)
+    word[which[kind == 0]] = True
+    ends = ((pairs & 255) == _END) & word[pairs >> 8]
+    out = {k: [] for k in ("block", "cell", "sizes", "n", "rank", "count", "fit", "tokens", "kinds")}
+    rows = [(-1, b"", b"", b"", b"", b"", int(total[ends].sum()), int((total[ends] > 0).sum()))]
+    begin = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
+    for i, number in enumerate(block):
+        own = which[begin[i] : begin[i + 1]]
+        many = first[own + 1] - first[own]
+        at = _flat(first[own], many)
+        rows.append((number, sizes[i].astype("<i4").tobytes(), many.astype("<u2").tobytes(), (pairs[at] & 255).astype(np.uint8).tobytes(), total[at].tobytes(), fit, 0, 0))
     for r in rows:
-        raw = r.text.encode()
-        if len(raw) <= room:
-            texts.append(raw)
-            room -= len(raw)
-    col = tk.column(pa.array(texts, pa.binary()))
-    data, first = with_ends(col, 0, len(col)) if texts else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    code = Code(np.bincount(data, minlength=256))
-    counts = gather_counts(training, code)
-    mixer = Mixer(code, counts)
-    if not len(data):
-        data, first = np.zeros(1, np.uint8), np.array([0, 1])
-    return mixer.fit(data, first, counts)
-
-
-def _word_sums(docs: DataFrame, mixer: Mixer) -> DataFrame:
-    """uid, doc_id, held_out, n_tokens (without ends), n_known, base (sum of log10(count + 0.1)), log2; and rows
-    without uid whose n_tokens and n_known are the tokens and distinct words in training documents."""
-    shared, n = docs.sparkSession.sparkContext.broadcast(mixer), ex.cells(docs)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        block = (TaskContext.get().partitionId() << 20) | 1
-        for batch in batches:
-            whole = tk.column(batch.column(1))
-            for lo, hi in tk.groups(whole, BLOCK_BYTES):
-                part = batch.slice(lo, hi - lo)
-                col = tk.column(part.column(1))
-                held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                uid = row + np.arange(hi - lo)
-                row += hi - lo
-                block += 1
-                bits = np.concatenate([shared.value.log2(*with_ends(col, a, b)) for a, b in tk.groups(col)])
-                found = list(tk.words(col, tk.SPACED_FOLDED))
-                h = np.concatenate([w.h for w in found])
-                doc = np.concatenate([w.doc + w.lo for w in found])
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                head = np.ones(len(h), bool)
-                head[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                times = np.diff(np.append(np.flatnonzero(head), len(h)))
-                h, doc = h[head], doc[head]
-                tokens = np.bincount(doc, times, hi - lo).astype(np.int64)
-                yield ex.packed(2, ex.home(uid, n), [uid, part.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64), held.astype(np.int64), tokens, bits], 5)
-                learnt = np.where(held[doc], 0, times)
-                word, which, docs_with = np.unique(h, return_inverse=True, return_counts=True)
-                many = docs_with > FREQUENT
-                cold = np.flatnonzero(~many[which])
-                cold = cold[np.argsort(doc[cold], kind="stable")]
-                yield ex.packed(0, ex.cell_of(h[cold], n), [h[cold], uid[doc[cold]], times[cold].astype(np.int32), learnt[cold].astype(np.int32)], 5)
-                hot = np.flatnonzero(many)
-                here = np.full(len(hot), block, np.int64)
-                yield ex.packed(1, ex.cell_of(word[hot], n), [word[hot], here, np.bincount(which, learnt, len(word))[hot].astype(np.int64)], 5)
-                warm = np.flatnonzero(many[which])
-                here = np.full(len(warm), block, np.int64)
-                yield ex.packed(3, ex.home(here, n), [here, h[warm], uid[doc[warm]], times[warm].astype(np.int32)], 5)
-
-    def count(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        cold, hot = kinds.get(0, []), kinds.get(1, [])
-        h, uid, times, learnt = (ex.array_of(cold, i, t) for i, t in enumerate((np.uint64, np.int64, np.int32, np.int32)))
-        g, block, n_hot = (ex.array_of(hot, i, t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
-        word, which = np.unique(np.concatenate([h, g]), return_inverse=True)
-        c = np.bincount(which, np.concatenate([learnt, n_hot]), len(word))
-        own, theirs = c[which[: len(h)]], c[which[len(h) :]]
-        yield ex.packed(0, ex.home(np.array([0]), n), [np.array([-1]), np.array([int(c.sum())]), np.array([int((c > 0).sum())]), np.zeros(1)], 5)
-        yield from _sums(uid, times, own)
-        yield ex.packed(1, ex.home(block, n), [block, g, theirs.astype(np.float64)], 5)
-        for kind in (2, 3):
-            rows = kinds.get(kind, [])
-            if rows:
-                types = ((np.int64, np.int64, np.int64, np.int64, np.float64), (np.int64, np.uint64, np.int64, np.int32))[kind - 2]
-                columns = [ex.array_of(rows, i, t) for i, t in enumerate(types)]
-                yield ex.packed(kind, ex.home(columns[0], n), columns, 5)
-
-    def _sums(uid: np.ndarray, times: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Per document: words, known words, and the sum of their logarithms."""
-        if len(uid):
-            doc, which = np.unique(uid, return_inverse=True)
-            known = np.bincount(which, times * (c > 0)).astype(np.int64)
-            yield ex.packed(0, ex.home(doc, n), [doc, np.zeros(len(doc), np.int64), known, np.bincount(which, times * np.log10(c + 0.1))], 5)
-
-    def share(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        """Hands the counts of a block's frequent words to its documents."""
-        counts, words = kinds.get(1, []), kinds.get(3, [])
-        block, g, c = (ex.array_of(counts, i, t) for i, t in enumerate((np.int64, np.uint64, np.float64)))
-        at, h, uid, times = (ex.array_of(words, i, t) for i, t in enumerate((np.int64, np.uint64, np.int64, np.int32)))
-        if len(h):
-            key = np.stack([np.concatenate([block.view(np.uint64), at.view(np.uint64)]), np.concatenate([g, h])], axis=1)
-            _, which = np.unique(tk.mix(key[:, 1] + tk.mix(key[:, 0])), return_inverse=True)
-            value = np.zeros(int(which.max()) + 1)
-            value[which[: len(g)]] = c
-            yield from _sums(uid, times, value[which[len(g) :]])
-        for kind, types in ((0, (np.int64, np.int64, np.int64, np.float64)), (2, (np.int64, np.int64, np.int64, np.int64, np.float64))):
-            rows = kinds.get(kind, [])
-            if rows:
-                columns = [ex.array_of(rows, i, t) for i, t in enumerate(types)]
-                yield ex.packed(kind, ex.home(columns[0], n), columns, 5)
-
-    def finish(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        part, own = kinds.get(0, []), kinds.get(2, [])
-        uid, tokens, known, base = (ex.array_of(part, i, t) for i, t in enumerate((np.int64, np.int64, np.int64, np.float64)))
-        row, doc, held, n_tokens, bits = (ex.array_of(own, i, t) for i, t in enumerate((np.int64, np.int64, np.int64, np.int64, np.float64)))
-        total = uid < 0
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([int(tokens[total].sum())]), pa.array([int(known[total].sum())]), pa.array([0.0]), pa.array([0.0])], names=names)
-        if not len(row):
-            return
-        order = np.argsort(row)
-        row, doc, held, n_tokens, bits = row[order], doc[order], held[order], n_tokens[order], bits[order]
-        at = np.searchsorted(row, uid[~total])
-        n_known = np.bincount(at, known[~total], len(row)).astype(np.int64)
-        sums = np.bincount(at, base[~total], len(row))
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(doc, mask=doc == -(2**63)), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(n_known), pa.array(sums), pa.array(bits)], names=names)
-
-    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "log2"]
-    sent = docs.select("doc_id", "text", "held_out").mapInArrow(scan, ex.schema(5))
-    counted = ex.exchanged(sent, n, count, ex.schema(5))
-    return ex.exchanged(ex.exchanged(counted, n, share, ex.schema(5)), n, finish, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, log2 double")
-
-
-def score_texts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        for k, v in zip(out, (r[0], cell, *r[1:]), strict=True):
+            out[k].append(v)
+    kinds = {"block": pa.int32(), "cell": pa.int32(), "tokens": pa.int64(), "kinds": pa.int64()}
+    return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+
+
+_SCORED = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "log2": pa.float64()}
+
+
+def _tables(block: Block, back: pa.Table, n: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The counts of a block's contexts over all training documents, and what all blocks learnt."""
+    back = back.sort_by("cell")
+    kinds = len(block.contexts)
+    fit = np.zeros((GATES, FIT), np.int64)
+    parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(kinds)]
+    for c, sizes, follow, rank, count, own in zip(*(back.column(k).to_pylist() for k in ("cell", "sizes", "n", "rank", "count", "fit")), strict=True):
+        cut = np.cumsum(np.frombuffer(sizes, "<i4"))
+        follow, rank, count = np.frombuffer(follow, "<u2").astype(np.int64), np.frombuffer(rank, np.uint8), np.frombuffer(count, "<i8")
+        ends = np.concatenate([[0], np.cumsum(follow)])
+        for k in range(kinds):
+            a, b = (cut[k - 1] if k else 0), cut[k]
+            parts[k].append((follow[a:b], rank[ends[a] : ends[b]], count[ends[a] : ends[b]]))
+        fit[c::n] = np.frombuffer(own, "<i8").reshape(-1, FIT)
+    out = []
+    for k in range(kinds):
+        follow, rank, count = (np.concatenate(x) for x in zip(*parts[k], strict=True))
+        out.append((np.repeat(np.arange(len(follow)), follow) * 256 + rank, count))
+    return out, fit
+
+
+def _score(n: int):
+    def score(t: pa.Table, back: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            total = [[None], [None], [sum(back.column("tokens").to_pylist())], [sum(back.column("kinds").to_pylist())], [None], [None]]
+            return pa.table({k: pa.array(v, kind) for (k, kind), v in zip(_SCORED.items(), total, strict=True)})
+        block, held = _parsed(t)
+        tables, fit = _tables(block, back, n)
+        log2 = Mixer(fit).texts(block, tables, held)
+        # A word's count is that of its end.
+        end = block.pairs[0][block.steps[block.unit[1 : block.n_words + 1] - 1]]
+        key, count = tables[0]
+        at = np.minimum(np.searchsorted(key, end), max(len(key) - 1, 0))
+        known = (count[at] * (key[at] == end) if len(key) else np.zeros(len(end)))[block.token]
+        sums = np.bincount(block.doc, np.log10(known + 0.1), len(held))
+        values = (t.column("doc_id"), t.column("held_out"), block.size, np.bincount(block.doc, known > 0, len(held)).astype(np.int64), sums, log2)
+        return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v, kind) for (k, kind), v in zip(_SCORED.items(), values, strict=True)})
+
+    return score
+
+
+def score_texts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Tokens are the words between ASCII white space with A-Z folded, then one end.  Null counts as empty: one token,
@@ -385,12 +533,17 @@ def score_texts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     trained on; repeated rows are counted and scored each on its own; other columns are ignored.
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("held_out", is_held_out("doc_id"))
-    sums = _word_sums(docs, learn(docs)).checkpoint()
-    words, distinct = sums.where("uid is null").agg(F.sum("n_tokens"), F.sum("n_known")).first()
-    ends = docs.where("not held_out").count()
+    size, ends = docs.agg(F.sum(F.octet_length("text") + 1), F.sum(F.when(~F.col("held_out"), 1))).first()
+    blocks, ends = max(1, -(-int(size or 0) // block_bytes)), int(ends or 0)
+    cells = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The same exchange serves both passes over the texts.
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(cells, "block")
+    back = dealt.groupBy("block").applyInArrow(_send(cells), _SENT).groupBy("cell").applyInArrow(_add, _BACK)
+    scored = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, log2 double"
+    sums = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(cells), scored).checkpoint()
+    words, distinct = sums.where("base is null").agg(F.sum("n_tokens"), F.sum("n_known")).first()
     total, kinds = int(words or 0) + ends, int(distinct or 0) + (ends > 0)
     denominator = math.log10(total + 0.1 * (kinds + 1))
     base = F.col("base") + math.log10(ends + 0.1) - (F.col("n_tokens") + 1) * F.lit(denominator)
-    size = F.lit(math.log2(10))
-    rows = sums.where("uid is not null")
-    return rows.select("doc_id", "held_out", (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log2") / size).alias("score"))
+    rows = sums.where("base is not null")
+    return rows.select("doc_id", "held_out", (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log2") / F.lit(math.log2(10))).alias("score"))

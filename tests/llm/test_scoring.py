@@ -112,27 +112,94 @@ def test_language_model_base_and_score(spark):
     assert found[0]["score"] == found[1]["score"]
 
 
-def test_language_model_frequent_words(spark, monkeypatch):
-    rows = [(i, "common word " * 3 + f"own{i}") for i in range(40)]
-    first = {r["doc_id"]: r["base_score"] for r in rows_of(mixing.score_texts(table(spark, rows)))}
-    monkeypatch.setattr(mixing, "FREQUENT", 10**9)
-    again = {r["doc_id"]: r["base_score"] for r in rows_of(mixing.score_texts(table(spark, rows)))}
-    assert all(math.isclose(first[i], again[i], abs_tol=1e-9) for i in first)
-
-
-def test_language_model_is_a_distribution():
-    data = np.frombuffer(b"the cat sat on the mat\0the dog\0", np.uint8)
-    first = np.array([0, 23, 31])
-    code = mixing.Code(np.bincount(data, minlength=256))
-    counts = np.zeros(2 * mixing.SLOTS, np.int64)
-    for _, _, bit, slots in code.bits(data, first):
-        for k, s in enumerate(slots):
-            np.add.at(counts, 2 * (mixing._FROM[k] + s) + bit, 1)
-    model = mixing.Mixer(code, counts).fit(data, first, counts)
-    every = np.concatenate([np.frombuffer(b"the " + bytes([b]), np.uint8) for b in range(256)])
-    cost = model.log2(every, np.arange(0, 257 * 5, 5)[:257])
-    prefix = model.log2(np.frombuffer(b"the ", np.uint8), np.array([0, 4]))[0]
-    assert math.isclose(float((2.0 ** (cost - prefix)).sum()), 1.0, rel_tol=1e-4)
+def test_language_model_in_blocks(spark):
+    """Dealt into many blocks, words are counted alike."""
+    rows = [(i, "common word " * 3 + f"own{i}") for i in range(40)] + [(99, "long " * 5000 + "end")]
+    one, many = ({r["doc_id"]: r for r in rows_of(mixing.score_texts(table(spark, rows), block_bytes=size))} for size in (1 << 30, 200))
+    assert all(math.isclose(one[i]["base_score"], many[i]["base_score"], rel_tol=1e-12) and one[i]["n_known"] == many[i]["n_known"] for i in one)
+    assert all(-1e6 < many[i]["score"] < 0 for i in many)
+
+
+def plain_score(rows, block, fit):
+    """Bit by bit: log2 of each text, counts by dictionaries, weights and refinement as learnt."""
+    model, counts = mixing.Mixer(fit), Counter()
+
+    def steps(text):
+        raw, out, prior, at = fold(text).encode(), [], bytes([mixing.START]), 0
+        white = b" \t\n\x0b\x0c\r"
+        while True:
+            begin = at
+            while at < len(raw) and raw[at] in white:
+                at += 1
+            end = mixing.GAP_END if at < len(raw) else mixing.TEXT_END
+            out.append((bytes([mixing.GAP]) + prior + raw[begin:at] + bytes([end]), 2))
+            if at == len(raw):
+                return out
+            begin = at
+            while at < len(raw) and raw[at] not in white:
+                at += 1
+            out.append((raw[begin:at] + bytes([mixing.WORD_END]), 0))
+            prior = raw[at - 1 : at]
+
+    def bits(unit, head):
+        for i in range(head, len(unit)):
+            r = int(mixing.CODE.rank[unit[i]])
+            for d in range(int(mixing.CODE.length[r])):
+                path = tuple(bool(r >= mixing.CODE.middle[e][r]) for e in range(d + 1))
+                yield [(k, unit[:i] if k == 0 else unit[max(0, i - k) : i], i < k, path[:-1]) for k in (0, *mixing.ORDERS)], path[-1]
+
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            for unit, head in steps(t):
+                counts.update((c, bit) for contexts, bit in bits(unit, head) for c in contexts)
+    out = {}
+    for i, t in rows:
+        own = int(zlib.crc32(str(i).encode()) % 10 > 0)
+        costs = []
+        for unit, head in steps(t):
+            cost = 0.0
+            for contexts, bit in bits(unit, head):
+                n = [(counts[c, False] - own * (not bit), counts[c, True] - own * bit) for c in contexts]
+                gate = min(int(math.log2(sum(n[0]) + 1)), mixing.LEVELS - 1) * mixing.COARSE + min((int(math.log2(sum(n[-1]) + 1)) + 1) // 2, mixing.COARSE - 1)
+                total = sum(float(model.weight[gate, k]) * math.log((b + mixing.PRIOR) / (a + mixing.PRIOR)) for k, (a, b) in enumerate(n))
+                cell = min(max(int((total + mixing.SPREAD) * mixing.CELLS / 2 / mixing.SPREAD), 0), mixing.CELLS - 1)
+                p = (1 / (1 + math.exp(-min(max(total, -12), 12))) + float(model.refined[gate * mixing.CELLS + cell])) / 2
+                p = min(max(p, 2**-14), 1 - 2**-14)
+                cost += math.log2(p if bit else 1 - p)
+            costs.append((unit, head, cost))
+        total, state, seen, pending = sum(c for _, h, c in costs if h), mixing.CACHE_START, Counter(), 0.0
+        for t_, (unit, _, cost) in enumerate(c for c in costs if not c[1]):
+            share = 1 / (1 + math.exp(-state))
+            mine, other = share * seen[unit] / max(t_, 1), (1 - share) * 2**cost
+            total += math.log2(mine + other) if mine else math.log2(1 - share) + cost
+            pending += mine / max(mine + other, 1e-300) - share
+            seen[unit] += 1
+            if t_ % mixing.CHUNK == mixing.CHUNK - 1:
+                state, pending = state + mixing.CACHE_RATE * pending, 0.0
+        out[i] = total
+    return out
+
+
+def test_language_model_is_what_a_plain_loop_gives(spark):
+    rows = [(i, t) for i, t in enumerate(texts(40, seed=9)) if len(t or "") < 900] + [(70, "a" * 300), (71, "é\n\n\nx\t"), (72, " lead")]
+    held = np.array([zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows])
+    block = mixing.Block(tk.column(pa.array([t for _, t in rows], pa.string())), held)
+    plain = plain_score(rows, block, mixing.learn(block))
+    found = {r["doc_id"]: r["score"] for r in rows_of(mixing.score_texts(table(spark, rows)))}
+    assert all(math.isclose(found[i] * math.log2(10), plain[i], rel_tol=1e-3, abs_tol=0.05) for i in plain)
+
+
+def test_code_is_complete():
+    """The leaves of the code fill the tree, so the shares of all bytes that may follow a prefix add up to one."""
+    assert sum(2.0 ** -int(n) for n in mixing.CODE.length) == 1.0 and sorted(mixing.CODE.rank.tolist()) == list(range(256))
+
+
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    r = random.Random(5)
+    words = [invented(i, 1, LANGUAGES["aa"]) for i in range(3000)]
+    rows = [(i, " ".join(r.choices(words, [1 / (k + 1) for k in range(3000)], k=120)) + " " + invented(i + 9000, 25, LANGUAGES["aa"])) for i in range(400)]
+    held = [x for x in rows_of(mixing.score_texts(table(spark, rows))) if x["held_out"]]
+    assert len(held) > 20 and sum(x["score"] for x in held) > 0.9 * sum(x["base_score"] for x in held)
 
 
 def test_language_model_empty_table(spark):
