@@ -48,8 +48,8 @@ STEP, HOLD = 8192, 20.0
 FIRST = 0.3
 #: Added to counts of zeros and ones.
 PRIOR = 0.15
-#: The document cache: tokens between two updates, their rate, and the logit of its share at the start.
-CHUNK, CACHE_RATE, CACHE_START = 32, 0.05, -4.0
+#: The document caches: tokens between two updates, their rate, and the logits of their shares at the start.
+CHUNK, CACHE_RATE, CACHE_START = 32, 0.15, (-3.0, -3.0)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _U = np.uint64
@@ -370,31 +370,48 @@ class Mixer:
         return np.bincount(block.gap_doc, gap, len(held)) + cached(word, block.token, block.doc, block.first)
 
 
+def _times_before(key: np.ndarray) -> np.ndarray:
+    """How often each entry's key occurred before it."""
+    order = _ranked(key.view(np.uint64))
+    same = np.zeros(len(key), bool)
+    same[1:] = key[order][1:] == key[order][:-1]
+    run = np.arange(len(key))
+    out = np.empty(len(key), np.int64)
+    out[order] = run - np.maximum.accumulate(np.where(same, 0, run))
+    return out
+
+
 def cached(model: np.ndarray, token: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each text's words, when a cache of the document's own words is mixed in.  All documents of the
-    block go on in step, ``CHUNK`` words at a time; each one's share of the cache starts at the same value."""
-    order = _ranked((doc * (int(token.max(initial=0)) + 1) + token).view(np.uint64))
-    same = np.zeros(len(token), bool)
-    same[1:] = (token[order][1:] == token[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    run = np.arange(len(token))
-    lead = np.maximum.accumulate(np.where(same, 0, run))
-    before = np.empty(len(token), np.int64)
-    before[order] = run - lead
-    cache = before / np.maximum(np.arange(len(token)) - first[doc], 1)
+    """log2 of the probability of each text's words, when two caches of the document's own words are mixed in: of all words so
+    far, and of those that followed the same word.  All documents of the block go on in step, ``CHUNK`` words at a time;
+    the caches' shares start at the same values in each, and adapt online."""
+    n = int(token.max(initial=0)) + 2
+    before = np.zeros(len(token), np.int64)
+    before[1:] = token[:-1] + 1
+    before[first[:-1][first[:-1] < first[1:]]] = 0
+    _, _, pair = _named((before * n + token).view(np.uint64))
+    place = np.arange(len(token)) - first[doc]
+    behind = _times_before(doc * n + before)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        caches = [np.where(place > 0, _times_before(doc * n + token) / place, -1.0), np.where(behind > 0, _times_before(doc * (int(pair.max(initial=0)) + 1) + pair) / behind, -1.0)]
     size = np.diff(first)
     longest = np.argsort(-size, kind="stable")
-    state, out = np.full(len(size), CACHE_START), np.zeros(len(size))
+    state, out = np.tile(np.array(CACHE_START)[:, None], (1, len(size))), np.zeros(len(size))
     for a in range(0, int(size.max(initial=0)), CHUNK):
         rows = longest[: int(np.searchsorted(-size[longest], -a, "left"))]
         at = first[rows][:, None] + a + np.arange(CHUNK)
         real = at < first[rows + 1][:, None]
         at = np.minimum(at, len(token) - 1)
-        share = 1 / (1 + np.exp(-state[rows]))[:, None]
-        own, other = share * cache[at], (1 - share) * np.exp2(model[at])
-        # Bayes: how far the cache is responsible for what came; tiny products of very long words stay in the log.
-        out[rows] += np.where(real, np.where(own > 0, np.log2(np.maximum(own + other, 1e-300)), np.log2(1 - share) + model[at]), 0).sum(axis=1)
-        responsible = own / np.maximum(own + other, 1e-300)
-        state[rows] += CACHE_RATE * np.where(real, responsible - share, 0).sum(axis=1)
+        odds = [np.where(c[at] >= 0, np.exp(s)[:, None], 0.0) for c, s in zip(caches, state[:, rows], strict=True)]
+        rest = 1 / (1 + odds[0] + odds[1])
+        own = [o * rest * np.maximum(c[at], 0) for o, c in zip(odds, caches, strict=True)]
+        found = own[0] + own[1]
+        total = found + rest * np.exp2(model[at])
+        # The product of a very long word's bits stays in the log.
+        out[rows] += np.where(real, np.where(found > 0, np.log2(np.maximum(total, 1e-300)), np.log2(rest) + model[at]), 0).sum(axis=1)
+        for k in range(2):
+            # Bayes: how far the cache is responsible for what came.
+            state[k, rows] += CACHE_RATE * np.where(real, own[k] / np.maximum(total, 1e-300) - odds[k] * rest, 0).sum(axis=1)
     return out
 
 

@@ -167,15 +167,18 @@ def plain_score(rows, block, fit):
                 p = min(max(p, 2**-14), 1 - 2**-14)
                 cost += math.log2(p if bit else 1 - p)
             costs.append((unit, head, cost))
-        total, state, seen, pending = sum(c for _, h, c in costs if h), mixing.CACHE_START, Counter(), 0.0
+        total, state, seen, pending, last = sum(c for _, h, c in costs if h), list(mixing.CACHE_START), Counter(), [0.0, 0.0], None
         for t_, (unit, _, cost) in enumerate(c for c in costs if not c[1]):
-            share = 1 / (1 + math.exp(-state))
-            mine, other = share * seen[unit] / max(t_, 1), (1 - share) * 2**cost
-            total += math.log2(mine + other) if mine else math.log2(1 - share) + cost
-            pending += mine / max(mine + other, 1e-300) - share
-            seen[unit] += 1
+            odds = [math.exp(state[0]) * (t_ > 0), math.exp(state[1]) * (seen[last, None] > 0)]
+            rest = 1 / (1 + sum(odds))
+            mine = [odds[0] * rest * seen[unit] / max(t_, 1), odds[1] * rest * seen[last, unit] / max(seen[last, None], 1)]
+            whole = sum(mine) + rest * 2**cost
+            total += math.log2(whole) if sum(mine) else math.log2(rest) + cost
+            pending = [p + m / max(whole, 1e-300) - o * rest for p, m, o in zip(pending, mine, odds, strict=True)]
+            seen.update([unit, (last, unit), (last, None)])
+            last = unit
             if t_ % mixing.CHUNK == mixing.CHUNK - 1:
-                state, pending = state + mixing.CACHE_RATE * pending, 0.0
+                state, pending = [s + mixing.CACHE_RATE * p for s, p in zip(state, pending, strict=True)], [0.0, 0.0]
         out[i] = total
     return out
 
@@ -196,8 +199,9 @@ def test_code_is_complete():
 
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     r = random.Random(5)
-    words = [invented(i, 1, LANGUAGES["aa"]) for i in range(3000)]
-    rows = [(i, " ".join(r.choices(words, [1 / (k + 1) for k in range(3000)], k=120)) + " " + invented(i + 9000, 25, LANGUAGES["aa"])) for i in range(400)]
+    word = lambda k: "".join(r.choices(LANGUAGES["aa"] + LANGUAGES["cc"], k=k))
+    words = [word(3) for _ in range(300)]
+    rows = [(i, " ".join([*r.choices(words, [1 / (k + 1) for k in range(300)], k=80), *("".join(r.choices(["tha", "ing"], k=8)) for _ in range(20))])) for i in range(300)]
     held = [x for x in rows_of(mixing.score_texts(table(spark, rows))) if x["held_out"]]
     assert len(held) > 20 and sum(x["score"] for x in held) > 0.9 * sum(x["base_score"] for x in held)
 
