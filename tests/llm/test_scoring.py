@@ -201,7 +201,7 @@ def test_language_model_beats_its_base_on_held_out_texts(spark):
     r = random.Random(5)
     word = lambda k: "".join(r.choices(LANGUAGES["aa"] + LANGUAGES["cc"], k=k))
     words = [word(3) for _ in range(300)]
-    rows = [(i, " ".join([*r.choices(words, [1 / (k + 1) for k in range(300)], k=80), *("".join(r.choices(["tha", "ing"], k=8)) for _ in range(20))])) for i in range(300)]
+    rows = [(i, " ".join([*r.choices(words, [1 / (k + 1) for k in range(300)], k=80), *[f"{word(3)}{i}"] * 20])) for i in range(300)]
     held = [x for x in rows_of(mixing.score_texts(table(spark, rows))) if x["held_out"]]
     assert len(held) > 20 and sum(x["score"] for x in held) > 0.9 * sum(x["base_score"] for x in held)
 
