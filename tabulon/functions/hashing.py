@@ -5,6 +5,8 @@ Nothing here depends on the order or partitioning of rows, so any two runs (or e
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,11 +64,34 @@ def unsigned_text_to_bits(text: Column) -> Column:
     return F.when(d >= F.lit("9223372036854775808").cast("decimal(20,0)"), d - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(d).cast("long")
 
 
-def bands(bits: Column, distance: int = 4) -> Column:
-    """(band, value) for distance + 1 bands: within that distance at least one band is untouched."""
-    n = distance + 1
-    width = -(-64 // n)
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(bits, i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("value")) for i in range(n)])
+#: Bands of a 64-bit hash, and bits of each.
+BANDS, BAND_BITS = 4, 16
+
+
+def _masks(most: int) -> list[int]:
+    """All band values with at most so many bits."""
+    return [sum(1 << i for i in at) for k in range(most + 1) for at in combinations(range(BAND_BITS), k)]
+
+
+def bands(bits: Column) -> Column:
+    """(band, value) of each of the four bands of a hash."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(bits, i * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("value")) for i in range(BANDS)])
+
+
+def _flipped(bits: Column, band: int, most: int) -> Column:
+    value = F.shiftrightunsigned(bits, band * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    return F.transform(F.lit(_masks(most)), lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m.cast("int")).alias("value")))
+
+
+def probes(bits: Column, distance: int) -> Column:
+    """(band, value) pairs of which any hash within the distance has one.
+
+    Two hashes that differ in ``distance`` bits can't differ in more than t(i) bits in every band i when the sum of all t(i) + 1 exceeds
+    the distance; so each band is probed with all values within its t(i), which grow evenly from -1 (not probed).
+    """
+    most = [(distance + BANDS - i) // BANDS - 1 for i in range(BANDS)]
+    found = [_flipped(bits, i, own) for i, own in enumerate(most) if own >= 0]
+    return F.concat(*found)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -27,6 +27,12 @@ def log_sum_exp(values: Column) -> Column:
     return F.ln(total(F.transform(values, lambda x: F.exp(x - top)))) + top
 
 
+def valid_mass(valid: Column, others: Column) -> Column:
+    """The share of probability that valid tokens have among all, from both sides' logits."""
+    v, o = log_sum_exp(valid), log_sum_exp(others)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(o - v))
+
+
 def first_max(values: Column) -> Column:
     """Index of the largest entry, the first of several."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

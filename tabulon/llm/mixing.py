@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 #: Bytes of text whose contexts are gathered and looked up together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of context of the predictors beside the word context.
 ORDERS = (2, 3, 5)
 #: Bytes that UTF-8 never has: the end of a word, of a gap and of the text, the head of a gap, and the start of the text.
@@ -158,8 +158,9 @@ class Block:
     def __init__(self, col: tk.Column, held: np.ndarray) -> None:
         found = list(tk.words(col, tk.SPACED_FOLDED, 4 * tk.GROUP_BYTES))
         h, start, end, doc = (np.concatenate(x) if found else np.empty(0, t) for x, t in (([w.h for w in found], np.uint64), ([w.start for w in found], int), ([w.end for w in found], int), ([w.doc + w.lo for w in found], int)))
+        del found
         n, data = len(held), col.data
-        self.doc, self.size = doc, np.bincount(doc, minlength=n)
+        self.doc, self.size = doc.astype(np.int32), np.bincount(doc, minlength=n)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         learnt = ~held
         # Gap i + d comes before word i of all, in text d; text d's last one ends the text.
@@ -167,7 +168,7 @@ class Block:
         begin, stop = np.empty(len(h) + n, int), np.empty(len(h) + n, int)
         begin[self.first[:-1] + np.arange(n)], begin[before + 1] = col.offsets[:-1], end
         stop[before], stop[last] = start, col.offsets[1:]
-        self.gap_doc = np.repeat(np.arange(n), self.size + 1)
+        self.gap_doc = np.repeat(np.arange(n, dtype=np.int32), self.size + 1)
         ends = np.zeros(len(begin), bool)
         ends[last] = True
         prior = np.full(len(begin), START, np.uint8)
@@ -188,7 +189,10 @@ class Block:
         name[used] = np.arange(len(used))
         self.gap, gap = name[key], np.empty(len(used), int)
         gap[self.gap] = np.arange(len(key))
+        self.gap = self.gap.astype(np.int32)
         _, word, self.token = _named(h)
+        self.token = self.token.astype(np.int32)
+        del h, key, short, before
         self.n_words = len(word)
         self.gap = self.gap + len(word)
         weight, unseen = (np.concatenate([np.bincount(self.token, x[doc], len(word)), np.bincount(self.gap - len(word), x[self.gap_doc], len(gap))]).astype(np.int64) for x in (learnt, held))
@@ -201,19 +205,22 @@ class Block:
         raw[self.unit[1 : len(word) + 1] - 1] = WORD_END
         raw[self.unit[len(word) + 1 :] - 1] = np.where(ends[gap], TEXT_END, GAP_END)
         raw[self.unit[len(word) : -1]], raw[self.unit[len(word) : -1] + 1] = GAP, prior[gap]
+        del start, end, begin, stop, size, ends, prior, doc
         owner = np.repeat(np.arange(len(inner)), np.diff(self.unit))
         rel = np.arange(len(raw)) - self.unit[owner]
         coded = rel >= head[owner]
         term = tk.placed(tk.SPACED.number[raw], (rel + 1).astype(np.uint64) * _PLACE)
         so_far = np.cumsum(term) - term
         whole = tk.mix(so_far - so_far[self.unit[owner]])
+        del term, so_far
         rank = CODE.rank[raw]
         key, edge, which = _named(whole[coded] & ~_U(255) | rank[coded], 8)
         edge = np.flatnonzero(coded)[edge]
-        self.steps = np.full(len(raw), len(edge))
+        self.steps = np.full(len(raw), len(edge), np.int32)
         self.steps[coded] = which
         self.rank = rank[edge].astype(np.int64)
         self.weight, self.held = (np.bincount(which, w[owner[coded]], len(edge)).astype(np.int64) for w in (weight, unseen))
+        del whole, which, owner, coded
         context = key >> _U(8)
         head = np.ones(len(key), bool)
         head[1:] = context[1:] != context[:-1]
@@ -310,7 +317,7 @@ def learn(block: Block) -> np.ndarray:
     levels, k = [], len(ORDERS) + 1
     for at, found in block.bits(block.tables()):
         some = np.flatnonzero(block.weight[at])
-        levels.append((*_inputs(found, some, 1), found[0][2][some], block.weight[at][some]))
+        levels.append((*_inputs(found, some, 1), found[0][2][some], block.weight[at][some].astype(np.int32)))
     out, weight = np.zeros((GATES, FIT), np.int64), np.full((GATES, k), FIRST)
     bend = np.tile(HOLD * np.eye(k), (GATES, 1, 1))
     n_steps = max(1, sum(len(x[2]) for x in levels) // STEP)
@@ -385,6 +392,7 @@ def cached(model: np.ndarray, token: np.ndarray, doc: np.ndarray, first: np.ndar
     """log2 of the probability of each text's words, when two caches of the document's own words are mixed in: of all words so
     far, and of those that followed the same word.  All documents of the block go on in step, ``CHUNK`` words at a time;
     the caches' shares start at the same values in each, and adapt online."""
+    token, doc = token.astype(np.int64), doc.astype(np.int64)
     n = int(token.max(initial=0)) + 2
     before = np.zeros(len(token), np.int64)
     before[1:] = token[:-1] + 1

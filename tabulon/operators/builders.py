@@ -6,11 +6,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..functions import probability as pr
+from ..functions import strings as st
 from . import labels as lb
 from . import sampling as sm
 
@@ -34,6 +35,52 @@ def choice_questions(votes: DataFrame, *, question: str, kind: str, answer: str,
     return rows.withColumn("target", F.transform("candidates", lambda c: F.when(c == F.col("gold"), 1.0).otherwise(0.0)))
 
 
+def clean_questions(questions: DataFrame, vocabulary: DataFrame, known: DataFrame | None = None, *, seed: int = 0, per_image: int = 8, options: int = 4, pool: int = 200) -> DataFrame:
+    """At most ``per_image`` questions of each image as decisions.
+
+    Questions: qid, image, question, answer, kind, choose (is it an "X or Y?" question).  Yes and no stay two options; every other
+    answer stands among distractors of its kind's ``pool`` most common answers (kind, answer, n), drawn in proportion to n, none
+    of which clashes with it; an "X or Y?" question offers the other one first.  Too few distractors, no decision.
+    ``known`` (answer): alternatives that aren't among these are no options.
+    """
+    place = F.row_number().over(Window.partitionBy("image").orderBy(hs.keyed_uniform(seed, "question", F.col("qid")), "qid"))
+    rows = questions.withColumn("answer", F.lower(F.trim("answer"))).withColumn("_k", place).where(F.col("_k") <= per_image)
+    rows = rows.withColumn("other", F.when(F.col("choose"), st.named_alternative(F.col("question"), F.col("answer"))))
+    if known is not None:
+        listed = known.select(F.lower(F.trim("answer")).alias("other")).distinct()
+        rows = rows.join(listed.withColumn("_known", F.lit(True)), "other", "left").withColumn("other", F.when(F.col("_known"), F.col("other"))).drop("_known")
+    top = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "answer"))
+    pools = vocabulary.withColumn("_k", top).where(F.col("_k") <= pool).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct(F.col("answer").alias("a"), "n"))).alias("pool"))
+    plain = rows.where(F.col("answer").isin("yes", "no"))
+    binary = plain.select("qid", "image", "question", F.lit("noul").alias("form"), F.array(F.lit("yes"), F.lit("no")).alias("candidates"), "answer")
+    rest = rows.where(~F.col("answer").isin("yes", "no")).join(F.broadcast(pools), "kind", "left")
+    given = F.array_compact(F.array("answer", "other"))
+    fit = F.filter(F.coalesce("pool", F.array().cast("array<struct<a:string,n:bigint>>")), lambda x: ~st.clashes(x["a"], F.col("answer")) & ~F.array_contains(given, F.lower(F.trim(x["a"]))))
+    drawn = F.transform(F.array_sort(F.transform(fit, lambda x: F.struct(sm.weighted_order(x["n"], seed, "distractor", F.col("qid"), x["a"]).alias("o"), F.lower(F.trim(x["a"])).alias("a")))), lambda x: x["a"])
+    chosen = F.concat(given, F.slice(drawn, F.lit(1), options - F.size(given)))
+    mixed = F.transform(F.array_sort(F.transform(chosen, lambda a: F.struct(hs.keyed_uniform(seed, "order", F.col("qid"), a).alias("u"), a.alias("a")))), lambda x: x["a"])
+    several = rest.select("qid", "image", "question", F.lit("choice").alias("form"), mixed.alias("candidates"), "answer").where(F.size("candidates") == options)
+    return binary.unionByName(several).withColumn("target", F.transform("candidates", lambda c: F.when(c == F.col("answer"), 1.0).otherwise(0.0)))
+
+
+def which_of(images: DataFrame, counts: DataFrame, *, seed: int = 0, others: int = 3) -> DataFrame:
+    """"Which of these is in the image?": image, present (a class), absent (array) -> candidates, the present one among ``others`` absent
+    ones drawn in proportion to how often each is present elsewhere (class, n); images with fewer drop out.  Classes are few, so
+    their counts are one map."""
+    every = counts.agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("n"))
+    drawn = F.array_sort(F.transform("absent", lambda c: F.struct(sm.weighted_order(F.coalesce(F.try_element_at("n", c), F.lit(0)), seed, "which", F.col("image"), c).alias("o"), c.alias("c"))))
+    rows = images.where(F.size("absent") >= others).join(F.broadcast(every))
+    candidates = F.concat(F.array("present"), F.transform(F.slice(drawn, 1, others), lambda x: x["c"]))
+    mixed = F.array_sort(F.transform(candidates, lambda c: F.struct(hs.keyed_uniform(seed, "which-order", F.col("image"), c).alias("u"), c.alias("c"))))
+    return rows.select("image", "present", F.transform(mixed, lambda x: x["c"]).alias("candidates"))
+
+
+def skew_capped(answers: DataFrame, *, skew: float = 1.5, order: str = "o") -> DataFrame:
+    """image, class, yes -> those left when each class keeps, of either answer, at most ``skew`` times as many as it has of the rarer one."""
+    cap = answers.groupBy("class").agg(F.floor(skew * F.greatest(F.lit(1), F.least(F.count_if("yes"), F.count_if(~F.col("yes"))))).alias("cap"))
+    return sm.capped_balance(answers.join(F.broadcast(cap), "class"), F.col("cap"), F.col(order), ["class", "yes"])
+
+
 def mixture_draw(pools: list[tuple[float, Column]], seed: int, operator: str, *keys: Column) -> Column:
     """One entry from one of several pools: each has its share of draws, and an empty one hands its own to the next that isn't."""
     u, bound, out = hs.keyed_uniform(seed, operator, *keys), 0.0, None

@@ -38,12 +38,6 @@ def pack(questions: DataFrame, *, max_length: int = MAX_LENGTH, max_questions: i
     return packed.select("image", F.explode("p").alias("x")).select("image", "x.ord", "x.length", "x.seq", "x.offset")
 
 
-def collated(tokens: DataFrame) -> DataFrame:
-    """Long form of a batch: (image, seq, ord, token) -> position in the sequence and padding up to the batch's longest."""
-    place = F.row_number().over(Window.partitionBy("image", "seq").orderBy("ord", "at")) - 1
-    return tokens.withColumn("pos", place)
-
-
 def visible(tokens: DataFrame) -> DataFrame:
     """Pairs of tokens of a sequence (seq, pos, block, cand) in which the first may look at the second: block 0 is the image,
     -1 padding, which sees only itself; cand is -1 for a question's own tokens, and candidates don't see each other."""
@@ -52,3 +46,36 @@ def visible(tokens: DataFrame) -> DataFrame:
     same = (F.col("a.block") > 0) & (F.col("a.block") == F.col("b.block")) & ((F.col("a.cand") < 0) | (F.col("b.cand") < 0) | (F.col("a.cand") == F.col("b.cand")))
     see = image | same | (F.col("a.pos") == F.col("b.pos"))
     return a.join(b, F.col("a.seq") == F.col("b.seq")).where(see).select(F.col("a.seq").alias("seq"), F.col("a.pos").alias("pos"), F.col("b.pos").alias("sees"))
+
+
+def padded_batch(sequences: DataFrame, pad: int = 0, *, batch: str = "batch", seq: str = "seq") -> DataFrame:
+    """batch, seq, ids, pos, block, cand (arrays) -> the same, filled up to the longest sequence of the batch: ids with ``pad``, places with 0,
+    blocks and candidates with -1."""
+    longest = sequences.groupBy(batch).agg(F.max(F.size("ids")).alias("_t"))
+    fill = {"ids": pad, "pos": 0, "block": -1, "cand": -1}
+    out = sequences.join(longest, batch)
+    for name, value in fill.items():
+        out = out.withColumn(name, F.concat(F.col(name), F.array_repeat(F.lit(value).cast("int"), F.col("_t") - F.size(name))))
+    return out.drop("_t")
+
+
+def seen_by_block(tokens: DataFrame) -> DataFrame:
+    """How many tokens each (seq, block, cand) looks at in all: what counting the pairs of ``visible`` gives, from the sizes of the
+    groups.  Candidates of a question see the image, the question's own tokens and themselves."""
+    groups = tokens.groupBy("seq", "block", "cand").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("seq").agg(F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0)).alias("image"))
+    blocks = groups.where("block > 0").groupBy("seq", "block").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("cand") < 0, F.col("n")).otherwise(0)).alias("own"))
+    rows = groups.join(sizes, "seq").join(blocks, ["seq", "block"], "left")
+    # An image token sees the image; padding itself; a question token the image and its block; a candidate the image, the question and its like.
+    each = F.when(F.col("block") < 0, F.lit(1)).when(F.col("block") == 0, F.col("image")).when(F.col("cand") < 0, F.col("image") + F.col("all")).otherwise(F.col("image") + F.col("own") + F.col("n"))
+    return rows.select("seq", "block", "cand", (F.col("n") * each).alias("sees"))
+
+
+def within_window(distance: Column, window: int) -> Column:
+    """Local layers look at most half a window far."""
+    return F.abs(distance) <= window // 2
+
+
+def used_tokens(tokens: DataFrame, by: list[str]) -> DataFrame:
+    """Tokens that count as input: all but padding."""
+    return tokens.groupBy(*by).agg(F.count_if(F.col("block") >= 0).alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))

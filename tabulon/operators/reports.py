@@ -69,6 +69,14 @@ def cost_fit(rows: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
     return off.groupBy("c", "a", "b").agg((1 - F.sum(F.col("e") * F.col("e")) / F.sum((F.col(y) - F.col("w")) * (F.col(y) - F.col("w")))).alias("r2"), F.avg(F.abs(F.try_divide(F.col("e"), F.col(y)))).alias("mape"), F.count("*").alias("n"))
 
 
+def step_costs(steps: DataFrame, tokens: str, sequences: str, flops: str) -> DataFrame:
+    """Least squares flops = a tokens + b sequences without a constant, from five sums; neither cost is below zero."""
+    t, q, y = F.col(tokens), F.col(sequences), F.col(flops)
+    s = steps.agg(*[F.sum(e).alias(n) for n, e in {"tt": t * t, "tq": t * q, "qq": q * q, "ty": t * y, "qy": q * y}.items()])
+    det = F.col("tt") * F.col("qq") - F.col("tq") * F.col("tq")
+    return s.select(F.greatest((F.col("ty") * F.col("qq") - F.col("qy") * F.col("tq")) / det, F.lit(0.0)).alias("per_token"), F.greatest((F.col("qy") * F.col("tt") - F.col("ty") * F.col("tq")) / det, F.lit(0.0)).alias("per_sequence"))
+
+
 def projected_ms(layers: Column, flops: Column, size: Column) -> Column:
     """Latency on other hardware: launch costs, then the larger of memory and arithmetic time."""
     return F.lit(0.15) + F.lit(0.036) * layers + F.greatest(size / F.lit(250e9), flops / F.lit(50e12)) * 1e3

@@ -105,7 +105,8 @@ def teacher_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("split <> 'calib'").join(fits, "kind").select("uid", cal.calibrated(F.col("kind"), F.col("logits"), F.col("temperature"), F.col("a"), F.col("b")).alias("p"))
 
 
-@plan()
+@plan("""WITH vb AS (SELECT vec_id, label, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > embedding[i % 64 + 1] THEN '1' ELSE '0' END), '') AS bits FROM embeddings)
+SELECT b.vec_id AS id, q AS question FROM vb b, (VALUES ('face'), ('hand')) t(q) WHERE b.label > 1 AND NOT EXISTS (SELECT 1 FROM vb a WHERE a.label < 2 AND list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END)) <= 12)""")
 def face_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two questions per crop (vector) that isn't near either of two reference sets."""
     v = fx.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", hs.adjacent_bits(F.col("embedding")).alias("bits"))
@@ -135,21 +136,29 @@ def split_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.report_items(fx.items(spark, sf_dir), ["source", "lang"]).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@plan("SELECT id, cand, seed FROM (VALUES (0, 'C5', '0'), (1, 'C1', '2')) t(id, cand, seed)")
+@plan("""SELECT p_partkey AS id, 'C' || p_partkey % 7 || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END AS cand, CASE WHEN p_partkey % 3 = 0 THEN 'ep' || p_size ELSE p_size || 'e+15' END AS budget, 'lr' || substr('ABC', 1 + p_partkey % 3, 1) AS lr, CAST(p_size AS VARCHAR) AS seed, CASE WHEN p_partkey % 4 = 0 THEN 'labels' END AS sanity FROM part""")
 def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.createDataFrame([(0, "C5_2h_lr3e-4_s0_labels"), (1, "C1_8h_lr1e-3_s2")], "id int, name string").withColumn("r", files.run_name(F.col("name")))
-    return x.select("id", F.col("r.cand").alias("cand"), F.col("r.seed").alias("seed"))
-
-
-@plan(f"""WITH {sql_items()} SELECT lang, round(avg(1 / (1 + exp(-abs(gap)))), 6) AS mass FROM items GROUP BY lang""")
-def answer_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).groupBy("lang").agg(F.round(F.avg(pr.confidence(F.col("p"))), 6).alias("mass"))
+    """Names of runs put together from parts, and taken apart."""
+    x, k = fx.read(spark, sf_dir, "part", "p_partkey", "p_size"), F.col("p_partkey")
+    budget = F.when(k % 3 == 0, F.concat(F.lit("ep"), F.col("p_size"))).otherwise(F.concat(F.col("p_size"), F.lit("e+15")))
+    name = F.concat(F.lit("C"), k % 7, F.when(k % 2 == 0, "b").otherwise(""), F.lit("_"), budget, F.lit("_lr"), F.substring(F.lit("ABC"), (k % 3 + 1).cast("int"), F.lit(1)), F.lit("_s"), F.col("p_size"), F.when(k % 4 == 0, "_labels").otherwise(""))
+    return x.select(k.alias("id"), files.run_name(name).alias("r")).select("id", "r.*")
 
 
-@plan("""SELECT id, options FROM (VALUES (0, 'one|two'), (1, 'x|y'), (2, NULL)) t(id, options)""")
+@plan("""SELECT conv_id, turn, CASE WHEN len(w) > 1 AND (turn % 3 < 2 OR len(w) < 6) THEN array_to_string(w[1:6], '|') WHEN len(w) > 1 THEN array_to_string(w[1:4], '|') || ', H: ' || w[5] END AS options, CASE WHEN len(w) > 1 THEN 'Which one?' END AS stem
+FROM (SELECT conv_id, turn, regexp_extract_all(text, '[a-z]{2,}') AS w FROM conversations)""")
 def option_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.createDataFrame([(0, "What?\nOptions: A: one, B: two"), (1, "Question: Which?\nChoices:\n(A) x\n(B) y"), (2, "none")], "id int, q string")
-    return x.select("id", F.array_join(st.parse_options(F.col("q"))["options"], "|").alias("options"))
+    """Questions in the three forms of a layout, with the first words of each turn as options; one form has an option with a false head."""
+    w = F.regexp_extract_all("text", F.lit("([a-z]{2,})"), F.lit(1))
+    c = fx.read(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", w.alias("w"))
+    letter = lambda i: F.substring(F.lit("ABCDEF"), i + 1, F.lit(1))
+    own = F.slice("w", 1, 6)
+    inline = F.concat(F.lit("Which one?\nOptions: "), F.array_join(F.transform(own, lambda x, i: F.concat(letter(i), F.lit(": "), x)), ", "))
+    block = F.concat(F.lit("Hint: a letter.\nQuestion: Which one?\nChoices:\n"), F.array_join(F.transform(own, lambda x, i: F.concat(F.lit("("), letter(i), F.lit(") "), x)), "\n"))
+    false = F.concat(F.lit("Which one?\nOptions: "), F.array_join(F.transform(F.slice("w", 1, 4), lambda x, i: F.concat(letter(i), F.lit(". "), x)), "\n"), F.lit(", H: "), F.get("w", F.lit(4)))
+    question = F.when((F.col("turn") % 3 == 2) & (F.size("w") > 5), false).when(F.col("turn") % 3 == 1, block).otherwise(inline)
+    o = st.parse_options(question)
+    return c.select("conv_id", "turn", F.array_join(o["options"], "|").alias("options"), o["stem"].alias("stem"))
 
 
 @plan("""SELECT source, count(*) AS n FROM (SELECT 'documents' AS source, doc_id AS id FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'conversations', conv_id FROM conversations WHERE turn = 0 UNION ALL SELECT 'events', event_id FROM events WHERE event_type = 'view') GROUP BY source""")

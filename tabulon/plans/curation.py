@@ -134,9 +134,9 @@ def low_agreement_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("""SELECT conv_id, n, CASE WHEN blank THEN 'blank' WHEN n > d THEN 'repeated' END AS problem FROM
-(SELECT conv_id, count(*) AS n, count(DISTINCT trim(left(text, 12))) AS d, bool_or(trim(left(text, 12)) = '') AS blank FROM conversations GROUP BY conv_id)""")
+(SELECT conv_id, count(*) AS n, count(DISTINCT trim(text)) AS d, bool_or(trim(text) = '') AS blank FROM conversations GROUP BY conv_id)""")
 def candidate_dedup_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.read(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.collect_list(F.trim(F.substring("text", 1, 12))).alias("c"), F.count("*").alias("n"))
+    c = fx.read(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy("conv_id").agg(F.collect_list(F.trim("text")).alias("c"), F.count("*").alias("n"))
     return c.select("conv_id", "n", F.when(F.exists("c", lambda x: x == ""), "blank").when(F.size(F.array_distinct("c")) < F.size("c"), "repeated").alias("problem"))
 
 
@@ -187,10 +187,10 @@ _BITS = """vb AS (SELECT vec_id, label, array_to_string(list_transform(range(1,
 _DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END))"
 
 
-@plan(f"WITH {_BITS} SELECT a.vec_id AS l, b.vec_id AS r, CAST({_DISTANCE} AS INTEGER) AS distance FROM vb a JOIN vb b ON a.label = 0 AND b.label <> 0 AND a.vec_id < 300 AND b.vec_id < 300 WHERE {_DISTANCE} <= 15")
+@plan(f"WITH {_BITS} SELECT a.vec_id AS l, b.vec_id AS r, CAST({_DISTANCE} AS INTEGER) AS distance FROM vb a JOIN vb b ON a.label = 0 AND b.label <> 0 WHERE {_DISTANCE} <= 15")
 def hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors (of class 0 and of others, the first three hundred) whose 64-bit hashes are within 15 bits."""
-    v = _vector_bits(spark, sf_dir).where("vec_id < 300")
+    """Pairs of vectors (of class 0 and of others) whose 64-bit hashes are within 15 bits."""
+    v = _vector_bits(spark, sf_dir)
     return sim.hamming_pairs(v.where("label = 0").select(F.col("vec_id").alias("id"), "bits"), v.where("label <> 0").select(F.col("vec_id").alias("id"), "bits"), distance=15)
 
 
@@ -208,22 +208,31 @@ _TEXT_BITS = """SELECT {key} AS id, array_to_string(list_transform(range(0, 64),
 (SELECT {key}, list(CAST('0x' || substr(sha1(w), 1, 8) AS BIGINT) % 65) AS s FROM (SELECT DISTINCT {key}, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\w]+')) AS w FROM {table}) GROUP BY {key})"""
 
 
-@plan()
+_TEXTS = "d AS (" + _TEXT_BITS.format(key="doc_id", table="documents") + "), b AS (" + _TEXT_BITS.format(key="item_id", table="benchmark") + ")"
+
+
+@plan(f"WITH {_TEXTS} SELECT DISTINCT a.id AS doc_id FROM d a JOIN b ON {_DISTANCE} <= 14")
 def contamination_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose 64-bit text hash is within 4 bits of a benchmark passage's."""
-    return sim.near_any(_text_bits(fx.read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"), _text_bits(fx.read(spark, sf_dir, "benchmark"), "item_id")).select(F.col("id").alias("doc_id"))
+    """Documents whose 64-bit text hash is within 14 bits of a benchmark passage's."""
+    return sim.near_any(_text_bits(fx.read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"), _text_bits(fx.read(spark, sf_dir, "benchmark"), "item_id"), distance=14).select(F.col("id").alias("doc_id"))
+
 
+@plan(f"WITH {_TEXTS}, p AS (SELECT a.id AS doc_id, b.id AS item FROM d a JOIN b ON {_DISTANCE} <= 14) SELECT doc_id, 'item' || min(item) AS first FROM p GROUP BY doc_id")
+def first_near_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each such document, the first passage (in the order of items) that it is near."""
+    items = _text_bits(fx.read(spark, sf_dir, "benchmark"), "item_id").select(F.concat(F.lit("item"), F.col("id").cast("string")).alias("name"), F.col("id").alias("ord"), "bits")
+    return sim.first_near(_text_bits(fx.read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id"), items, distance=14).select(F.col("id").alias("doc_id"), F.col("name").alias("first"))
 
-@plan(f"""WITH RECURSIVE {_BITS}, e AS (SELECT b.vec_id AS id, a.vec_id AS before FROM vb a JOIN vb b ON a.vec_id < b.vec_id AND b.vec_id < 200 WHERE {_DISTANCE} <= 16),
-n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k FROM vb WHERE vec_id < 200),
+
+@plan(f"""WITH RECURSIVE {_BITS}, e AS (SELECT b.vec_id AS id, a.vec_id AS before FROM vb a JOIN vb b ON a.vec_id < b.vec_id WHERE {_DISTANCE} <= 16),
+n AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k FROM vb),
 g(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT n.k, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.id = n.id AND list_contains(g.kept, e.before)) THEN g.kept ELSE list_append(g.kept, n.id) END FROM g JOIN n ON n.k = g.k + 1)
 SELECT n.id, list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), n.id) AS kept FROM n""")
 def near_dup_greedy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .session import prepared
 
-    v = _vector_bits(prepared(spark), sf_dir).where("vec_id < 200").select(F.col("vec_id").alias("id"), "bits")
-    return sim.greedy_keep(v, sim.hamming_pairs(v, v, distance=16).where("l < r"))
+    return sim.keep_distinct(_vector_bits(prepared(spark), sf_dir).select(F.col("vec_id").alias("id"), "bits"), distance=16)
 
 
 @plan()
@@ -296,23 +305,32 @@ def class_polarity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.capped_balance(x.join(F.broadcast(cap), "class"), F.col("cap"), F.col("event_id"), ["class", "yes"]).select("event_id", "class", "yes")
 
 
-# Parts of question wordings.
-_FRAMES = ("Does this image contain {q} {n}?", "Are there {q} {n} in this image?", "Can you see {q} {n} in this picture?")
-_QUANTIFIERS, _NOUNS, _BANNED = ("any", "visible", ""), ("errors", "flaws", "glitches"), ("are there any errors in this image?",)
+#: Parts of question wordings, and wordings that are kept out of training.
+_FRAMES = ("Do you notice {q} {n} here?", "Would you say that this picture has {q} {n}?", "Has this photo {q} {n}?")
+_QUANTIFIERS, _NOUNS, _BANNED = ("some", "obvious", ""), ("defects", "artefacts", "salient marks", "distortions"), ("has this photo some defects?",)
+_ABSENT = ("Is this picture free of {n}?", "Would you say that this photo has no {n}?")
+
+
+def _listed(name: str, values: tuple[str, ...], column: str) -> str:
+    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + f") {name}({column})"
 
 
-@plan("SELECT DISTINCT question, 1 AS polarity FROM (SELECT replace(replace(replace(f, '{q}', q), '{n}', n), '  ', ' ') AS question FROM (VALUES " + ", ".join(f"('{f}')" for f in _FRAMES) + ") a(f), (VALUES " + ", ".join(f"('{q}')" for q in _QUANTIFIERS) + ") b(q), (VALUES " + ", ".join(f"('{n}')" for n in _NOUNS) + ") c(n)) WHERE lower(question) NOT IN (" + ", ".join(f"'{b}'" for b in _BANNED) + ") AND NOT contains(lower(question), 'salient')")
+@plan(f"""SELECT DISTINCT question, polarity FROM (SELECT replace(replace(replace(f, '{{q}}', q), '{{n}}', n), '  ', ' ') AS question, 1 AS polarity FROM {_listed('a', _FRAMES, 'f')}, {_listed('b', _QUANTIFIERS, 'q')}, {_listed('c', _NOUNS, 'n')}
+UNION ALL SELECT replace(f, '{{n}}', n), -1 FROM {_listed('a', _ABSENT, 'f')}, {_listed('c', _NOUNS, 'n')}) WHERE lower(question) NOT IN ('{_BANNED[0]}') AND NOT contains(lower(question), 'salient')""")
 def templated_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [spark.createDataFrame([(v,) for v in values], f"{name} string") for name, values in (("f", _FRAMES), ("q", _QUANTIFIERS), ("n", _NOUNS))]
-    every = parts[0].crossJoin(parts[1]).crossJoin(parts[2])
+    """Frames filled in with every quantifier and noun, and those of the opposite meaning."""
+    fill = lambda frames, *more: F.explode(F.array(*map(F.lit, frames))).alias("f")
+    positive = spark.range(1).select(fill(_FRAMES)).select("f", F.explode(F.array(*map(F.lit, _QUANTIFIERS))).alias("q")).select("f", "q", F.lit(1).alias("polarity"))
+    negative = spark.range(1).select(fill(_ABSENT)).select("f", F.lit("").alias("q"), F.lit(-1).alias("polarity"))
+    every = positive.unionByName(negative).withColumn("n", F.explode(F.array(*map(F.lit, _NOUNS))))
     text = F.replace(F.replace(F.replace("f", F.lit("{q}"), F.col("q")), F.lit("{n}"), F.col("n")), F.lit("  "), F.lit(" "))
-    return every.select(text.alias("question"), F.lit(1).alias("polarity")).where(~F.lower("question").isin(*_BANNED) & ~F.contains(F.lower("question"), F.lit("salient"))).distinct()
+    return every.select(text.alias("question"), "polarity").where(~F.lower("question").isin(*_BANNED) & ~F.contains(F.lower("question"), F.lit("salient"))).distinct()
 
 
-@plan("SELECT count(*) AS shared FROM (SELECT lower(left(text, 20)) FROM conversations WHERE role = 'user' INTERSECT SELECT lower(left(text, 20)) FROM benchmark)")
+@plan("SELECT count(*) AS shared FROM (SELECT lower(trim(text)) FROM conversations WHERE role = 'user' INTERSECT SELECT lower(trim(text)) FROM benchmark)")
 def heldout_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fx.read(spark, sf_dir, "conversations").where("role = 'user'").select(F.lower(F.substring("text", 1, 20)).alias("w"))
-    held = fx.read(spark, sf_dir, "benchmark").select(F.lower(F.substring("text", 1, 20)).alias("w"))
+    asked = fx.read(spark, sf_dir, "conversations").where("role = 'user'").select(F.lower(F.trim("text")).alias("w"))
+    held = fx.read(spark, sf_dir, "benchmark").select(F.lower(F.trim("text")).alias("w"))
     return asked.intersect(held).agg(F.count("*").alias("shared"))
 
 
@@ -336,13 +354,21 @@ def url_photo_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.read(spark, sf_dir, "pages", "page_id", "url").select("page_id", st.photo_id(F.col("url")).alias("photo"))
 
 
-_QUESTIONS = (("Is the cup red or blue?", "red"), ("Is the cup red or the blue one?", "blue"), ("Is it a cat or a dog?", "a cat"), ("Is this a bus?", "bus"), ("Is the big dog or the cat left?", "cat"))
+_WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
 
 
-@plan("SELECT * FROM (VALUES (0, 'blue'), (1, 'red'), (2, 'dog'), (3, NULL), (4, 'dog')) t(id, other)")
+@plan(f"""WITH w AS (SELECT conv_id, turn, list_filter({_WORDS}, lambda x: x NOT IN ('or', 'the', 'a', 'an')) AS w FROM conversations), q AS (SELECT conv_id, turn, w[1] AS x, w[2] AS y, (conv_id + turn) % 3 AS k FROM w WHERE len(w) > 1)
+SELECT conv_id, turn, CASE WHEN k = 0 THEN y WHEN k = 1 THEN x END AS other, CASE WHEN k < 2 AND (CASE WHEN k = 0 THEN y ELSE x END) NOT LIKE 't%' THEN CASE WHEN k = 0 THEN y ELSE x END END AS known FROM q WHERE x <> y""")
 def named_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(_QUESTIONS)], "id int, q string, a string")
-    return rows.select("id", st.named_alternative(F.col("q"), F.col("a")).alias("other"))
+    """"Is it the X or a Y?" from the first two words of each turn, answered by X, by Y, or by neither; known alternatives are words
+    that don't begin with t."""
+    c = fx.read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda x: ~x.isin("or", "the", "a", "an"))
+    q = c.withColumn("w", words).where("size(w) > 1").select("conv_id", "turn", F.get("w", F.lit(0)).alias("x"), F.get("w", F.lit(1)).alias("y"), ((F.col("conv_id") + F.col("turn")) % 3).alias("k")).where("x <> y")
+    question = F.concat(F.lit("Is it the "), F.col("x"), F.lit(" or a "), F.col("y"), F.lit("?"))
+    answer = F.when(F.col("k") == 0, F.col("x")).when(F.col("k") == 1, F.col("y")).otherwise("neither")
+    known = F.filter(F.array("x", "y"), lambda v: ~v.startswith("t"))
+    return q.select("conv_id", "turn", st.named_alternative(question, answer).alias("other"), st.named_alternative(question, answer, known).alias("known"))
 
 
 @plan("""SELECT conv_id, turn, CASE WHEN length(text) < 40 THEN 'short' WHEN contains(text, ',') THEN 'comma' ELSE 'plain' END AS grp FROM conversations WHERE length(text) < 40 OR contains(text, ',') OR true""")

@@ -87,7 +87,7 @@ def run_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 # Fixed value: how a run directory is named.
-RUN_NAME = r"^([A-Za-z0-9]+)_(.+?)_lr([0-9.e-]+)_s(\d+)(?:_(labels|images))?$"
+RUN_NAME = r"(C\d\w*)_(ep[\d.]+|[\de\-+]+)_(lr[A-Z])_s(\d+)(?:_(\w+))?$"
 
 
 def run_name(name: Column) -> Column:
@@ -98,3 +98,17 @@ def run_name(name: Column) -> Column:
 def class_names(spark: SparkSession, names: list[str]) -> DataFrame:
     """The dimension that class-label metadata of a file stands for."""
     return spark.createDataFrame(list(enumerate(names)), "label int, name string")
+
+
+def tensor_sizes(headers: DataFrame, header: str) -> DataFrame:
+    """parts and bytes: how many tensors a header (JSON text, an entry with its range of bytes for each) lists, and their size."""
+    entries = F.from_json(header, "map<string, struct<data_offsets: array<bigint>>>")
+    ranges = F.filter(F.map_values(F.map_filter(entries, lambda k, v: k != "__metadata__")), lambda v: v["data_offsets"].isNotNull())
+    return headers.withColumn("_r", ranges).withColumn("parts", F.size("_r").cast("long")).withColumn("bytes", F.aggregate("_r", F.lit(0).cast("long"), lambda a, v: a + F.get(v["data_offsets"], F.lit(1)) - F.get(v["data_offsets"], F.lit(0)))).drop("_r")
+
+
+def model_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, header of model files that begin with the header's length (8 bytes, the lowest first) and its JSON text."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    size = F.conv(F.hex(F.reverse(F.substring("content", 1, 8))), 16, 10).cast("int")
+    return files.select("path", F.substring("content", F.lit(9), size).cast("string").alias("header"))

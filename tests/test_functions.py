@@ -85,7 +85,45 @@ def test_text_rules(spark):
     assert (r.d, r.s, r.a, r.g, r.t) == (2, "glasse", "an", "flux", ["don't", "stop-it"])
 
 
-def test_option_layouts():
-    assert st.split_options("What?\nOptions: A: one, two, B: three\nC: four") == {"stem": "What?", "options": ["one, two", "three", "four"]}
-    assert st.split_options("Hint: a letter\nQuestion: Which?\nChoices:\n(A) x\n(B) y") == {"stem": "Which?", "options": ["x", "y"]}
-    assert st.split_options("no options") is None and st.split_options("q Options: A: only") is None and st.split_options("Question: q\nChoices:\n(A) x\n(C) y") is None and st.split_options(None) is None
+def test_option_layouts(spark):
+    cases = [
+        ("What?\nOptions: A: one, two, B: three\nC: four", ("What?", ["one, two", "three", "four"])),
+        ("What is it?\nOptions: A: a cat, on a mat., B: two dogs, C: 3, 4, and 5, D: None", ("What is it?", ["a cat, on a mat.", "two dogs", "3, 4, and 5", "None"])),
+        ("q Options: A: x, C: y, B: z", ("q", ["x, C: y", "z"])),
+        ("Hint: a letter\nQuestion: Which?\nChoices:\n(A) x\n(B) y", ("Which?", ["x", "y"])),
+        ("no options", None), ("q Options: A: only", None), ("Question: q\nChoices:\n(A) x\n(C) y", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(cases)], "i int, q string").select("i", st.parse_options(F.col("q")).alias("o"))
+    assert all((r.o and (r.o.stem, r.o.options)) == cases[r.i][1] for r in df.collect())
+
+
+def test_named_alternative_among_known_answers(spark):
+    known = F.array(*map(F.lit, ("blue", "white", "train", "giraffe", "horse")))
+    rows = [("Is it a giraffe or a horse?", "horse", "giraffe"), ("Is that a train or a bus?", "bus", "train"), ("Is the pizza to the left or to the right of the table the pizza is on?", "left", None), ("Is that a bus or a train?", "train", None)]
+    df = spark.createDataFrame(rows, "q string, a string, want string")
+    assert all(r.want == r.got for r in df.select("want", st.named_alternative(F.col("q"), F.col("a"), known).alias("got")).collect())
+
+
+def test_clashes(spark):
+    rows = [("dogs", "dog", True), ("Grey ", "gray", True), ("lady", "woman", True), ("woman", "lady", True), ("cat", "dog", False), ("glass", "gla", True)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", st.clashes(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_edit_distances_of_word_lists():
+    import random
+
+    def plain(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(plain(a[1:], b) + 1, plain(a, b[1:]) + 1, plain(a[1:], b[1:]) + (a[0] != b[0]))
+
+    r = random.Random(0)
+    pairs = [([r.choice("abc") for _ in range(r.randint(0, 5))], [r.choice("abc") for _ in range(r.randint(0, 5))]) for _ in range(60)]
+    assert st.edit_distances(*map(list, zip(*pairs, strict=True))).tolist() == [plain(a, b) for a, b in pairs]
+
+
+def test_state_and_board(spark):
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    r = one(spark, st.with_state(F.lit(" s "), F.lit("q")).alias("a"), st.with_state(F.lit(None).cast("string"), F.lit("q")).alias("b"), st.json_text(a=F.lit(1), b=F.lit('x"y'), c=F.lit(None).cast("int")).alias("j"), st.board_rows(3, 2, at(0, 0), at(2, 1), F.array(at(0, 0), at(1, 0))).alias("g"), st.candidate_text(F.lit("k"), F.lit("v")).alias("k"))
+    assert (r.a, r.b, r.j, r.g, r.k) == ("s\nq", "q", '{"a": 1, "b": "x\\"y", "c": null}', "Ho.\n..F", "k: v")

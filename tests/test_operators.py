@@ -29,7 +29,7 @@ def frame(spark, hashes):
     return spark.createDataFrame([(i, h - 2**64 if h >> 63 else h) for i, h in enumerate(hashes)], "id long, bits long")
 
 
-@pytest.mark.parametrize("distance", [4, 9])
+@pytest.mark.parametrize("distance", [0, 4, 9, 16])
 def test_banded_join_is_the_nested_loop(spark, distance):
     a, b = near_hashes(200, 1), near_hashes(150, 1)
     want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (x ^ y).bit_count() <= distance}
@@ -50,6 +50,22 @@ def test_greedy_rounds_are_the_loop(spark, seed):
     assert sorted(x.id for x in found.where("kept").collect()) == kept
 
 
+def test_greedy_rounds_with_groups(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice(["p", "q", "r", "s", None]), h) for i, h in enumerate(near_hashes(120, 5))]
+    kept = []
+    for i, p, h in rows:
+        if not any((h ^ g).bit_count() <= 6 or (p is not None and p == o) for _, o, g in kept):
+            kept.append((i, p, h))
+    df = spark.createDataFrame([(i, p, h - 2**64 if h >> 63 else h) for i, p, h in rows], "id long, photo string, bits long")
+    assert sorted(x.id for x in sim.keep_distinct(df, distance=6, group="photo").where("kept").collect()) == [i for i, _, _ in kept]
+    alone = []
+    for i, _, h in rows:
+        if not any((h ^ g).bit_count() <= 6 for _, g in alone):
+            alone.append((i, h))
+    assert sorted(x.id for x in sim.keep_distinct(df, distance=6).where("kept").collect()) == [i for i, _ in alone]
+
+
 def test_exclusion_causes(spark):
     images = spark.createDataFrame([(1, "p1", 0), (2, "p2", 1), (3, "p3", 2**40), (4, "p4", 2**40 + 1), (5, "p3", 2**50 - 1), (6, None, None)], "id long, photo string, bits long")
     evaluation = spark.createDataFrame([("p1", -1), ("zz", 3)], "photo string, bits long")
