@@ -439,8 +439,34 @@ def _cell_bounds(contexts: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(cell, np.arange(n + 1).astype(np.uint64))
 
 
-_SENT = "cell int, block int, sizes binary, contexts binary, n binary, rank binary, count binary, fit binary"
-_BACK = "block int, cell int, sizes binary, n binary, rank binary, count binary, fit binary, tokens long, kinds long"
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as planes of bytes, compressed: counts and the steps between sorted contexts have few bytes that aren't zero."""
+    raw = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    return _CODEC.compress(raw, asbytes=True) if raw else b""
+
+
+def _unpacked(data: bytes, sizes: list[tuple[int, str]]) -> list[np.ndarray]:
+    kinds = [(n, np.dtype(k)) for n, k in sizes]
+    whole = sum(n * k.itemsize for n, k in kinds)
+    raw = np.frombuffer(_CODEC.decompress(data, whole, asbytes=True) if whole else b"", np.uint8)
+    out, at = [], 0
+    for n, k in kinds:
+        out.append(np.ascontiguousarray(raw[at : at + n * k.itemsize].reshape(k.itemsize, n).T).view(k).ravel())
+        at += n * k.itemsize
+    return out
+
+
+_SENT = "cell int, block int, sizes binary, data binary, fit binary"
+_BACK = "block int, cell int, sizes binary, data binary, fit binary, tokens long, kinds long"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(names)})
 
 
 def _send(n: int):
@@ -453,22 +479,19 @@ def _send(n: int):
             some = count > 0
             pairs, count = pairs[some], count[some]
             bounds = _cell_bounds(contexts, n)
+            steps = np.diff(contexts, prepend=_U(0))
+            begin = bounds[:-1][bounds[:-1] < bounds[1:]]
+            steps[begin] = contexts[begin]
             follow = np.bincount(pairs >> 8, minlength=len(contexts)).astype("<u2")
-            parts.append((contexts, follow, (pairs & 255).astype(np.uint8), count.astype("<i8"), bounds, np.searchsorted(pairs, bounds * 256)))
-        out = {k: [] for k in ("cell", "block", "sizes", "contexts", "n", "rank", "count", "fit")}
-        number = t.column("block")[0].as_py()
+            parts.append((steps, follow, (pairs & 255).astype(np.uint8), count.astype("<i8"), bounds.tolist(), np.searchsorted(pairs, bounds * 256).tolist()))
+        del block
+        number, rows = t.column("block")[0].as_py(), []
         for c in range(n):
-            sizes = [int(p[4][c + 1] - p[4][c]) for p in parts]
-            values = {
-                "cell": c, "block": number, "sizes": np.array(sizes, "<i4").tobytes(),
-                "contexts": b"".join(p[0][p[4][c] : p[4][c + 1]].tobytes() for p in parts), "n": b"".join(p[1][p[4][c] : p[4][c + 1]].tobytes() for p in parts),
-                "rank": b"".join(p[2][p[5][c] : p[5][c + 1]].tobytes() for p in parts), "count": b"".join(p[3][p[5][c] : p[5][c + 1]].tobytes() for p in parts), "fit": fit[c::n].astype("<i8").tobytes(),
-            }
-            if sum(sizes) or c < GATES:
-                for k, v in values.items():
-                    out[k].append(v)
-        kinds = {"cell": pa.int32(), "block": pa.int32()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+            own = [[p[k][p[4 + (k > 1)][c] : p[4 + (k > 1)][c + 1]] for p in parts] for k in range(4)]
+            sizes = [*map(len, own[0]), sum(map(len, own[2]))]
+            if any(sizes) or c < GATES:
+                rows.append((c, number, np.array(sizes, "<i4").tobytes(), _packed([np.concatenate(x) for x in own]), fit[c::n].astype("<i8").tobytes()))
+        return _table(rows, _SENT)
 
     return send
 
@@ -477,32 +500,33 @@ def _add(t: pa.Table) -> pa.Table:
     """Sums a cell's counts, and returns to each block those of its contexts."""
     cell, block = t.column("cell")[0].as_py(), t.column("block").to_pylist()
     sizes = np.frombuffer(b"".join(t.column("sizes").to_pylist()), "<i4").reshape(len(block), -1)
-    contexts, follow, rank, count = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("contexts", "<u8"), ("n", "<u2"), ("rank", np.uint8), ("count", "<i8")))
-    kind = np.repeat(np.tile(np.arange(sizes.shape[1]), len(block)), sizes.ravel())
-    # Of different predictors no two contexts are equal but by chance; the predictor is part of the name.
-    _, _, which = _named(tk.mix(contexts + kind.astype(np.uint64) * _SALT))
-    owner = np.repeat(which, follow)
-    pairs, _, pair = _named(owner * 256 + rank)
-    total = np.bincount(pair, count, len(pairs)).astype("<i8")
+    parts = []
+    for own, data in zip(sizes.tolist(), t.column("data").to_pylist(), strict=True):
+        steps, *rest = _unpacked(data, [(sum(own[:-1]), "<u8"), (sum(own[:-1]), "<u2"), (own[-1], "u1"), (own[-1], "<i8")])
+        at = np.cumsum([0, *own[:-1]])
+        # The predictor is part of a context's name.
+        named = [tk.mix(np.cumsum(steps[a:b]) + _U(k) * _SALT) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+        parts.append((np.concatenate(named), *rest))
+    contexts, follow, rank, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    sizes = sizes[:, :-1]
+    first_kind = np.repeat(np.tile(np.arange(sizes.shape[1]) == 0, len(block)), sizes.ravel())
+    _, _, which = _named(contexts)
+    pairs, _, pair = _named((np.repeat(which, follow) * 256 + rank).view(np.uint64))
+    pairs, total = pairs.view(np.int64), np.bincount(pair, count, len(pairs)).astype("<i8")
     first = np.searchsorted(pairs, np.arange(int(which.max(initial=-1)) + 2) * 256)
-    fits = [np.frombuffer(x, "<i8") for x in t.column("fit").to_pylist()]
-    fit = np.sum(fits, axis=0).astype("<i8").tobytes()
+    fit = np.sum([np.frombuffer(x, "<i8") for x in t.column("fit").to_pylist()], axis=0).astype("<i8").tobytes()
     word = np.zeros(len(first) - 1, bool)
-    word[which[kind == 0]] = True
+    word[which[first_kind]] = True
     ends = ((pairs & 255) == _END) & word[pairs >> 8]
-    out = {k: [] for k in ("block", "cell", "sizes", "n", "rank", "count", "fit", "tokens", "kinds")}
-    rows = [(-1, b"", b"", b"", b"", b"", int(total[ends].sum()), int((total[ends] > 0).sum()))]
+    rows = [(-1, cell, b"", b"", b"", int(total[ends].sum()), int((total[ends] > 0).sum()))]
     begin = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
     for i, number in enumerate(block):
         own = which[begin[i] : begin[i + 1]]
         many = first[own + 1] - first[own]
         at = _flat(first[own], many)
-        rows.append((number, sizes[i].astype("<i4").tobytes(), many.astype("<u2").tobytes(), (pairs[at] & 255).astype(np.uint8).tobytes(), total[at].tobytes(), fit, 0, 0))
-    for r in rows:
-        for k, v in zip(out, (r[0], cell, *r[1:]), strict=True):
-            out[k].append(v)
-    kinds = {"block": pa.int32(), "cell": pa.int32(), "tokens": pa.int64(), "kinds": pa.int64()}
-    return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+        rows.append((number, cell, np.array([*sizes[i], len(at)], "<i4").tobytes(), _packed([many.astype("<u2"), (pairs[at] & 255).astype(np.uint8), total[at]]), fit, 0, 0))
+    return _table(rows, _BACK)
 
 
 _SCORED = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "log2": pa.float64()}
@@ -514,9 +538,11 @@ def _tables(block: Block, back: pa.Table, n: int) -> tuple[list[tuple[np.ndarray
     kinds = len(block.contexts)
     fit = np.zeros((GATES, FIT), np.int64)
     parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(kinds)]
-    for c, sizes, follow, rank, count, own in zip(*(back.column(k).to_pylist() for k in ("cell", "sizes", "n", "rank", "count", "fit")), strict=True):
-        cut = np.cumsum(np.frombuffer(sizes, "<i4"))
-        follow, rank, count = np.frombuffer(follow, "<u2").astype(np.int64), np.frombuffer(rank, np.uint8), np.frombuffer(count, "<i8")
+    for c, sizes, data, own in zip(*(back.column(k).to_pylist() for k in ("cell", "sizes", "data", "fit")), strict=True):
+        *sizes, many = np.frombuffer(sizes, "<i4").tolist()
+        cut = np.cumsum(sizes)
+        follow, rank, count = _unpacked(data, [(sum(sizes), "<u2"), (many, "u1"), (many, "<i8")])
+        follow = follow.astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(follow)])
         for k in range(kinds):
             a, b = (cut[k - 1] if k else 0), cut[k]
