@@ -1,10 +1,11 @@
 """Licence scans with a positional index of rare words.
 
-The templates (short passages that identify a licence) are indexed by word: postings (template, position).  A
-word's weight is its inverse document frequency over all scanned documents, counted for the words of
-the templates only, so the table has the size of the templates.  All licence words of a document are
-looked up; a posting votes with its word's weight for (template, document position - template position), and
-places where enough weight agrees are verified: the template's mandatory key phrase must stand there.
+The templates (licence texts, and the notices by which files refer to one) are indexed by word: postings (template, position).
+A word's weight is its inverse document frequency over all scanned documents, counted for the words of the templates only, so the table
+has the size of the templates.  Of each template the ``RARE`` words with the highest weights are indexed, so what a template needs never
+depends on what else stands in a file.  All of a file's words are looked up; a posting votes with its weight for (template,
+document position - template position), and places where enough weight agrees are verified: the template's mandatory key phrases must
+stand there, word by word.
 
 Base labels come from fixed phrases, found as consecutive words.
 """
@@ -12,7 +13,6 @@ Base labels come from fixed phrases, found as consecutive words.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,38 +25,55 @@ from . import textkernel as tk
 # Phrases and their labels, as the contract gives them.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label -> (passage, mandatory key phrases within it)
+#: label -> (text, mandatory key phrases within it): short notices, and the licences' own words.
 TEMPLATES = {
-    "agpl": [("licensed under the gnu affero general public license version 3", ["affero general public license"])],
+    "agpl": [
+        ("licensed under the gnu affero general public license version 3", ["affero general public license"]),
+        ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu affero general public license"]),
+    ],
     "apache-2.0": [
         ("licensed under the apache license version 2 0", ["apache license version 2 0"]),
-        ("you may not use this file except in compliance with the license you may obtain a copy of the license at", ["except in compliance with the license"]),
+        ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["except in compliance with the license", "without warranties or conditions of any kind"]),
     ],
     "bsd": [
-        ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
         ("licensed under the bsd 3 clause license", ["bsd 3 clause"]),
         ("licensed under the bsd 2 clause license", ["bsd 2 clause"]),
+        ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistribution and use in source and binary forms"]),
+        ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ],
+    "bsl-1.0": [("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ["obtaining a copy of the software and accompanying documentation"])],
+    "cc-by-4.0": [("licensed under cc by 4 0", ["cc by 4 0"]), ("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"])],
+    "cc-by-nc-4.0": [("licensed under cc by nc 4 0", ["cc by nc 4 0"]), ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial 4 0"])],
+    "cc-by-sa-4.0": [("licensed under cc by sa 4 0", ["cc by sa 4 0"]), ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike 4 0"])],
+    "cc0": [
+        ("dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"]),
+        ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    ],
+    "gpl-2.0": [
+        ("this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+        ("free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["gnu general public license", "either version 2"]),
     ],
-    "cc-by-4.0": [("licensed under cc by 4 0", ["cc by 4 0"]), ("licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"])],
-    "cc-by-nc-4.0": [("licensed under cc by nc 4 0", ["cc by nc 4 0"]), ("licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial 4 0"])],
-    "cc-by-sa-4.0": [("licensed under cc by sa 4 0", ["cc by sa 4 0"]), ("licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike 4 0"])],
-    "cc0": [("dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"])],
-    "gpl-2.0": [("this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"])],
     "gpl-3.0": [
         ("this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-        ("free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", ["gnu general public license", "either version 3"]),
+        ("free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["gnu general public license", "either version 3"]),
+    ],
+    "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["and or distribute this software for any purpose"])],
+    "lgpl": [
+        ("licensed under the gnu lesser general public license", ["lesser general public license"]),
+        ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
     ],
-    "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["and or distribute this software for any purpose"])],
-    "lgpl": [("licensed under the gnu lesser general public license", ["lesser general public license"])],
     "mit": [
         ("released under the mit license", ["mit license"]),
-        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge"]),
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission is hereby granted free of charge", "and associated documentation files"]),
     ],
-    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"])],
-    "proprietary": [("copyright all rights reserved", ["all rights reserved"])],
-    "unlicense": [("this is free and unencumbered software released into the public domain", ["free and unencumbered software"])],
+    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["mozilla public license"])],
+    "proprietary": [("copyright all rights reserved", ["all rights reserved"]), ("this software is proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited", ["proprietary and confidential"])],
+    "unlicense": [("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free and unencumbered software"])],
+    "zlib": [("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["alter it and redistribute it freely"])],
 }
 
+#: Indexed words of each template.
+RARE = 24
 #: The weight that must agree, as a share.
 AGREEMENT = 0.5
 
@@ -78,16 +95,20 @@ class LicenceIndex:
                 self.keys.append(found)
         self.vocabulary = np.unique(np.array([w for t in self.words for w in t], np.uint64))
         self.phrases = [(tk.hash_words([p], tk.ALNUM_FOLDED)[0], label) for p, label in phrases.items()]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, own in enumerate(self.words):
-            for i, w in enumerate(own):
-                self.postings[int(np.searchsorted(self.vocabulary, np.uint64(w)))].append((t, i))
 
     def weigh(self, df: dict[int, int], documents: int) -> None:
-        """Sets the weights from the number of documents that have each word."""
-        self.weight = np.array([math.log((1 + documents) / (1 + df.get(i, 0))) for i in range(len(self.vocabulary))])
-        at = [np.searchsorted(self.vocabulary, np.array(t, np.uint64)) for t in self.words]
-        self.total = [max(float(self.weight[x].sum()), 1e-9) for x in at]
+        """Sets the weights from the number of documents that have each word, and indexes each template's rarest words."""
+        weight = np.array([math.log((1 + documents) / (1 + df.get(i, 0))) for i in range(len(self.vocabulary))])
+        rows, self.total = [], np.zeros(len(self.words))
+        for t, own in enumerate(self.words):
+            entry = np.searchsorted(self.vocabulary, np.array(own, np.uint64))
+            rare = np.lexsort((np.arange(len(own)), -weight[entry]))[:RARE]
+            self.total[t] = max(float(weight[entry[rare]].sum()), 1e-9)
+            rows += [(int(entry[i]), t, int(i), float(weight[entry[i]])) for i in rare.tolist()]
+        rows.sort()
+        # Postings of a word: template, position and weight, at first[word]:first[word + 1].
+        self.template, self.place, self.weight = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        self.first = np.searchsorted([r[0] for r in rows], np.arange(len(self.vocabulary) + 1))
 
     def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and vocabulary entries of the licence words."""
@@ -96,19 +117,21 @@ class LicenceIndex:
         hit = np.flatnonzero(self.vocabulary[at] == h)
         return hit, at[hit]
 
-    def match(self, h: np.ndarray, position: np.ndarray, entry: np.ndarray) -> tuple[set[str], float]:
-        """Labels of one document's words ``h`` and the best share of a template's weight that agrees in place."""
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for p, e in zip(position.tolist(), entry.tolist(), strict=True):
-            for t, i in self.postings[e]:
-                votes[t, p - i] += float(self.weight[e])
-        labels, best = set(), 0.0
-        for (t, shift), weight in votes.items():
-            share = min(1.0, weight / self.total[t])
-            if share >= AGREEMENT and all(shift + i >= 0 and np.array_equal(h[shift + i : shift + i + len(k)], k) for i, k in self.keys[t]):
-                labels.add(self.labels[t])
-                best = max(best, share)
-        return labels, best
+    def match(self, w: tk.Words, position: np.ndarray, entry: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """(document, label, share of the template's weight that agrees in place) of a group of documents."""
+        many = self.first[entry + 1] - self.first[entry]
+        at = np.repeat(self.first[entry] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        doc = np.searchsorted(w.first, position, "right") - 1
+        # A place is where the template would begin, in words of the group; its document is that of the words which vote.
+        begin = np.repeat(position, many) - self.place[at]
+        vote = np.stack([np.repeat(doc, many), self.template[at], begin], axis=1)
+        places, which = np.unique(vote, axis=0, return_inverse=True) if len(vote) else (vote, np.empty(0, np.int64))
+        share = np.minimum(1.0, np.bincount(which.ravel(), self.weight[at], len(places)) / self.total[places[:, 1]] if len(places) else np.empty(0))
+        for i in np.flatnonzero(share >= AGREEMENT).tolist():
+            d, t, begin = places[i].tolist()
+            low, high = int(w.first[d]), int(w.first[d + 1])
+            if all(begin + k >= low and begin + k + len(key) <= high and np.array_equal(w.h[begin + k : begin + k + len(key)], key) for k, key in self.keys[t]):
+                yield d, self.labels[t], float(share[i])
 
 
 def _frequencies(docs: DataFrame, index: LicenceIndex) -> tuple[dict[int, int], int]:
@@ -161,12 +184,9 @@ def scan_licences(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
                         base[d].add(label)
                 labels, score = [set(x) for x in base], [1.0 if x else 0.0 for x in base]
                 position, entry = index.found(w.h)
-                cut = np.searchsorted(position, w.first)
-                for d in np.flatnonzero(np.diff(cut) > 1).tolist():
-                    own = slice(cut[d], cut[d + 1])
-                    more, best = index.match(w.h[w.first[d] : w.first[d + 1]], position[own] - w.first[d], entry[own])
-                    labels[d] |= more
-                    score[d] = max(score[d], best if more else 0.0)
+                for d, label, share in index.match(w, position, entry):
+                    labels[d].add(label)
+                    score[d] = max(score[d], share)
                 arrays = [
                     batch.column(0).slice(w.lo, n),
                     pa.array(np.diff(w.first)),

@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` words.  Every passage is encoded
 repetition and hashed words, through a learnt layer), gated attention weighs the passages, and the weighted
 sum is scored.  Only documents are labelled; the attention weights are learnt from these labels.
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE`` documents, at most ``SAMPLE_PASSAGES``
-passages each, spread evenly over the text).  Scoring takes all passages of every whole text.
+The model is fitted on a bounded sample of labelled documents (``SAMPLE`` of them, with all their passages).  Scoring takes all
+passages of every whole text.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ from .langid import held_out
 
 PASSAGE = 50
 SAMPLE = 3000
-SAMPLE_PASSAGES = 64
 HASHED = 64
-ENCODED, ATTENTION = 16, 8
-EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
+ENCODED, ATTENTION = 32, 16
+EPOCHS, BATCH, RATE, DECAY = 25, 64, 0.01, 1e-4
 #: A document is predicted to be good from this score on.
 GOOD_FROM = 0.7
 
@@ -152,8 +151,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in tk.words(col, tk.SPACED):
             x, first = encode(col, w)
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                rows = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int))
-                bags.append(x[rows].astype("<f4").tobytes())
+                bags.append(x[a:b].astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary()), batch.column(2)], names=["doc_id", "bag", "label"])
 
 
@@ -161,7 +159,9 @@ def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     """Fits the model on the ``sample`` labelled documents that come first by a hash of their id, none of them held out."""
     named = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out("doc_id"))
     chosen = named.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Of several rows with a labelled id one is learnt from.
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     rows = sorted(rows.mapInArrow(_bags, "doc_id long, bag binary, label int").collect(), key=lambda r: (r.doc_id, bytes(r.bag)))
     if not rows:
         return None

@@ -1,19 +1,20 @@
 """Substring de-duplication by level-wise doubling of word windows.
 
-The first level looks at windows of half the minimum length, and of these only at anchors: a window that has the
+The first level looks at windows of a quarter of the minimum length, and of these only at anchors: a window that has the
 smallest hash of its neighbourhood.  Every stretch of the minimum length contains an anchor, and equal
-stretches contain equal anchors at the same place.  Only anchors that occur more than once go on: they are
-extended to twice their length, which gives the windows of the minimum length around them.  Of those, every
+stretches contain equal anchors at the same place.  Only windows that occur more than once go on, to twice their length: a stretch of
+the minimum length that holds such a window also holds the one that begins with it or the one that ends with it.  So the length is doubled until
+the next one is the minimum itself; then all windows around those that survive are taken, and of equal ones every
 one but the first is removed.  ``repeat_levels`` goes on doubling the windows that repeat until none survives.
 
 Each task first settles the repeats among its own texts, so a window sends at most a row per block of text to
-the shuffle, however many documents share it.  Windows of the minimum length are compared by 128-bit hashes.
+the shuffle, however many documents share it.  Windows of the minimum length are compared by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -27,19 +28,18 @@ from . import textkernel as tk
 WINDOW = 20
 #: Bytes of text whose repeats are settled within a task.
 LOCAL_BYTES = 8 << 20
-_SECOND = np.uint64(0xA24BAED4963EE407)
 #: Document id of rows whose id is null: before all others.
 _NULL_ID = np.int64(-(2**63))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Texts of about ``LOCAL_BYTES`` at a time, with their word hashes and where each text's words begin."""
+def _blocks(batches: Iterator[pa.RecordBatch], *, second: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of about ``LOCAL_BYTES`` at a time, with their word hashes (and second ones) and where each text's words begin."""
     for batch in batches:
         for lo, hi in tk.groups(tk.column(batch.column(1)), LOCAL_BYTES):
             part = batch.slice(lo, hi - lo)
-            found = list(tk.words(tk.column(part.column(1)), tk.SPACED))
+            found = list(tk.words(tk.column(part.column(1)), tk.SPACED, second=second))
             sizes = np.concatenate([np.diff(w.first) for w in found])
-            yield part, np.concatenate([w.h for w in found]), np.concatenate([[0], np.cumsum(sizes)])
+            yield part, np.concatenate([w.h for w in found]), np.concatenate([w.h2 for w in found]), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
@@ -57,11 +57,14 @@ def anchors(h: np.ndarray, first: np.ndarray, half: int, window: int) -> tuple[n
         step = min(width, span - width)
         low = np.minimum(low[:-step], low[step:])
         width += step
-    lowest = low[starts]
-    chosen = np.zeros(len(g), bool)
-    for j in range(span):
-        chosen[starts[g[starts + j] == lowest] + j] = True
-    at = np.flatnonzero(chosen)
+    # Of all windows that hold a place, the largest of the smallest hashes: its own hash just when it is the smallest in one of them.
+    most, width = np.zeros(len(g), np.uint64), 1
+    most[starts] = low[starts]
+    while width < span:
+        step = min(width, span - width)
+        most[step:] = np.maximum(most[step:], most[:-step])
+        width += step
+    at = np.flatnonzero((most == g) & (most > 0))
     return at, g[at]
 
 
@@ -81,13 +84,44 @@ def _rows(doc: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array([table[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())], names=["doc", "values"])
 
 
-def repeated_anchors(docs: DataFrame, half: int, window: int) -> DataFrame:
-    """doc, values: positions of the document's anchors that occur more than once anywhere."""
+def _held_by(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """doc_id, text, values of the documents that have candidates."""
+    return docs.withColumn("key", F.coalesce("doc_id", F.lit(int(_NULL_ID)))).join(candidates, F.col("key") == F.col("doc")).select("doc_id", "text", "values")
+
+
+def _positions(part: pa.RecordBatch, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a block's candidates of some length, and where their texts begin and end.  Of rows that share an id a shorter text
+    may lack some."""
+    found = [np.frombuffer(x, "<i4").astype(np.int64) for x in part.column(2).to_pylist()]
+    at = np.concatenate([x + a for x, a in zip(found, first[:-1].tolist(), strict=True)])
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    real = at + length <= first[row + 1]
+    return at[real], first[row[real]], first[row[real] + 1]
+
+
+def repeated_anchors(docs: DataFrame, length: int, window: int) -> DataFrame:
+    """doc, values: positions of the document's anchors of ``length`` words that occur more than once anywhere."""
+    return _repeated(docs, lambda part, h, first: anchors(h, first, length, window))
+
+
+def repeated_doubles(docs: DataFrame, candidates: DataFrame, length: int) -> DataFrame:
+    """doc, values: positions of the windows of twice the length that begin or end with a candidate and occur more than once."""
+
+    def doubles(part: pa.RecordBatch, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, begin, end = _positions(part, first, length)
+        both = np.unique(np.concatenate([at[at + 2 * length <= end], (at - length)[at - length >= begin]]))
+        return both, tk.grams(h, 2 * length)[both] if len(both) else np.empty(0, np.uint64)
+
+    return _repeated(_held_by(docs, candidates), doubles)
+
+
+def _repeated(docs: DataFrame, pick: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """doc, values: positions of the windows that ``pick`` takes from a block (with their hashes) and that occur more than once anywhere."""
     n = ex.cells(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, h, first in _blocks(batches):
-            at, g = anchors(h, first, half, window)
+        for part, h, _, first in _blocks(batches):
+            at, g = pick(part, h, first)
             if not len(at):
                 continue
             row = np.searchsorted(first, at, "right") - 1
@@ -118,7 +152,6 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, half: int, window:
     """doc, values: word ranges [from, to) of the windows that also start earlier (or, with ``first_too``, of
     all windows that occur more than once)."""
     n = ex.cells(docs)
-    joined = docs.withColumn("key", F.coalesce("doc_id", F.lit(int(_NULL_ID)))).join(candidates, F.col("key") == F.col("doc")).select("doc_id", "text", "values")
 
     def intervals(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
         if not len(doc):
@@ -144,15 +177,11 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, half: int, window:
         return order, later, head, several[group]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, h, first in _blocks(batches):
-            found = [np.frombuffer(x, "<i4").astype(np.int64) for x in part.column(2).to_pylist()]
-            at = np.concatenate([x + a for x, a in zip(found, first[:-1].tolist(), strict=True)])
-            end = np.repeat(first[1:], [len(x) for x in found])
-            at = at[at + half <= end]
-            w = windows_around(at, len(h), first, half, window)
+        for part, h, h2, first in _blocks(batches, second=True):
+            w = windows_around(_positions(part, first, half)[0], len(h), first, half, window)
             if not len(w):
                 continue
-            g, g2 = tk.grams(h, window)[w], tk.grams(tk.mix(h ^ _SECOND), window)[w]
+            g, g2 = tk.grams(h, window)[w], tk.grams(h2, window)[w]
             row = np.searchsorted(first, w, "right") - 1
             doc, start = _ids(part)[row], (w - first[row]).astype(np.int64)
             order, later, head, several = settle(g, g2, doc, start, np.zeros(len(g), bool))
@@ -172,7 +201,7 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, half: int, window:
         d, a, b = np.concatenate([d, ex.array_of(two, 0, np.int64)]), np.concatenate([a, ex.array_of(two, 1, np.int32)]), np.concatenate([b, ex.array_of(two, 2, np.int32)])
         yield ex.packed(0, ex.home(d, n), [d, a, b], 3)
 
-    found = ex.exchanged(joined.mapInArrow(scan, ex.schema(5)), n, reduce, ex.schema(3))
+    found = ex.exchanged(_held_by(docs, candidates).mapInArrow(scan, ex.schema(5)), n, reduce, ex.schema(3))
     return ex.gathered(found, n, [np.int32, np.int32], _rows, "doc long, values binary")
 
 
@@ -189,8 +218,11 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     empty text.  A null id comes before all others; rows that share an id count as one place, so equal
     windows at the same place of such rows do not remove each other.  Other columns are ignored.
     """
-    docs, half = _clean(documents, doc_id, text), max(1, window // 2)
-    marks = repeated_windows(docs, repeated_anchors(docs, half, window), half, window)
+    docs, length = _clean(documents, doc_id, text), max(1, window // 4)
+    survivors = repeated_anchors(docs, length, window)
+    while 2 * length < window:
+        survivors, length = repeated_doubles(docs, survivors, length), 2 * length
+    marks = repeated_windows(docs, survivors, length, window)
     rows = docs.withColumn("key", F.coalesce("doc_id", F.lit(int(_NULL_ID)))).join(marks, F.col("key") == F.col("doc"), "left").select("doc_id", "text", "values")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +253,7 @@ def repeat_levels(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
         if found is None:
             candidates = repeated_anchors(docs, half, window)
         else:
-            starts = F.udf(_starts, "binary")
-            candidates = found.select("doc", starts("values", F.lit(half)).alias("values"))
+            candidates = found.mapInArrow(_starts(half), "doc long, values binary")
         found = repeated_windows(docs, candidates, half, window, first_too=True).checkpoint()
         if found.count() < at_least:
             return out if out is not None else found.select(F.lit(level).alias("level"), F.lit(window).alias("length"), "doc", "values")
@@ -231,7 +262,15 @@ def repeat_levels(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "
         half, window, level = window, 2 * window, level + 1
 
 
-def _starts(values: bytes, size: int) -> bytes:
-    """All windows of ``size`` words inside the ranges."""
-    spans = np.frombuffer(values, "<i4").reshape(-1, 2)
-    return np.unique(np.concatenate([np.arange(a, b - size + 1) for a, b in spans.tolist()])).astype("<i4").tobytes()
+def _starts(size: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows of ``size`` words inside a document's ranges."""
+        for batch in batches:
+            out = []
+            for raw in batch.column(1).to_pylist():
+                spans = np.frombuffer(raw, "<i4").reshape(-1, 2).astype(np.int64)
+                n = spans[:, 1] - spans[:, 0] - size + 1
+                out.append(np.unique(np.repeat(spans[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc", "values"])
+
+    return scan

@@ -1,8 +1,10 @@
-"""A licence is found whatever else the file contains."""
+"""A licence is found whatever else the file contains, and just where a plain search finds it."""
+
+import math
 
 from tabulon.llm import licenses
 
-from .helpers import rows_of, table
+from .helpers import alnum, rows_of, table, texts
 
 
 def test_all_templates_in_one_notice(spark):
@@ -13,3 +15,49 @@ def test_all_templates_in_one_notice(spark):
     for i, (label, _) in enumerate(passages):
         assert label in found[i]["labels"].split(",")
     assert set(found[100]["labels"].split(",")) == set(licenses.TEMPLATES) | set(found[100]["base_labels"].split(","))
+
+
+def plain_labels(docs):
+    """Template by template and place by place: the weight of the rarest words that stand where they should, and the key phrases."""
+    words = {i: alnum(t) for i, t in docs}
+    weight = lambda w: math.log((1 + len(docs)) / (1 + sum(w in set(own) for own in words.values())))
+    rare = []
+    for label, group in sorted(licenses.TEMPLATES.items()):
+        for text, keys in group:
+            own = text.split()
+            chosen = sorted(range(len(own)), key=lambda i, own=own: (-weight(own[i]), i))[: licenses.RARE]
+            rare.append((label, own, keys, {i: weight(own[i]) for i in chosen}))
+    out = {}
+    for i, w in words.items():
+        labels, best = set(), 0.0
+        for label, own, keys, chosen in rare:
+            for begin in range(-len(own), len(w)):
+                got = sum(v for k, v in chosen.items() if 0 <= begin + k < len(w) and w[begin + k] == own[k])
+                share = min(1.0, got / max(sum(chosen.values()), 1e-9))
+                if share < licenses.AGREEMENT:
+                    continue
+                spots = [(next(k for k in range(len(own)) if own[k : k + len(p.split())] == p.split()), p.split()) for p in keys]
+                if all(begin + k >= 0 and w[begin + k : begin + k + len(p)] == p for k, p in spots):
+                    labels.add(label)
+                    best = max(best, share)
+        out[i] = (labels, best)
+    return out
+
+
+def test_labels_are_those_of_a_plain_search(spark):
+    made = [t for t in texts(20, seed=11) if len(t or "") < 2000]
+    for group in licenses.TEMPLATES.values():
+        for text, _ in group:
+            own = text.split()
+            made += ["Note: " + text.title() + ".", " ".join(own[: len(own) // 2]), " ".join([*own[:5], "inserted", *own[5:]])]
+    rows = list(enumerate(made)) + [(900, made[20]), (900, made[20]), (None, "mit license")]
+    found = rows_of(licenses.scan_licences(table(spark, rows)))
+    want = plain_labels([(k, t) for k, (_, t) in enumerate(rows)])
+    by_text = {(i, t): want[k] for k, (i, t) in enumerate(rows)}
+    assert len(found) == len(rows)
+    for r in found:
+        text = dict((i, t) for i, t in rows)[r["doc_id"]]
+        labels, best = by_text[r["doc_id"], text]
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == labels | base
+        assert math.isclose(r["score"], max(best, 1.0 if base else 0.0), abs_tol=1e-9)
