@@ -94,15 +94,20 @@ def mixture_draw(pools: list[tuple[float, Column]], seed: int, operator: str, *k
     return out.otherwise(fallback)
 
 
-def balanced_presence(images: DataFrame, *, seed: int = 0, shards: int | None = None) -> DataFrame:
+#: Shards of images that keep running counts of their own.
+SHARDS = 64
+
+
+def balanced_presence(images: DataFrame, *, seed: int = 0, shards: int = SHARDS) -> DataFrame:
     """image, present (array), absent (array) -> a present class at random, and the absent class that was so far asked with
     "yes" most often more than with "no".
 
     The running counts make this a fold over the images in the order of their draws.  With one shard it is the fold over all
-    of them; with more, each shard of images keeps counts of its own, which balances as well and has no single task.
+    of them; with more, each shard of images keeps counts of its own, which balances as well and has no single task.  The
+    number of shards is part of the operator, not of the session: the answer is the same on any cluster.
     """
     order = hs.keyed_uniform(seed, "fold", F.col("image"))
-    n = shards or 1
+    n = shards
     rows = images.where((F.size("present") > 0) & (F.size("absent") > 0)).withColumn("o", order).withColumn("shard", F.pmod(F.xxhash64("image"), F.lit(n)))
     rows = rows.withColumn("yes", sm.pick(F.array_sort("present"), seed, "present", F.col("image")))
 

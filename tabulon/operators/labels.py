@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Licence ids that allow reuse; rating recodes.
-ALLOWED_LICENCES = (4, 7, 8)
+# Licence ids that allow reuse, with their addresses; rating recodes.
+ALLOWED_LICENCES = {4: "http://creativecommons.org/licenses/by/2.0/", 7: "http://flickr.com/commons/usage/", 8: "http://www.usa.gov/copyright.shtml"}
 RATING_TO_LEVEL = {1: 0, 2: 0, 3: 1, 4: 2, 5: 3, 6: 4, 7: 4}
 
 
+def licence_problem(number: Column, url: Column) -> Column:
+    """Why a licence doesn't allow reuse: its number isn't one of these, or goes with another address; else null."""
+    own = F.element_at(F.create_map(*[F.lit(x) for kv in ALLOWED_LICENCES.items() for x in kv]), F.when(number.isin(*ALLOWED_LICENCES), number).cast("int"))
+    return F.when(~F.coalesce(number.isin(*ALLOWED_LICENCES), F.lit(False)), "licence").when(~own.eqNullSafe(url), "url")
+
+
 def tri_state_flag(confidence: Column) -> Column:
     """1 and 0 however they are written; anything else is an error."""
     value = F.try_cast(confidence, "double") if hasattr(F, "try_cast") else confidence.try_cast("double")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probability as pr
+from .ranking import counted, running
 
 BINS = 15
 
@@ -34,29 +35,34 @@ def calibration_error(items: DataFrame, by: list[str], *, confidence: str = "con
 def auroc(items: DataFrame, by: list[str], *, score: str = "score", positive: str = "positive") -> DataFrame:
     """Area under the ROC curve with ties counted half; NaN where a class is missing.
 
-    Counts per distinct score come first, so the ordered step only sees distinct scores.
+    Counts per distinct score come first; how many negatives lie below each is summed by ranges of scores.
     """
     counts = items.groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("pos"), F.sum((~F.col(positive)).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("won", F.col("pos") * (below + 0.5 * F.col("neg")))
+    ranked = running(counts, by, [score], {"below": F.col("neg")}).withColumn("won", F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
     return ranked.groupBy(*by).agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).otherwise(F.lit(float("nan"))).alias("auroc"))
 
 
 def risk_coverage(items: DataFrame, by: list[str], order: str, *, confidence: str = "conf", correct: str = "correct") -> DataFrame:
     """Mean of the running risk in order of falling confidence."""
-    running = F.avg(1 - F.col(correct)).over(Window.partitionBy(*by).orderBy(F.desc(confidence), order).rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("risk", running).groupBy(*by).agg(F.avg("risk").alias("aurc"))
+    rows = items.select(*by, order, (-F.col(confidence)).alias("_c"), (1 - F.col(correct)).alias("_risk"))
+    found = running(rows, by, ["_c", order], {"wrong": F.col("_risk"), "seen": F.lit(1).cast("long")})
+    return found.groupBy(*by).agg(F.avg((F.col("wrong") + F.col("_risk")) / (F.col("seen") + 1)).alias("aurc"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+def average_ranks(items: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds the rank of ``value`` in its group, from 1; equal values share their mean rank."""
+    places = counted(items, by, value).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
+    match = F.col(f"x.{value}") == F.col(f"y.{value}")
+    for c in by:
+        match = match & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    return items.alias("x").join(places.alias("y"), match).select("x.*", f"y.{name}")
 
 
 def correlations(items: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Spearman (average ranks) and Pearson."""
-    ranked = items.withColumn("rx", average_rank(x, by)).withColumn("ry", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("srcc"), F.corr(x, y).alias("plcc"))
+    rows = items.select(*by, x, y)
+    ranked = average_ranks(average_ranks(rows, by, x, "_rx"), by, y, "_ry")
+    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("srcc"), F.corr(x, y).alias("plcc"))
 
 
 def macro_f1(items: DataFrame, by: list[str], *, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
@@ -68,43 +74,62 @@ def macro_f1(items: DataFrame, by: list[str], *, predicted: str = "predicted", g
     return items.groupBy(*by).agg(((f1(True) + f1(False)) / 2).alias("macro_f1"))
 
 
-def _kernel_gap(conf: np.ndarray, resid: np.ndarray, sigma: float, grid: np.ndarray) -> float:
-    """Integral of the absolute kernel-smoothed residual, the kernel reflected once at 0 and at 1."""
-    total = np.zeros(len(grid))
-    for lo in range(0, len(conf), 4096):
-        c, r = conf[lo : lo + 4096], resid[lo : lo + 4096]
-        for centre in (c, -c, 2 - c):
-            z = (grid[:, None] - centre[None, :]) / sigma
-            total += np.exp(-0.5 * z * z) @ r
-    total /= len(conf) * sigma * np.sqrt(2 * np.pi)
-    return float(np.trapezoid(np.abs(total), grid))
-
-
-def smooth_error(conf: np.ndarray, resid: np.ndarray, points: int = 501, rounds: int = 24) -> float:
-    """Smooth calibration error: the bandwidth at which the smoothed gap equals itself, found by bisection."""
-    grid, low, high = np.linspace(0, 1, points), 1e-4, 1.0
-    least = _kernel_gap(conf, resid, low, grid)
-    if least <= low:
-        return least
-    for _ in range(rounds):
-        middle = (low + high) / 2
-        low, high = (middle, high) if _kernel_gap(conf, resid, middle, grid) > middle else (low, middle)
-    return _kernel_gap(conf, resid, (low + high) / 2, grid)
-
-
-def smooth_calibration_error(items: DataFrame, by: list[str], *, confidence: str = "conf", correct: str = "correct", bins: int = 20000) -> DataFrame:
-    """Equal confidences (to 1 / bins) are merged before they reach a group's task, so its size is bounded by ``bins``;
-    the merged residuals are weighted sums, which the kernel needs."""
-    cell = F.bround(F.col(confidence) * bins)
-    merged = items.groupBy(*by, cell.alias("cell")).agg(F.count("*").alias("n"), F.avg(confidence).alias("c"), F.sum(F.col(correct) - F.col(confidence)).alias("r"))
-
-    def measure(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("c")
-        mean = g["r"].to_numpy() * len(g) / g["n"].sum()
-        return pd.DataFrame([[*g[by].iloc[0], int(g["n"].sum()), smooth_error(g["c"].to_numpy(), mean)]], columns=[*by, "n", "smece"])
-
-    types = dict(items.dtypes)
-    return merged.groupBy(*by).applyInPandas(measure, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, smece double")
+GRID, FINEST, HALVINGS = 501, 1e-4, 24
+
+
+def _smoothed(rows: DataFrame, by: list[str], widths: dict[tuple, float]) -> dict[tuple, float]:
+    """For each group the integral of the absolute kernel-smoothed residual, the kernel reflected once at 0 and at 1.  Every
+    partition sums its own rows at the points of the grid."""
+    grid = np.linspace(0, 1, GRID)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, g in batch.groupby(by, dropna=False) if by else [((), batch)]:
+                key = tuple(None if isinstance(k, float) and np.isnan(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                sigma = widths[key]
+                for low in range(0, len(g), 4096):
+                    c, r = g["c"].to_numpy()[low : low + 4096], g["r"].to_numpy()[low : low + 4096]
+                    out = np.zeros(GRID)
+                    for centre in (c, -c, 2 - c):
+                        z = (grid[:, None] - centre[None, :]) / sigma
+                        out += np.exp(-0.5 * z * z) @ r
+                    total[key] = total.get(key, 0) + np.append(out, g["n"].to_numpy()[low : low + 4096].sum())
+        yield pd.DataFrame([[*k, list(map(float, v))] for k, v in total.items()], columns=[*by, "v"])
+
+    types = dict(rows.dtypes)
+    parts = rows.mapInPandas(sums, ", ".join([*(f"{c} {types[c]}" for c in by), "v array<double>"]))
+    found = parts.select(*by, F.posexplode("v").alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("v")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v")).collect()
+    out = {}
+    for r in found:
+        v = np.array([x.v for x in r.v])
+        key = tuple(r[c] for c in by)
+        out[key] = float(np.trapezoid(np.abs(v[:-1] / (v[-1] * widths[key] * np.sqrt(2 * np.pi))), grid))
+    return out
+
+
+def smooth_calibration_error(items: DataFrame, by: list[str], *, confidence: str = "conf", correct: str = "correct") -> DataFrame:
+    """by, n, smece: the bandwidth at which the smoothed calibration gap equals itself, found by bisection.
+
+    Equal confidences are merged first.  Each halving is one pass over what is left, for all groups at once; a group (of which there are
+    few) returns its sums at the points of a grid, so its rows never meet in one task.
+    """
+    rows = items.groupBy(*by, F.col(confidence).cast("double").alias("c")).agg(F.count("*").alias("n"), F.sum(F.col(correct) - F.col(confidence)).alias("r")).persist()
+    try:
+        size = {tuple(r[c] for c in by): r["_n"] for r in rows.groupBy(*by).agg(F.sum("n").alias("_n")).collect()}
+        finest = _smoothed(rows, by, dict.fromkeys(size, FINEST)) if size else {}
+        open_ = {k: [FINEST, 1.0] for k, v in finest.items() if v > FINEST}
+        for _ in range(HALVINGS if open_ else 0):
+            middle = {k: (a + b) / 2 for k, (a, b) in open_.items()}
+            found = _smoothed(rows, by, {k: middle.get(k, 1.0) for k in size})
+            for k, m in middle.items():
+                open_[k][0 if found[k] > m else 1] = m
+        last = _smoothed(rows, by, {k: sum(open_.get(k, (1.0, 1.0))) / 2 for k in size}) if open_ else {}
+        types = dict(items.dtypes)
+        values = [(*k, n, last[k] if k in open_ else finest[k]) for k, n in size.items()]
+        return items.sparkSession.createDataFrame(values, ", ".join([*(f"{c} {types[c]}" for c in by), "n long", "smece double"]))
+    finally:
+        rows.unpersist()
 
 
 def grouped_bootstrap(items: DataFrame, by: list[str], group: str, value: str, *, repeats: int = 1000, seed: int = 0) -> DataFrame:

@@ -19,6 +19,19 @@ def encoded_length(question: Column, candidates: Column) -> Column:
     return own + F.aggregate(candidates, F.lit(0), lambda a, c: a + F.least(F.size(words(c)), F.lit(CANDIDATE_TOKENS)) + 1)
 
 
+def encoded(question: Column, candidates: Column) -> Column:
+    """ids (words as tokens), pos and cand of a question with its candidates: a start, the question, then each candidate with its end.
+    All candidates begin at the place after the question; cand is -1 in the question."""
+    own = F.concat(F.array(F.lit("CLS")), F.slice(words(question), 1, QUESTION_TOKENS))
+    parts = F.transform(candidates, lambda c: F.concat(F.slice(words(c), 1, CANDIDATE_TOKENS), F.array(F.lit("SEP"))))
+    places = lambda a, first: F.transform(a, lambda x, i: i + first)
+    return F.struct(
+        F.concat(own, F.flatten(parts)).alias("ids"),
+        F.concat(places(own, F.lit(0)), F.flatten(F.transform(parts, lambda p: places(p, F.size(own))))).alias("pos"),
+        F.concat(F.transform(own, lambda x: F.lit(-1)), F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda x: k)))).alias("cand"),
+    )
+
+
 def pack(questions: DataFrame, *, max_length: int = MAX_LENGTH, max_questions: int = MAX_QUESTIONS) -> DataFrame:
     """image, ord, length -> also seq (sequence number within the image) and offset.
 

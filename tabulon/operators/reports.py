@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import counted, quantiles
+
 
 def over_seeds(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and sample deviation (null for one seed), with every seed's value."""
@@ -47,14 +49,16 @@ def agreement(answers: DataFrame, item: str, rater: str, choice: str) -> DataFra
 
 
 def latency(requests: DataFrame, by: list[str], value: str) -> DataFrame:
-    return requests.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.avg(value).alias("mean"), F.count("*").alias("n"))
+    means = requests.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return quantiles(requests, by, value, {"p50": 0.5, "p95": 0.95}).join(means, by).select(*by, "p50", "p95", "mean", "n")
 
 
 def nearest_rank(requests: DataFrame, by: list[str], value: str, q: float = 0.95) -> DataFrame:
     """The value at place int(q n) of the sorted ones (another convention than ``latency``)."""
-    w = Window.partitionBy(*by)
-    place = requests.withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return place.where(F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q)))).select(*by, F.col(value).alias("p95"), F.col("_n").alias("n"))
+    places = counted(requests, by, value)
+    total = places.groupBy(*by).agg(F.sum("n").alias("_all"))
+    k = F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(q)))
+    return places.join(total, by).where((F.col("before") <= k) & (k < F.col("before") + F.col("n"))).select(*by, F.col(value).alias("p95"), F.col("_all").alias("n"))
 
 
 def cost_fit(rows: DataFrame, x1: str, x2: str, y: str) -> DataFrame:

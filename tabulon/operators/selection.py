@@ -84,3 +84,8 @@ def looked_up(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     joined = rows.join(names.withColumn("_found", F.lit(True)), key, "left")
     checked = F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no {key}: "), F.col(key).cast("string"))).cast(dict(rows.dtypes)[key]))
     return joined.withColumn(key, checked).drop("_found")
+
+
+def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key (any struct) none of the known ones has; the keys meet by hash, and are compared whole."""
+    return rows.join(known.select(key).distinct(), key, "left_anti")

@@ -70,13 +70,13 @@ def cache_hits(requests: DataFrame, *, key: str = "key", order: str = "ord", cap
 
     kind = dict(requests.dtypes)[key]
     ends = ranged.select("part", F.col(key).alias("key")).mapInPandas(tail, f"part int, i int, key {kind}").orderBy("part", "i").collect()
+    # A row per range and key, at most ``capacity`` of each range: one pass over them in order.
     begin: dict[int, list] = {}
     state: OrderedDict = OrderedDict()
-    for part in sorted({r.part for r in ends}):
-        begin[part] = list(state)
-        for r in ends:
-            if r.part == part:
-                _use(state, r.key, capacity)
+    for r in ends:
+        if r.part not in begin:
+            begin[r.part] = list(state)
+        _use(state, r.key, capacity)
     at = requests.columns.index(key)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

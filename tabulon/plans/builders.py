@@ -45,14 +45,19 @@ def mixture_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", drawn.alias("picked"))
 
 
-@plan()
-def balanced_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def presence_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as images, with the classes (parts modulo 40) that are present and that are verified as absent."""
     lines = fx.read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 40).alias("c"))
     x = lines.groupBy("image").agg(F.collect_set("c").alias("seen"))
     x = x.select("image", F.filter("seen", lambda c: c % 2 == 0).alias("present"), F.filter("seen", lambda c: c % 2 == 1).alias("absent"))
     # Odd classes stand for verified-absent ones; they are asked about as the even ones before them.
-    x = x.select("image", "present", F.transform("absent", lambda c: c - 1).alias("absent")).select("image", "present", F.array_except("absent", "present").alias("absent"))
-    return bd.balanced_presence(x, shards=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = x.select("image", "present", F.transform("absent", lambda c: c - 1).alias("absent"))
+    return x.select("image", "present", F.array_except("absent", "present").alias("absent"))
+
+
+@plan()
+def balanced_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bd.balanced_presence(presence_images(spark, sf_dir))
 
 
 @plan(f"SELECT doc_id, CAST(least(floor({sql_uniform('level', 'doc_id')} * 5), 4) AS INTEGER) AS level, CASE WHEN least(floor({sql_uniform('level', 'doc_id')} * 5), 4) = 4 THEN 'none' WHEN {sql_uniform('damage', 'doc_id')} < 0.5 THEN 'drop' ELSE 'repeat' END AS damage FROM documents")

@@ -10,10 +10,12 @@ from ..functions import strings as st
 from ..operators import labels as lb
 from ..operators import sampling as sm
 from ..operators import similarity as sim
+from ..operators.ranking import numbered
 from ..sources import fixtures as fx
 from ..sources import schemas
 from ..sources.sinks import pending
 from .registry import plan, sql_number, sql_uniform
+from .session import prepared
 
 def _image() -> Column:
     return F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
@@ -230,16 +232,12 @@ g(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT n.k, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.id = n.id AND list_contains(g.kept, e.before)) THEN g.kept ELSE list_append(g.kept, n.id) END FROM g JOIN n ON n.k = g.k + 1)
 SELECT n.id, list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), n.id) AS kept FROM n""")
 def near_dup_greedy_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .session import prepared
-
     return sim.keep_distinct(_vector_bits(prepared(spark), sf_dir).select(F.col("vec_id").alias("id"), "bits"), distance=16)
 
 
 @plan()
 def eval_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each document goes: its photo id is an evaluation page's, its hash is near a passage's, or it is a near copy."""
-    from .session import prepared
-
     docs = fx.read(prepared(spark), sf_dir, "documents", "doc_id", "text")
     images = _text_bits(docs, "doc_id").withColumn("photo", (F.col("id") % 997).cast("string")).checkpoint()
     evaluation = _text_bits(fx.read(spark, sf_dir, "benchmark"), "item_id").withColumn("photo", F.concat(F.lit("p"), F.col("id").cast("string"))).checkpoint()
@@ -397,10 +395,9 @@ def prefix_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("SELECT doc_id, dense_rank() OVER (ORDER BY first) - 1 AS image_row FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang) AS first FROM documents)")
 def surrogate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense row number per image (here a pair of source and language) in order of first appearance."""
-    d = fx.read(spark, sf_dir, "documents", "doc_id", "source", "lang")
+    d = fx.read(prepared(spark), sf_dir, "documents", "doc_id", "source", "lang")
     images = d.groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
-    rows = images.withColumn("image_row", F.row_number().over(Window.orderBy("first")).cast("long") - 1)
-    return d.join(F.broadcast(rows), ["source", "lang"]).select("doc_id", "image_row")
+    return d.join(numbered(images, ["first"], "image_row"), ["source", "lang"]).select("doc_id", "image_row")
 
 
 @plan("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey IS NOT NULL)")
@@ -415,8 +412,9 @@ def board_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("SELECT p_partkey, coalesce(lead(p_name) OVER (ORDER BY p_partkey), first_value(p_name) OVER (ORDER BY p_partkey)) AS neighbour FROM part WHERE p_size = 10")
 def next_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next of a small pool, the first one after the last."""
-    w = Window.orderBy("p_partkey")
-    return fx.read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").where("p_size = 10").select("p_partkey", F.coalesce(F.lead("p_name").over(w), F.first("p_name").over(w)).alias("neighbour"))
+    p = numbered(fx.read(prepared(spark), sf_dir, "part", "p_partkey", "p_name", "p_size").where("p_size = 10").select("p_partkey", "p_name"), ["p_partkey"]).checkpoint()
+    after = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n")))).select(F.pmod(F.col("place") - 1, F.col("n")).alias("place"), F.col("p_name").alias("neighbour"))
+    return p.join(after, "place").select("p_partkey", "neighbour")
 
 
 @plan("SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")

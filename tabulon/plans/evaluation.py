@@ -12,15 +12,17 @@ from ..operators import calibration as cal
 from ..operators import metrics as mt
 from ..operators import reports as rp
 from ..operators import serving as sv
+from ..operators.ranking import quantiles
 from ..sources import fixtures as fx
 from .registry import SQL_P, plan, sql_items, sql_uniform
+from .session import prepared
 
 _ITEMS = f"WITH {sql_items()}"
 _SCORED = f"{_ITEMS}, s AS (SELECT *, {SQL_P} AS p0, CAST(quality AS DOUBLE) AS y0, greatest({SQL_P}, 1 - {SQL_P}) AS conf, CASE WHEN (gap >= 0) = (quality = 1) THEN 1.0 ELSE 0.0 END::DOUBLE AS correct FROM items)"
 
 
 def _scored(spark: SparkSession, sf_dir: str, slot: str = "noise") -> DataFrame:
-    x = fx.items(spark, sf_dir, slot).withColumn("p", pr.softmax(F.col("logits")))
+    x = fx.items(prepared(spark), sf_dir, slot).withColumn("p", pr.softmax(F.col("logits")))
     return x.withColumn("y", F.col("target")).withColumn("conf", pr.confidence(F.col("p"))).withColumn("correct", pr.correctness(F.col("p"), F.col("target"))).withColumn("positive", F.col("quality") == 1)
 
 
@@ -51,11 +53,9 @@ def softmax_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", _r(F.get(cal.calibrated(F.col("kind"), F.col("logits"), F.lit(2.0), a, F.when(a.isNotNull(), 0.25)), F.lit(0))).alias("p_yes"))
 
 
-@plan(f"{_SCORED} SELECT doc_id, round(p0, 4) AS value, round(conf, 4) AS confidence FROM s WHERE abs(p0 * 10000 - floor(p0 * 10000) - 0.5) > 1e-6")
+@plan(f"{_SCORED} SELECT doc_id, round_even(p0, 4) AS value, round_even(conf, 4) AS confidence FROM s")
 def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _scored(spark, sf_dir)
-    p0 = F.get("p", F.lit(0)) * 10000
-    x = x.where(F.abs(p0 - F.floor(p0) - 0.5) > 1e-6).withColumn("a", sv.answer(F.col("kind"), F.col("p"), F.array(F.lit("yes"), F.lit("no"))))
+    x = _scored(spark, sf_dir).withColumn("a", sv.answer(F.col("kind"), F.col("p"), F.array(F.lit("yes"), F.lit("no"))))
     return x.select("doc_id", F.col("a.value").alias("value"), F.col("a.confidence").alias("confidence"))
 
 
@@ -149,7 +149,7 @@ SELECT lang, round(t, 6) AS threshold, round(avg(CAST(gap >= t AS DOUBLE)), 6) A
 def matched_operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gap that 45% of the bad items reach, and how many good ones of each language do."""
     x = _scored(spark, sf_dir)
-    t = x.where("quality = 0").agg(F.percentile("gap", F.lit(0.55)).alias("t"))
+    t = quantiles(x.where("quality = 0"), [], "gap", {"t": 0.55}).select("t")
     return x.where("quality = 1").crossJoin(F.broadcast(t)).groupBy("lang", "t").agg(_r(F.avg((F.col("gap") >= F.col("t")).cast("double"))).alias("flagged")).select("lang", _r(F.col("t")).alias("threshold"), "flagged")
 
 
@@ -309,12 +309,12 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("SELECT event_type, round(quantile_cont(value, CAST(0.5 AS DOUBLE)), 6) AS p50, round(quantile_cont(value, CAST(0.95 AS DOUBLE)), 6) AS p95, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.latency(fx.read(spark, sf_dir, "events", "event_type", "value"), ["event_type"], "value").select("event_type", *[_r(F.col(c)).alias(c) for c in ("p50", "p95", "mean")], "n")
+    return rp.latency(fx.read(prepared(spark), sf_dir, "events", "event_type", "value"), ["event_type"], "value").select("event_type", *[_r(F.col(c)).alias(c) for c in ("p50", "p95", "mean")], "n")
 
 
 @plan("SELECT event_type, v[1 + least(n - 1, CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT))] AS p95, n FROM (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY event_type)")
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.nearest_rank(fx.read(spark, sf_dir, "events", "event_type", "value"), ["event_type"], "value")
+    return rp.nearest_rank(fx.read(prepared(spark), sf_dir, "events", "event_type", "value"), ["event_type"], "value")
 
 
 @plan("""WITH x AS (SELECT CAST(p_size AS DOUBLE) AS a, CAST(p_partkey % 17 AS DOUBLE) AS b, p_retailprice AS y FROM part),

@@ -9,12 +9,19 @@ from ..functions import hashing as hs
 from ..functions import probability as pr
 from ..functions import strings as st
 from ..operators import builders as bd
+from ..operators import labels as lb
 from ..operators import packing as pk
+from ..operators import ranking as rk
 from ..operators import reports as rp
 from ..operators import selection as sl
+from ..operators import similarity as sim
 from ..sources import files
 from ..sources import fixtures as fx
+from .curation import _DISTANCE
+from .curation import _TEXTS as _PASSAGES
+from .curation import _text_bits as text_bits
 from .registry import plan, sql_items, sql_uniform
+from .session import prepared
 
 _GENERATORS = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 
@@ -139,12 +146,11 @@ def question_phrasing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEQUENCES = """t AS (SELECT conv_id AS seq, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) AS n, turn + 1 AS block FROM conversations)"""
 
 
-def _sequence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every turn as a token, two candidates of one token each per turn, two image tokens and one of padding per conversation:
     seq, pos, block, cand."""
     c = fx.read(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("n", F.size(pk.words(F.col("text"))))
     block = (F.col("turn") + 1).cast("int").alias("block")
-    own = F.transform(F.sequence(F.lit(1), F.col("n") + 2), lambda i: F.greatest(i - F.col("n") - 1, F.lit(-1)))
     text = c.select(F.col("conv_id").alias("seq"), block, F.posexplode(F.concat(F.array_repeat(F.lit(-1), F.col("n")), F.array(F.lit(0), F.lit(1)))).alias("pos", "cand"))
     rest = c.select(F.col("conv_id").alias("seq")).distinct().select("seq", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.lit(p).alias("pos")) for b, p in ((0, 0), (0, 1), (-1, 0))])).alias("x")).select("seq", "x.block", "x.pos", F.lit(-1).alias("cand"))
     return text.select("seq", "pos", "block", "cand").unionByName(rest.select("seq", "pos", "block", "cand"))
@@ -152,14 +158,14 @@ def _sequence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"WITH {_SEQUENCES} SELECT seq, sum(n + 2) + 2 AS input_tokens, CAST(0 AS BIGINT) AS output_tokens FROM t GROUP BY seq")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pk.used_tokens(_sequence_tokens(spark, sf_dir), ["seq"])
+    return pk.used_tokens(sequence_tokens(spark, sf_dir), ["seq"])
 
 
 @plan(f"""WITH {_SEQUENCES}, k AS (SELECT seq, block, n + 2 AS n FROM t) SELECT seq, CAST(block AS INTEGER) AS block, sum(least(i, 4) + least(n - 1 - i, 4) + 1) AS sees FROM (SELECT seq, block, n, unnest(range(0, n)) AS i FROM k) GROUP BY 1, 2""")
 def windowed_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens of its own block each block's tokens see in a window of eight: within half of it to either side.  Only the places
     within reach are joined."""
-    t = _sequence_tokens(spark, sf_dir).where("block > 0").select("seq", "block", "pos")
+    t = sequence_tokens(spark, sf_dir).where("block > 0").select("seq", "block", "pos")
     near = t.withColumn("at", F.explode(F.sequence(F.col("pos") - 4, F.col("pos") + 4))).where(pk.within_window(F.col("at") - F.col("pos"), 8))
     return near.join(t.select("seq", "block", F.col("pos").alias("at")), ["seq", "block", "at"]).groupBy("seq", "block").agg(F.count("*").alias("sees"))
 
@@ -238,3 +244,51 @@ def header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = lines.groupBy("l_orderkey").agg(F.collect_list("v").alias("v"))
     header = F.concat(F.lit('{"__metadata__":{"format":"pt"},'), F.array_join(F.transform("v", lambda x, i: F.concat(F.lit('"t'), i.cast("string"), F.lit('":'), x)), ","), F.lit("}"))
     return files.tensor_sizes(entries.select("l_orderkey", header.alias("header")), "header").select("l_orderkey", "parts", "bytes")
+
+
+@plan("""SELECT doc_id, id, CASE WHEN id NOT IN (4, 7, 8) THEN 'licence' WHEN url <> CASE id WHEN 4 THEN 'http://creativecommons.org/licenses/by/2.0/' WHEN 7 THEN 'http://flickr.com/commons/usage/' ELSE 'http://www.usa.gov/copyright.shtml' END THEN 'url' END AS problem
+FROM (SELECT doc_id, doc_id % 9 AS id, CASE WHEN doc_id % 9 = 7 THEN 'http://flickr.com/commons/usage/' WHEN doc_id % 9 = 8 THEN 'http://www.usa.gov/copyright.shtml' ELSE 'http://creativecommons.org/licenses/by/2.0/' END || CASE WHEN doc_id % 25 = 0 THEN 'x' ELSE '' END AS url FROM documents)""")
+def licence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences by number, each of which must go with its own address."""
+    i = F.col("doc_id") % 9
+    url = F.concat(F.when(i == 7, lb.ALLOWED_LICENCES[7]).when(i == 8, lb.ALLOWED_LICENCES[8]).otherwise(lb.ALLOWED_LICENCES[4]), F.when(F.col("doc_id") % 25 == 0, "x").otherwise(""))
+    return fx.read(spark, sf_dir, "documents", "doc_id").select("doc_id", i.alias("id"), lb.licence_problem(i, url).alias("problem"))
+
+
+@plan(f"""WITH {_PASSAGES}, p AS (SELECT DISTINCT b.id % 4 AS bench, a.id AS doc_id FROM d a JOIN b ON {_DISTANCE} <= 14), n AS (SELECT id % 4 AS bench, count(*) AS images FROM b GROUP BY 1)
+SELECT n.bench, images, count(doc_id) AS near, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)), '') AS ids FROM n LEFT JOIN p ON p.bench = n.bench GROUP BY 1, 2""")
+def overlap_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation set (items by id modulo 4): its images, and the documents whose hash is near one of them."""
+    items = text_bits(fx.read(spark, sf_dir, "benchmark"), "item_id").withColumn("bench", F.col("id") % 4)
+    docs = text_bits(fx.read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
+    near = sim.hamming_pairs(items, docs, distance=14).join(items.select(F.col("id").alias("l"), "bench"), "l").groupBy("bench").agg(F.collect_set(F.col("r").cast("string")).alias("ids"))
+    sets = items.groupBy("bench").agg(F.count("*").alias("images")).join(near, "bench", "left")
+    return sets.select("bench", "images", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("near"), F.coalesce(F.array_join(F.array_sort("ids"), ","), F.lit("")).alias("ids"))
+
+
+@plan("""SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders t WHERE t.o_orderkey % 10 = 0 AND t.o_custkey % 7 = o.o_custkey % 7 AND t.o_orderstatus = o.o_orderstatus AND t.o_orderpriority = o.o_orderpriority) AND o.o_orderkey % 10 <> 0""")
+def board_struct_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards that no training board equals in body and food (here a struct of three columns)."""
+    o = fx.read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    key = F.struct(F.array((F.col("o_custkey") % 7).alias("x")).alias("body"), F.struct("o_orderstatus", "o_orderpriority").alias("food")).alias("board")
+    boards = o.select("o_orderkey", key)
+    return sl.unseen(boards.where("o_orderkey % 10 <> 0"), boards.where("o_orderkey % 10 = 0"), "board").select("o_orderkey")
+
+
+@plan("""SELECT conv_id, turn, len(w) + 5 AS length, CAST(len(w) + 1 AS BIGINT) AS own, 'CLS ' || array_to_string(w, ' ') || ' yes SEP no SEP' AS ids, CAST(len(w) * (len(w) + 1) // 2 + 4 * len(w) + 6 AS DOUBLE) AS places
+FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')[1:128] AS w FROM conversations)""")
+def encoded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question as tokens, places, and the candidate that each belongs to; all candidates begin at the place after the question."""
+    c = fx.read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    e = pk.encoded(F.col("text"), F.array(F.lit("yes"), F.lit("no")))
+    total = F.aggregate(e["pos"], F.lit(0).cast("long"), lambda a, x: a + x)
+    return c.select("conv_id", "turn", F.size(e["ids"]).cast("long").alias("length"), F.size(F.filter(e["cand"], lambda x: x < 0)).cast("long").alias("own"), F.array_join(e["ids"], " ").alias("ids"), total.cast("double").alias("places"))
+
+
+@plan("""WITH p AS (SELECT list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS x, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
+SELECT round(quantile_cont(d / sqrt(x), CAST(0.1 AS DOUBLE)), 6) AS p10, round(quantile_cont(d / sqrt(x), CAST(0.5 AS DOUBLE)), 6) AS p50, round(quantile_cont(d / sqrt(x), CAST(0.9 AS DOUBLE)), 6) AS p90, count(*) AS n FROM p""")
+def change_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.read(prepared(spark), sf_dir, "embeddings", "vec_id", "embedding")
+    p = e.where("vec_id % 2 = 0").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after")), "vec_id")
+    q = rk.quantiles(rp.vector_change(p, "embedding", "after"), [], "change", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return q.select(*[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")], "n")

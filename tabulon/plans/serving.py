@@ -10,6 +10,7 @@ from ..operators import serving as sv
 from ..sources import fixtures as fx
 from ..streaming import rolling
 from .registry import plan
+from .selection import sequence_tokens
 from .session import prepared
 
 _LENGTHS = "q AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, least(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')), 128) + 5 AS len FROM conversations)"
@@ -27,34 +28,26 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.pack(c.select(F.col("conv_id").alias("image"), F.col("turn").alias("ord"), length.alias("length")))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tokens of the first conversations: seq, pos, block, cand (the last two of a block are candidates)."""
-    c = fx.read(spark, sf_dir, "conversations").where("conv_id < 40 and turn < 3")
-    t = c.select(F.col("conv_id").alias("seq"), (F.col("turn") + 1).cast("int").alias("block"), F.posexplode(F.array(F.lit(-1), F.lit(-1), F.lit(0), F.lit(1))).alias("at", "cand"))
-    text = t.select("seq", ((F.col("block") - 1) * 4 + F.col("at") + 2).cast("int").alias("pos"), "block", "cand")
-    image = c.select(F.col("conv_id").alias("seq")).distinct().select("seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"), F.lit(0).alias("block"), F.lit(-1).alias("cand"))
-    pad = c.select(F.col("conv_id").alias("seq")).distinct().select("seq", F.lit(99).alias("pos"), F.lit(-1).alias("block"), F.lit(-1).alias("cand"))
-    return text.unionByName(image).unionByName(pad)
-
-
-@plan("""WITH c AS (SELECT conv_id AS seq, turn FROM conversations WHERE conv_id < 40 AND turn < 3),
-t AS (SELECT seq, turn * 4 + i + 2 AS pos, turn + 1 AS block, CASE i WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE -1 END AS cand FROM c, range(0, 4) r(i)
-UNION ALL SELECT DISTINCT seq, i, 0, -1 FROM c, range(0, 2) r(i) UNION ALL SELECT DISTINCT seq, 99, -1, -1 FROM c)
-SELECT a.block, a.cand, count(*) AS sees FROM t a JOIN t b ON a.seq = b.seq AND ((b.block = 0 AND a.block >= 0) OR (a.block > 0 AND a.block = b.block AND (a.cand < 0 OR b.cand < 0 OR a.cand = b.cand)) OR a.pos = b.pos) GROUP BY 1, 2""")
+@plan("""WITH c AS (SELECT conv_id AS seq, turn + 1 AS block, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) AS n FROM conversations),
+t AS (SELECT *, row_number() OVER () AS id FROM (SELECT seq, block, -1 AS cand FROM c, range(0, 100000) r(i) WHERE i < n UNION ALL SELECT seq, block, k FROM c, (VALUES (0), (1)) v(k)
+UNION ALL SELECT seq, 0, -1 FROM (SELECT DISTINCT seq FROM c), range(0, 2) r(i) UNION ALL SELECT DISTINCT seq, -1, -1 FROM c))
+SELECT a.block, a.cand, CAST(count(*) AS BIGINT) AS sees FROM t a JOIN t b ON a.seq = b.seq AND ((b.block = 0 AND a.block >= 0) OR (a.block > 0 AND a.block = b.block AND (a.cand < 0 OR b.cand < 0 OR a.cand = b.cand)) OR a.id = b.id) GROUP BY 1, 2""")
 def visibility_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tokens(spark, sf_dir)
-    v = pk.visible(t).join(t.select("seq", "pos", "block", "cand"), ["seq", "pos"])
-    return v.groupBy(F.col("block").cast("long").alias("block"), "cand").agg(F.count("*").alias("sees"))
+    """How many tokens the tokens of each place see: every word of every turn, two candidates a turn, two image tokens and one of
+    padding a conversation.  Counted from the sizes of blocks, without the pairs."""
+    v = pk.seen_by_block(sequence_tokens(spark, sf_dir))
+    return v.groupBy(F.col("block").cast("long").alias("block"), "cand").agg(F.sum("sees").alias("sees"))
 
 
 @plan(f"""WITH {_LENGTHS}, s AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM q)
-SELECT conv_id, turn, CAST(i AS INTEGER) AS at, CAST(start + i AS BIGINT) AS pos FROM s, range(0, 3) r(i)""")
+SELECT conv_id, turn, CAST(i AS INTEGER) AS at, CAST(start + i AS BIGINT) AS pos FROM (SELECT conv_id, turn, start, unnest(range(0, len)) AS i FROM s)""")
 def collate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form: the place of each question's first three tokens in its conversation's sequence."""
+    """Long form: the place of each question's every token in its conversation's sequence."""
     c = fx.read(spark, sf_dir, "conversations")
     length = pk.encoded_length(F.col("text"), F.array(F.lit("yes"), F.lit("no")))
     start = F.coalesce(F.sum(length.cast("long")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.select("conv_id", "turn", start.alias("start")).withColumn("at", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select("conv_id", "turn", "at", (F.col("start") + F.col("at")).alias("pos"))
+    placed = c.select("conv_id", "turn", start.alias("start"), length.alias("n"))
+    return placed.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("conv_id", "turn", "at", (F.col("start") + F.col("at")).alias("pos"))
 
 
 @plan("""SELECT event_id, CASE WHEN k % 7 = 0 THEN 'text' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'kind' WHEN event_type = 'view' AND k < 2 THEN 'options' WHEN event_type = 'purchase' AND (k < 2 OR k > 10) THEN 'levels' END AS problem

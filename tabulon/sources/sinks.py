@@ -41,18 +41,25 @@ def fingerprint(df: DataFrame, key: str) -> DataFrame:
 
 def reuse_or_write(df: DataFrame, path: str, key: str, value: str, *, probes: int = 3, tolerance: float = 0.02) -> DataFrame:
     """A cached table if its fingerprint agrees and ``probes`` rows are within ``tolerance`` (root mean square); else it is
-    written anew (a fresh folder, then the fingerprint)."""
+    written anew.
+
+    Rows go to a folder named by their own digest, and the fingerprint that names the folder is appended last: a run
+    that fails leaves the older rows and fingerprint as they were, and readers only see whole tables.
+    """
     spark = df.sparkSession
-    now, before, old = fingerprint(df, key).first(), _existing(spark, f"{path}/fingerprint"), _existing(spark, f"{path}/rows")
-    if before is not None and old is not None and tuple(before.first()) == tuple(now):
+    now, log = fingerprint(df, key).first(), _existing(spark, f"{path}/fingerprint")
+    before = None if log is None else log.orderBy(F.desc("version")).first()
+    if before is not None and (before["n"], before["digest"]) == (now["n"], now["digest"]):
+        old = spark.read.parquet(f"{path}/rows/{before['version']}")
         few = df.orderBy(F.xxhash64(key), key).limit(probes)
         gap = F.zip_with(f"a.{value}", f"b.{value}", lambda x, y: (x - y) * (x - y))
         off = few.alias("a").join(old.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}")).select(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) / F.size(gap)).alias("rms")).agg(F.max("rms"), F.count("*")).first()
         if off[1] == few.count() and (off[0] or 0) <= tolerance:
             return old
-    df.write.mode("overwrite").parquet(f"{path}/rows")
-    fingerprint(df, key).write.mode("overwrite").parquet(f"{path}/fingerprint")
-    return spark.read.parquet(f"{path}/rows")
+    version = 1 + (before["version"] if before is not None else 0)
+    df.write.mode("overwrite").parquet(f"{path}/rows/{version}")
+    spark.createDataFrame([(version, now["n"], now["digest"])], "version long, n long, digest string").coalesce(1).write.mode("append").parquet(f"{path}/fingerprint")
+    return spark.read.parquet(f"{path}/rows/{version}")
 
 
 def markdown(df: DataFrame, decimals: int = 3) -> str:

@@ -12,8 +12,11 @@ from tabulon.operators import packing as pk
 from tabulon.operators import reports as rp
 from tabulon.operators import sampling as sm
 from tabulon.operators import serving as sv
+from tabulon.operators import ranking as rk
 from tabulon.operators import similarity as sim
 
+from . import plain
+
 
 def near_hashes(n, seed=0):
     r, out = random.Random(seed), []
@@ -86,36 +89,48 @@ def test_ranking_metrics(spark):
     assert risk.aurc == 0.25
 
 
-def test_smooth_error_orders_and_merging(spark):
+def test_smooth_error_is_the_plain_one(spark):
     r = np.random.default_rng(0)
-    conf = r.uniform(0.05, 0.95, 3000)
-    good, bad = (r.uniform(size=3000) < conf).astype(float), (r.uniform(size=3000) < conf**2).astype(float)
-    a, b = mt.smooth_error(conf, good - conf), mt.smooth_error(conf, bad - conf)
-    assert a < 0.03 < b
-    df = spark.createDataFrame([("x", float(c), float(y)) for c, y in zip(conf, bad, strict=True)], "g string, conf double, correct double")
-    assert abs(mt.smooth_calibration_error(df, ["g"]).first().smece - b) < 2e-3
-
-
-def test_fits_recover():
+    conf = np.round(r.uniform(0.05, 0.95, 600), 3)
+    good, bad = (r.uniform(size=600) < conf).astype(float), (r.uniform(size=600) < conf**2).astype(float)
+    rows = [(g, float(c), float(y)) for g, ys in (("good", good), ("bad", bad), (None, bad)) for c, y in zip(conf, ys, strict=True)]
+    found = {x.g: (x.n, x.smece) for x in mt.smooth_calibration_error(spark.createDataFrame(rows, "g string, conf double, correct double"), ["g"]).collect()}
+    for g, y in (("good", good), ("bad", bad), (None, bad)):
+        assert found[g][0] == 600 and abs(found[g][1] - plain.smooth_error(conf, y - conf)) < 1e-6
+    assert found["good"][1] < 0.08 < found["bad"][1]
+
+
+def test_ranges_are_windows(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([0.5, 1.5, r.random()]), i, r.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, i long, w double")
+    for x in rk.running(df, ["g"], ["v", "i"], {"s": F.col("w"), "k": F.lit(1)}).collect():
+        before = [y for y in rows if y[0] == x.g and (y[1], y[2]) < (x.v, x.i)]
+        assert x.k == len(before) and abs(x.s - sum(y[3] for y in before)) < 1e-9
+    q = {x.g: x for x in rk.quantiles(df, ["g"], "v", {"m": 0.5, "h": 0.95}).collect()}
+    for g in ("a", "b", None):
+        own = [y[1] for y in rows if y[0] == g]
+        assert q[g].n == len(own) and np.allclose([q[g].m, q[g].h], np.percentile(own, [50, 95]))
+    assert sorted(x.place for x in rk.numbered(df, ["i"]).collect()) == list(range(300))
+
+
+def test_fits_are_the_least_losses(spark):
     r = np.random.default_rng(1)
-    z = r.normal(size=(4000, 3))
+    z = r.normal(size=(1500, 3))
     p = np.exp(z)
     p /= p.sum(axis=1, keepdims=True)
     y = np.eye(3)[[r.choice(3, p=q) for q in p]]
-    assert abs(cal.best_temperature(list(3 * z), list(y)) - 3) < 0.45
-    gap = r.normal(size=6000) * 2
-    share = (r.uniform(size=6000) < 1 / (1 + np.exp(-(2 * gap - 1.5)))).astype(float)
-    a, b = cal.best_platt(gap, share)
-    assert abs(a - 2) < 0.2 and abs(b + 1.5) < 0.2
-    assert cal.best_platt(gap, 1 - share)[0] == 0.0
-
-
-def test_temperature_over_rows(spark):
-    r = np.random.default_rng(2)
-    z = r.normal(size=(300, 2)) * 2
-    y = [[1.0, 0.0] if u < 1 / (1 + np.exp(-(a - b) / 2)) else [0.0, 1.0] for (a, b), u in zip(z, r.uniform(size=300), strict=True)]
-    df = spark.createDataFrame([([float(v) for v in a], b) for a, b in zip(z, y, strict=True)], "logits array<double>, target array<double>")
-    assert abs(cal.golden_temperature(df, rounds=14) - cal.best_temperature(list(z), y)) < 0.05
+    gap = r.normal(size=1500) * 2
+    share = (r.uniform(size=1500) < 1 / (1 + np.exp(-(2 * gap - 1.5)))).astype(float)
+    rows = [("c", "choice", [float(v) for v in 3 * a], [float(v) for v in b]) for a, b in zip(z, y, strict=True)]
+    for name, s in (("n", share), ("m", 1 - share)):
+        rows += [(name, "noul", [float(g), 0.0], [float(v), 1 - float(v)]) for g, v in zip(gap, s, strict=True)]
+    found = {x.g: x for x in cal.fit(spark.createDataFrame(rows, "g string, kind string, logits array<double>, target array<double>"), ["g"]).collect()}
+    assert abs(found["c"].temperature - plain.best_temperature(3 * z, y)) < 1e-4 and found["c"].a is None and found["c"].n == 1500
+    a, b = plain.best_platt(gap, share)
+    assert abs(found["n"].a - a) < 1e-5 and abs(found["n"].b - b) < 1e-5 and abs(a - 2) < 0.3
+    mean = float((1 - share).mean())
+    assert found["m"].a == 0.0 and abs(found["m"].b - np.log(mean / (1 - mean))) < 1e-9
 
 
 def test_bootstrap_is_the_generator_s(spark):
