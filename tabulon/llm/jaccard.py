@@ -1,20 +1,25 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is its set of distinct 5-word shingles.  Documents with equal sets form a class, and one
-document stands for it.  The global order of shingles is cut into fragments (ranges of their hash); overlaps are counted
+document stands for it.  The global order of shingles (that of their hashes) is cut into fragments; overlaps are counted
 in each fragment on its own and summed per pair of documents:
 
-1. Filter.  A pair that links shares four fifths of either set.  For half of the fragments it is counted how many
+1. Filter.  A pair that links shares four fifths of either set.  For half of the order it is counted how many
    shingles of each document occur in another one; a document with too many that don't can't link.
 2. Candidates.  For the documents left, shingles are ordered from rare to frequent.  Two that link share one
    of their rarest fifth, so documents that share none, not even through others, are never compared.
-3. Overlaps.  The documents of a candidate group are dealt into blocks, and for each pair of blocks
-   the overlaps of all pairs are summed fragment by fragment as products of incidence matrices.  A block pair
-   returns a spanning forest of its links, at most one edge per document, never the pairs.
-4. Components of the links.
-
-A group of near copies that holds a third of all rows is so spread over many block pairs and sends no more rows
-than it has documents for each block.
+3. Overlaps with the first.  Every document of a candidate group is paired with the group's first one.  Sets are cut into
+   ``FRAGMENTS`` pieces, pieces of one fragment meet by a join, and the partial overlaps are summed per pair.  This is linear
+   in the group, and of a group of near copies it leaves but those that aren't linked to the first.
+4. Overlaps of the rest.  The documents that it leaves are compared with each other and with those that are linked (which are not compared
+   among themselves any more).  Both are dealt into blocks, and for each pair of blocks the overlaps of all pairs are summed
+   fragment by fragment as products of incidence matrices.  A block pair returns a spanning forest of its links, at most one
+   edge per document, never the pairs.
+5. Components of the links.
+
+A group of near copies that holds a third of all rows so sends its sets once, and again for each ``BLOCK`` documents that aren't
+linked to its first one.  Only a group whose documents share rare shingles without linking to the first costs the square
+of what is left.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from .exact import first_of_equal, row_key
 SHINGLE = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Pieces of a set, by ranges of the shingles' hash.
+FRAGMENTS = 8
 #: Documents of a candidate group compared at once, and shingles of a fragment in an incidence matrix.
 BLOCK = 1024
 FRAGMENT = 2048
@@ -202,6 +209,41 @@ def _prefixes(percent: int):
     return rare
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts sets (component, doc, n, g) at the borders of the fragments: component, fragment, doc, n, piece."""
+    edges = np.array([k * (2**64 // FRAGMENTS) for k in range(1, FRAGMENTS)], np.uint64)
+    for batch in batches:
+        rows: list[tuple] = []
+        for component, doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("component", "doc", "n", "g")), strict=True):
+            g = np.frombuffer(raw, np.uint64)
+            cut = np.searchsorted(g, edges).tolist()
+            rows += [(component, f, doc, n, raw[8 * a : 8 * b]) for f, (a, b) in enumerate(zip([0, *cut], [*cut, len(g)], strict=True)) if b > a]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["component", "fragment", "doc", "n", "piece"])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlaps of pairs of pieces."""
+    for batch in batches:
+        pairs = zip(batch.column("piece").to_pylist(), batch.column("first").to_pylist(), strict=True)
+        shared = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(shared, pa.int64())], names=["doc", "shared"])
+
+
+def _near_first(members: DataFrame, percent: int) -> DataFrame:
+    """doc, component, linked: is a document of a group linked to the group's first one (which is its component)?"""
+    pieces = members.select("component", "doc", "n", "g").mapInArrow(_pieces, "component long, fragment int, doc long, n long, piece binary")
+    first = pieces.where("doc = component").select("component", "fragment", F.col("piece").alias("first"))
+    shared = pieces.where("doc <> component").join(first, ["component", "fragment"]).select("doc", "piece", "first").mapInArrow(_partial, "doc long, shared long")
+    shared = shared.groupBy("doc").agg(F.sum("shared").alias("shared"))
+    sizes = members.select("doc", "component", "n")
+    leads = sizes.where("doc = component").select("component", F.col("n").alias("m"))
+    rows = sizes.join(leads, "component").join(shared, "doc", "left")
+    o = F.coalesce("shared", F.lit(0))
+    linked = (F.col("doc") == F.col("component")) | ((100 * o >= percent * (F.col("n") + F.col("m") - o)) & (o > 0))
+    return rows.select("doc", "component", linked.alias("linked"))
+
+
 def _links(percent: int):
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         """A spanning forest of the links between two blocks (or within one)."""
@@ -217,7 +259,7 @@ def _links(percent: int):
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         place = np.zeros(len(doc), np.int64)
         place[left], place[right] = np.arange(len(left)), np.arange(len(right))
-        overlap = np.zeros((len(left), len(right)), np.float32)
+        overlap = np.zeros((len(left), len(right)), np.int64)
         order = np.argsort(column, kind="stable")
         rows, column = rows[order], column[order]
         for begin in range(0, int(column[-1]) + 1 if len(column) else 0, FRAGMENT):
@@ -229,7 +271,8 @@ def _links(percent: int):
                 m = np.zeros((size, FRAGMENT), np.float32)
                 m[place[r[own]], c[own]] = 1
                 part.append(m)
-            overlap += part[0] @ part[1].T
+            # A fragment's products are small whole numbers, which float32 holds exactly; their sum needs more.
+            overlap += (part[0] @ part[1].T).astype(np.int64)
         union = n[left][:, None] + n[right][None, :] - overlap
         linked = (100 * overlap >= percent * union) & (overlap > 0)
         label = doc.astype(np.int64).copy()
@@ -278,11 +321,18 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     prefixes = sets.groupBy("block").cogroup(_frequencies(sets, n).groupBy("block")).applyInArrow(_prefixes(percent), "g long, doc long").checkpoint()
     least = prefixes.groupBy("g").agg(F.min("doc").alias("v"), F.max("doc").alias("w")).where("v < w").select("g", "v")
     group = connected(prefixes.join(least, "g").select(F.col("doc").alias("u"), "v"))
-    size = group.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = group.join(size, "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64(F.col("node") + 1), F.col("blocks")).cast("int").alias("own"))
-    dealt = sets.drop("block").join(dealt, "doc").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    members = sets.drop("block").join(group.select(F.col("node").alias("doc"), "component"), "doc")
+    near = _near_first(members, percent).checkpoint()
+    role = F.when(F.col("linked"), "linked").otherwise("rest")
+    size = near.groupBy("component").agg(F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("rests"), F.ceil(F.count_if(F.col("linked")) / BLOCK).cast("int").alias("links")).where("rests > 0")
+    # Blocks of the rest come first; they meet all blocks, those of linked documents only them.
+    own = F.pmod(F.xxhash64(F.col("doc") + 1), F.when(role == "rest", F.col("rests")).otherwise(F.col("links"))) + F.when(role == "rest", 0).otherwise(F.col("rests"))
+    last = F.when(role == "rest", F.col("rests") + F.col("links")).otherwise(F.col("rests")) - 1
+    dealt = near.join(size, "component").select("doc", "component", own.cast("int").alias("own"), F.sequence(F.lit(0), last).alias("others"))
+    dealt = sets.drop("block").join(dealt, "doc").withColumn("other", F.explode("others"))
     dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("block"), "doc", "n", "g")
     links = dealt.groupBy("component", "low", "high").applyInArrow(_links(percent), "u long, v long")
+    links = links.unionByName(near.where("linked and doc <> component").select(F.col("doc").alias("u"), F.col("component").alias("v")))
     linked = connected(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(reps, ["f1", "f2", "n"], "left").join(linked, "rep", "left")
     rows = named.select("n", F.coalesce("component", "rep").alias("class"), F.explode("members").alias("doc_id"))

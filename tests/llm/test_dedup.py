@@ -90,6 +90,36 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, seed, words, block):
     assert len(found) == len(rows)
 
 
+def test_jaccard_ties_of_huge_sets():
+    """Four fifths exactly, where 100 times the overlap is beyond what a single float holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    small, large = 268_436, 335_545
+    g = np.sort(np.random.default_rng(0).choice(2**40, large, replace=False).astype(np.uint64))
+    for n, want in ((small, 1), (small - 1, 0)):
+        rows = pa.table({"component": [0, 0], "low": [0, 0], "high": [0, 0], "doc": [1, 2], "n": [n, large], "block": [0, 0], "g": [g[:n].tobytes(), g.tobytes()]})
+        found = jaccard._links(80)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), rows)
+        assert found.num_rows == want
+
+
+def test_jaccard_group_of_near_copies(spark, monkeypatch):
+    """A large group of different near copies, some of which aren't linked to the first."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(r.randint(0, 5)):
+            own[r.randrange(120)] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    found = rows_of(jaccard.near_duplicates(table(spark, rows)))
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == plain_jaccard(rows)
+
+
 def test_jaccard_empty_null_and_repeated_rows(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
     rows = [(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "A  B c"), (8, ""), (9, None)]
