@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Makes checkpoint() write to the folder that the cluster names; only where none is named (as in
-    tests), a folder of this machine is used."""
+    """Makes checkpoint() write to the folder that the cluster names; where none is named, a folder of this machine is
+    used if all executors are threads of it (as in tests), and it is an error otherwise."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints"))
     return spark
 
 

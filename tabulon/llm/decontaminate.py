@@ -5,8 +5,9 @@ Training texts are scanned once; a position whose window hash is in the set is v
 item's words, and every word inside a verified occurrence is hit.
 
 The broadcast is used only while the items' text stays below ``BROADCAST_BYTES``.  Beyond it the items
-are processed in successive slices of that size (each slice is one broadcast and one scan) and the slices'
-spans are merged per document, so memory stays bounded for any benchmark.
+are processed in successive slices of that size, one at a time: each is collected, broadcast, scanned for, and given up before the
+next.  Long items are cut into parts that overlap by a window less one word, so a slice is bounded whatever the items are.
+Rows are numbered once, and the slices' spans merged by row.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from . import textkernel as tk
 
 WINDOW = 10
 BROADCAST_BYTES = 32 << 20
+#: Words of an item that are held together.
+PART_WORDS = 50_000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -34,7 +39,7 @@ def _normal(raw: bytes) -> bytes:
 class WindowSet:
     """The hash set of the items' windows, by window length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
         for item, text in items:
             parts = _WORD.findall((text or "").encode().lower())
@@ -68,20 +73,36 @@ class WindowSet:
                 yield np.array(positions), size, items
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, str | None]]]:
-    """The items in lists whose text stays below the limit; one list is held by the driver per scan."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
+def _parts(window: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Items in normal form, long ones in overlapping parts with the same windows."""
+        for batch in batches:
+            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = _WORD.findall(raw.encode().lower())
+                step = max(PART_WORDS, window)
+                texts = [b" ".join(parts[a : a + step + window - 1]).decode() for a in range(0, max(len(parts) - window + 1, 1), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts), pa.string()), pa.array(texts, pa.string())], names=["i", "t"])
+
+    return cut
+
+
+def _slices(benchmark: DataFrame, item: str, text: str, limit: int, window: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in lists whose text stays below the limit, one at a time; an item without an id is an item of its own."""
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(_parts(window), "i string, t string").where("t <> ''")
     total = rows.select(F.sum(F.octet_length("t") + 8)).first()[0] or 0
     n = int(total // limit) + 1
-    if n == 1:
-        return [[(r.i if r.i is not None else "null", r.t) for r in rows.collect()]]
-    cut = rows.withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(2 * n)))
-    return [[(r.i if r.i is not None else "null", r.t) for r in cut.where(F.col("s") == k).collect()] for k in range(2 * n)]
+    n = 1 if n == 1 else 2 * n
+    cut = rows.withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    for k in range(n):
+        yield [(r.i, r.t) for r in cut.where(F.col("s") == k).collect()]
 
 
-def hit_spans(documents: DataFrame, windows: WindowSet, doc_id: str, text: str) -> DataFrame:
+def _by_name(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is not None, x or ""))
+
+
+def hit_spans(documents: DataFrame, shared: Broadcast[WindowSet], doc_id: str, text: str) -> DataFrame:
     """Per document: its number of words, the merged hit spans [from, to) in words, and the items found."""
-    shared = documents.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +129,7 @@ def hit_spans(documents: DataFrame, windows: WindowSet, doc_id: str, text: str)
                 for d, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True):
                     spans[d].append({"a": x - int(w.first[d]), "b": y - int(w.first[d])})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.lo, n), pa.array(np.diff(w.first)), pa.array(spans, SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    [batch.column(0).slice(w.lo, n), pa.array(np.diff(w.first)), pa.array(spans, SPANS), pa.array([_by_name(x) for x in items], pa.list_(pa.string()))],
                     names=["doc_id", "n_words", "spans", "items"],
                 )
 
@@ -131,17 +152,25 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     """One row per document: doc_id, n_words, spans (hit word ranges), items (ids as strings, sorted).
 
     A null or empty text has no words and no hits; a null or empty item has no window.  Repeated rows are
-    scanned each on its own.  Repeated items count once per item id.  Other columns are ignored.
+    scanned each on its own.  Repeated items count once per item id; an item without an id counts, but has no name.
+    Other columns are ignored.
     """
-    parts = _slices(benchmark, item_id, item_text, broadcast_bytes)
-    if len(parts) == 1:
-        return hit_spans(documents, WindowSet(parts[0], window), doc_id, text)
+    sc, parts = documents.sparkSession.sparkContext, _slices(benchmark, item_id, item_text, broadcast_bytes, window)
+    part, more = next(parts), next(parts, None)
+    if more is None:
+        return hit_spans(documents, sc.broadcast(WindowSet(part, window)), doc_id, text)
+    # Fixed by the checkpoint: every scan sees the same numbers.
+    keyed = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()).checkpoint()
     rows = None
-    keyed = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    for part in parts:
-        found = hit_spans(keyed, WindowSet(part, window), "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    for own in chain((part, more), parts):
+        shared = sc.broadcast(WindowSet(own, window))
+        found = hit_spans(keyed, shared, "row", "text")
+        found = (found if rows is None else found.where("size(items) > 0")).checkpoint()
+        shared.unpersist()
         rows = found if rows is None else rows.unionByName(found)
-    return rows.groupBy("doc_id", F.expr("row")).agg(F.max("n_words").alias("n_words"), _merged(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("row")
+    merged = rows.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), _merged(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    by_name = F.concat(F.filter("items", lambda x: x.isNull()), F.array_sort(F.array_compact("items")))
+    return keyed.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", "spans", by_name.alias("items"))
 
 
 def digest(result: DataFrame) -> DataFrame:
@@ -152,8 +181,9 @@ def digest(result: DataFrame) -> DataFrame:
 
 def without_benchmark(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents in which no window of a test item occurs, with all their columns."""
-    for part in _slices(benchmark, kw.get("item_id", "item_id"), kw.get("item_text", "text"), kw.get("broadcast_bytes", BROADCAST_BYTES)):
-        documents = _without(documents, WindowSet(part, kw.get("window", WINDOW)), kw.get("text", "text"))
+    window = kw.get("window", WINDOW)
+    for part in _slices(benchmark, kw.get("item_id", "item_id"), kw.get("item_text", "text"), kw.get("broadcast_bytes", BROADCAST_BYTES), window):
+        documents = _without(documents, WindowSet(part, window), kw.get("text", "text"))
     return documents
 
 

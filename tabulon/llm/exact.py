@@ -68,6 +68,7 @@ def _representatives(block: int):
                     held += len(text) + 200
                 else:
                     known[0].append(doc)
+                    held += 16
                     if (doc is not None, doc or 0) >= known[1][:2]:
                         known[1] = max(known[1], (doc is not None, doc or 0, hashlib.sha256(raw).hexdigest()))
                 if held > FOLD_BYTES:
@@ -101,7 +102,8 @@ def identities(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             break
         pairs = state.where("n > 1").groupBy("uid", F.expr("idx div 2").cast("int").alias("half"), F.expr("(n + 1) div 2").cast("int").alias("n"))
         pairs = pairs.agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
-        state = _named(pairs.withColumnRenamed("half", "idx"), ["left", "right"])
+        # Each level is written, so a lost executor repeats one level and not all.
+        state = _named(pairs.withColumnRenamed("half", "idx"), ["left", "right"]).checkpoint()
         longest, level = (longest + 1) // 2, level + 1
     return done.join(heads, "uid")
 

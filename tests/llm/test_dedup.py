@@ -174,8 +174,9 @@ def plain_decontamination(rows, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 300])
-def test_decontamination_equals_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "part"), [(32 << 20, 50_000), (300, 50_000), (300, 11)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, limit, part):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part)
     docs = texts(50, seed=9)
     items = [(1, docs[20]), (12, docs[21]), (2, "w1 w2"), (3, ""), (4, None), (5, "É"), (6, docs[20])]
     rows = list(enumerate(docs)) + [(900, "x " + (docs[20] or "").upper() + " y"), (901, "W1-W2, w1 w2")]
@@ -185,6 +186,15 @@ def test_decontamination_equals_brute_force(spark, limit):
     assert got == plain_decontamination(rows, items) and len(found) == len(rows)
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 30])
+def test_decontamination_repeated_rows_and_items_without_id(spark, limit):
+    items = spark.createDataFrame([(None, "some secret words"), ("null", "other words"), ("null", "other words")], "item_id string, text string")
+    rows = [(1, "other words and some secret words"), (1, "other words and some secret words"), (None, "Other-words"), (1, "clean")]
+    found = rows_of(decontaminate.digest(decontaminate.decontaminate(table(spark, rows), items, broadcast_bytes=limit)))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in found)
+    assert got == sorted([("1", 6, 5, 2, sha("null"))] * 2 + [("None", 2, 2, 1, sha("null")), ("1", 1, 0, 0, sha(""))])
+
+
 def test_decontamination_without_items_and_removal(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["contaminated"] for r in rows_of(decontaminate.digest(decontaminate.decontaminate(table(spark, [(1, "a"), (2, None)]), none)))} == {False}
