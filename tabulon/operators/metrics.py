@@ -74,12 +74,12 @@ def macro_f1(items: DataFrame, by: list[str], *, predicted: str = "predicted", g
     return items.groupBy(*by).agg(((f1(True) + f1(False)) / 2).alias("macro_f1"))
 
 
-GRID, FINEST, HALVINGS = 501, 1e-4, 24
+GRID, FINEST, HALVINGS, AHEAD = 501, 1e-4, 24, 3
 
 
-def _smoothed(rows: DataFrame, by: list[str], widths: dict[tuple, float]) -> dict[tuple, float]:
-    """For each group the integral of the absolute kernel-smoothed residual, the kernel reflected once at 0 and at 1.  Every
-    partition sums its own rows at the points of the grid."""
+def _smoothed(rows: DataFrame, by: list[str], widths: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
+    """For each group and each of its bandwidths the integral of the absolute kernel-smoothed residual, the kernel reflected once at 0
+    and at 1.  Every partition sums its own rows at the points of the grid."""
     grid = np.linspace(0, 1, GRID)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,14 +87,14 @@ def _smoothed(rows: DataFrame, by: list[str], widths: dict[tuple, float]) -> dic
         for batch in batches:
             for key, g in batch.groupby(by, dropna=False) if by else [((), batch)]:
                 key = tuple(None if isinstance(k, float) and np.isnan(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                sigma = widths[key]
                 for low in range(0, len(g), 4096):
                     c, r = g["c"].to_numpy()[low : low + 4096], g["r"].to_numpy()[low : low + 4096]
-                    out = np.zeros(GRID)
+                    out = np.zeros((len(widths[key]), GRID))
                     for centre in (c, -c, 2 - c):
-                        z = (grid[:, None] - centre[None, :]) / sigma
-                        out += np.exp(-0.5 * z * z) @ r
-                    total[key] = total.get(key, 0) + np.append(out, g["n"].to_numpy()[low : low + 4096].sum())
+                        z = (grid[:, None] - centre[None, :]) ** 2
+                        for k, sigma in enumerate(widths[key]):
+                            out[k] += np.exp(z * (-0.5 / sigma**2)) @ r
+                    total[key] = total.get(key, 0) + np.append(out.ravel(), g["n"].to_numpy()[low : low + 4096].sum())
         yield pd.DataFrame([[*k, list(map(float, v))] for k, v in total.items()], columns=[*by, "v"])
 
     types = dict(rows.dtypes)
@@ -104,27 +104,37 @@ def _smoothed(rows: DataFrame, by: list[str], widths: dict[tuple, float]) -> dic
     for r in found:
         v = np.array([x.v for x in r.v])
         key = tuple(r[c] for c in by)
-        out[key] = float(np.trapezoid(np.abs(v[:-1] / (v[-1] * widths[key] * np.sqrt(2 * np.pi))), grid))
+        smooth = np.abs(v[:-1].reshape(-1, GRID)) / (v[-1] * np.array(widths[key])[:, None] * np.sqrt(2 * np.pi))
+        out[key] = [float(x) for x in np.trapezoid(smooth, grid, axis=1)]
     return out
 
 
 def smooth_calibration_error(items: DataFrame, by: list[str], *, confidence: str = "conf", correct: str = "correct") -> DataFrame:
     """by, n, smece: the bandwidth at which the smoothed calibration gap equals itself, found by bisection.
 
-    Equal confidences are merged first.  Each halving is one pass over what is left, for all groups at once; a group (of which there are
-    few) returns its sums at the points of a grid, so its rows never meet in one task.
+    Equal confidences are merged first.  A pass over what is left tries the next ``AHEAD`` halvings of all groups at once; a group (of
+    which there are few) returns its sums at the points of a grid, so its rows never meet in one task.
     """
     rows = items.groupBy(*by, F.col(confidence).cast("double").alias("c")).agg(F.count("*").alias("n"), F.sum(F.col(correct) - F.col(confidence)).alias("r")).persist()
+
+    def ahead(low: float, high: float, depth: int) -> list[float]:
+        """The middles that the next halvings may come by."""
+        middle = (low + high) / 2
+        return [middle, *ahead(low, middle, depth - 1), *ahead(middle, high, depth - 1)] if depth else []
+
     try:
         size = {tuple(r[c] for c in by): r["_n"] for r in rows.groupBy(*by).agg(F.sum("n").alias("_n")).collect()}
-        finest = _smoothed(rows, by, dict.fromkeys(size, FINEST)) if size else {}
+        finest = {k: v[0] for k, v in _smoothed(rows, by, {k: [FINEST] for k in size}).items()} if size else {}
         open_ = {k: [FINEST, 1.0] for k, v in finest.items() if v > FINEST}
-        for _ in range(HALVINGS if open_ else 0):
-            middle = {k: (a + b) / 2 for k, (a, b) in open_.items()}
-            found = _smoothed(rows, by, {k: middle.get(k, 1.0) for k in size})
-            for k, m in middle.items():
-                open_[k][0 if found[k] > m else 1] = m
-        last = _smoothed(rows, by, {k: sum(open_.get(k, (1.0, 1.0))) / 2 for k in size}) if open_ else {}
+        for _ in range(HALVINGS // AHEAD if open_ else 0):
+            tried = {k: ahead(*open_[k], AHEAD) if k in open_ else [1.0] for k in size}
+            found = _smoothed(rows, by, tried)
+            for k, ends in open_.items():
+                gap = dict(zip(tried[k], found[k], strict=True))
+                for _ in range(AHEAD):
+                    middle = (ends[0] + ends[1]) / 2
+                    ends[0 if gap[middle] > middle else 1] = middle
+        last = {k: v[0] for k, v in _smoothed(rows, by, {k: [sum(open_.get(k, (1.0, 1.0))) / 2] for k in size}).items()} if open_ else {}
         types = dict(items.dtypes)
         values = [(*k, n, last[k] if k in open_ else finest[k]) for k, n in size.items()]
         return items.sparkSession.createDataFrame(values, ", ".join([*(f"{c} {types[c]}" for c in by), "n long", "smece double"]))

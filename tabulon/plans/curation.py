@@ -161,15 +161,19 @@ def _holding(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = benchmark.where("text is not null").select("item_id", F.col("text").alias("passage")).withColumn("p", F.split("passage", r"\s+"))
     total = bench.select(F.sum(F.octet_length("passage") + 8)).first()[0] or 0
     n = int(total // _BROADCAST_BYTES) + 1
-    words = documents.where("text is not null").withColumn("w", F.split("text", r"\s+"))
+    words = documents.where("text is not null").select("doc_id", F.split("text", r"\s+").alias("w"))
     grams = F.when(F.size("w") > 3, F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " ")))
-    keyed = words.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key"))
+    # Keys travel without their text; it is fetched for the few pairs whose keys agree.
+    keyed = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
     found = None
     for k in range(n):
         part = bench.where(F.pmod(F.xxhash64("passage"), F.lit(n)) == k)
         long = part.where(F.size("p") > 5).select("item_id", "passage", F.array_join(F.slice("p", 2, 4), " ").alias("key"))
         short = part.where(F.size("p") <= 5).select("item_id", "passage")
-        for pairs in (keyed.join(F.broadcast(long), "key"), documents.join(F.broadcast(short), F.contains("text", F.col("passage")))):
+        alike = keyed.join(F.broadcast(long.select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
+        texts = documents.alias("d").join(alike.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))).select("d.doc_id", "text", F.col("a.item_id").alias("i"))
+        by_key = texts.join(F.broadcast(long.select("item_id", "passage")), F.col("i").eqNullSafe(F.col("item_id")))
+        for pairs in (by_key, documents.join(F.broadcast(short), F.contains("text", F.col("passage")))):
             pairs = pairs.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
             found = pairs if found is None else found.unionByName(pairs)
     return found
