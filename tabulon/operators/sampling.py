@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.hashing import keyed_uniform
 
 
+def shuffle_key(seed: int, key: str) -> Column:
+    """What a shuffled order sorts by (then by the key)."""
+    return keyed_uniform(seed, "shuffle", F.col(key))
+
+
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
-    return df.orderBy(keyed_uniform(seed, "shuffle", F.col(key)), key)
+    return df.orderBy(shuffle_key(seed, key), key)
 
 
 def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
