@@ -193,11 +193,11 @@ _BITS = """vb AS (SELECT vec_id, label, array_to_string(list_transform(range(1,
 _DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END))"
 
 
-@plan(f"WITH {_BITS} SELECT a.vec_id AS l, b.vec_id AS r, CAST({_DISTANCE} AS INTEGER) AS distance FROM vb a JOIN vb b ON a.label = 0 AND b.label <> 0 WHERE {_DISTANCE} <= 15")
+@plan(f"WITH {_BITS} SELECT a.vec_id AS l, b.vec_id AS r, CAST({_DISTANCE} AS INTEGER) AS distance FROM vb a JOIN vb b ON a.label = 0 AND b.label <> 0 WHERE {_DISTANCE} <= 17")
 def hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors (of class 0 and of others) whose 64-bit hashes are within 15 bits."""
+    """Pairs of vectors (of class 0 and of others) whose 64-bit hashes are within 17 bits."""
     v = _vector_bits(spark, sf_dir)
-    return sim.hamming_pairs(v.where("label = 0").select(F.col("vec_id").alias("id"), "bits"), v.where("label <> 0").select(F.col("vec_id").alias("id"), "bits"), distance=15)
+    return sim.hamming_pairs(v.where("label = 0").select(F.col("vec_id").alias("id"), "bits"), v.where("label <> 0").select(F.col("vec_id").alias("id"), "bits"), distance=17)
 
 
 def _text_bits(df: DataFrame, key: str) -> DataFrame:

@@ -98,3 +98,12 @@ def test_stream_cache_state(spark, events):
             held.move_to_end(r.event_type)
             if len(held) > 2:
                 held.popitem(last=False)
+
+
+def test_model_headers(spark, tmp_path):
+    import json
+
+    header = json.dumps({"__metadata__": {"format": "pt"}, "a": {"dtype": "F32", "shape": [2], "data_offsets": [0, 8]}, "b": {"dtype": "F16", "shape": [3], "data_offsets": [8, 14]}}).encode()
+    (tmp_path / "m.safetensors").write_bytes(len(header).to_bytes(8, "little") + header + bytes(14))
+    (r,) = files.tensor_sizes(files.model_headers(spark, str(tmp_path)), "header").collect()
+    assert (r.parts, r.bytes) == (2, 14)
