@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact, jaccard, langid, licenses, mixing, packing, quality, substring, urls
+from . import chat, decontaminate, exact, jaccard, langid, licenses, mixing, negatives, packing, quality, substring, urls, viewing
 from .cluster import table
 
 
@@ -50,6 +51,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: What a made-up conversation -7 says in both of its turns.
+AWKWARD = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(AWKWARD).alias("text"))
+    return chat.digest(chat.render(chat.reconstruct(chat.log_of(rows.unionByName(two)))))
+
+
+def op12_view_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewing.maintained(spark, *[table(spark, sf_dir, name) for name in ("sale_lines", "sales", "clients", "vendors", "nation")])
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
@@ -57,6 +77,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: The unsigned crc32 of an ASCII text t.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+lambda acc, c: list_reduce(list_prepend(xor(acc, c), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _lived(table: str, key: str) -> str:
+    return f"(SELECT * EXCLUDE (t, h), CASE WHEN h % 7 < (h // 7) % 7 THEN h % 7 ELSE -1 END AS a, CASE WHEN h % 7 < (h // 7) % 7 THEN (h // 7) % 7 ELSE 7 END AS d FROM (SELECT *, {_CRC} AS h FROM (SELECT *, {key} AS t FROM {table})))"
+
+
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 SQL = {
@@ -99,6 +128,29 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op10_exact_dedup": f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, {_FOLD} AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
+    "op11_chat_formatting": rf"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-7, 0, 'user', '{AWKWARD}'), (-7, 1, 'assistant', '{AWKWARD}')),
+t AS (SELECT conv_id, turn, role, text, replace(replace(role, '\', '\\'), '<|', '<\|') AS r, replace(replace(text, '\', '\\'), '<|', '<\|') AS x FROM rows),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(length('<|start|>' || r || '<|text|>' || x || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""",
+    "op12_view_maintenance": f"""
+WITH l AS (SELECT sale_id, item_id, vendor_id, a, d, CAST(floor(100 * amount + 0.5) * (100 - floor(100 * discount + 0.5)) AS BIGINT) AS cents FROM {_lived("sale_lines", "'l' || sale_id || ':' || line_no")} WHERE amount IS NOT NULL),
+s AS (SELECT sale_id, client_id, a, d, date_diff('day', DATE '1970-01-01', CAST(sold_at AS DATE)) AS part FROM {_lived("sales", "'s' || sale_id")} WHERE sold_at IS NOT NULL),
+c AS (SELECT client_id, a, d, n_regionkey FROM {_lived("clients", "'c' || client_id")} JOIN nation ON nation_id = n_nationkey),
+v AS (SELECT vendor_id, n_regionkey FROM vendors JOIN nation ON nation_id = n_nationkey),
+j AS (SELECT c.n_regionkey AS region, part, cents, client_id, item_id, greatest(l.a, s.a, c.a) AS a, least(l.d, s.d, c.d) AS d
+FROM l JOIN s USING (sale_id) JOIN c USING (client_id) JOIN v ON v.vendor_id = l.vendor_id AND v.n_regionkey = c.n_regionkey)
+SELECT CAST(b AS INTEGER) AS batch, region, part, count(*) AS n_lines, CAST(sum(cents) AS BIGINT) AS revenue, min(cents) AS min_revenue, count(DISTINCT client_id) AS n_clients, count(DISTINCT item_id) AS n_items
+FROM j JOIN range(7) t(b) ON j.a <= b AND b < j.d GROUP BY ALL""",
+    "op13_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM r a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5)
+SELECT * FROM (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score) WHERE rank <= 10""",
 }
 
 

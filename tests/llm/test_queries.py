@@ -17,12 +17,12 @@ def test_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_one_row_per_row_and_remote_reads(spark, name):
-    if name.startswith("op3_"):
+    if name.startswith(("op3_", "op11_", "op12_", "op13_")):
         return
     table = "pages" if name.startswith("op6_") else "documents"
     assert q.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
