@@ -56,7 +56,7 @@ def changes(seed, batches):
             signed[2][r.choice([*range(8), None]), r.choice([*range(7), None, 99])] += 1
         for now, new in zip(there, signed, strict=True):
             for k in sorted(now, key=str):
-                if now[k] and r.random() < 0.3:
+                if now[k] and r.random() < (0.6 if k[0] == b // 2 - 1 else 0.3):
                     new[k] -= now[k]
             for k, m in new.items():
                 now[k] += m
