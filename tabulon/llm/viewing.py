@@ -4,10 +4,11 @@ The view joins lines, sales, clients and vendors where client and vendor lie in
 revenue, clients and items.  It is kept as signed counts of (region, part, kind, value), where kind is a line's revenue, an item or a client; all of
 these add up, so that a batch of signed rows is answered by
 
-    lines' (x) sales' = dLines (x) sales_new + lines_old (x) dSales,     sales' (x) clients' likewise,
+    d(lines (x) sales) = dLines (x) sales_new + lines_old (x) dSales,     d(sales (x) clients) likewise,
 
 and what is not linear (least value, distinct values) is read off the counts.  State is a set of logs to which every step only appends; joins are linear in the
-signs, so no row is ever looked up or changed.
+signs, so no row is ever looked up or changed.  A step takes one batch or several: every signed row carries its batch, and a pair of rows belongs to
+the later of its two, so that the view is known after each batch of a step.
 
 - A *light* sale's lines, and what is known of the sale, lie in logs bucketed by sale, and a light client's sales in a log bucketed by client: a batch is joined
   with them bucket by bucket, and only the batch is shuffled.
@@ -100,6 +101,11 @@ def _added(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("m").alias("m")).where("m <> 0")
 
 
+def _product(a: str, b: str) -> list[Column]:
+    """A pair's batch and count."""
+    return [F.greatest(f"{a}.at", f"{b}.at").alias("at"), (F.col(f"{a}.m") * F.col(f"{b}.m")).alias("m")]
+
+
 def _union(*rows: DataFrame) -> DataFrame:
     out = rows[0]
     for r in rows[1:]:
@@ -112,36 +118,35 @@ class SalesView:
 
     def __init__(self, spark: SparkSession, vendors: DataFrame, nation: DataFrame, *, share: float = 1 / 64):
         sc = prepare(spark).sparkContext
-        self.spark, self.step, self.batches = spark, 0, []
+        self.spark, self.step = spark, 0
         folder = f"{sc.getCheckpointDir()}/view-{uuid.uuid4().hex}"
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.regions = F.broadcast(nation.where("n_regionkey IS NOT NULL").select(F.col("n_nationkey").alias("nation_id"), F.col("n_regionkey").cast("int").alias("region")))
         self.vendors = vendors.select("vendor_id", "nation_id").join(self.regions, "nation_id").select("vendor_id", "region", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         log = lambda name, columns, key=None: Log(spark, folder, name, columns, key, parts)
-        lines, known = "sale_id long, region int, item_id long, revenue long, m long", "sale_id long, region int, part long, client_id long, apart boolean, m long"
+        lines, known = "sale_id long, region int, item_id long, revenue long, at int, m long", "sale_id long, region int, part long, client_id long, apart boolean, at int, m long"
         self.lines, self.heavy_lines = log("lines", lines, "sale_id"), log("heavy_lines", lines)
         self.known, self.heavy_known = log("known", known, "sale_id"), log("heavy_known", known)
-        self.sales, self.heavy_sales = (log(n, "sale_id long, client_id long, part long, m long", k) for n, k in (("sales", "client_id"), ("heavy_sales", None)))
-        self.clients = log("clients", "client_id long, region int, m long", "client_id")
+        self.sales, self.heavy_sales = (log(n, "sale_id long, client_id long, part long, at int, m long", k) for n, k in (("sales", "client_id"), ("heavy_sales", None)))
+        self.clients = log("clients", "client_id long, region int, at int, m long", "client_id")
         # client_id is set in rows of the auxiliary view of heavy clients.
-        self.counts = log("counts", "client_id long, region int, part long, kind int, value long, m long")
-        self.of_clients = log("of_clients", "region int, part long, kind int, value long, m long")
+        self.counts = log("counts", "client_id long, region int, part long, kind int, value long, at int, m long")
+        self.of_clients = log("of_clients", "region int, part long, kind int, value long, at int, m long")
         self.by_sale, self.by_client = Heavy(share), Heavy(share)
 
     def _lines(self, rows: DataFrame) -> DataFrame:
         """Lines with their vendor's region and their revenue.  A vendor may have a third of all lines: the join is salted."""
         cents = F.floor(100 * F.col("amount") + 0.5) * (100 - F.floor(100 * F.col("discount") + 0.5))
-        rows = rows.where("sale_id IS NOT NULL AND amount IS NOT NULL AND vendor_id IS NOT NULL").select("sale_id", "vendor_id", "item_id", cents.cast("long").alias("revenue"), F.col("m").cast("long").alias("m"))
+        rows = rows.where("sale_id IS NOT NULL AND amount IS NOT NULL AND vendor_id IS NOT NULL").select("sale_id", "vendor_id", "item_id", cents.cast("long").alias("revenue"), "at", F.col("m").cast("long").alias("m"))
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("sale_id", "item_id", "revenue"), F.lit(SALTS)).cast("int"))
-        return salted.join(self.vendors.hint("merge"), ["vendor_id", "salt"]).select("sale_id", "region", "item_id", "revenue", "m")
+        return salted.join(self.vendors.hint("merge"), ["vendor_id", "salt"]).select("sale_id", "region", "item_id", "revenue", "at", "m")
 
-    def apply(self, batch: int, lines: DataFrame, sales: DataFrame, clients: DataFrame) -> None:
-        """Takes in signed rows (m is 1 or -1, or a count): lines (sale_id, vendor_id, item_id, amount, discount), sales (sale_id, client_id, sold_at) and
-        clients (client_id, nation_id).  Batches come in the order of their numbers."""
+    def apply(self, lines: DataFrame, sales: DataFrame, clients: DataFrame) -> None:
+        """A step: takes in signed rows of one or more batches (at: the batch's number; m: 1 or -1, or a count): lines (sale_id, vendor_id, item_id, amount,
+        discount), sales (sale_id, client_id, sold_at) and clients (client_id, nation_id).  Later steps bring later batches."""
         s = self.step
-        self.batches.append(batch)
-        sales = sales.where("sale_id IS NOT NULL AND client_id IS NOT NULL AND sold_at IS NOT NULL").select("sale_id", "client_id", F.unix_date(F.to_date("sold_at")).cast("long").alias("part"), F.col("m").cast("long").alias("m"))
-        clients = clients.where("client_id IS NOT NULL").join(self.regions, "nation_id").select("client_id", "region", F.col("m").cast("long").alias("m"))
+        sales = sales.where("sale_id IS NOT NULL AND client_id IS NOT NULL AND sold_at IS NOT NULL").select("sale_id", "client_id", F.unix_date(F.to_date("sold_at")).cast("long").alias("part"), "at", F.col("m").cast("long").alias("m"))
+        clients = clients.where("client_id IS NOT NULL").join(self.regions, "nation_id").select("client_id", "region", "at", F.col("m").cast("long").alias("m"))
         self._regroup_sales(s, lines)
         self._regroup_clients(s, sales)
         self.clients.append(s, clients)
@@ -178,22 +183,22 @@ class SalesView:
         light, heavy = self._swapped("client_id", sales, self.sales.rows(before=s), self.heavy_sales.rows(before=s), self.by_client.keys, self.clients_to_heavy, self.clients_to_light)
         self.sales.append(s, light)
         if heavy is not None:
-            self.heavy_sales.append(s, _added(heavy, ["sale_id", "client_id", "part"]))
+            self.heavy_sales.append(s, _added(heavy, ["sale_id", "client_id", "part", "at"]))
         new = [self._located(self.sales.rows(at=s), self.clients.rows())]
         if s:
             new.append(self._located(self.sales.rows(before=s), self.clients.rows(at=s)))
         if heavy is not None:
-            new.append(self.heavy_sales.rows(at=s).select("sale_id", F.lit(None).cast("int").alias("region"), "part", "client_id", F.lit(True).alias("apart"), "m"))
+            new.append(self.heavy_sales.rows(at=s).select("sale_id", F.lit(None).cast("int").alias("region"), "part", "client_id", F.lit(True).alias("apart"), "at", "m"))
         known = _union(*new)
         light, heavy = self._swapped("sale_id", known, self.known.rows(before=s), self.heavy_known.rows(before=s), self.by_sale.keys, self.to_heavy, self.to_light)
         self.known.append(s, light)
         if heavy is not None:
-            self.heavy_known.append(s, _added(heavy, ["sale_id", "region", "part", "client_id", "apart"]))
+            self.heavy_known.append(s, _added(heavy, ["sale_id", "region", "part", "client_id", "apart", "at"]))
 
     @staticmethod
     def _located(sales: DataFrame, clients: DataFrame) -> DataFrame:
         a, b = sales.alias("a"), clients.hint("shuffle_hash").alias("b")
-        return a.join(b, F.col("a.client_id") == F.col("b.client_id")).select("sale_id", "region", "part", "a.client_id", F.lit(False).alias("apart"), (F.col("a.m") * F.col("b.m")).alias("m"))
+        return a.join(b, F.col("a.client_id") == F.col("b.client_id")).select("sale_id", "region", "part", "a.client_id", F.lit(False).alias("apart"), *_product("a", "b"))
 
     def _add_lines(self, s: int, lines: DataFrame) -> None:
         light, heavy = self._swapped("sale_id", lines, self.lines.empty, self.lines.empty, self.by_sale.keys, [], [])
@@ -201,7 +206,7 @@ class SalesView:
         self.lines.append(s, _union(self._lines(light), old_light) if self.to_heavy or self.to_light else self._lines(light))
         kept = [*([self._lines(heavy)] if heavy is not None else []), *([old_heavy] if old_heavy is not None else [])]
         if kept:
-            self.heavy_lines.append(s, _added(_union(*kept), ["sale_id", "region", "item_id", "revenue"]))
+            self.heavy_lines.append(s, _added(_union(*kept), ["sale_id", "region", "item_id", "revenue", "at"]))
 
     def _pairs(self, s: int) -> DataFrame:
         """What the batch adds to the counts."""
@@ -212,7 +217,7 @@ class SalesView:
         if self.heavy_lines.made and self.heavy_known.made:
             heavy = [(self.heavy_lines.rows(at=s), self.heavy_known.rows()), (self.heavy_lines.rows(before=s), self.heavy_known.rows(at=s))]
             pairs += [x for a, b in heavy for x in self._heavy(a, b)]
-        return _added(_union(*pairs), ["client_id", "region", "part", "kind", "value"])
+        return _added(_union(*pairs), ["client_id", "region", "part", "kind", "value", "at"])
 
     @staticmethod
     def _of_pair() -> Column:
@@ -223,44 +228,44 @@ class SalesView:
         a, b = lines.alias("a"), known.hint("shuffle_hash").alias("b")
         # A heavy client's region isn't asked for yet.
         pairs = a.join(b, F.col("a.sale_id") == F.col("b.sale_id")).where(F.col("apart") | (F.col("a.region") == F.col("b.region")))
-        pairs = pairs.select(F.when(F.col("apart"), F.col("client_id")).alias("client_id"), F.col("a.region").alias("region"), "part", "revenue", "item_id", F.col("client_id").alias("client"), (F.col("a.m") * F.col("b.m")).alias("m"))
-        return pairs.select("client_id", "region", "part", F.explode(self._of_pair()).alias("e"), "m").select("client_id", "region", "part", "e.kind", "e.value", "m")
+        pairs = pairs.select(F.when(F.col("apart"), F.col("client_id")).alias("client_id"), F.col("a.region").alias("region"), "part", "revenue", "item_id", F.col("client_id").alias("client"), *_product("a", "b"))
+        return pairs.select("client_id", "region", "part", F.explode(self._of_pair()).alias("e"), "at", "m").select("client_id", "region", "part", "e.kind", "e.value", "at", "m")
 
     def _heavy(self, lines: DataFrame, known: DataFrame) -> list[DataFrame]:
         """Both sides are counted first: lines by value for each way a sale is known, and clients for the number of lines."""
         whose = F.when(F.col("apart"), F.col("client_id"))
         entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value"))
-        values = _added(lines.select("sale_id", F.col("region").alias("at"), F.explode(F.array(entry(REVENUE, "revenue"), entry(ITEM, "item_id"))).alias("e"), "m").select("sale_id", "at", "e.kind", "e.value", "m"), ["sale_id", "at", "kind", "value"])
-        ways = _added(known.select("sale_id", "region", "part", whose.alias("client_id"), "m"), ["sale_id", "region", "part", "client_id"])
-        number = _added(lines.select("sale_id", F.col("region").alias("at"), "m"), ["sale_id", "at"])
-        names = _added(known.select("sale_id", "region", "part", whose.alias("client_id"), F.col("client_id").alias("value"), "m"), ["sale_id", "region", "part", "client_id", "value"]).withColumn("kind", F.lit(CLIENT))
+        values = _added(lines.select("sale_id", F.col("region").alias("where"), F.explode(F.array(entry(REVENUE, "revenue"), entry(ITEM, "item_id"))).alias("e"), "at", "m").select("sale_id", "where", "e.kind", "e.value", "at", "m"), ["sale_id", "where", "kind", "value", "at"])
+        ways = _added(known.select("sale_id", "region", "part", whose.alias("client_id"), "at", "m"), ["sale_id", "region", "part", "client_id", "at"])
+        number = _added(lines.select("sale_id", F.col("region").alias("where"), "at", "m"), ["sale_id", "where", "at"])
+        names = _added(known.select("sale_id", "region", "part", whose.alias("client_id"), F.col("client_id").alias("value"), "at", "m"), ["sale_id", "region", "part", "client_id", "value", "at"]).withColumn("kind", F.lit(CLIENT))
         return [self._salted(values, ways), self._salted(names, number)]
 
     @staticmethod
     def _salted(many: DataFrame, few: DataFrame) -> DataFrame:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        a = many.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).withColumnRenamed("m", "n")
-        joined = a.join(few.withColumn("salt", salt).hint("merge"), ["sale_id", "salt"])
-        joined = joined.where(F.col("region").isNull() | (F.col("region") == F.col("at")))
-        return joined.select("client_id", F.col("at").alias("region"), "part", "kind", "value", (F.col("n") * F.col("m")).alias("m"))
+        a = many.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).alias("a")
+        b = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge").alias("b")
+        joined = a.join(b, (F.col("a.sale_id") == F.col("b.sale_id")) & (F.col("a.salt") == F.col("b.salt")))
+        return joined.where(F.col("region").isNull() | (F.col("region") == F.col("where"))).select("client_id", F.col("where").alias("region"), "part", "kind", "value", *_product("a", "b"))
 
     def _add_heavy_clients(self, s: int) -> None:
         """The auxiliary view's share in the view.  It has the clients that are or were heavy, and a row or a few for each of them is all that is joined."""
         ever = self.by_client.keys | set(self.clients_to_light)
         if not ever or not self.heavy_sales.made:
             return
-        rows = lambda **which: self.counts.rows(**which).where(_among("client_id", ever))
-        few = lambda **which: F.broadcast(_added(self.clients.rows(**which).where(_among("client_id", ever)), ["client_id", "region"]).withColumnRenamed("m", "n"))
-        joined = [rows(at=s).join(few(), ["client_id", "region"])] + ([rows(before=s).join(few(at=s), ["client_id", "region"])] if s else [])
-        self.of_clients.append(s, _added(_union(*joined).select("region", "part", "kind", "value", (F.col("m") * F.col("n")).alias("m")), ["region", "part", "kind", "value"]))
-
-    def report(self) -> DataFrame:
-        """The view after each batch, read off the logs as of that batch: batch, region, part, n_lines, revenue, min_revenue, n_clients, n_items."""
+        rows = lambda **which: self.counts.rows(**which).where(_among("client_id", ever)).alias("a")
+        few = lambda **which: F.broadcast(_added(self.clients.rows(**which).where(_among("client_id", ever)), ["client_id", "region", "at"])).alias("b")
+        meet = lambda a, b: a.join(b, (F.col("a.client_id") == F.col("b.client_id")) & (F.col("a.region") == F.col("b.region"))).select("a.region", "part", "kind", "value", *_product("a", "b"))
+        joined = [meet(rows(at=s), few())] + ([meet(rows(before=s), few(at=s))] if s else [])
+        self.of_clients.append(s, _added(_union(*joined), ["region", "part", "kind", "value", "at"]))
+
+    def report(self, batches: list[int]) -> DataFrame:
+        """The view after each of the batches: batch, region, part, n_lines, revenue, min_revenue, n_clients, n_items."""
         logs = [log for log in (self.counts, self.of_clients) if log.made]
-        rows = _union(*[self.spark.table(log.name).where(F.col("client_id").isNull() if "client_id" in log.columns else F.lit(True)).select("region", "part", "kind", "value", "m", "step") for log in logs])
-        until = [F.sum(F.when(F.col("step") <= i, F.col("m")).otherwise(F.lit(0))).alias(f"_{i}") for i in range(self.step)]
+        rows = _union(*[self.spark.table(log.name).where(F.col("client_id").isNull() if "client_id" in log.columns else F.lit(True)).select("region", "part", "kind", "value", "at", "m") for log in logs])
+        until = [F.sum(F.when(F.col("at") <= b, F.col("m")).otherwise(F.lit(0))).alias(f"_{i}") for i, b in enumerate(batches)]
         values = rows.groupBy("region", "part", "kind", "value").agg(*until)
-        each = F.array(*[F.struct(F.lit(b).alias("batch"), F.col(f"_{i}").alias("n")) for i, b in enumerate(self.batches)])
+        each = F.array(*[F.struct(F.lit(b).alias("batch"), F.col(f"_{i}").alias("n")) for i, b in enumerate(batches)])
         held = values.select("region", "part", "kind", "value", F.explode(F.filter(each, lambda e: e["n"] > 0)).alias("e")).select("e.batch", "region", "part", "kind", "value", "e.n")
         line = F.col("kind") == REVENUE
         known = F.col("value").isNotNull()
@@ -274,26 +279,30 @@ class SalesView:
         return out.where("n_lines > 0")
 
 
-def lifetimes(rows: DataFrame, key: Column, period: int) -> DataFrame:
-    """Adds the batches that insert and delete a row, as the crc32 of its key says; null where it is always there."""
+def changes(rows: DataFrame, key: Column, period: int) -> DataFrame:
+    """Signed rows (at, m): each comes and goes in the batches that the crc32 of its key says, or is there from the start, before batch 0."""
     h = F.crc32(key.cast("binary"))
-    a, d = h % period, F.floor(h / period).cast("long") % period
-    return rows.withColumn("_in", F.when(a < d, a)).withColumn("_out", F.when(a < d, d))
-
-
-def change(rows: DataFrame, batch: int | None) -> DataFrame:
-    """Signed rows of a batch; None: those that are always there."""
-    if batch is None:
-        return rows.where("_in IS NULL").withColumn("m", F.lit(1)).drop("_in", "_out")
-    return rows.where((F.col("_in") == batch) | (F.col("_out") == batch)).withColumn("m", F.when(F.col("_in") == batch, 1).otherwise(-1)).drop("_in", "_out")
-
-
-def maintained(spark: SparkSession, lines: DataFrame, sales: DataFrame, clients: DataFrame, vendors: DataFrame, nation: DataFrame, *, period: int = 7, share: float = 1 / 64) -> DataFrame:
-    """The view after each of ``period`` batches, in which rows come and go by the crc32 of their keys."""
-    lines = lifetimes(lines.select("sale_id", "line_no", "vendor_id", "item_id", "amount", "discount"), F.concat(F.lit("l"), F.col("sale_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")), period).drop("line_no")
-    sales = lifetimes(sales.select("sale_id", "client_id", "sold_at"), F.concat(F.lit("s"), F.col("sale_id").cast("string")), period)
-    clients = lifetimes(clients.select("client_id", "nation_id"), F.concat(F.lit("c"), F.col("client_id").cast("string")), period)
+    a, d = (h % period).cast("int"), (F.floor(h / period) % period).cast("int")
+    entry = lambda at, m: F.struct(at.alias("at"), F.lit(m).alias("m"))
+    lived = rows.withColumns({"_a": a, "_d": d})
+    return lived.withColumn("_e", F.explode(F.when(F.col("_a") < F.col("_d"), F.array(entry(F.col("_a"), 1), entry(F.col("_d"), -1))).otherwise(F.array(entry(F.lit(-1), 1))))).select(*rows.columns, "_e.at", "_e.m")
+
+
+def maintained(spark: SparkSession, lines: DataFrame, sales: DataFrame, clients: DataFrame, vendors: DataFrame, nation: DataFrame, *, period: int = 7, batches: int = 4, share: float = 1 / 64) -> DataFrame:
+    """The view after each of ``period`` batches, in which rows come and go by the crc32 of their keys; a step takes ``batches`` of them.  The first step
+    loads what is there from the start.  Signed rows are written once, by step, as a source of changes would hand them over."""
+    feed = f"{prepare(spark).sparkContext.getCheckpointDir()}/changes-{uuid.uuid4().hex}"
+    text = lambda c: F.col(c).cast("string")
+    tables = {
+        "lines": changes(lines.select("sale_id", "line_no", "vendor_id", "item_id", "amount", "discount"), F.concat(F.lit("l"), text("sale_id"), F.lit(":"), text("line_no")), period).drop("line_no"),
+        "sales": changes(sales.select("sale_id", "client_id", "sold_at"), F.concat(F.lit("s"), text("sale_id")), period),
+        "clients": changes(clients.select("client_id", "nation_id"), F.concat(F.lit("c"), text("client_id")), period),
+    }
+    written = []
+    for name, rows in tables.items():
+        rows.withColumn("step", F.floor((F.col("at") + batches) / batches).cast("int")).write.partitionBy("step").option("compression", "zstd").parquet(f"{feed}/{name}")
+        written.append(spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, step int").parquet(f"{feed}/{name}"))
     view = SalesView(spark, vendors, nation, share=share)
-    for batch in [None, *range(period)]:
-        view.apply(-1 if batch is None else batch, *[change(df, batch) for df in (lines, sales, clients)])
-    return view.report().where("batch >= 0")
+    for step in range(1 + -(-period // batches)):
+        view.apply(*[df.where(F.col("step") == step).drop("step") for df in written])
+    return view.report(list(range(period)))

@@ -35,9 +35,10 @@ def plain(lines, sales, clients):
     return rows
 
 
-def frames(spark, batch):
-    types = ("sale_id long, vendor_id long, item_id long, amount double, discount double, m int", "sale_id long, client_id long, sold_at timestamp_ntz, m int", "client_id long, nation_id int, m int")
-    return [spark.createDataFrame([(*k, m) for k, m in rows.items() if m], t) for rows, t in zip(batch, types, strict=True)]
+def frames(spark, step):
+    """Signed rows of a step's batches, {batch: its three tables}."""
+    types = ("sale_id long, vendor_id long, item_id long, amount double, discount double", "sale_id long, client_id long, sold_at timestamp_ntz", "client_id long, nation_id int")
+    return [spark.createDataFrame([(*k, b, m) for b, tables in step.items() for k, m in tables[i].items() if m], t + ", at int, m int") for i, t in enumerate(types)]
 
 
 def changes(seed, batches):
@@ -63,28 +64,28 @@ def changes(seed, batches):
         yield signed, [Counter({k: m for k, m in now.items() if m}) for now in there]
 
 
-@pytest.mark.parametrize("share", [0.15, 2.0])
-def test_each_batch_equals_the_view_of_what_is_there(spark, share):
+@pytest.mark.parametrize(("share", "steps"), [(0.15, [[0], [1], [2], [3], [4]]), (0.15, [[0, 1], [2, 3], [4]]), (2.0, [[0, 1, 2], [3, 4]])])
+def test_each_batch_equals_the_view_of_what_is_there(spark, share, steps):
     nation = spark.createDataFrame(NATION, "n_nationkey int, n_regionkey int")
     view = viewing.SalesView(spark, spark.createDataFrame(VENDORS, "vendor_id long, nation_id int"), nation, share=share)
-    want, crossed = {}, Counter()
-    for b, (signed, there) in enumerate(changes(5, 5)):
-        view.apply(b, *frames(spark, signed))
-        want[b] = plain(*there)
+    all_changes = dict(enumerate(changes(5, 5)))
+    want, crossed = {b: plain(*there) for b, (_, there) in all_changes.items()}, Counter()
+    for step in steps:
+        view.apply(*frames(spark, {b: all_changes[b][0] for b in step}))
         crossed.update(up=len(view.to_heavy), down=len(view.to_light), client_up=len(view.clients_to_heavy), client_down=len(view.clients_to_light))
     got = defaultdict(list)
-    for r in view.report().collect():
+    for r in view.report(range(5)).collect():
         got[r.batch].append((r.region, r.part, r.n_lines, r.revenue, r.min_revenue, r.n_clients, r.n_items))
     for b, rows in want.items():
         assert sorted(got[b], key=str) == sorted(rows, key=str), b
     assert sum(map(len, want.values())) > 20
-    # Keys of both kinds crossed the threshold in both directions, or none did.
-    assert all(crossed.values()) if share < 1 else not any(crossed.values()), crossed
+    # Keys of both kinds crossed the threshold (in both directions, if batches come one by one), or none did.
+    assert (all(crossed.values()) if len(steps) == 5 else crossed["up"] and crossed["client_up"]) if share < 1 else not any(crossed.values()), crossed
 
 
 def test_empty(spark):
     nation = spark.createDataFrame([], "n_nationkey int, n_regionkey int")
     view = viewing.SalesView(spark, spark.createDataFrame([], "vendor_id long, nation_id int"), nation)
     for b in range(2):
-        view.apply(b, *frames(spark, [{}, {}, {}]))
-    assert view.report().collect() == []
+        view.apply(*frames(spark, {b: [{}, {}, {}]}))
+    assert view.report([0, 1]).collect() == []
