@@ -1,4 +1,4 @@
-"""Readers: Parquet, JSON lines, JSON members of archives, CSV and TSV, byte ranges, directories of runs."""
+"""Readers: Parquet, JSON lines, JSON members of archives, CSV and TSV, directories of runs (byte ranges: see ``ranges``)."""
 
 from __future__ import annotations
 
@@ -68,17 +68,6 @@ def archived_json(spark: SparkSession, path: str, suffix: str = ".json") -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, member string, value string")
 
 
-def byte_ranges(blobs: DataFrame, index: DataFrame) -> DataFrame:
-    """(path, offset, length) rows with their bytes, from whole blobs (path, content); length -1: to the end."""
-    size = F.when(F.col("length") < 0, F.length("content") - F.col("offset")).otherwise(F.col("length"))
-    return index.join(blobs, "path").withColumn("data", F.substring("content", F.col("offset").cast("int") + 1, size.cast("int"))).drop("content")
-
-
-def part_of(position: Column, starts: list[int]) -> Column:
-    """Which part of a split archive a position lies in: the last start that isn't beyond it."""
-    return F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= position)) - 1
-
-
 def run_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Evaluation records with the candidate and benchmark that the file name gives (candidate__benchmark.jsonl)."""
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1)

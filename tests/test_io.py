@@ -37,11 +37,7 @@ def test_readers(spark, tmp_path):
     assert files.load(spark, "jsonl", str(tmp_path / "m1__bench.jsonl"), schema="uid string").count() == 2
 
 
-def test_byte_ranges(spark):
-    blobs = spark.createDataFrame([("p", bytearray(b"abcdef"))], "path string, content binary")
-    index = spark.createDataFrame([("p", 0, -1), ("p", 2, 3)], "path string, offset long, length long")
-    assert sorted(bytes(r.data) for r in files.byte_ranges(blobs, index).collect()) == [b"abcdef", b"cde"]
-    assert [r[0] for r in spark.range(5).select(files.part_of(F.col("id") * 10, [0, 15, 30])).collect()] == [0, 0, 1, 2, 2]
+def test_run_names(spark):
     r = spark.createDataFrame([("C5_ep2_lrA_s0_labels",), ("C1b_1e+15_lrC_s1",)], "n string").select(files.run_name(F.col("n")).alias("r")).collect()
     assert (r[0].r.cand, r[0].r.seed, r[0].r.sanity, r[1].r.sanity) == ("C5", "0", "labels", None)
 
