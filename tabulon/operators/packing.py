@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import last_not_beyond, overlaps
+from .ranking import running
+
 MAX_LENGTH, MAX_QUESTIONS = 320, 4
 QUESTION_TOKENS, CANDIDATE_TOKENS = 128, 63
 
@@ -32,12 +35,49 @@ def encoded(question: Column, candidates: Column) -> Column:
     )
 
 
-def pack(questions: DataFrame, *, max_length: int = MAX_LENGTH, max_questions: int = MAX_QUESTIONS) -> DataFrame:
+#: Up to so many questions of an image are folded in one go.
+FOLDED = 4096
+
+
+def pack(questions: DataFrame, *, max_length: int = MAX_LENGTH, max_questions: int = MAX_QUESTIONS, folded: int = FOLDED) -> DataFrame:
     """image, ord, length -> also seq (sequence number within the image) and offset.
 
-    A sequence ends before a question that would exceed either limit; a question alone is always taken.
-    The fold runs over one image's questions, which are few.
+    A sequence ends before a question that would exceed either limit; a question alone is always taken.  Images of up to ``folded`` questions are folded
+    in one go; of larger ones the sequences are found by pointers, with the same result, and no list of an image's questions.  Orders of an image differ.
     """
+    rows = questions.select("image", F.col("ord").cast("bigint"), F.col("length").cast("int"))
+    large = rows.groupBy("image").agg(F.count("*").alias("_n")).where(F.col("_n") > folded).select(F.struct("image").alias("_image"))
+    own = F.struct("image") == F.col("_image")
+    if large.isEmpty():
+        return _folded(rows, max_length, max_questions)
+    return _folded(rows.join(large, own, "left_anti"), max_length, max_questions).unionByName(_linked(rows.join(large, own, "left_semi"), max_length, max_questions))
+
+
+def _linked(rows: DataFrame, max_length: int, max_questions: int) -> DataFrame:
+    """Packing by pointers.  Each question knows, from the running sum of lengths, where a sequence that began with it would end; the sequences of an image are
+    those that are reached from its first question, and pointers of 1, 2, 4, ... steps reach them all, with their numbers, in a logarithmic number of joins."""
+    # A null image is one like any other: a struct of it can be joined.
+    items = rows.withColumn("image", F.struct("image"))
+    placed = running(items, ["image"], ["ord"], {"i": F.lit(1).cast("long"), "at": F.col("length").cast("long")}).checkpoint()
+    ends = placed.groupBy("image").agg((F.max("i") + 1).alias("i"), F.sum("length").cast("long").alias("at"))
+    # The last place whose running sum is within the limit (of equal sums, as empty questions have, the last).
+    sums = placed.select("image", "i", "at").unionByName(ends).groupBy("image", "at").agg(F.max("i").alias("last")).withColumnRenamed("at", "start")
+    reach = last_not_beyond(placed.select("image", "i", (F.col("at") + max_length).alias("at")), sums.select("image", "start"), ["image"]).select("image", "i", "start")
+    after = reach.join(sums, ["image", "start"]).select("image", "i", F.greatest(F.col("i") + 1, F.least("last", F.col("i") + max_questions)).alias("to")).checkpoint()
+    steps = [after.join(placed.select("image", F.col("i").alias("to")), ["image", "to"], "left_semi").select("image", "i", "to").checkpoint()]
+    while not steps[-1].isEmpty():
+        a, b = steps[-1].alias("a"), steps[-1].alias("b")
+        steps.append(a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.to") == F.col("b.i"))).select("a.image", "a.i", "b.to").checkpoint())
+    begun = placed.select("image").distinct().select("image", F.lit(0).cast("long").alias("i"), F.lit(0).alias("seq"))
+    for k in reversed(range(len(steps) - 1)):
+        further = begun.join(steps[k], ["image", "i"]).select("image", F.col("to").alias("i"), (F.col("seq") + 2**k).alias("seq"))
+        begun = begun.unionByName(further).checkpoint()
+    held = begun.join(after, ["image", "i"]).join(placed.select("image", "i", F.col("at").alias("_from")), ["image", "i"]).select("image", F.col("i").alias("low"), F.col("to").alias("high"), "seq", "_from")
+    found = overlaps(placed.withColumns({"start": F.col("i"), "stop": F.col("i") + 1}), held, ["image"])
+    return found.select("image.image", "ord", "length", "seq", (F.col("at") - F.col("_from")).cast("int").alias("offset"))
+
+
+def _folded(rows: DataFrame, max_length: int, max_questions: int) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("ord", "length")))
     start = F.struct(F.lit(0).alias("seq"), F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<ord:bigint,length:int,seq:int,offset:int>>").alias("out"))
 
@@ -47,7 +87,7 @@ def pack(questions: DataFrame, *, max_length: int = MAX_LENGTH, max_questions: i
         row = F.struct(x["ord"].alias("ord"), x["length"].alias("length"), seq.alias("seq"), used.alias("offset"))
         return F.struct(seq.alias("seq"), (used + x["length"]).alias("used"), (n + 1).alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
 
-    packed = questions.select("image", F.col("ord").cast("bigint"), F.col("length").cast("int")).groupBy("image").agg(F.aggregate(items, start, step, lambda a: a["out"]).alias("p"))
+    packed = rows.groupBy("image").agg(F.aggregate(items, start, step, lambda a: a["out"]).alias("p"))
     return packed.select("image", F.explode("p").alias("x")).select("image", "x.ord", "x.length", "x.seq", "x.offset")
 
 

@@ -1,8 +1,7 @@
-"""Requests: validation, answers, and the hits of the image cache."""
+"""Requests: validation and answers (for the hits of the image cache see ``reuse``)."""
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import probability as pr
 
-CACHE = 64
-
 
 def question_problem(kind: Column, text: Column, options: Column) -> Column:
     """Why a question can't be answered, or null: choices have 2 to 255 options, scores 2 to 10 levels."""
@@ -44,50 +41,6 @@ def assembled(answers: DataFrame) -> DataFrame:
     return answers.groupBy("request").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "answer"))), lambda x: x["answer"]).alias("answers"))
 
 
-def _use(state: OrderedDict, key, capacity: int) -> bool:
-    hit = key in state
-    state[key] = None
-    state.move_to_end(key)
-    if len(state) > capacity:
-        state.popitem(last=False)
-    return hit
-
-
-def cache_hits(requests: DataFrame, *, key: str = "key", order: str = "ord", capacity: int = CACHE) -> DataFrame:
-    """Adds ``hit``: is the key among the ``capacity`` most recently used ones?
-
-    The log is cut into ranges of its order.  What the cache holds where a range begins follows from the last
-    ``capacity`` different keys of each range before it, so all ranges are replayed at once.
-    """
-    ranged = requests.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).checkpoint()
-
-    def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict[int, OrderedDict] = {}
-        for batch in batches:
-            for part, k in zip(batch["part"], batch["key"], strict=True):
-                _use(states.setdefault(part, OrderedDict()), k, capacity)
-        yield pd.DataFrame([(p, i, k) for p, s in states.items() for i, k in enumerate(s)], columns=["part", "i", "key"])
-
-    kind = dict(requests.dtypes)[key]
-    ends = ranged.select("part", F.col(key).alias("key")).mapInPandas(tail, f"part int, i int, key {kind}").orderBy("part", "i").collect()
-    # A row per range and key, at most ``capacity`` of each range: one pass over them in order.
-    begin: dict[int, list] = {}
-    state: OrderedDict = OrderedDict()
-    for r in ends:
-        if r.part not in begin:
-            begin[r.part] = list(state)
-        _use(state, r.key, capacity)
-    at = requests.columns.index(key)
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict[int, OrderedDict] = {}
-        for batch in batches:
-            hits = [_use(states.setdefault(p, OrderedDict.fromkeys(begin[p])), k, capacity) for p, k in zip(batch["part"], batch.iloc[:, at], strict=True)]
-            yield batch.drop(columns="part").assign(hit=hits)
-
-    return ranged.mapInPandas(replay, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", hit boolean")
-
-
 _SCORERS: dict[str, Callable[[pd.DataFrame], list]] = {}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import packing as pk
+from ..operators import reuse as ru
 from ..operators import serving as sv
 from ..sources import fixtures as fx
 from ..streaming import rolling
@@ -23,11 +24,23 @@ CASE WHEN p.used + q.len > 320 OR p.n >= 4 THEN q.len ELSE p.used + q.len END, C
 SELECT conv_id AS image, turn AS ord, CAST(len AS INTEGER) AS length, seq, CAST(start AS INTEGER) AS "offset" FROM p""")
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as questions with two one-word candidates."""
-    c = fx.read(spark, sf_dir, "conversations")
+    c = fx.read(prepared(spark), sf_dir, "conversations")
     length = pk.encoded_length(F.col("text"), F.array(F.lit("yes"), F.lit("no")))
     return pk.pack(c.select(F.col("conv_id").alias("image"), F.col("turn").alias("ord"), length.alias("length")))
 
 
+@plan(f"""WITH RECURSIVE {_LENGTHS.replace("conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)", "role, conv_id * 1000 + turn AS ord, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn)")}, p AS (
+SELECT role, ord, k, len, 0 AS seq, 0 AS start, len AS used, 1 AS n FROM q WHERE k = 1
+UNION ALL SELECT q.role, q.ord, q.k, q.len, CASE WHEN p.used + q.len > 320 OR p.n >= 9 THEN p.seq + 1 ELSE p.seq END, CASE WHEN p.used + q.len > 320 OR p.n >= 9 THEN 0 ELSE p.used END,
+CASE WHEN p.used + q.len > 320 OR p.n >= 9 THEN q.len ELSE p.used + q.len END, CASE WHEN p.used + q.len > 320 OR p.n >= 9 THEN 1 ELSE p.n + 1 END FROM p JOIN q ON q.role = p.role AND q.k = p.k + 1)
+SELECT role AS image, ord, CAST(len AS INTEGER) AS length, seq, CAST(start AS INTEGER) AS "offset" FROM p""")
+def pack_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of a role as the questions of one image: few images with very many questions, which pointers pack."""
+    c = fx.read(prepared(spark), sf_dir, "conversations")
+    length = pk.encoded_length(F.col("text"), F.array(F.lit("yes"), F.lit("no")))
+    return pk.pack(c.select(F.col("role").alias("image"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), length.alias("length")), max_questions=9, folded=16)
+
+
 @plan("""WITH c AS (SELECT conv_id AS seq, turn + 1 AS block, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) AS n FROM conversations),
 t AS (SELECT *, row_number() OVER () AS id FROM (SELECT seq, block, -1 AS cand FROM c, range(0, 100000) r(i) WHERE i < n UNION ALL SELECT seq, block, k FROM c, (VALUES (0), (1)) v(k)
 UNION ALL SELECT seq, 0, -1 FROM (SELECT DISTINCT seq FROM c), range(0, 2) r(i) UNION ALL SELECT DISTINCT seq, -1, -1 FROM c))
@@ -64,7 +77,16 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, coalesce((SELECT count(DISTINCT b.user_id) FROM events b WHERE b.event_id > e.last AND b.event_id < e.event_id) < 64, false) AND last IS NOT NULL AS hit FROM e""")
 def lru_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.read(prepared(spark), sf_dir, "events", "event_id", "user_id")
-    return sv.cache_hits(e, key="user_id", order="event_id").select("event_id", "hit")
+    return ru.cache_hits(e, key="user_id", order="event_id").select("event_id", "hit")
+
+
+@plan("""WITH e AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events),
+d AS (SELECT (SELECT count(DISTINCT b.user_id) FROM events b WHERE b.event_id > e.last AND b.event_id < e.event_id) + 1 AS capacity FROM e WHERE last IS NOT NULL)
+SELECT capacity, CAST(sum(count(*)) OVER (ORDER BY capacity) AS BIGINT) AS hits FROM d GROUP BY capacity""")
+def lru_hit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of image caches of every capacity, from one pass over the log."""
+    e = fx.read(prepared(spark), sf_dir, "events", "event_id", "user_id")
+    return ru.hit_curve(ru.reuse_distances(e, key="user_id", order="event_id"), [])
 
 
 @plan("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(avg(CAST(value > 200 AS DOUBLE)), 6) AS slow FROM events GROUP BY 1, 2""")

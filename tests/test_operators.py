@@ -11,6 +11,7 @@ from tabulon.operators import metrics as mt
 from tabulon.operators import packing as pk
 from tabulon.operators import reports as rp
 from tabulon.operators import sampling as sm
+from tabulon.operators import reuse as ru
 from tabulon.operators import serving as sv
 from tabulon.operators import ranking as rk
 from tabulon.operators import similarity as sim
@@ -213,8 +214,14 @@ def test_cache_is_an_ordered_dict(spark, capacity):
         held.move_to_end(k)
         if len(held) > capacity:
             held.popitem(last=False)
-    found = sv.cache_hits(spark.createDataFrame(list(enumerate(keys)), "ord long, key long").repartition(5), capacity=capacity)
-    assert [x.hit for x in found.orderBy("ord").collect()] == want
+    log = spark.createDataFrame([(3 * i - 100, k or None, "x") for i, k in enumerate(keys)], "ord long, key long, i string").repartition(5)
+    # Blocks of 16 places: most pairs are counted above them.
+    for bits in (4, 14):
+        found = ru.cache_hits(log, capacity=capacity, block_bits=bits)
+        assert [x.hit for x in found.orderBy("ord").collect()] == want
+    curve = {r.capacity: r.hits for r in ru.hit_curve(ru.reuse_distances(log, block_bits=6), []).collect()}
+    assert curve[max((c for c in curve if c <= capacity), default=0)] == sum(want)
+    assert ru.cache_hits(log.limit(0)).count() == 0 and [r.hit for r in ru.cache_hits(log.limit(1)).collect()] == [False]
 
 
 def test_requests(spark):
