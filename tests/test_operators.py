@@ -101,6 +101,25 @@ def test_smooth_error_is_the_plain_one(spark):
     assert found["good"][1] < 0.08 < found["bad"][1]
 
 
+def test_moments_stand_for_kernels():
+    r = np.random.default_rng(1)
+    c = np.concatenate([[0.0, 1.0, 1e-5, 0.5, 0.5], r.uniform(size=300), r.beta(0.3, 0.3, 300)])
+    resid = r.normal(size=len(c))
+    cells = 2**mt.DEPTH
+    k = np.minimum(np.floor(c * cells), cells - 1).astype(int)
+    m = np.zeros((cells, mt.MOMENTS))
+    for p in range(mt.MOMENTS):
+        np.add.at(m[:, p], k, resid * ((c * cells - k - 0.5) * 2) ** p)
+    grid, points, weights = np.linspace(0, 1, 501), np.concatenate([c, -c, 2 - c]), np.tile(resid, 3)
+    levels = [m]
+    while len(levels[-1]) > 4:
+        levels.append(mt._coarser(levels[-1]))
+    for width in (1e-4, 2e-4, 0.001, 0.03, 0.2, 0.9):
+        curve = np.exp(-(((grid[:, None] - points) / width) ** 2) / 2) @ weights / (len(c) * width * np.sqrt(2 * np.pi))
+        coarse = [x for x in levels if 2.0 / len(x) <= width] or levels[:1]
+        assert abs(mt._smoothed_gap(coarse[-1], len(c), width) - np.trapezoid(np.abs(curve), grid)) < 1e-8
+
+
 def test_ranges_are_windows(spark):
     r = random.Random(4)
     rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([0.5, 1.5, r.random()]), i, r.random()) for i in range(300)]
