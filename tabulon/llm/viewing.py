@@ -139,7 +139,7 @@ class SalesView:
         cents = F.floor(100 * F.col("amount") + 0.5) * (100 - F.floor(100 * F.col("discount") + 0.5))
         rows = rows.where("sale_id IS NOT NULL AND amount IS NOT NULL AND vendor_id IS NOT NULL").select("sale_id", "vendor_id", "item_id", cents.cast("long").alias("revenue"), "at", F.col("m").cast("long").alias("m"))
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("sale_id", "item_id", "revenue"), F.lit(SALTS)).cast("int"))
-        return salted.join(self.vendors.hint("merge"), ["vendor_id", "salt"]).select("sale_id", "region", "item_id", "revenue", "at", "m")
+        return salted.join(self.vendors.hint("shuffle_hash"), ["vendor_id", "salt"]).select("sale_id", "region", "item_id", "revenue", "at", "m")
 
     def apply(self, lines: DataFrame, sales: DataFrame, clients: DataFrame) -> None:
         """A step: takes in signed rows of one or more batches (at: the batch's number; m: 1 or -1, or a count): lines (sale_id, vendor_id, item_id, amount,
@@ -266,7 +266,7 @@ class SalesView:
         until = [F.sum(F.when(F.col("at") <= b, F.col("m")).otherwise(F.lit(0))).alias(f"_{i}") for i, b in enumerate(batches)]
         values = rows.groupBy("region", "part", "kind", "value").agg(*until)
         each = F.array(*[F.struct(F.lit(b).alias("batch"), F.col(f"_{i}").alias("n")) for i, b in enumerate(batches)])
-        held = values.select("region", "part", "kind", "value", F.explode(F.filter(each, lambda e: e["n"] > 0)).alias("e")).select("e.batch", "region", "part", "kind", "value", "e.n")
+        held = values.select("region", "part", "kind", "value", F.explode(each).alias("e")).where("e.n > 0").select("e.batch", "region", "part", "kind", "value", "e.n")
         line = F.col("kind") == REVENUE
         known = F.col("value").isNotNull()
         out = held.groupBy("batch", "region", "part").agg(
@@ -300,7 +300,7 @@ def maintained(spark: SparkSession, lines: DataFrame, sales: DataFrame, clients:
     }
     written = []
     for name, rows in tables.items():
-        rows.withColumn("step", F.floor((F.col("at") + batches) / batches).cast("int")).write.partitionBy("step").option("compression", "zstd").parquet(f"{feed}/{name}")
+        rows.withColumn("step", F.floor((F.col("at") + batches) / batches).cast("int")).write.partitionBy("step").parquet(f"{feed}/{name}")
         written.append(spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in rows.dtypes)}, step int").parquet(f"{feed}/{name}"))
     view = SalesView(spark, vendors, nation, share=share)
     for step in range(1 + -(-period // batches)):
