@@ -165,46 +165,6 @@ def smooth_calibration_error(items: DataFrame, by: list[str], *, confidence: str
     return moments.groupBy(*keys).applyInPandas(solve, ", ".join([*(f"{c} {types[c]}" for c in by), "n long", "smece double"]))
 
 
-def grouped_bootstrap(items: DataFrame, by: list[str], group: str, value: str, *, repeats: int = 1000, seed: int = 0) -> DataFrame:
-    """Mean, and the 2.5 and 97.5 percentiles of means of resampled groups (numpy's generator over groups in order)."""
-    parts = items.groupBy(*by, group).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-
-    def draw(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(group)
-        s, n = g["s"].to_numpy(float), g["n"].to_numpy(float)
-        r, means = np.random.default_rng(seed), []
-        for _ in range(repeats):
-            at = r.integers(0, len(s), len(s))
-            means.append(s[at].sum() / n[at].sum())
-        return pd.DataFrame([[*g[by].iloc[0], s.sum() / n.sum(), *np.percentile(means, [2.5, 97.5])]], columns=[*by, "mean", "low", "high"])
-
-    types = dict(items.dtypes)
-    return parts.groupBy(*by).applyInPandas(draw, ", ".join(f"{c} {types[c]}" for c in by) + ", mean double, low double, high double")
-
-
-def paired_bootstrap(items: DataFrame, by: list[str], group: str, a: str, b: str, **kw) -> DataFrame:
-    """The same for the mean difference of two columns."""
-    return grouped_bootstrap(items.withColumn("_d", F.col(a).cast("double") - F.col(b).cast("double")), by, group, "_d", **kw)
-
-
-def auroc_bootstrap(pairs: DataFrame, by: list[str], pair: str, positive: str, negative: str, *, repeats: int = 1000, seed: int = 0) -> DataFrame:
-    """AUROC of positive against negative scores, with an interval from resampled pairs."""
-
-    def area(p: np.ndarray, n: np.ndarray) -> float:
-        ordered = np.sort(n)
-        return float((np.searchsorted(ordered, p, "left") + np.searchsorted(ordered, p, "right")).mean() / 2 / len(n))
-
-    def draw(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(pair)
-        p, n = g[positive].to_numpy(float), g[negative].to_numpy(float)
-        r = np.random.default_rng(seed)
-        found = [area(p[at], n[at]) for at in (r.integers(0, len(p), len(p)) for _ in range(repeats))]
-        return pd.DataFrame([[*g[by].iloc[0], area(p, n), *np.percentile(found, [2.5, 97.5])]], columns=[*by, "auroc", "low", "high"])
-
-    types = dict(pairs.dtypes)
-    return pairs.groupBy(*by).applyInPandas(draw, ", ".join(f"{c} {types[c]}" for c in by) + ", auroc double, low double, high double")
-
-
 _METRICS: dict[str, object] = {}
 
 

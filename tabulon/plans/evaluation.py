@@ -11,6 +11,7 @@ from ..functions import strings as st
 from ..operators import calibration as cal
 from ..operators import metrics as mt
 from ..operators import reports as rp
+from ..operators import resampling as rs
 from ..operators import serving as sv
 from ..operators.ranking import quantiles
 from ..sources import fixtures as fx
@@ -155,14 +156,22 @@ def matched_operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.grouped_bootstrap(_scored(spark, sf_dir), ["lang"], "source", "correct")
+    return rs.grouped_bootstrap(_scored(spark, sf_dir), ["lang"], "source", "correct")
 
 
 @plan()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _scored(spark, sf_dir).select("uid", "lang", "source", F.col("correct").alias("a"))
     b = _scored(spark, sf_dir, "other").select("uid", F.col("correct").alias("b"))
-    return mt.paired_bootstrap(a.join(b, "uid"), ["lang"], "source", "a", "b", repeats=2000)
+    return rs.paired_bootstrap(a.join(b, "uid"), ["lang"], "source", "a", "b", repeats=2000)
+
+
+@plan()
+def paired_auroc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much better one run tells good from bad documents than another, with an interval from resampled sources."""
+    a = _scored(spark, sf_dir).select("uid", "lang", "source", "positive", F.col("gap").alias("a"))
+    b = _scored(spark, sf_dir, "other").select("uid", F.col("gap").alias("b"))
+    return rs.auroc_difference(a.join(b, "uid"), ["lang"], "source", "positive", "a", "b", repeats=500)
 
 
 _PAIRS = f"""{_SCORED}, pairs AS (SELECT lang, source, max(gap) FILTER (quality = 1) AS good, max(gap) FILTER (quality = 0) AS bad FROM s GROUP BY lang, source HAVING bad IS NOT NULL AND good IS NOT NULL)"""
@@ -189,7 +198,7 @@ def pair_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def pair_auroc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.auroc_bootstrap(_pairs(spark, sf_dir), ["lang"], "source", "good", "bad", repeats=300)
+    return rs.auroc_bootstrap(_pairs(spark, sf_dir), ["lang"], "source", "good", "bad", repeats=300)
 
 
 @plan(f"""{_SCORED} SELECT lang, source, bool_and(correct = 1) AND count(*) >= 4 AS all_right, bool_or(correct = 0) AS flagged FROM s GROUP BY lang, source""")
@@ -286,17 +295,25 @@ def fit_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan()
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run's variants (raw, temperature, Platt), fitted on the calibration and measured on the report split."""
-    x = fx.items(spark, sf_dir)
-    fits = F.broadcast(cal.fit(x.where("split = 'calib'"), ["kind"]))
-    report = rp.report_items(x, ["kind"]).join(fits, "kind")
-    raw = F.struct(F.lit("raw").alias("variant"), pr.softmax(F.col("logits")).alias("p"))
-    scaled = F.struct(F.lit("temperature").alias("variant"), pr.softmax(F.col("logits"), F.col("temperature")).alias("p"))
-    platt = F.struct(F.lit("platt").alias("variant"), pr.platt(F.col("logits"), F.col("a"), F.col("b")).alias("p"))
-    v = report.withColumn("v", F.explode(F.array(raw, scaled, platt))).select("uid", "source", F.col("v.variant").alias("variant"), F.col("v.p").alias("p"), F.col("target").alias("y"), (F.col("quality") == 1).alias("positive"))
-    v = v.withColumn("conf", pr.confidence(F.col("p"))).withColumn("correct", pr.correctness(F.col("p"), F.col("y"))).withColumn("score", F.get("p", F.lit(0)))
-    base = v.groupBy("variant").agg(F.count("*").alias("n"), mt.accuracy(F.col("p"), F.col("y")).alias("acc"), F.avg(pr.nll(F.col("p"), F.col("y"))).alias("nll"), F.avg(pr.brier(F.col("p"), F.col("y"))).alias("brier"))
+    x = fx.items(prepared(spark), sf_dir)
+    calib = x.where("split = 'calib'")
+    # A row per kind of question, of which there are three.
+    fits = F.broadcast(cal.fit(calib, ["kind"]))
+
+    def variants(rows: DataFrame) -> DataFrame:
+        raw = F.struct(F.lit("raw").alias("variant"), pr.softmax(F.col("logits")).alias("p"))
+        scaled = F.struct(F.lit("temperature").alias("variant"), pr.softmax(F.col("logits"), F.col("temperature")).alias("p"))
+        platt = F.struct(F.lit("platt").alias("variant"), pr.platt(F.col("logits"), F.col("a"), F.col("b")).alias("p"))
+        v = rows.join(fits, "kind").withColumn("v", F.explode(F.array(raw, scaled, platt))).select("uid", "source", F.col("v.variant").alias("variant"), F.col("v.p").alias("p"), F.col("target").alias("y"), (F.col("quality") == 1).alias("positive"))
+        return v.withColumn("conf", pr.confidence(F.col("p"))).withColumn("correct", pr.correctness(F.col("p"), F.col("y"))).withColumn("score", F.get("p", F.lit(0)))
+
+    nll = F.avg(pr.nll(F.col("p"), F.col("y")))
+    # All measures read the scored rows; they are derived once.
+    v = variants(rp.report_items(x, ["kind"])).checkpoint()
+    base = v.groupBy("variant").agg(F.count("*").alias("n"), mt.accuracy(F.col("p"), F.col("y")).alias("acc"), nll.alias("nll"), F.avg(pr.brier(F.col("p"), F.col("y"))).alias("brier"), F.avg("conf").alias("mean_conf"))
+    base = base.join(variants(calib).groupBy("variant").agg(nll.alias("calib_nll")), "variant", "left")
     smooth = mt.smooth_calibration_error(v, ["variant"]).drop("n")
-    return base.join(mt.calibration_error(v, ["variant"]), "variant").join(smooth, "variant").join(mt.risk_coverage(v, ["variant"], "uid"), "variant").join(mt.auroc(v, ["variant"]), "variant").join(mt.grouped_bootstrap(v, ["variant"], "source", "correct").drop("mean"), "variant")
+    return base.join(mt.calibration_error(v, ["variant"]), "variant").join(smooth, "variant").join(mt.risk_coverage(v, ["variant"], "uid"), "variant").join(mt.auroc(v, ["variant"]), "variant").join(rs.grouped_bootstrap(v, ["variant"], "source", "correct").drop("mean"), "variant")
 
 
 @plan()

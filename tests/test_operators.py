@@ -153,19 +153,6 @@ def test_fits_are_the_least_losses(spark):
     assert found["m"].a == 0.0 and abs(found["m"].b - np.log(mean / (1 - mean))) < 1e-9
 
 
-def test_bootstrap_is_the_generator_s(spark):
-    rows = [("x", f"g{i % 7}", float(i % 3 == 0)) for i in range(70)]
-    got = mt.grouped_bootstrap(spark.createDataFrame(rows, "k string, grp string, v double"), ["k"], "grp", "v", repeats=200, seed=3).first()
-    s, n = np.array([sum(v for _, g, v in rows if g == f"g{i}") for i in range(7)]), np.full(7, 10.0)
-    rng, means = np.random.default_rng(3), []
-    for _ in range(200):
-        at = rng.integers(0, 7, 7)
-        means.append(s[at].sum() / n[at].sum())
-    assert np.allclose([got.low, got.high], np.percentile(means, [2.5, 97.5]))
-    pair = spark.createDataFrame([("x", f"g{i}", 1.0, float(i % 9 > 0)) for i in range(90)], "k string, grp string, a double, b double")
-    assert mt.paired_bootstrap(pair, ["k"], "grp", "a", "b", repeats=100).first().mean > 0
-
-
 def test_label_rules(spark):
     df = spark.createDataFrame([(0.125, 1, [0, 0]), (0.375, 5, [2, 0]), (0.625, 7, [1, 0]), (1.0, 9, [0, 1])], "s double, r int, c array<long>")
     rows = df.select(lb.ordinal_bucket(F.col("s")).alias("b"), lb.rating_level(F.col("r")).alias("l"), lb.group_state(F.col("c")).alias("g"), lb.banded_answer(F.col("s")).alias("a")).collect()

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tabulon.operators import resampling as rs
 from tabulon.plans import catalogue, curation
 from tabulon.sources import fixtures as fx
 
@@ -56,41 +57,69 @@ def test_smooth_ece(spark, items):
             raise AssertionError(lang)
 
 
-def interval(own, value, repeats, seed=0):
+def drawn(spark, items, repeats):
+    """The resamples' counts of each source, by lang, as the library draws them (their law is tested apart)."""
+    df = spark.createDataFrame([(x["lang"], x["source"]) for x in items], "lang string, source string")
+    return {(r.lang, r.source): np.frombuffer(r.counts, np.uint32)[1:].astype(int) for r in rs.resample_counts(df, ["lang"], "source", repeats=repeats).collect()}
+
+
+def interval(own, lang, value, counts):
     by = groups(own, "source")
-    s, n = (np.array([f(by[k]) for k in sorted(by)], float) for f in (lambda g: sum(value(x) for x in g), len))
-    r, means = np.random.default_rng(seed), []
-    for _ in range(repeats):
-        at = r.integers(0, len(s), len(s))
-        means.append(s[at].sum() / n[at].sum())
-    return s.sum() / n.sum(), *np.percentile(means, [2.5, 97.5])
+    s = sum(sum(map(value, x)) * counts[lang, k[0]] for k, x in by.items())
+    n = sum(len(x) * counts[lang, k[0]] for k, x in by.items())
+    return (np.mean([value(x) for x in own]), *np.percentile(s / n, [2.5, 97.5]))
+
+
+def area(score, positive, weight):
+    """Of weighted items, by all pairs."""
+    p, n = positive, ~positive
+    won = (score[p][:, None] > score[n][None, :]) + 0.5 * (score[p][:, None] == score[n][None, :])
+    total = weight[p].sum() * weight[n].sum()
+    return weight[p] @ won @ weight[n] / total if total else np.nan
 
 
 def test_bootstrap_ci(spark, items):
+    counts = drawn(spark, items, 1000)
     for r in rows(spark, "bootstrap_ci"):
-        want = interval([x for x in items if x["lang"] == r["lang"]], lambda x: correct(x["logits"], x["target"]), 1000)
+        want = interval([x for x in items if x["lang"] == r["lang"]], r["lang"], lambda x: correct(x["logits"], x["target"]), counts)
         assert np.allclose((r["mean"], r["low"], r["high"]), want)
 
 
 def test_paired_bootstrap(spark, items):
-    other = {r["uid"]: r for r in fx.items(spark, SF, "other").collect()}
+    other, counts = {r["uid"]: r for r in fx.items(spark, SF, "other").collect()}, drawn(spark, items, 2000)
     for r in rows(spark, "paired_bootstrap"):
-        want = interval([x for x in items if x["lang"] == r["lang"]], lambda x: correct(x["logits"], x["target"]) - correct(other[x["uid"]]["logits"], x["target"]), 2000)
+        want = interval([x for x in items if x["lang"] == r["lang"]], r["lang"], lambda x: correct(x["logits"], x["target"]) - correct(other[x["uid"]]["logits"], x["target"]), counts)
         assert np.allclose((r["mean"], r["low"], r["high"]), want)
 
 
+def test_paired_auroc_difference(spark, items):
+    other, counts = {r["uid"]: r["gap"] for r in fx.items(spark, SF, "other").collect()}, drawn(spark, items, 500)
+    found = rows(spark, "paired_auroc_difference")
+    assert len(found) == len({x["lang"] for x in items})
+    for r in found:
+        own = [x for x in items if x["lang"] == r["lang"]]
+        a, b, y = np.array([x["gap"] for x in own]), np.array([other[x["uid"]] for x in own]), np.array([x["quality"] == 1 for x in own])
+        w = np.array([counts[r["lang"], x["source"]] for x in own])
+        d = np.array([area(a, y, w[:, k]) - area(b, y, w[:, k]) for k in range(500)])
+        ones = np.ones(len(own))
+        if np.isnan(d).all():
+            assert r["low"] is None and (np.isnan(area(a, y, ones)) == (r["difference"] is None))
+            continue
+        assert np.allclose((r["difference"], r["low"], r["high"]), (area(a, y, ones) - area(b, y, ones), *np.percentile(d[~np.isnan(d)], [2.5, 97.5])))
+
+
 def test_pair_auroc_interval(spark, items):
     for r in rows(spark, "pair_auroc_interval"):
         pairs = []
         for (_, source), own in sorted(groups([x for x in items if x["lang"] == r["lang"]], "lang", "source").items()):
             good, bad = ([x["gap"] for x in own if x["quality"] == q] for q in (1, 0))
             if good and bad:
-                pairs.append((max(good), max(bad)))
-        p, n = map(np.array, zip(*pairs, strict=True))
-        area = lambda p, n: float(np.mean([(x > n).mean() + (x == n).mean() / 2 for x in p]))
-        g = np.random.default_rng(0)
-        found = [area(p[at], n[at]) for at in (g.integers(0, len(p), len(p)) for _ in range(300))]
-        assert np.allclose((r["auroc"], r["low"], r["high"]), (area(p, n), *np.percentile(found, [2.5, 97.5])))
+                pairs.append((source, max(good), max(bad)))
+        counts = drawn(spark, [{"lang": r["lang"], "source": p[0]} for p in pairs], 300)
+        score, y = np.array([x for p in pairs for x in p[1:]]), np.array([True, False] * len(pairs))
+        w = np.array([counts[r["lang"], p[0]] for p in pairs for _ in range(2)])
+        found = [area(score, y, w[:, k]) for k in range(300)]
+        assert np.allclose((r["auroc"], r["low"], r["high"]), (area(score, y, np.ones(len(y))), *np.percentile(found, [2.5, 97.5])))
 
 
 def fitted(own):
@@ -148,7 +177,10 @@ def test_run_summary(spark, items):
         good, bad = p[y[:, 0] == 1, 0], p[y[:, 0] != 1, 0]
         assert abs(r["auroc"] - np.mean([(g > bad).mean() + (g == bad).mean() / 2 for g in good])) < 1e-9
         lead = {x["uid"]: h for x, h in zip(report, hit, strict=True)}
-        assert np.allclose((r["low"], r["high"]), interval(report, lambda x, lead=lead: lead[x["uid"]], 1000)[1:])
+        counts = drawn(spark, [{"lang": name, "source": x["source"]} for x in report], 1000)
+        assert np.allclose((r["low"], r["high"]), interval(report, name, lambda x, lead=lead: lead[x["uid"]], counts)[1:])
+        own = [x for x in items if x["split"] == "calib"]
+        assert abs(r["mean_conf"] - conf.mean()) < 1e-4 and abs(r["calib_nll"] + np.mean([np.log((score(x) * np.array(x["target"])).sum()) for x in own])) < 1e-4
 
 
 def test_linear_probe(spark):
