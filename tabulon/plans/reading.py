@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import ranking as rk
+from ..sources import archives
 from ..sources import fixtures as fx
 from ..sources import ranges as rg
+from ..sources.commits import Commits
 from .registry import plan
 from .session import prepared
 
@@ -60,3 +62,24 @@ def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx.read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").where("o_totalprice IS NOT NULL").select("o_orderkey", F.floor(100 * F.col("o_totalprice")).alias("at"))
     steps = fx.read(spark, sf_dir, "part", "p_retailprice").select(F.floor(3000 * F.col("p_retailprice")).alias("price"))
     return iv.last_not_beyond(points, steps, [], start="price").select("o_orderkey", "price")
+
+
+@plan("SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256(coalesce(text, '')) AS digest FROM documents")
+def archived_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as members of zip files, each a JSON document, read back member by member."""
+    folder = _folder(spark, "zips")
+    rows = _texts(spark, sf_dir).repartition("doc_id").select(F.concat(F.lit("docs/"), "doc_id", F.lit(".json")).alias("member"), F.to_json(F.struct("doc_id", "text")).alias("text"))
+    # An action: archives are there before they are listed.
+    archives.write_zips(rows, folder, "member", "text").agg(F.sum("members")).collect()
+    found = archives.archived_json(spark, f"{folder}/*.zip").select(F.from_json("value", "doc_id long, text string").alias("d"))
+    return found.select("d.doc_id", F.length("d.text").cast("long").alias("n"), F.sha2("d.text", 256).alias("digest"))
+
+
+@plan("SELECT lang, count(*) AS n, (SELECT count(*) FROM documents) AS logged, CAST(2 AS INTEGER) AS version FROM documents GROUP BY lang")
+def committed_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that was begun with a third of the documents and resumed with all: its log knows the number of its rows."""
+    docs = fx.read(spark, sf_dir, "documents", "doc_id", "lang")
+    log = Commits(spark, _folder(spark, "table"), key=["doc_id"])
+    log.append(docs.where("doc_id % 3 = 0"))
+    log.append_missing(docs)
+    return log.read().groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", F.lit(log.rows()).cast("long").alias("logged"), F.lit(log.version()).alias("version"))

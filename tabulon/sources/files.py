@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 _SOURCES: dict[str, object] = {}
 
 
@@ -47,25 +42,8 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",") -> Da
 
 
 @register_source("archive")
-def archived_json(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """path, member, value (JSON text) of the JSON members of zip and tar files; a list gives a row per entry."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for where, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                if zipfile.is_zipfile(io.BytesIO(content)):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = [(n, z.read(n)) for n in z.namelist() if n.endswith(suffix)]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                        found = [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile() and m.name.endswith(suffix)]
-                for name, raw in found:
-                    value = json.loads(raw)
-                    rows += [(where, name, json.dumps(v)) for v in (value if isinstance(value, list) else [value])]
-                yield pd.DataFrame(rows, columns=["path", "member", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, member string, value string")
+def archived_json(spark: SparkSession, path: str, **options) -> DataFrame:
+    return archives.archived_json(spark, path, **options)
 
 
 def run_files(spark: SparkSession, path: str, schema: str) -> DataFrame:

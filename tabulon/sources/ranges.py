@@ -87,7 +87,8 @@ def read_pieces(rows: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    dealt = rows.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # The number of tasks is given: by the size of their list, not of what it asks for, they would be put together.
+    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "offset").sortWithinPartitions("path", "offset")
     return dealt.mapInArrow(read, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", data binary")
 
 

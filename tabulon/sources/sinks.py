@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from .commits import Commits, Conflict
 
 
 def write_split(df: DataFrame, path: str, split: Column) -> None:
@@ -12,13 +13,6 @@ def write_split(df: DataFrame, path: str, split: Column) -> None:
     df.withColumn("split", split).write.partitionBy("split").mode("overwrite").parquet(path)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def pending(todo: DataFrame, done: DataFrame | None, key: list[str]) -> DataFrame:
     """Rows whose key isn't done yet."""
     return todo if done is None else todo.join(done.select(*key).distinct(), key, "left_anti")
@@ -26,40 +20,34 @@ def pending(todo: DataFrame, done: DataFrame | None, key: list[str]) -> DataFram
 
 def append_missing(todo: DataFrame, path: str, key: list[str]) -> None:
     """Appends what the sink doesn't hold; running it again changes nothing."""
-    pending(todo, _existing(todo.sparkSession, path), key).write.mode("append").parquet(path)
+    Commits(todo.sparkSession, path, key=key).append_missing(todo)
 
 
-def is_complete(df: DataFrame, path: str) -> bool:
-    done = _existing(df.sparkSession, path)
-    return done is not None and done.count() == df.count()
-
-
-def fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """n and an order-free digest of the keys."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).cast("string").alias("digest"))
+def is_complete(rows: DataFrame | int, path: str, spark: SparkSession | None = None) -> bool:
+    """Does the sink hold as many rows as there are?  Its own are known from its log."""
+    log = Commits(spark or rows.sparkSession, path)
+    return bool(log.entries()) and log.rows() == (rows if isinstance(rows, int) else rows.count())
 
 
 def reuse_or_write(df: DataFrame, path: str, key: str, value: str, *, probes: int = 3, tolerance: float = 0.02) -> DataFrame:
-    """A cached table if its fingerprint agrees and ``probes`` rows are within ``tolerance`` (root mean square); else it is
-    written anew.
-
-    Rows go to a folder named by their own digest, and the fingerprint that names the folder is appended last: a run
-    that fails leaves the older rows and fingerprint as they were, and readers only see whole tables.
-    """
-    spark = df.sparkSession
-    now, log = fingerprint(df, key).first(), _existing(spark, f"{path}/fingerprint")
-    before = None if log is None else log.orderBy(F.desc("version")).first()
-    if before is not None and (before["n"], before["digest"]) == (now["n"], now["digest"]):
-        old = spark.read.parquet(f"{path}/rows/{before['version']}")
-        few = df.orderBy(F.xxhash64(key), key).limit(probes)
-        gap = F.zip_with(f"a.{value}", f"b.{value}", lambda x, y: (x - y) * (x - y))
-        off = few.alias("a").join(old.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}")).select(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) / F.size(gap)).alias("rms")).agg(F.max("rms"), F.count("*")).first()
-        if off[1] == few.count() and (off[0] or 0) <= tolerance:
-            return old
-    version = 1 + (before["version"] if before is not None else 0)
-    df.write.mode("overwrite").parquet(f"{path}/rows/{version}")
-    spark.createDataFrame([(version, now["n"], now["digest"])], "version long, n long, digest string").coalesce(1).write.mode("append").parquet(f"{path}/fingerprint")
-    return spark.read.parquet(f"{path}/rows/{version}")
+    """A cached table if its keys are the same (by number and digest) and ``probes`` rows are within ``tolerance`` (root mean square); else it is written
+    anew.  A run that fails leaves the older rows in place, and of two that write at once the first one's rows stand."""
+    cache = Commits(df.sparkSession, path, key=[key])
+    before = cache.entries()
+    if before:
+        now = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+        if (before[-1]["rows"], before[-1]["digest"]) == (now["n"], now["digest"] or "0"):
+            old = cache.read()
+            few = df.orderBy(F.xxhash64(key), key).limit(probes)
+            gap = F.zip_with(f"a.{value}", f"b.{value}", lambda x, y: (x - y) * (x - y))
+            off = few.alias("a").join(old.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}")).select(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) / F.size(gap)).alias("rms")).agg(F.max("rms"), F.count("*")).first()
+            if off[1] == few.count() and (off[0] or 0) <= tolerance:
+                return old
+    try:
+        cache.replace(df, base=before[-1]["version"] if before else 0)
+    except Conflict:
+        pass
+    return cache.read()
 
 
 def markdown(df: DataFrame, decimals: int = 3) -> str:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.sources import files, schemas, sinks
+from tabulon.sources.commits import Commits
 from tabulon.streaming import rolling
 
 
@@ -48,7 +49,7 @@ def test_sinks_resume_and_reuse(spark, tmp_path):
     assert not sinks.is_complete(todo, path)
     sinks.append_missing(todo, path, ["id"])
     sinks.append_missing(todo, path, ["id"])
-    assert spark.read.parquet(path).count() == 10 and sinks.is_complete(todo, path)
+    assert Commits(spark, path).read().count() == 10 and sinks.is_complete(todo, path) and sinks.is_complete(10, path, spark)
     sinks.write_split(todo, str(tmp_path / "s"), F.when(F.col("id") < 3, "calib").otherwise("report"))
     assert spark.read.parquet(str(tmp_path / "s")).where("split = 'calib'").count() == 3
     cache = str(tmp_path / "cache")
