@@ -4,7 +4,8 @@ The windows of all items (ten words; a shorter item is one window) form a hash s
 Training texts are scanned once; a position whose window hash is in the set is verified against the
 item's words, and every word inside a verified occurrence is hit.
 
-The broadcast is used only while the items' text stays below ``BROADCAST_BYTES``.  Beyond it the items
+The set is a few arrays: items as numbers of their distinct words, and per distinct window its hash, a place where it stands and its items; about
+``WINDOW_BYTES`` bytes a word of the items, and each distinct word once.  It is broadcast only while that stays below ``SET_BYTES``.  Beyond it the items
 are processed in successive slices of that size, one at a time: each is collected, broadcast, scanned for, and given up before the
 next.  Long items are cut into parts that overlap by a window less one word, so a slice is bounded whatever the items are.
 Rows are numbered once, and the slices' spans merged by row.
@@ -13,12 +14,12 @@ Rows are numbered once, and the slices' spans merged by row.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,51 +27,133 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 WINDOW = 10
-BROADCAST_BYTES = 32 << 20
+#: The set is broadcast up to this size, as it lies in memory.
+SET_BYTES = 96 << 20
+#: Bytes of the set for a word of an item (a window begins with it: hash, place, items; and its number), for a distinct word, and for a part.
+WINDOW_BYTES, WORD_BYTES, PART_BYTES = 28, 16, 16
 #: Words of an item that are held together.
 PART_WORDS = 50_000
+#: Pairs of a document and an item that are held before equal ones are folded.
+PAIRS = 1 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
-def _normal(raw: bytes) -> bytes:
-    return b" ".join(_WORD.findall(raw.lower()))
+def _run(keys: np.ndarray) -> int:
+    """The longest run of equal sorted keys (1 unless hashes collide)."""
+    return int(np.diff(np.flatnonzero(np.diff(keys)) + 1, prepend=0, append=len(keys)).max()) if len(keys) else 1
 
 
-class WindowSet:
-    """The hash set of the items' windows, by window length."""
+class Windows:
+    """The distinct windows of one length: hash, a place where each stands, and its items."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
-            parts = _WORD.findall((text or "").encode().lower())
-            if not parts:
-                continue
-            size = min(window, len(parts))
-            hashes = tk.grams(tk.hash_words([b" ".join(parts).decode()], tk.ALNUM_FOLDED)[0], size)
-            for i, h in enumerate(hashes.tolist()):
-                found[size][h][b" ".join(parts[i : i + size])].add(item)
-        self.by_size = {size: (np.array(sorted(x), np.uint64), {h: dict(v) for h, v in x.items()}) for size, x in sorted(found.items())}
-
-    def occurrences(self, col: tk.Column, w: tk.Words) -> Iterator[tuple[np.ndarray, int, list[set[str]]]]:
-        """Verified occurrences: word positions, window length, and the items of each."""
-        for size, (keys, table) in self.by_size.items():
-            starts = tk.gram_starts(w.first, size)
+    def __init__(self, codes: np.ndarray, hashes: np.ndarray, place: np.ndarray, item: np.ndarray, size: int) -> None:
+        g = tk.grams(hashes, size)[place]
+        order = np.lexsort((place, item, g))
+        g, place, item = g[order], place[order], item[order]
+        other = np.ones(len(g), bool)
+        other[1:] = g[1:] != g[:-1]
+        for j in range(size):
+            other[1:] |= codes[place[1:] + j] != codes[place[:-1] + j]
+        kept = other.copy()
+        kept[1:] |= item[1:] != item[:-1]
+        self.size, self.keys, self.place, self.who = size, g[other], place[other].astype(np.int32), item[kept].astype(np.int32)
+        self.first = np.append(np.flatnonzero(other[kept]), kept.sum()).astype(np.int32)
+        self.run = _run(self.keys)
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.place.nbytes + self.who.nbytes + self.first.nbytes
+
+
+class WindowSet:
+    """The hash set of the items' windows, by window length.  ``parts`` has the columns i (an item's id or null) and t (words joined by one
+    space, none empty)."""
+
+    def __init__(self, parts: pa.Table, window: int = WINDOW) -> None:
+        ids, texts = (parts.column(k).cast(pa.string()).combine_chunks() for k in ("i", "t"))
+        split = pc.split_pattern(texts, " ")
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        named = pc.list_flatten(split).dictionary_encode()
+        del split
+        hashes = np.concatenate([np.empty(0, np.uint64), *(w.h for w in tk.words(tk.column(named.dictionary), tk.ALNUM_FOLDED))])
+        # Words are numbered in the order of their hashes, items in that of their names (one without an id comes first).
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.codes = rank[named.indices.to_numpy(zero_copy_only=False)]
+        self.words, self.word_keys = tk.column(named.dictionary.take(pa.array(order))), hashes[order]
+        self.word_run = _run(self.word_keys)
+        named = ids.dictionary_encode(null_encoding="encode")
+        order = pc.array_sort_indices(named.dictionary, null_placement="at_start") if len(ids) else pa.array([], pa.int64())
+        self.names = named.dictionary.take(order)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order))
+        item = rank[named.indices.to_numpy(zero_copy_only=False)]
+        count, own = np.diff(first), self.word_keys[self.codes]
+        self.by_size = []
+        for size in np.unique(np.minimum(count, window)).tolist():
+            place = tk.gram_starts(first, window) if size == window else first[:-1][count == size]
+            self.by_size.append(Windows(self.codes, own, place, item[np.searchsorted(first, place, "right") - 1], size))
+
+    @property
+    def nbytes(self) -> int:
+        return self.codes.nbytes + self.words.data.nbytes + self.words.offsets.nbytes + self.word_keys.nbytes + self.names.nbytes + sum(x.nbytes for x in self.by_size)
+
+    def _numbers(self, col: tk.Column, w: tk.Words, at: np.ndarray) -> np.ndarray:
+        """The numbers of these words of a text, compared byte by byte; -1 for a word that no item has."""
+        h, out = w.h[at], np.full(len(at), -1, np.int32)
+        low = np.searchsorted(self.word_keys, h)
+        for k in range(self.word_run):
+            code = np.minimum(low + k, len(self.word_keys) - 1)
+            length = self.words.offsets[code + 1] - self.words.offsets[code]
+            i = np.flatnonzero((out < 0) & (self.word_keys[code] == h) & (length == w.end[at] - w.start[at]))
+            length, code = length[i], code[i]
+            step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            apart = _FOLD[col.data[np.repeat(w.start[at[i]], length) + step]] != self.words.data[np.repeat(self.words.offsets[code], length) + step]
+            good = np.bincount(np.repeat(np.arange(len(i)), length)[apart], minlength=len(i)) == 0
+            out[i[good]] = code[good]
+        return out
+
+    def occurrences(self, col: tk.Column, w: tk.Words) -> Iterator[tuple[np.ndarray, Windows, np.ndarray]]:
+        """Verified occurrences: word positions, and the window that stands at each."""
+        for own in self.by_size:
+            starts = tk.gram_starts(w.first, own.size)
             if not len(starts):
                 continue
-            g = tk.grams(w.h, size)[starts]
-            at = np.searchsorted(keys, g)
-            at[at == len(keys)] = 0
-            hit = np.flatnonzero(keys[at] == g)
-            positions, items, seen = [], [], {}
-            for p, h in zip(starts[hit].tolist(), g[hit].tolist(), strict=True):
-                raw = col.data[w.start[p] : w.end[p + size - 1]].tobytes()
-                if raw not in seen:
-                    seen[raw] = table[h].get(_normal(raw))
-                if seen[raw]:
-                    positions.append(p)
-                    items.append(seen[raw])
-            if positions:
-                yield np.array(positions), size, items
+            g = tk.grams(w.h, own.size)[starts]
+            low = np.searchsorted(own.keys, g)
+            hit = np.flatnonzero(own.keys[np.minimum(low, len(own.keys) - 1)] == g)
+            if not len(hit):
+                continue
+            at, g, low = starts[hit], g[hit], low[hit]
+            number = np.full(len(w.h), -1, np.int32)
+            inside = np.flatnonzero(tk.covered(len(w.h), at, own.size))
+            number[inside] = self._numbers(col, w, inside)
+            for k in range(own.run):
+                which = np.minimum(low + k, len(own.keys) - 1)
+                same = own.keys[which] == g
+                for j in range(own.size):
+                    same &= number[at + j] == self.codes[own.place[which] + j]
+                if same.any():
+                    yield at[same], own, which[same]
+
+    def items(self, n: int, found: list[tuple[np.ndarray, Windows, np.ndarray]]) -> pa.ListArray:
+        """The names of the items found in each of n texts, sorted; ``found`` has texts and the windows in them."""
+        width, pairs = max(len(self.names), 1), [np.empty(0, np.int64)]
+        for text, own, which in found:
+            key = np.unique(text.astype(np.int64) * len(own.keys) + which)
+            text, which = key // len(own.keys), key % len(own.keys)
+            many = (own.first[which + 1] - own.first[which]).astype(np.int64)
+            for a, b in tk.groups(tk.Column(key, np.concatenate([[0], np.cumsum(many)])), PAIRS):
+                m = many[a:b]
+                at = np.repeat(own.first[which[a:b]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                pairs.append(np.unique(np.repeat(text[a:b], m) * width + own.who[at]))
+                if len(pairs) == 16:
+                    pairs = [np.unique(np.concatenate(pairs))]
+        every = np.unique(np.concatenate(pairs))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(every, np.arange(n + 1) * width), pa.int32()), self.names.take(pa.array(every % width)))
 
 
 def _parts(window: int):
@@ -86,19 +169,17 @@ def _parts(window: int):
     return cut
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, limit: int, window: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in lists whose text stays below the limit, one at a time; an item without an id is an item of its own."""
+def _slices(benchmark: DataFrame, item: str, text: str, limit: int, window: int) -> Iterator[pa.Table]:
+    """The items in tables whose window set stays below the limit, one at a time; an item without an id is an item of its own."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(_parts(window), "i string, t string").where("t <> ''")
-    total = rows.select(F.sum(F.octet_length("t") + 8)).first()[0] or 0
+    words = F.length("t") - F.length(F.translate("t", " ", "")) + 1
+    size = words * (WINDOW_BYTES + WORD_BYTES) + F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + PART_BYTES
+    total = rows.select(F.sum(size.cast("long"))).first()[0] or 0
     n = int(total // limit) + 1
     n = 1 if n == 1 else 2 * n
     cut = rows.withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
     for k in range(n):
-        yield [(r.i, r.t) for r in cut.where(F.col("s") == k).collect()]
-
-
-def _by_name(items: set[str | None]) -> list[str | None]:
-    return sorted(items, key=lambda x: (x is not None, x or ""))
+        yield cut.where(F.col("s") == k).select("i", "t").toArrow()
 
 
 def hit_spans(documents: DataFrame, shared: Broadcast[WindowSet], doc_id: str, text: str) -> DataFrame:
@@ -109,12 +190,10 @@ def hit_spans(documents: DataFrame, shared: Broadcast[WindowSet], doc_id: str, t
             col = tk.column(batch.column(1))
             for w in tk.words(col, tk.ALNUM_FOLDED):
                 n = w.hi - w.lo
-                mark = np.zeros(len(w.h) + 1, np.int64)
-                items: list[set[str]] = [set() for _ in range(n)]
-                for at, size, who in shared.value.occurrences(col, w):
-                    mark += np.bincount(at, minlength=len(mark)) - np.bincount(at + size, minlength=len(mark))
-                    for d, x in zip((np.searchsorted(w.first, at, "right") - 1).tolist(), who, strict=True):
-                        items[d] |= x
+                mark, found = np.zeros(len(w.h) + 1, np.int64), []
+                for at, own, which in shared.value.occurrences(col, w):
+                    mark += np.bincount(at, minlength=len(mark)) - np.bincount(at + own.size, minlength=len(mark))
+                    found.append((np.searchsorted(w.first, at, "right") - 1, own, which))
                 hit = np.cumsum(mark[:-1]) > 0
                 edge = hit.copy()
                 inner = w.first[:-1][(w.first[:-1] > 0) & (w.first[:-1] < len(hit))]
@@ -124,16 +203,13 @@ def hit_spans(documents: DataFrame, shared: Broadcast[WindowSet], doc_id: str, t
                 last[:-1] &= ~hit[1:]
                 last[inner - 1] = hit[inner - 1]
                 a, b = np.flatnonzero(edge), np.flatnonzero(last) + 1
-                owner = np.searchsorted(w.first, a, "right") - 1
-                spans = [[] for _ in range(n)]
-                for d, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True):
-                    spans[d].append({"a": x - int(w.first[d]), "b": y - int(w.first[d])})
+                begin = w.first[np.searchsorted(w.first, a, "right") - 1]
+                spans = pa.StructArray.from_arrays([pa.array(a - begin, pa.int64()), pa.array(b - begin, pa.int64())], names=["a", "b"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.lo, n), pa.array(np.diff(w.first)), pa.array(spans, SPANS), pa.array([_by_name(x) for x in items], pa.list_(pa.string()))],
+                    [batch.column(0).slice(w.lo, n), pa.array(np.diff(w.first)), pa.ListArray.from_arrays(pa.array(np.searchsorted(a, w.first), pa.int32()), spans), shared.value.items(n, found)],
                     names=["doc_id", "n_words", "spans", "items"],
                 )
 
-    SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         scan, "doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
     )
@@ -148,14 +224,14 @@ def _merged(spans) -> object:
     )
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, set_bytes: int = SET_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, spans (hit word ranges), items (ids as strings, sorted).
 
     A null or empty text has no words and no hits; a null or empty item has no window.  Repeated rows are
     scanned each on its own.  Repeated items count once per item id; an item without an id counts, but has no name.
     Other columns are ignored.
     """
-    sc, parts = documents.sparkSession.sparkContext, _slices(benchmark, item_id, item_text, broadcast_bytes, window)
+    sc, parts = documents.sparkSession.sparkContext, _slices(benchmark, item_id, item_text, set_bytes, window)
     part, more = next(parts), next(parts, None)
     if more is None:
         return hit_spans(documents, sc.broadcast(WindowSet(part, window)), doc_id, text)
@@ -182,7 +258,7 @@ def digest(result: DataFrame) -> DataFrame:
 def without_benchmark(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents in which no window of a test item occurs, with all their columns."""
     window = kw.get("window", WINDOW)
-    for part in _slices(benchmark, kw.get("item_id", "item_id"), kw.get("item_text", "text"), kw.get("broadcast_bytes", BROADCAST_BYTES), window):
+    for part in _slices(benchmark, kw.get("item_id", "item_id"), kw.get("item_text", "text"), kw.get("set_bytes", SET_BYTES), window):
         documents = _without(documents, WindowSet(part, window), kw.get("text", "text"))
     return documents
 

@@ -1,6 +1,10 @@
 import hashlib
+import pickle
+import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabulon.llm import decontaminate, exact, jaccard, substring
@@ -181,7 +185,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, limit, part):
     items = [(1, docs[20]), (12, docs[21]), (2, "w1 w2"), (3, ""), (4, None), (5, "É"), (6, docs[20])]
     rows = list(enumerate(docs)) + [(900, "x " + (docs[20] or "").upper() + " y"), (901, "W1-W2, w1 w2")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    found = rows_of(decontaminate.digest(decontaminate.decontaminate(table(spark, rows), benchmark, broadcast_bytes=limit)))
+    found = rows_of(decontaminate.digest(decontaminate.decontaminate(table(spark, rows), benchmark, set_bytes=limit)))
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found}
     assert got == plain_decontamination(rows, items) and len(found) == len(rows)
 
@@ -190,11 +194,50 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, limit, part):
 def test_decontamination_repeated_rows_and_items_without_id(spark, limit):
     items = spark.createDataFrame([(None, "some secret words"), ("null", "other words"), ("null", "other words")], "item_id string, text string")
     rows = [(1, "other words and some secret words"), (1, "other words and some secret words"), (None, "Other-words"), (1, "clean")]
-    found = rows_of(decontaminate.digest(decontaminate.decontaminate(table(spark, rows), items, broadcast_bytes=limit)))
+    found = rows_of(decontaminate.digest(decontaminate.decontaminate(table(spark, rows), items, set_bytes=limit)))
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in found)
     assert got == sorted([("1", 6, 5, 2, sha("null"))] * 2 + [("None", 2, 2, 1, sha("null")), ("1", 1, 0, 0, sha(""))])
 
 
+def test_the_window_set_is_as_large_as_stated(spark):
+    """The size by which slices are made bounds the arrays in memory, and what is pickled for the broadcast."""
+    r = random.Random(5)
+    few, many = [f"w{i}" for i in range(500)], [f"word{i:07d}" for i in range(200_000)]
+    for pool in (few, many):
+        parts = [(str(i), " ".join(r.choice(pool) for _ in range(r.choice([3, 40, 900])))) for i in range(400)]
+        stated = sum(len(t.split()) * (decontaminate.WINDOW_BYTES + decontaminate.WORD_BYTES) + len(t) + len(i) + decontaminate.PART_BYTES for i, t in parts)
+        made = decontaminate.WindowSet(pa.table({"i": [i for i, _ in parts], "t": [t for _, t in parts]}))
+        assert made.nbytes < stated + 1024 and len(pickle.dumps(made)) < stated + 16384
+    benchmark = spark.createDataFrame(parts, "item_id string, text string")
+    slices = list(decontaminate._slices(benchmark, "item_id", "text", stated // 4, 10))
+    assert len(slices) > 4 and sum(len(x) for x in slices) == len(parts)
+    assert all(decontaminate.WindowSet(x).nbytes < stated // 4 for x in slices)
+
+
+def test_decontamination_keeps_apart_words_whose_hashes_collide(spark, monkeypatch):
+    """With hashes of four values, only the words themselves tell windows apart."""
+    grams, scan = decontaminate.tk.grams, decontaminate.tk._scan
+    monkeypatch.setattr(decontaminate.tk, "grams", lambda h, k: grams(h, k) % np.uint64(4))
+    monkeypatch.setattr(decontaminate.tk, "_scan", lambda *a: (lambda h, *rest: (h % np.uint64(4), *rest))(*scan(*a)))
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice(["aa", "Bb", "cc", "dé", "ee", "ff", "gg"]) for _ in range(n))
+    items = [(str(i), say(n)) for i, n in enumerate([1, 2, 2, 3, 10, 10, 14, 40]) for _ in range(2)] + [("9", "zz")]
+    docs = [say(n) for n in (0, 1, 5, 30, 30, 60)] + [f"{say(4)} {t} {say(4)}" for _, t in items]
+    made = decontaminate.WindowSet(pa.table({"i": [i for i, _ in items], "t": [t.lower() for _, t in items]}))
+    col = decontaminate.tk.column(pa.array(docs))
+    got, n_hit = {}, 0
+    for w in decontaminate.tk.words(col, decontaminate.tk.ALNUM_FOLDED):
+        found, hit = [], np.zeros(len(w.h), bool)
+        for at, own, which in made.occurrences(col, w):
+            hit |= decontaminate.tk.covered(len(hit), at, own.size)
+            found.append((np.searchsorted(w.first, at, "right") - 1, own, which))
+        got |= dict(enumerate(made.items(w.hi - w.lo, found).to_pylist(), w.lo))
+        n_hit += int(hit.sum())
+    want = plain_decontamination(list(enumerate(docs)), items)
+    assert {i: (len(x), sha(",".join(x))) for i, x in got.items()} == {i: v[2:4] for i, v in want.items()}
+    assert n_hit == sum(v[1] for v in want.values())
+
+
 def test_decontamination_without_items_and_removal(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["contaminated"] for r in rows_of(decontaminate.digest(decontaminate.decontaminate(table(spark, [(1, "a"), (2, None)]), none)))} == {False}

@@ -39,7 +39,7 @@ def test_near_stage_goes_by_rows(spark):
 def test_decontamination_stage_goes_by_rows(spark, limit):
     items = spark.createDataFrame([(1, "secret phrase here"), (2, "one more of them")], "item_id long, text string")
     rows = [(None, "the Secret, phrase here"), (None, "clean"), (1, "one more of them"), (1, "also clean"), (2, None)]
-    assert left(decontaminate.without_benchmark(table(spark, rows), items, broadcast_bytes=limit)) == same([(None, "clean"), (1, "also clean"), (2, None)])
+    assert left(decontaminate.without_benchmark(table(spark, rows), items, set_bytes=limit)) == same([(None, "clean"), (1, "also clean"), (2, None)])
 
 
 def test_language_stage_goes_by_rows(spark):
