@@ -26,6 +26,8 @@ from . import textkernel as tk
 
 #: Labelled documents learnt from per language; texts up to so many bytes come first.
 SAMPLE_DOCS, MODERATE_BYTES = 32, 8192
+#: Bytes of the texts learnt from: of a language, and of all languages, which share them equally.  A text beyond its language's share is never learnt from.
+LANGUAGE_BYTES, SAMPLE_BYTES = 192 << 10, 768 << 10
 STRETCH = 512
 #: Sharpness of the score: how a relative difference in phrases becomes odds.
 SHARPNESS = 60.0
@@ -165,13 +167,17 @@ class Languages:
 
 
 def _training(documents: DataFrame, doc_id: str, text: str, label: str, held_out, sample: int) -> dict[str, bytes]:
-    """At most ``sample`` whole texts per language: those of moderate length first, in the order of a hash of their id."""
+    """At most ``sample`` whole texts per language, those of moderate length first, in the order of a hash of their id, as many of them as fit into
+    the language's share of bytes."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null").where(~held_out)
     found: dict[str, bytes] = {}
+    share = min(LANGUAGE_BYTES, SAMPLE_BYTES // max(1, rows.select("label").distinct().count()))
+    rows = rows.where(F.octet_length("text") <= share)
     # Only ids are ranked, and every task passes on no more than its own first ones; the texts are fetched afterwards.
     key = F.struct((F.octet_length("text") > MODERATE_BYTES).alias("long"), F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
     near = Window.partitionBy("label").orderBy("key")
-    ids = rows.select("label", key.alias("key")).withColumn("k", F.row_number().over(near)).where(F.col("k") <= sample)
+    ids = rows.select("label", key.alias("key"), F.octet_length("text").cast("long").alias("size")).withColumn("k", F.row_number().over(near)).where(F.col("k") <= sample)
+    ids = ids.withColumn("total", F.sum("size").over(near.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= share)
     ids = ids.groupBy("label", "key").agg(F.min("k").alias("k"))
     chosen = rows.withColumn("key", key).join(F.broadcast(ids), ["label", "key"]).groupBy("label", "k").agg(F.min("text").alias("text"))
     for r in sorted(chosen.collect(), key=lambda r: (r.label, r.k)):
@@ -198,7 +204,7 @@ def _has_letter(col: tk.Column, lo: int, hi: int) -> np.ndarray:
 
 def _model(documents: DataFrame, doc_id: str, text: str, label: str, sample: int):
     """The languages learnt from the documents, as a broadcast; None where there are none.  Its size is that of the sample, whatever the
-    documents: about 500 bytes for each byte of the sampled texts."""
+    documents: about 500 bytes for each byte of the sampled texts, which ``SAMPLE_BYTES`` bounds."""
     samples = _training(documents, doc_id, text, label, held_out("doc_id"), sample)
     return documents.sparkSession.sparkContext.broadcast(Languages(samples) if samples else None)
 
@@ -224,7 +230,7 @@ def identify(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     ``und`` with score 0 for a null text, one without a letter, or where no language could be learnt.  The
     score is the winner's share when each language weighs exp(-sharpness * entropy / least entropy); ties
     go to the name that sorts first.  A row with a null id is not held out.  Repeated rows are judged each on its own.
-    Learnt from at most ``sample`` whole documents per language; label, and any other column, is never an input of a
+    Learnt from at most ``sample`` whole documents per language that fit into its share of ``SAMPLE_BYTES`` (a language of longer texts alone isn't learnt); label, and any other column, is never an input of a
     prediction.
     """
     model = _model(documents if learn_from is None else learn_from, doc_id, text, label, sample)

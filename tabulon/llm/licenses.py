@@ -1,9 +1,9 @@
 """Licence scans with a positional index of rare words.
 
-The templates (licence texts, and the notices by which files refer to one) are indexed by word: postings (template, position).
+The templates (the notices by which files refer to a licence, and passages of the licences that no other one has) are indexed by word: postings (template, position).
 A word's weight is its inverse document frequency over all scanned documents, counted for the words of the templates only, so the table
 has the size of the templates.  Of each template the ``RARE`` words with the highest weights are indexed, so what a template needs never
-depends on what else stands in a file.  All of a file's words are looked up; a posting votes with its weight for (template,
+depends on what else stands in a file.  Of templates up to ``WHOLE_UPTO`` words every word must stand in place.  All of a file's words are looked up; a posting votes with its weight for (template,
 document position - template position), and places where enough weight agrees are verified: the template's mandatory key phrases must
 stand there, word by word.
 
@@ -25,20 +25,24 @@ from . import textkernel as tk
 # Phrases and their labels, as the contract gives them.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label -> (text, mandatory key phrases within it): short notices, and the licences' own words.
+#: label -> (text, mandatory key phrases within it): short notices, and passages of the licences: what a licence says of others (the GPL names the lesser
+#: and the Affero one) is no label.
 TEMPLATES = {
     "agpl": [
+        ("the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software", ["specifically designed to ensure cooperation with the community in the case of network server software"]),
         ("licensed under the gnu affero general public license version 3", ["affero general public license"]),
         ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu affero general public license"]),
     ],
     "apache-2.0": [
+        ("license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license", ["as defined by sections 1 through 9 of this document"]),
+        ("grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", ["each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"]),
         ("licensed under the apache license version 2 0", ["apache license version 2 0"]),
         ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["except in compliance with the license", "without warranties or conditions of any kind"]),
     ],
     "bsd": [
         ("licensed under the bsd 3 clause license", ["bsd 3 clause"]),
         ("licensed under the bsd 2 clause license", ["bsd 2 clause"]),
-        ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistribution and use in source and binary forms"]),
+        ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
         ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
     ],
     "bsl-1.0": [("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ["obtaining a copy of the software and accompanying documentation"])],
@@ -50,15 +54,19 @@ TEMPLATES = {
         ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ],
     "gpl-2.0": [
-        ("this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+        ("the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users", ["general public license is intended to guarantee your freedom to share and change free software"]),
+        ("licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
         ("free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["gnu general public license", "either version 2"]),
     ],
     "gpl-3.0": [
-        ("this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+        ("the gnu general public license is a free copyleft license for software and other kinds of works the licenses for most software and other practical works are designed to take away your freedom to share and change the works", ["the gnu general public license is a free copyleft license for software and other kinds of works"]),
+        ("licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
         ("free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["gnu general public license", "either version 3"]),
     ],
     "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["and or distribute this software for any purpose"])],
     "lgpl": [
+        ("this license the lesser general public license applies to some specially designated software packages typically libraries of the free software foundation and other authors who decide to use it", ["the lesser general public license applies to some specially designated software packages"]),
+        ("this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below", ["this version of the gnu lesser general public license"]),
         ("licensed under the gnu lesser general public license", ["lesser general public license"]),
         ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
     ],
@@ -66,14 +74,16 @@ TEMPLATES = {
         ("released under the mit license", ["mit license"]),
         ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission is hereby granted free of charge", "and associated documentation files"]),
     ],
-    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["mozilla public license"])],
-    "proprietary": [("copyright all rights reserved", ["all rights reserved"]), ("this software is proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited", ["proprietary and confidential"])],
+    "mpl-2.0": [("contributor means each individual or legal entity that creates contributes to the creation of or owns covered software contributor version means the combination of the contributions of others if any used by a contributor and that particular contributor s contribution", ["creates contributes to the creation of or owns covered software"]), ("mozilla public license version 2 0", ["mozilla public license version 2 0"]), ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["mozilla public license"])],
+    "proprietary": [("all rights reserved no part of this software may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the copyright holder", ["no part of this software may be reproduced"]), ("this software is proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited", ["proprietary and confidential"])],
     "unlicense": [("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free and unencumbered software"])],
     "zlib": [("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["alter it and redistribute it freely"])],
 }
 
 #: Indexed words of each template.
 RARE = 24
+#: Templates up to so many words have to stand there word by word.
+WHOLE_UPTO = 12
 #: The weight that must agree, as a share.
 AGREEMENT = 0.5
 
@@ -86,7 +96,7 @@ class LicenceIndex:
                 own = tk.hash_words([passage], tk.ALNUM_FOLDED)[0].tolist()
                 self.labels.append(label)
                 self.words.append(own)
-                found = []
+                found = [(0, np.array(own, np.uint64))] if len(own) <= WHOLE_UPTO else []
                 for k in tk.hash_words(keys, tk.ALNUM_FOLDED):
                     at = [i for i in range(len(own) - len(k) + 1) if own[i : i + len(k)] == k.tolist()]
                     if not at:

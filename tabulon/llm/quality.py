@@ -4,7 +4,7 @@ A document is a bag of passages of ``PASSAGE`` words.  Every passage is encoded
 repetition and hashed words, through a learnt layer), gated attention weighs the passages, and the weighted
 sum is scored.  Only documents are labelled; the attention weights are learnt from these labels.
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE`` of them, with all their passages).  Scoring takes all
+The model is fitted on a bounded sample of labelled documents (``SAMPLE`` of them, with all their passages, as many as fit into ``SAMPLE_BYTES``).  Scoring takes all
 passages of every whole text.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -22,6 +22,8 @@ from .langid import held_out
 
 PASSAGE = 50
 SAMPLE = 3000
+#: Bytes of the texts learnt from (their features take about as much); texts up to ``MODERATE_BYTES`` come first.
+SAMPLE_BYTES, MODERATE_BYTES = 32 << 20, 256 << 10
 HASHED = 64
 ENCODED, ATTENTION = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 25, 64, 0.01, 1e-4
@@ -156,10 +158,16 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> GatedAttention | None:
-    """Fits the model on the ``sample`` labelled documents that come first by a hash of their id, none of them held out."""
+    """Fits the model on the ``sample`` labelled documents that come first by a hash of their id, none of them held out; of these on those whose
+    whole texts fit into ``SAMPLE_BYTES``, long ones last."""
     named = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out("doc_id"))
     chosen = named.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    every = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # At most ``sample`` sizes, of each id the largest; the texts are fetched afterwards.
+    sizes = every.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("size").alias("size"))
+    order = Window.orderBy(F.col("size") > MODERATE_BYTES, F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sizes.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= SAMPLE_BYTES).select("doc_id", "label")
+    rows = every.join(F.broadcast(chosen), "doc_id")
     # Of several rows with a labelled id one is learnt from.
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     rows = sorted(rows.mapInArrow(_bags, "doc_id long, bag binary, label int").collect(), key=lambda r: (r.doc_id, bytes(r.bag)))

@@ -1,11 +1,13 @@
 """URL filters: explicit rules, and a logistic regression on hashed character n-grams for all other URLs.
 
-The regression is trained on a small labelled table of URLs.  Features are the hashed n-grams of the host
+The regression is trained on a small labelled table of URLs, made by rule from names of unwanted and ordinary kinds of sites and the words
+that stand beside them.  Features are the hashed n-grams of the host
 (in `^host/`) and of the path, each in its own half of the feature space, scaled to unit length per URL.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,59 +21,91 @@ from . import textkernel as tk
 # Rules (host and path, verdict), as the contract gives them.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
-#: A small labelled table: URLs of sites of unwanted kinds (block), and of ordinary sites (allow).  It names kinds of sites by the words that
-#: such hosts are made of, and none that a query is tested on.
-LABELLED = {
-    "block": """
-        http://royalcasino-online.com/en/slots https://casinobonus24.net/fr/join http://www.vegas-casino-club.org/de/free-spins
-        https://bestpokerroom.net/es/bonus http://texasholdem-poker.biz/en/1 https://sportsbetting-tips.info/en/today
-        http://bets365pro.com/fr/odds https://www.livebets-online.net/de/9 http://jackpot-lotto-prize.biz/claim?id=3
-        http://quickbets.net/en/join https://bets-and-odds.info/es/4 https://freebet-offers.net/en/2 http://worldbets.example.com/es/9
-        https://slotmachines-win-big.com/es/77 http://roulette-bets.example.com/en/40 https://bingo-win.example.net/en/8
-        https://hot-porn-tube.com/video.html http://xxxvideos-hd.net/watch/12 https://sexcams-live.tv/room/7
-        http://adultdating-night.com/profile https://www.adult-toys-shop.net/de/4 http://nude-pics-gallery.org/en/2
-        https://escort-adult.example.com/fr/11 http://x-rated-adult-movies.biz/es/5 https://erotic-cams.example.net/en/3
-        http://viagra-online-order.biz/order https://pillstore-express.net/en/cart http://weightloss-pills-now.com/de/1
-        https://onlinepharmacy-meds.com/fr/buy http://diet-pills.example.net/en/60 https://cheapmeds-rx.org/es/22
-        https://cheap-replica-watches.net/shop http://cheap-handbags-outlet.com/en/sale https://buy-followers-cheap.biz/join
-        http://adclick-tracker.com/r?u=1 https://ads.popunder-network.net/fr/3 http://track.banner-ads.org/pixel?id=4
-        https://adserver-track.example.com/en/6 http://clicktrack-ads.biz/de/12 https://pop-ads.example.net/es/8
-        http://spamlinks-directory.info/en/9 https://www.link-farm-seo.biz/links http://backlink-farm.net/fr/post/3
-        https://spam-comments.example.com/de/31 http://content-farm.example.net/es/2 https://articlespam-spinner.org/en/a
-        http://malware-update.info/setup.exe https://phishing-login-verify.net/account http://crack-keygen-download.net/warez
-        https://torrent-warez-free.com/download http://free-iphone-win.info/prize https://free-money-now.biz/claim
-        http://payday-loan-fast.com/apply https://instant-cash-loan.example.com/en/5 http://win-free-giftcards.net/en/7
-    """,
-    "allow": """
-        https://docs.python.org/3/library/json.html https://en.wikipedia.org/wiki/Language https://www.bbc.co.uk/news/science
-        https://www.nature.com/articles/s41586 https://arxiv.org/abs/1706.03762 https://github.com/apache/spark
-        https://stackoverflow.com/questions/1234 https://www.gutenberg.org/ebooks/2701 https://www.nytimes.com/section/world
-        https://www.lemonde.fr/sciences/ https://www.spiegel.de/wissenschaft/ https://elpais.com/ciencia/ https://www.who.int/news
-        https://www.nasa.gov/missions https://www.mit.edu/research/ https://www.gov.uk/browse/education
-        https://recipes.example.net/en/soup https://travel.example.com/en/paris.html https://library.example.net/fr/12
-        https://weather.example.com/en/today https://www.gardening-notes.example.net/de/3658 http://shop.bookstore.example.com/es/40
-        http://blog.oldtown-history.net/fr/21 https://m.cityhospital.example.com/es/5?page=2 http://museum.example.net/de/11.html
-        https://school-district.example.com/en/8 http://m.riverside-news.example.net/es/77/ https://cows.example.net/en/farm
-        https://www.farmers-market.org/en/6038.html https://blog.trackandfield-club.example.com/en/214.html
-        http://www.mountain-trails.example.net/fr/5487/ https://news.example.com/en/581?page=2 https://m.theatre.example.com/de/25
-        https://www.another-thing.example.net/en/31 http://blog.northern-stories.example.com/en/960 https://others.example.net/es/4833/
-        https://www.heritage-house.net/fr/1 https://blog.weathering.example.com/en/1959?page=2 http://m.founder-notes.net/en/378
-        https://theory.example.com/de/671 http://reader.example.net/es/797 https://www.engineering.example.com/en/885
-        http://thirteen.example.net/en/17 https://blog.ironworks.example.com/fr/8666.html http://handmade.example.net/de/40
-        http://peach-orchard.example.com/en/4 https://chess-players.example.net/fr/31 http://coach-travel.net/en/7 https://cheese-makers.com/en/9
-        https://lecture-notes.example.net/en/2 http://chemistry-lab.example.com/es/3 https://search-museum.example.com/en/6 http://beach-walks.net/de/1
-        https://tables.example.com/es/2512.html http://whale-watching.example.net/fr/5151 https://nordic.example.com/en/5916
-    """,
-}
+#: Names of sites of unwanted kinds (gambling, pornography, pills, loans, piracy, fraud, link selling), and words that stand beside them.
+UNWANTED = """
+    gambling poker roulette blackjack baccarat betting bookmaker wager lottery lotto jackpot slots bingo keno scratchcard sportsbook
+    croupier dice highroller punter tote sweepstake highstakes pokies craps
+    porn porno xxx nude nudes naked erotic erotica sex sexy hentai milf fetish bdsm camgirl camgirls escort escorts hookup swinger swingers
+    stripper lingerie horny slut singles sugardaddy onenight livecam peepshow upskirt playmate hardcore
+    viagra cialis levitra tramadol xanax valium oxycodone steroids anabolic slimming fatburner weightloss detoxtea testosterone botox
+    antidepressants sildenafil modafinil painkillers hgh enlargement hairgrowth miraclecure
+    payday loans lender cashadvance quickcash debt creditrepair refinance forex binaryoptions cryptoprofit bitcoin doubler pyramid hyip
+    getrich passiveincome millionaire moneymaker earnings giveaway giftcards prizes surveys reward claims
+    warez crack cracked keygen serials torrent torrents pirate pirated nulled rips iptv streamz camrip modapk cheats aimbot unlocker
+    phishing malware trojan exploit botnet carding fullz stealer hijack popunder popups clickbait clickfraud redirector scam fake replica
+    replicas knockoff counterfeit backlinks linkbuilding seoboost followers likes traffic autosurf proxybuy leads bulkmail mailer
+    essaywriter diplomas passports psychic astrology fortune lovespell
+"""
+UNWANTED_WITH = """
+    online bonus live hot best vip club hd tube deals discount buy order now instant 247 365 pro royal mega lucky palace zone hub nation
+    guaranteed daily secret real top big super express kingdom cash money pics videos girls tonight market outlet sale rx meds download
+"""
+#: Names of ordinary sites, and words that stand beside them.
+ORDINARY = """
+    museum library school university college academy institute laboratory observatory archive gallery theatre orchestra choir opera cinema
+    newspaper herald gazette journal magazine press publisher bookshop poetry novel fiction history archaeology geology botany zoology
+    physics chemistry biology mathematics statistics astronomy medicine hospital clinic dentist nursing pharmacology surgery pediatrics
+    psychology sociology philosophy theology linguistics grammar dictionary translation language english french german spanish italian
+    council parliament ministry embassy court police firefighters mayor election democracy freedom justice rights charity volunteers
+    weather climate ocean river mountain forest meadow valley island harbour lighthouse canal bridge railway station airport bicycle
+    hiking climbing sailing rowing swimming running football cricket rugby tennis hockey skiing winter summer autumn spring olympic
+    garden orchard vineyard bakery brewery coffee teahouse kitchen recipes cooking cheese bread soup vegetables dairy butcher restaurant
+    cafe hotel hostel camping travel tourism guide map atlas heritage castle cathedral village town district neighbourhood square
+    carpenter plumber electrician builder architect engineer mechanic welding pottery weaving knitting sewing quilting tailor jeweller
+    furniture lamps textiles paper printing stationery bookbinding calligraphy painting sculpture photography camera film music piano
+    violin guitar drums jazz folk concert festival dance ballet puppets circus toys puzzles chess boardgames gardeners birdwatch
+    insects butterfly whale dolphin horse sheep goat puppy kitten veterinary aquarium wildlife nature conservation recycling energy
+    solar windmill battery computing software compiler kernel database network protocol python javascript linux hardware robotics
+    electronics telescope microscope satellite rocket planet moon comet geography census economics finance accounting insurance bank
+    pension taxes lawyer notary consumer standards patents science research engineering technology innovation report policy review
+    parents children family grandmother baby kindergarten teacher student homework exam lecture seminar thesis scholarship alumni
+    church mosque synagogue temple monastery parish community neighbours society league federation union guild committee association
+    watch clock season calendar diary letters postcards memory stories legends folklore fable myth founders pioneers veterans
+    trader trackless adapter address admiral bettering alphabet pillar pillow cheaper sexton essex analyst cocktail assembly classic
+    passage grass brass scunthorpe therapist expert exchange explore express extra titan hotplate password debate debut loan-library
+    handbook scrapbook tournament slotcar coinage minted lotus diceware rewarding crackers cracklin pirateship fakir likeness leader
+    trafficlight mailbox hubcap tubes nudge escorted hookworm claimant prizewinner
+"""
+ORDINARY_WITH = """
+    city county national royal public local old new north south east west river lake hill green blue little great open free-time young
+    notes news today weekly review guide center house group team works studio shop store club market school park street
+    society project foundation teaching family valley trust press friends world life home
+"""
+_FRONTS, _ENDS = ("", "www.", "", "m.", "blog.", "en."), (".com", ".net", ".org", ".info", ".example.com", ".example.net", ".co.uk", ".de", ".fr", ".biz")
+_PATHS = ("/", "", "/en/12", "/fr/581.html", "/de/7/", "/es/40?page=2", "/index.html", "/about", "/2021/05/a-day-out", "/item?id=3", "/search?q=one", "/en/news/1959.html")
+#: Sites made of each name.
+_SITES = 6
+#: Names without a meaning among the ordinary ones.
+_INVENTED = 80
+
+
+def invented_names(n: int, seed: int = 0) -> str:
+    """Names without a meaning, of two to four syllables: what says nothing is ordinary."""
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("bcdfghjklmnpqrstvwxyz") + r.choice("aeiouy") + r.choice(("", "", "n", "r", "s", "q")) for _ in range(r.randint(2, 4))) for _ in range(n))
+
+
+def labelled_sites(names: str, beside: str) -> list[str]:
+    """URLs of sites made of each name: the name alone, and before or after words that stand beside it.  Front names, endings and paths go round,
+    in the same way for every label, so they say nothing."""
+    found, words = [], beside.split()
+    for i, name in enumerate(names.split()):
+        for k in range(_SITES):
+            other = words[(5 * i + 11 * k) % len(words)]
+            host = (name, f"{name}-{other}", f"{other}{name}", f"{other}-{name}", f"{name}{other}", f"the-{name}")[k]
+            found.append(f"http://{_FRONTS[(i // 2 + k) % len(_FRONTS)]}{host}{_ENDS[(i + k) % len(_ENDS)]}{_PATHS[(i + i // 12 + 2 * k) % len(_PATHS)]}")
+    return found
+
+
+#: The labelled table.
+LABELLED = {"block": " ".join(labelled_sites(UNWANTED, UNWANTED_WITH)), "allow": " ".join(labelled_sites(ORDINARY + invented_names(_INVENTED), ORDINARY_WITH))}
 
 #: Character n-gram lengths, and hashed features for each of host and path.
 LENGTHS = (3, 4, 5)
-FEATURES = 1 << 14
-EPOCHS, RATE, PENALTY = 400, 8.0, 1e-5
-#: Front names and endings with which a host of the table is seen as well.
-DECORATIONS = (("www.", ".com"), ("", ".net"), ("m.", ".example.com"), ("blog.", ".example.net"), ("", ".info"))
+FEATURES = 1 << 16
+EPOCHS, RATE, PENALTY = 600, 40.0, 1e-5
 #: A URL without a rule is blocked from this probability on.
-BLOCK_FROM = 0.5
+BLOCK_FROM = 0.4
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,30 +159,18 @@ def _parts(url: str) -> tuple[str, str]:
     return rest[:cut].lower(), tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
 
 
-def _core(host: str) -> tuple[str, str]:
-    """A host without a front name that says nothing, and its ending."""
-    for front in ("www.", "m.", "blog."):
-        host = host.removeprefix(front)
-    name, dot, end = host.partition(".")
-    return name, dot + end
-
-
 def train(labelled: dict[str, str]) -> np.ndarray:
     """Weights of the regression (the last one is the constant), by full gradient steps."""
     urls = [(*_parts(url), float(label == "block")) for label, every in sorted(labelled.items()) for url in every.split()]
-    # The first and last names of a host, and the path, say little about a site: every host is seen with several of them.
-    paths = sorted({path for _, path, _ in urls})
-    seen = [(front + name + back, paths[(7 * i + 5 * k) % len(paths)] if k else path, label) for i, (host, path, label) in enumerate(urls) for name, end in [_core(host)] for k, (front, back) in enumerate((("", end), *DECORATIONS))]
-    parts, urls = [p[:2] for p in seen], [("", p[2]) for p in seen]
-    row, slots, values = features(pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()))
+    row, slots, values = features(pa.array([host for host, _, _ in urls], pa.string()), pa.array([path for _, path, _ in urls], pa.string()))
     used, at = np.unique(slots, return_inverse=True)
-    x = np.zeros((len(urls), len(used) + 1))
-    x[row, at], x[:, -1] = values, 0.3
-    y, w = np.array([label for _, label in urls]), np.zeros(x.shape[1])
-    for _ in range(EPOCHS):
-        w -= RATE * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + PENALTY * w)
+    y, w, bias = np.array([label for _, _, label in urls]), np.zeros(len(used)), 0.0
+    for _ in range(EPOCHS if len(y) else 0):
+        apart = (1 / (1 + np.exp(-np.bincount(row, w[at] * values, len(y)) - bias)) - y) / len(y)
+        w -= RATE * (np.bincount(at, apart[row] * values, len(w)) + PENALTY * w)
+        bias -= RATE * 0.09 * apart.sum()
     out = np.zeros(2 * FEATURES + 1)
-    out[used], out[-1] = w[:-1], 0.3 * w[-1]
+    out[used], out[-1] = w, bias
     return out
 
 
