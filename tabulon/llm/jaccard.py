@@ -6,19 +6,21 @@ in each fragment on its own and summed per pair of documents:
 
 1. Filter.  A pair that links shares four fifths of either set.  For half of the order it is counted how many
    shingles of each document occur in another one; a document with too many that don't can't link.
-2. Candidates.  For the documents left, shingles are ordered from rare to frequent.  Two that link share one
-   of their rarest fifth, so documents that share none, not even through others, are never compared.
+2. Candidates.  For the documents left, the order is cut into pieces of four shingles or so, more of them than two documents that link can differ in.
+   One piece at least is the same in both, so documents that share no whole piece, not even through others, are never compared.  That
+   asks for several shingles at once: documents made of the same common passages share many shingles, but hardly a piece.
 3. Overlaps with the first.  Every document of a candidate group is paired with the group's first one.  Sets are cut into
    ``FRAGMENTS`` pieces, pieces of one fragment meet by a join, and the partial overlaps are summed per pair.  This is linear
    in the group, and of a group of near copies it leaves but those that aren't linked to the first.
 4. Overlaps of the rest.  The documents that it leaves are compared with each other and with those that are linked (which are not compared
-   among themselves any more).  Both are dealt into blocks, and for each pair of blocks the overlaps of all pairs are summed
+   among themselves any more).  Where few pairs of a group have a piece in common, as among documents made of the same passages, these pairs are looked at
+   one by one: partial overlaps are summed per pair.  Where most have, as among near copies, both are dealt into blocks, and for each pair of blocks the overlaps of all pairs are summed
    fragment by fragment as products of incidence matrices.  A block pair returns a spanning forest of its links, at most one
    edge per document, never the pairs.
 5. Components of the links.
 
 A group of near copies that holds a third of all rows so sends its sets once, and again for each ``BLOCK`` documents that aren't
-linked to its first one.  Only a group whose documents share rare shingles without linking to the first costs the square
+linked to its first one.  Only a group most of whose documents share whole pieces without linking to the first costs the square
 of what is left.
 """
 
@@ -44,6 +46,10 @@ FRAGMENTS = 8
 #: Documents of a candidate group compared at once, and shingles of a fragment in an incidence matrix.
 BLOCK = 1024
 FRAGMENT = 2048
+#: Shingles whose signatures are settled among each other before they are sent.
+SLICE = 1 << 20
+#: How many pairs of a block are compared at the cost of one that is looked at alone.
+PAIR = 8
 #: Share of the hash range that the first filter looks at.
 FILTER_BELOW = np.uint64(1 << 63)
 _OTHER = np.uint64(0xA24BAED4963EE407)
@@ -161,52 +167,159 @@ def _possible(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return ex.gathered(found, n_cells, [np.int64], finish, "doc long")
 
 
-def _frequencies(blocks: DataFrame, n: int) -> DataFrame:
-    """block, g, df: for each block of documents the shingles that two or more documents have."""
+class Sizes:
+    """Size classes, and into how many pieces their members cut the order of shingles.
+
+    Two sets of a and b shingles that link differ in at most (100 - percent) / (100 + percent) of a + b.  A pair belongs to the class of its larger set,
+    and in a class everyone cuts the order at the same places, into more pieces than a pair of it can differ in.
+    """
+
+    def __init__(self, percent: int) -> None:
+        least = [1]
+        while least[-1] < 1 << 44:
+            least.append(least[-1] + least[-1] // 8 + 1)
+        self.percent = percent
+        self.least = np.array(least, np.int64)
+        self.most = self.least[1:] - 1
+        differ = self._differ(2 * self.most)
+        self.pieces = differ + 3 * differ // 10 + 2
+
+    def _differ(self, both: np.ndarray) -> np.ndarray:
+        return (100 - self.percent) * both // (100 + self.percent)
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.least, n, "right") - 1
+
+    def largest(self, n: np.ndarray) -> np.ndarray:
+        """The size of the largest set that one of n shingles links to."""
+        return 100 * n // self.percent
+
+    def differ(self, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """In how many shingles a set of n may differ from one that it links to, if the larger one is of this class."""
+        return self._differ(n + np.minimum(self.most[size], self.largest(n)))
+
+
+def signatures(sizes: Sizes, n: np.ndarray, g: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of which two sets that link, but aren't equal, have one in common, with the places of their sets.
+
+    Set i has n[i] shingles, which are those of ``g`` (sorted within a set) where ``at`` is i.  The order is cut into pieces.  If a set fills more of them with two or
+    more shingles than can differ, one of these is the same in both.  A set that doesn't gives its pieces of one shingle as well, and one that fills
+    too few even with these (a matter of small ones) its single shingles; two sets that both fall short of a step meet on the next.
+    """
+    low, high = sizes.of(n), sizes.of(sizes.largest(n))
+    salted = tk.mix(g ^ _OTHER)
+    for up in range(int((high - low).max(initial=-1)) + 1):
+        size = np.minimum(low + up, high)
+        differ = sizes.differ(n, size)
+        # Equal sets stand for each other already, so where nothing may differ there is nothing to find.
+        use = np.flatnonzero(((low + up <= high) & (differ > 0))[at])
+        if not len(use):
+            continue
+        doc = at[use]
+        name = tk.mix(size.astype(np.uint64) + np.uint64(1))
+        piece = ((g[use] >> np.uint64(32)) * sizes.pieces[size].astype(np.uint64)[doc]) >> np.uint64(32)
+        head = np.ones(len(use), bool)
+        head[1:] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
+        begin = np.flatnonzero(head)
+        owner = doc[begin]
+        several = np.diff(np.append(begin, len(use))) > 1
+        short = np.bincount(owner[several], minlength=len(n)) <= differ
+        keep = several | short[owner]
+        yield tk.mix(np.add.reduceat(salted[use], begin) ^ tk.mix(name[owner] + piece[begin]))[keep], owner[keep]
+        single = np.flatnonzero((np.bincount(owner, minlength=len(n)) <= differ)[doc])
+        yield tk.mix(g[use[single]] + name[doc[single]]), doc[single]
+
+
+def _meet(sig: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature with its smallest document and its number of documents, and (document, smallest one) of all others that have it."""
+    order = np.lexsort((doc, sig))
+    sig, doc = sig[order], doc[order]
+    head = np.ones(len(sig), bool)
+    head[1:] = sig[1:] != sig[:-1]
+    first = doc[head][np.cumsum(head) - 1]
+    other = np.flatnonzero(doc != first)
+    total = np.add.reduceat(count[order], np.flatnonzero(head)) if len(sig) else count
+    return sig[head], doc[head], total, np.unique(np.stack([doc[other], first[other]], axis=1), axis=0)
+
+
+def _signed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Signatures of a slice of documents, the rows of the batch that have them, and the batch (doc, n, g, ...)."""
+    sizes = Sizes(percent)
+    for batch in batches:
+        size, raw = batch.column("n").to_numpy(), batch.column("g")
+        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1):
+            if len(part):
+                g = np.frombuffer(b"".join(raw[i].as_py() for i in part.tolist()), np.uint64)
+                found = list(signatures(sizes, size[part], g, np.repeat(np.arange(len(part)), size[part])))
+                if found:
+                    yield np.concatenate([x for x, _ in found]), part[np.concatenate([x for _, x in found])], batch
+
+
+def _candidates(sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v, pairs, most: documents that have a signature in common with a smaller one, each with the smallest of these in a block of documents or of all.
+
+    Rows with u = v say how many pairs the signatures have whose smallest document this is, and how many documents the commonest of them.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            raw = batch.column("g").to_pylist()
-            for b in np.unique(block).tolist():
-                g, count = np.unique(np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(block == b)), np.uint64), return_counts=True)
-                yield ex.packed(0, ex.cell_of(g, n), [g, count.astype(np.int32), np.full(len(g), b, np.int32)], 3)
+        for sig, row, batch in _signed(batches, percent):
+            # What a whole group of near copies shares is settled here, and sends one row on.
+            sig, first, count, near = _meet(sig, batch.column("doc").to_numpy()[row], np.ones(len(sig), np.int64))
+            yield ex.packed(0, ex.cell_of(sig, n), [sig, first, count], 3)
+            yield ex.packed(1, ex.home(near[:, 0], n), [near[:, 0], near[:, 1]], 3)
 
     def reduce(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        rows = kinds[0]
-        g, count, block = (ex.array_of(rows, i, t) for i, t in enumerate((np.uint64, np.int32, np.int32)))
-        _, which = np.unique(g, return_inverse=True)
-        df = np.bincount(which, count).astype(np.int64)[which]
-        shared = np.flatnonzero(df > 1)
-        shared = shared[np.argsort(block[shared], kind="stable")]
-        for part in np.split(shared, np.flatnonzero(np.diff(block[shared])) + 1):
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array(block[part[:1]]), pa.array([g[part].tobytes()]), pa.array([df[part].tobytes()])], names=["block", "g", "df"])
+        rows, near = kinds.get(0, []), kinds.get(1, [])
+        _, first, count, found = _meet(*(ex.array_of(rows, i, t) for i, t in enumerate((np.uint64, np.int64, np.int64))))
+        found = np.unique(np.concatenate([found, np.stack([ex.array_of(near, i, np.int64) for i in (0, 1)], axis=1)]), axis=0)
+        shared = np.flatnonzero(count > 1)
+        shared = shared[np.argsort(first[shared], kind="stable")]
+        first, count = first[shared], count[shared]
+        begin = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(first) else np.empty(0, int)
+        lead, none = first[begin], np.zeros(len(found), np.int64)
+        pairs = np.add.reduceat(count * (count - 1.0) / 2, begin) if len(begin) else np.empty(0)
+        most = np.maximum.reduceat(count, begin) if len(begin) else np.empty(0, np.int64)
+        columns = [np.append(found[:, 0], lead), np.append(found[:, 1], lead), np.append(none.astype(float), pairs), np.append(none, most)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "pairs", "most"])
 
-    return ex.exchanged(blocks.select("block", "g").mapInArrow(scan, ex.schema(3)), n, reduce, "block int, g binary, df binary")
+    return ex.exchanged(sets.select("doc", "n", "g").mapInArrow(scan, ex.schema(3)), n, reduce, "u long, v long, pairs double, most long")
 
 
-def _prefixes(percent: int):
-    def rare(docs: pa.Table, found: pa.Table) -> pa.Table:
-        """Postings of the shared ones among each document's rarest shingles."""
-        keys = np.frombuffer(b"".join(found.column("g").to_pylist()), np.uint64)
-        freq = np.frombuffer(b"".join(found.column("df").to_pylist()), np.int64)
-        keys, lead = np.unique(keys, return_index=True)
-        freq = freq[lead]
-        out_g, out_doc = [], []
-        for doc, n, raw in zip(docs.column("doc").to_pylist(), docs.column("n").to_pylist(), docs.column("g").to_pylist(), strict=True):
-            g = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
-            shared = np.flatnonzero(keys[at] == g) if len(keys) else np.empty(0, int)
-            room = n - int(least_shared(n, percent)) + 1 - (n - len(shared))
-            if room > 0:
-                order = np.lexsort((g[shared], freq[at[shared]]))[:room]
-                out_g.append(g[shared[order]].view(np.int64))
-                out_doc.append(np.full(len(order), doc, np.int64))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"g": np.concatenate(out_g or empty), "doc": np.concatenate(out_doc or empty)})
+def _pairs(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """u, v: pairs of documents (doc, n, g, linked) that have a signature in common, but for those that are both linked already."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, row, batch in _signed(batches, percent):
+            linked = batch.column("linked").to_numpy(zero_copy_only=False).astype(np.int8)
+            yield ex.packed(0, ex.cell_of(sig, n), [sig, batch.column("doc").to_numpy()[row], linked[row]], 3)
+
+    def reduce(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        sig, doc, linked = (ex.array_of(kinds[0], i, t) for i, t in enumerate((np.uint64, np.int64, np.int8)))
+        order = np.lexsort((doc, sig))
+        sig, doc, linked = sig[order], doc[order], linked[order]
+        # Pairs at distance 1, 2, ... in the postings, until none is long enough.
+        at, far = np.arange(len(sig)), 1
+        while True:
+            at = at[at + far < len(sig)]
+            at = at[sig[at] == sig[at + far]]
+            if not len(at):
+                return
+            new = at[(doc[at] != doc[at + far]) & ((linked[at] == 0) | (linked[at + far] == 0))]
+            found = np.unique(np.stack([doc[new + far], doc[new]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+            far += 1
 
-    return rare
+    return ex.exchanged(members.select("doc", "n", "g", "linked").mapInArrow(scan, ex.schema(3)), n, reduce, "u long, v long").distinct()
+
+
+def _linked_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that link: overlaps are counted in each fragment and summed per pair."""
+    pieces = members.select("component", "doc", "n", "g").mapInArrow(_pieces, "component long, fragment int, doc long, n long, piece binary")
+    left = pieces.select(F.col("doc").alias("u"), F.col("n").alias("a"), "fragment", "piece")
+    right = pieces.select(F.col("doc").alias("v"), F.col("n").alias("b"), "fragment", F.col("piece").alias("first"))
+    met = pairs.join(left, "u").join(right, ["v", "fragment"]).select(F.struct("u", "v", "a", "b").alias("doc"), "piece", "first")
+    shared = met.mapInArrow(_partial, "doc struct<u long, v long, a long, b long>, shared long").groupBy("doc").agg(F.sum("shared").alias("o"))
+    return shared.where(f"o > 0 and 100 * o >= {percent} * (doc.a + doc.b - o)").select("doc.u", "doc.v")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +431,19 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     # Whole blocks lie together, so that a block sends a row per cell; removing repeated rows keeps this partitioning.
     sets = sets.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")).repartition(n, "block")
     sets = sets.dropDuplicates(["block", "doc", "f1", "f2"]).drop("f1", "f2").checkpoint()
-    prefixes = sets.groupBy("block").cogroup(_frequencies(sets, n).groupBy("block")).applyInArrow(_prefixes(percent), "g long, doc long").checkpoint()
-    least = prefixes.groupBy("g").agg(F.min("doc").alias("v"), F.max("doc").alias("w")).where("v < w").select("g", "v")
-    group = connected(prefixes.join(least, "g").select(F.col("doc").alias("u"), "v"))
+    candidates = _candidates(sets, n, percent).checkpoint()
+    group = connected(candidates.select("u", "v")).checkpoint()
     members = sets.drop("block").join(group.select(F.col("node").alias("doc"), "component"), "doc")
     near = _near_first(members, percent).checkpoint()
+    counts = near.groupBy("component").agg(F.count_if(~F.col("linked")).alias("r"), F.count_if(F.col("linked")).alias("l")).where("r > 0")
+    asked = candidates.where("u = v").join(group, F.col("u") == F.col("node")).groupBy("component").agg(F.sum("pairs").alias("pairs"), F.max("most").alias("most"))
+    # Both ways find the same links; a pair costs more where it is looked at alone.
+    alone = (F.col("most") <= BLOCK) & (F.col("pairs") * PAIR <= F.col("r") * (F.col("r") + F.col("l")))
+    counts = counts.join(asked, "component").withColumn("alone", alone).checkpoint()
+    few = members.join(near.select("doc", "linked"), "doc").join(counts.where("alone").select("component"), "component", "left_semi").checkpoint()
+    lone = _linked_pairs(_pairs(few, n, percent), few, percent)
     role = F.when(F.col("linked"), "linked").otherwise("rest")
-    size = near.groupBy("component").agg(F.ceil(F.count_if(~F.col("linked")) / BLOCK).cast("int").alias("rests"), F.ceil(F.count_if(F.col("linked")) / BLOCK).cast("int").alias("links")).where("rests > 0")
+    size = counts.where("not alone").select("component", F.ceil(F.col("r") / BLOCK).cast("int").alias("rests"), F.ceil(F.col("l") / BLOCK).cast("int").alias("links"))
     # Blocks of the rest come first; they meet all blocks, those of linked documents only them.
     own = F.pmod(F.xxhash64(F.col("doc") + 1), F.when(role == "rest", F.col("rests")).otherwise(F.col("links"))) + F.when(role == "rest", 0).otherwise(F.col("rests"))
     last = F.when(role == "rest", F.col("rests") + F.col("links")).otherwise(F.col("rests")) - 1
@@ -332,7 +451,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     dealt = sets.drop("block").join(dealt, "doc").withColumn("other", F.explode("others"))
     dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("block"), "doc", "n", "g")
     links = dealt.groupBy("component", "low", "high").applyInArrow(_links(percent), "u long, v long")
-    links = links.unionByName(near.where("linked and doc <> component").select(F.col("doc").alias("u"), F.col("component").alias("v")))
+    links = links.unionByName(lone).unionByName(near.where("linked and doc <> component").select(F.col("doc").alias("u"), F.col("component").alias("v")))
     linked = connected(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(reps, ["f1", "f2", "n"], "left").join(linked, "rep", "left")
     rows = named.select("n", F.coalesce("component", "rep").alias("class"), F.explode("members").alias("doc_id"))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, exact, jaccard, substring
 
@@ -84,8 +85,9 @@ def plain_jaccard(rows, k=5, percent=80):
     return out
 
 
-@pytest.mark.parametrize(("seed", "words", "block"), [(1, 400, 1024), (2, 8, 1024), (3, 400, 4)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, seed, words, block):
+@pytest.mark.parametrize(("seed", "words", "block", "pair"), [(1, 400, 1024, 8), (2, 8, 1024, 8), (3, 400, 4, 8), (4, 8, 1024, 0)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, seed, words, block, pair):
+    monkeypatch.setattr(jaccard, "PAIR", pair)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "FRAGMENT", 64)
     rows = list(enumerate(texts(90, seed=seed, words=words)))
@@ -107,11 +109,13 @@ def test_jaccard_ties_of_huge_sets():
         assert found.num_rows == want
 
 
-def test_jaccard_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("pair", [8, 0])
+def test_jaccard_group_of_near_copies(spark, monkeypatch, pair):
     """A large group of different near copies, some of which aren't linked to the first."""
     import random
 
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "PAIR", pair)
+    monkeypatch.setattr(jaccard, "BLOCK", 8 if pair else 1024)
     r = random.Random(2)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -124,6 +128,56 @@ def test_jaccard_group_of_near_copies(spark, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == plain_jaccard(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 60, 95])
+def test_jaccard_linked_sets_share_a_signature(percent):
+    """Pairs right at the limit, from the smallest sets on; most have their pieces in common by far more than one."""
+    import numpy as np
+
+    sizes = jaccard.Sizes(percent)
+    r = np.random.default_rng(percent)
+
+    def of(g):
+        return set(np.concatenate([x for x, _ in jaccard.signatures(sizes, np.array([len(g)]), np.sort(g), np.zeros(len(g), int))] or [np.empty(0, np.uint64)]).tolist())
+
+    linked = 0
+    for n in [*range(1, 40), 100, 333, 1000]:
+        for _ in range(30):
+            base = r.integers(0, 2**64, 2 * n + 2, dtype=np.uint64)
+            lost = int(r.integers(0, n - jaccard.least_shared(n, percent) + 1))
+            # a has n shingles, of which b lacks some; b has as many others as the limit allows.
+            more = max(0, 100 * (n - lost) // percent - n)
+            a, b = base[:n], np.concatenate([base[lost:n], base[n : n + more]])
+            shared, union = n - lost, n + more
+            if 100 * shared >= percent * union and len(a) + len(b) > 2 * shared:
+                linked += 1
+                assert of(a) & of(b)
+    assert linked > 300
+
+
+@pytest.mark.parametrize("pair", [8, 10**9, 0])
+def test_jaccard_pages_of_common_passages(spark, monkeypatch, pair):
+    """Pages of 10 out of 200 passages; what share a piece is looked at pair by pair, or (0: always, 10**9: never) in blocks, with one result."""
+    import random
+
+    monkeypatch.setattr(jaccard, "PAIR", pair)
+    r = random.Random(4)
+    passages = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(200)]
+    rows = [(i, " ".join(r.sample(passages, 10))) for i in range(1500)]
+    rows += [(2000 + i, f"{rows[i][1]} other end") for i in range(20)]
+    sets = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).mapInArrow(sets_of, "doc long, n long, g binary")
+    pairs = jaccard._pairs(sets.withColumn("linked", F.lit(False)), 4, 80).collect()
+    assert {(2000 + i, i) for i in range(20)} <= {tuple(p) for p in pairs} and len(pairs) < 0.02 * 1500 * 1500 / 2
+    found = rows_of(jaccard.near_duplicates(table(spark, rows)))
+    assert {x["doc_id"] for x in found if x["component_id"] != x["doc_id"]} == {2000 + i for i in range(20)}
+
+
+def sets_of(batches):
+    for batch in batches:
+        for ids, s in jaccard._sets([batch], 5):
+            raw = [s.g[a:b].tobytes() for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s.n), pa.array(raw, pa.binary())], names=["doc", "n", "g"])
+
+
 def test_jaccard_empty_null_and_repeated_rows(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
     rows = [(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "A  B c"), (8, ""), (9, None)]
