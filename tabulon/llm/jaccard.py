@@ -242,6 +242,18 @@ def _meet(sig: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarr
     return sig[head], doc[head], total, np.unique(np.stack([doc[other], first[other]], axis=1), axis=0)
 
 
+def _starred(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (document, smaller one) that connect the same documents: each with the smallest it has, which the others it has are handed to."""
+    for _ in range(2):
+        pairs = np.unique(pairs, axis=0)
+        if not len(pairs):
+            break
+        head = np.append(True, pairs[1:, 0] != pairs[:-1, 0])
+        first = pairs[head, 1][np.cumsum(head) - 1]
+        pairs = np.concatenate([pairs[head], np.stack([pairs[~head, 1], first[~head]], axis=1)])
+    return np.unique(pairs, axis=0)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Signatures of a slice of documents, the rows of the batch that have them, and the batch (doc, n, g, ...)."""
     sizes = Sizes(percent)
@@ -266,12 +278,13 @@ def _candidates(sets: DataFrame, n: int, percent: int) -> DataFrame:
             # What a whole group of near copies shares is settled here, and sends one row on.
             sig, first, count, near = _meet(sig, batch.column("doc").to_numpy()[row], np.ones(len(sig), np.int64))
             yield ex.packed(0, ex.cell_of(sig, n), [sig, first, count], 3)
+            near = _starred(near)
             yield ex.packed(1, ex.home(near[:, 0], n), [near[:, 0], near[:, 1]], 3)
 
     def reduce(kinds: dict[int, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
         rows, near = kinds.get(0, []), kinds.get(1, [])
         _, first, count, found = _meet(*(ex.array_of(rows, i, t) for i, t in enumerate((np.uint64, np.int64, np.int64))))
-        found = np.unique(np.concatenate([found, np.stack([ex.array_of(near, i, np.int64) for i in (0, 1)], axis=1)]), axis=0)
+        found = _starred(np.concatenate([found, np.stack([ex.array_of(near, i, np.int64) for i in (0, 1)], axis=1)]))
         shared = np.flatnonzero(count > 1)
         shared = shared[np.argsort(first[shared], kind="stable")]
         first, count = first[shared], count[shared]
@@ -280,9 +293,22 @@ def _candidates(sets: DataFrame, n: int, percent: int) -> DataFrame:
         pairs = np.add.reduceat(count * (count - 1.0) / 2, begin) if len(begin) else np.empty(0)
         most = np.maximum.reduceat(count, begin) if len(begin) else np.empty(0, np.int64)
         columns = [np.append(found[:, 0], lead), np.append(found[:, 1], lead), np.append(none.astype(float), pairs), np.append(none, most)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "pairs", "most"])
-
-    return ex.exchanged(sets.select("doc", "n", "g").mapInArrow(scan, ex.schema(3)), n, reduce, "u long, v long, pairs double, most long")
+        yield ex.packed(0, ex.home(columns[0], n), columns, 4)
+
+    def finish(u: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        v, pairs, most = values
+        own = np.flatnonzero(u == v)
+        begin = np.flatnonzero(np.append(True, np.diff(u[own]) != 0)) if len(own) else own
+        near = _starred(np.stack([u, v], axis=1)[u != v])
+        lead, none = u[own][begin], np.zeros(len(near), np.int64)
+        total = np.add.reduceat(pairs[own], begin) if len(own) else pairs[own]
+        largest = np.maximum.reduceat(most[own], begin) if len(own) else most[own]
+        columns = [np.append(near[:, 0], lead), np.append(near[:, 1], lead), np.append(none.astype(float), total), np.append(none, largest)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "pairs", "most"])
+
+    # A pair turns up in many cells; at the documents' own cells it is one row.
+    found = ex.exchanged(sets.select("doc", "n", "g").mapInArrow(scan, ex.schema(3)), n, reduce, ex.schema(4))
+    return ex.gathered(found, n, [np.int64, np.float64, np.int64], finish, "u long, v long, pairs double, most long")
 
 
 def _pairs(members: DataFrame, n: int, percent: int) -> DataFrame:
