@@ -129,6 +129,13 @@ def within_window(distance: Column, window: int) -> Column:
     return F.abs(distance) <= window // 2
 
 
+def seen_in_window(length: Column, window: int) -> Column:
+    """How many tokens the tokens of a block of so many in a row see in all: what counting the pairs ``within_window`` gives, from the
+    length.  Each sees itself, and at each distance within reach that the block is longer than, the length less that distance look either way."""
+    n, reach = length.cast("long"), F.greatest(F.least(length - 1, F.lit(window // 2)), F.lit(0)).cast("long")
+    return n + reach * (2 * n - reach - 1)
+
+
 def used_tokens(tokens: DataFrame, by: list[str]) -> DataFrame:
     """Tokens that count as input: all but padding."""
     return tokens.groupBy(*by).agg(F.count_if(F.col("block") >= 0).alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))

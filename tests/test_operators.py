@@ -209,6 +209,14 @@ def test_visibility(spark):
     assert sees == {0: {0}, 1: {0, 1, 2, 3}, 2: {0, 1, 2}, 3: {0, 1, 3}, 4: {0, 4}, 5: {5}}
 
 
+def test_window_counts_are_the_pairs(spark):
+    lengths = [0, 1, 2, 3, 4, 5, 6, 9, 40]
+    df = spark.createDataFrame([(n,) for n in lengths], "n int")
+    places = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: i)
+    pairs = df.withColumn("a", F.explode(places)).withColumn("b", F.explode(places)).where("a < n and b < n").where(pk.within_window(F.col("a") - F.col("b"), 8)).groupBy("n").count()
+    assert {r.n: r["count"] for r in pairs.collect()} | {0: 0} == {r.n: r.s for r in df.select("n", pk.seen_in_window(F.col("n"), 8).alias("s")).collect()}
+
+
 @pytest.mark.parametrize("capacity", [1, 8, 64])
 def test_cache_is_an_ordered_dict(spark, capacity):
     r = random.Random(capacity)
