@@ -25,3 +25,8 @@ def test_windowed_mask_makes_no_tokens(same):
     df = same("windowed_mask", "conversations", rows, "conv_id long, turn long, text string")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_question_phrasing_of_odd_texts(same):
+    texts = ["x two\nlines y", "x a\r\n b", "one", "", None, "two  spaces", "The girls play", "A Woman waits", "x what? now", "he\nshe us", " cat", "x in\tthis\tphoto z", "x \n y", "x \u0130he y", "x an y", "x any y"]
+    same("question_phrasing", "benchmark", [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, t) for i, t in enumerate(texts)], "item_id long, text string")
