@@ -87,11 +87,12 @@ def top_answers(votes: DataFrame, group: list[str], answer: str, order: str, k:
     return counted.withColumn("place", place).where(F.col("place") <= k)
 
 
-def face_boxes(boxes: DataFrame, width: float = 0.15, per_image: int = 2, least_side: int = 64) -> DataFrame:
-    """The largest boxes of each image that are neither groups nor drawings; the side limit comes after the choice."""
+def face_boxes(boxes: DataFrame, width: float = 0.15, per_image: int = 2, least_side: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The largest boxes of each image that are neither groups nor drawings; the side limit comes after the choice.  Boxes of one place and
+    size come in the order of ``ties``."""
     wide = boxes.where((F.col("x1") - F.col("x0") >= width) & ~F.col("is_group") & ~F.col("is_depiction"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    first = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(area), "x0", "y0"))
+    first = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(area), "x0", "y0", *ties))
     side = F.least((F.col("x1") - F.col("x0")) * F.col("w"), (F.col("y1") - F.col("y0")) * F.col("h"))
     return wide.withColumn("k", first).where(F.col("k") <= per_image).where(side >= least_side)
 

@@ -80,8 +80,9 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"""WITH {_BOXES} SELECT image_id, k AS box FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ((x0 + side) - x0) * ((y0 + side) - y0) DESC, x0, y0) AS n FROM b WHERE (x0 + side) - x0 >= CAST(0.15 AS DOUBLE) AND NOT grp AND NOT draw) WHERE n <= 2 AND least(((x0 + side) - x0) * 400, ((y0 + side) - y0) * 300) >= 64""")
 def face_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two largest boxes of each image (order) that are faces of their own, then those of some size."""
-    return lb.face_boxes(_boxes(spark, sf_dir)).select("image_id", "box")
+    """The two largest boxes of each image (order) that are faces of their own, then those of some size; of boxes alike in place and size,
+    which the SQL leaves open, those of the smallest numbers."""
+    return lb.face_boxes(_boxes(spark, sf_dir), ties=("box",)).select("image_id", "box")
 
 
 @plan(f"""WITH {_BOXES}, p AS (SELECT image_id, k, x0 * 400 AS a, y0 * 300 AS b, (x0 + side) * 400 AS c, (y0 + side) * 300 AS d FROM b), s AS (SELECT *, greatest(c - a, d - b) * CAST(2.2 AS DOUBLE) / 2 AS half FROM p)

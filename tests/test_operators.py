@@ -171,6 +171,11 @@ def test_boxes(spark):
     assert tuple(r) == (0.0, 0.0, 37.0, 42.0)
 
 
+def test_boxes_alike_go_by_number(spark):
+    box = spark.range(20, 0, -1, 3).select(F.lit("i").alias("image_id"), *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 0.5), ("y1", 0.5), ("is_group", False), ("is_depiction", False), ("w", 200), ("h", 200))], F.col("id").alias("box"))
+    assert sorted(r.box for r in lb.face_boxes(box, ties=("box",)).collect()) == [1, 2]
+
+
 def test_weighted_samples_follow_weights(spark):
     df = spark.range(3000).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("w")) for n, w in (("a", 6.0), ("b", 3.0), ("c", 1.0))])).alias("x")).select("id", "x.n", "x.w")
     first = df.groupBy("id").agg(F.min_by("n", sm.weighted_order(F.col("w"), 0, "t", F.col("id"), F.col("n"))).alias("n")).groupBy("n").count().collect()
