@@ -89,9 +89,16 @@ def probes(bits: Column, distance: int) -> Column:
     Two hashes that differ in ``distance`` bits can't differ in more than t(i) bits in every band i when the sum of all t(i) + 1 exceeds
     the distance; so each band is probed with all values within its t(i), which grow evenly from -1 (not probed).
     """
-    most = [(distance + BANDS - i) // BANDS - 1 for i in range(BANDS)]
-    found = [_flipped(bits, i, own) for i, own in enumerate(most) if own >= 0]
-    return F.concat(*found)
+    return F.concat(*[_flipped(bits, i, own) for i, own in enumerate(_most(distance)) if own >= 0])
+
+
+def _most(distance: int) -> list[int]:
+    return [(distance + BANDS - i) // BANDS - 1 for i in range(BANDS)]
+
+
+def probe_share(distance: int) -> float:
+    """How many other hashes a hash's probes meet by chance, as a share of all."""
+    return sum(len(_masks(own)) for own in _most(distance)) / (1 << BAND_BITS)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -41,6 +41,23 @@ def test_banded_join_is_the_nested_loop(spark, distance):
     assert {r.id for r in sim.near_any(frame(spark, a), frame(spark, b), distance=distance).collect()} == {i for i, _ in want}
 
 
+def test_blocks_are_the_nested_loop(spark, monkeypatch):
+    monkeypatch.setattr(sim, "BLOCK", 16)
+    monkeypatch.setattr(sim, "BATCH", 5)
+    a, b = near_hashes(150, 2), near_hashes(90, 2)
+    want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (x ^ y).bit_count() <= 17}
+    found = sim.hamming_pairs(frame(spark, a), frame(spark, b), distance=17)
+    assert {(r.l, r.r) for r in found.collect()} == want and found.count() == len(want)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    own = [frozenset((r.x, r.y)) for r in sim._near_within(frame(spark, a), 16).collect()]
+    assert len(own) == len(set(own)) and set(own) == {frozenset((signed(x), signed(y))) for x in a for y in a if x != y and (x ^ y).bit_count() <= 16}
+
+
+def test_wide_joins_make_no_candidate_rows(spark):
+    v = spark.range(100).select("id", F.xxhash64("id").alias("bits"))
+    assert "Generate explode(concat" not in sim.hamming_pairs(v, v, distance=16)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_greedy_rounds_are_the_loop(spark, seed):
     r = random.Random(seed)
