@@ -51,17 +51,22 @@ def risk_coverage(items: DataFrame, by: list[str], order: str, *, confidence: st
 
 def average_ranks(items: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Adds the rank of ``value`` in its group, from 1; equal values share their mean rank."""
-    places = counted(items, by, value).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
+    return _with_ranks(items, counted(items, by, value), by, value, name)
+
+
+def _with_ranks(items: DataFrame, places: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    ranks = places.select(*by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
     match = F.col(f"x.{value}") == F.col(f"y.{value}")
     for c in by:
         match = match & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    return items.alias("x").join(places.alias("y"), match).select("x.*", f"y.{name}")
+    return items.alias("x").join(ranks.alias("y"), match).select("x.*", f"y.{name}")
 
 
 def correlations(items: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Spearman (average ranks) and Pearson."""
-    rows = items.select(*by, x, y)
-    ranked = average_ranks(average_ranks(rows, by, x, "_rx"), by, y, "_ry")
+    """Spearman (average ranks) and Pearson.  The values are computed once and kept, as both ranks, their ranges and the joins read them."""
+    rows = items.select(*by, x, y).checkpoint()
+    ranked = _with_ranks(rows, counted(rows, by, x), by, x, "_rx")
+    ranked = _with_ranks(ranked, counted(rows.where(F.col(x).isNotNull()), by, y), by, y, "_ry")
     return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("srcc"), F.corr(x, y).alias("plcc"))
 
 

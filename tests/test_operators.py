@@ -107,6 +107,18 @@ def test_ranking_metrics(spark):
     assert risk.aurc == 0.25
 
 
+def test_correlations_compute_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(i):
+        seen.add(1)
+        return float(i * 7 % 10)
+
+    items = spark.range(40).select((F.col("id") % 2).alias("g"), F.udf(value, "double")("id").alias("x"), (F.col("id") * 1.0).alias("y"))
+    found = {r.g: r.srcc for r in mt.correlations(items, ["g"], "x", "y").collect()}
+    assert seen.value == 40 and set(found) == {0, 1} and all(-1 <= v <= 1 for v in found.values())
+
+
 def test_smooth_error_is_the_plain_one(spark):
     r = np.random.default_rng(0)
     conf = np.round(r.uniform(0.05, 0.95, 600), 3)
