@@ -281,6 +281,45 @@ def test_code_is_complete():
     assert sum(2.0 ** -int(n) for n in mixing.CODE.length) == 1.0 and sorted(mixing.CODE.rank.tolist()) == list(range(256))
 
 
+@pytest.mark.parametrize("share", [1, 40])
+def test_language_model_counts_branches(share):
+    """Whether they are read off running sums or, where few pairs are left of a large table, searched for."""
+    r = np.random.default_rng(share)
+    key = np.unique(r.integers(0, 60 * 256, 1500))
+    # Some contexts have no successor and some have one, and some pairs aren't in the table.
+    key = key[((key >> 8) % 3 > 0) & ((key >> 8 != 59) | (key == key[-1]))]
+    count = r.integers(0, 9, len(key))
+    here = pairs = np.unique(np.concatenate([r.choice(key, len(key) // share, replace=False), r.integers(0, 60 * 256, 300 // share), key[-1:]]))
+    path = {rank: [bool(rank >= m) for m in mixing.CODE.middle[: mixing.CODE.length[rank], rank]] for rank in range(256)}
+    counts = Counter()
+    for x, n in zip(key.tolist(), count.tolist(), strict=True):
+        counts.update({(x >> 8, *path[x & 255][: d + 1]): n for d in range(len(path[x & 255]))})
+    for d, (keep, zeros, ones, bit) in enumerate(mixing._walk(pairs, 60, key, count)):
+        here = here if keep is None else here[keep]
+        assert here.tolist() == [x for x in pairs.tolist() if len(path[x & 255]) > d]
+        want = [(*(counts[x >> 8, *path[x & 255][:d], side] for side in (False, True)), path[x & 255][d]) for x in here.tolist()]
+        assert list(zip(zeros.tolist(), ones.tolist(), bit.tolist(), strict=True)) == want
+
+
+def test_language_model_work_follows_the_text(monkeypatch):
+    """A block's own counts are not searched for edge by edge and level by level, and dealing it to more cells takes no more
+    calls that put arrays together."""
+    rows = [t or "" for t in texts(60, seed=3)]
+    table_ = pa.table({"text": rows, "held_out": [i % 10 == 0 for i in range(len(rows))], "block": pa.array([0] * len(rows), pa.int32())})
+    block, _ = mixing._parsed(table_)
+    search, join, done = np.searchsorted, np.concatenate, Counter()
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: (done.update(searched=np.size(v)), search(a, v, *x, **y))[1])
+    monkeypatch.setattr(np, "concatenate", lambda *x, **y: (done.update(joined=1), join(*x, **y))[1])
+    mixing.learn(block)
+    assert done["searched"] < len(block.rank)
+    calls = []
+    for cells in (64, 3000):
+        done.clear()
+        mixing._send(cells)(table_)
+        calls.append(done["joined"])
+    assert calls[0] == calls[1]
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark):
     r = random.Random(5)
     word = lambda k: "".join(r.choices(LANGUAGES["aa"] + LANGUAGES["cc"], k=k))
